@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed_values as fixed
@@ -40,9 +40,13 @@ def half_open_period(ts: Column, begin: str, end: str) -> Column:
     return (ts >= F.lit(begin).cast("timestamp_ntz")) & (ts < last.cast("timestamp_ntz"))
 
 
-def _lookup(key: Column, pairs) -> Column:
-    mapping = F.create_map(*[F.lit(x) for pair in pairs for x in pair])
-    return F.try_element_at(mapping, key)
+def _words(words) -> Column:
+    return F.split(F.lit(",".join(words)), ",")
+
+
+def _position(key: Column, words) -> Column:
+    """Number of the word in the list, from 1; NULL when it is not there."""
+    return F.nullif(F.array_position(_words(words), key).cast("int"), F.lit(0))
 
 
 def _nullif_empty(c: Column) -> Column:
@@ -76,53 +80,83 @@ def _explicit_dates(t: Column) -> Column:
     return F.array_compact(found)
 
 
-def period_bounds(text: Column) -> Column:
-    """Period phrase to ``struct(start, end, label, kind)``, ``end`` exclusive; NULL if none.
-
-    Order of the readings: "first N days" of a month, explicit dates, then — only
-    with a year in the text — quarter, half-year, month range, month, year.
-    """
-    t = F.replace(F.lower(text), F.lit("  "), F.lit(" "))
-
-    years = F.regexp_extract_all(t, F.lit(r"(?U)\b(20\d\d)\b"), F.lit(1))
-    year = F.try_element_at(years, F.lit(-1)).cast("int")
-    year_text = year.cast("string")
-
-    month_words = F.regexp_extract_all(t, F.lit(f"({fixed.MONTH_PATTERN})"), F.lit(1))
-    month_numbers = [(stem, i) for i, (stem, _, _) in enumerate(fixed.MONTHS, 1)]
-    month_numbers += [("мая", 5), ("мае", 5)]
-
-    def month_at(i: int) -> Column:
-        return _lookup(F.substring(F.try_element_at(month_words, F.lit(i)), 1, 3), month_numbers)
-
-    def month_name(number: Column, form: int) -> Column:
-        return F.element_at(F.array(*[F.lit(m[form]) for m in fixed.MONTHS]), number)
-
-    first_month, last_month = month_at(1), month_at(-1)
-
+def _phrase_parts(t: Column) -> dict[str, Column]:
+    """What a lower-cased phrase mentions; absent parts are NULL or empty."""
     quarter = F.coalesce(
         _nullif_empty(F.regexp_extract(t, r"(?U)\bq\s*([1-4])\b", 1)).cast("int"),
         _nullif_empty(F.regexp_extract(t, r"(?U)\b([1-4])\s*-?(?:й|го|ый)?\s*кв", 1)).cast("int"),
-        _lookup(F.regexp_extract(t, r"(?U)\b(iv|iii|ii|i)\s*кв", 1), fixed.ROMAN_QUARTERS),
+        _position(F.regexp_extract(t, r"(?U)\b(iv|iii|ii|i)\s*кв", 1), fixed.ROMAN_QUARTERS),
         *[
             F.when(t.rlike(stem + r"(?U)\w*\s+квартал"), F.lit(number))
             for stem, number in fixed.QUARTER_WORDS
         ],
     )
-    half = _lookup(
-        F.regexp_extract(t, r"(?U)(перв|втор)\w*\s+полугод", 1), (("перв", 1), ("втор", 2))
+    half = _position(F.regexp_extract(t, r"(?U)(перв|втор)\w*\s+полугод", 1), ("перв", "втор"))
+    number = "|".join(["\\d+", *fixed.SPELLED_NUMBERS])
+    days_word = "(?:дней|дня|день|суток|сутки|сут)"
+    return {
+        "years": F.regexp_extract_all(t, F.lit(r"(?U)\b(20\d\d)\b"), F.lit(1)),
+        "months": F.regexp_extract_all(t, F.lit(f"({fixed.MONTH_PATTERN})"), F.lit(1)),
+        "quarter": quarter,
+        "half": half,
+        "days": F.coalesce(
+            _nullif_empty(F.regexp_extract(t, rf"(?U)\bпервые\s+({number})\s+{days_word}\b", 1)),
+            _nullif_empty(F.regexp_extract(t, rf"(?U)\b({number})\s+первых\s+{days_word}\b", 1)),
+        ),
+        "dates": _explicit_dates(t),
+    }
+
+
+def with_period(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Add the period a phrase names: ``struct(start, end, label, kind)``, ``end`` exclusive.
+
+    Order of the readings: "first N days" of a month, explicit dates, then — only with a year
+    in the text — quarter, half-year, month range, month, year. NULL when none applies.
+    The parts are columns of their own, so that every pattern runs once per row.
+    """
+    parts, values = "__parts", "__values"
+    phrase = "__phrase"
+    staged = df.withColumn(phrase, F.replace(F.lower(F.col(text)), F.lit("  "), F.lit(" ")))
+    staged = staged.withColumn(
+        parts, F.struct(*[c.alias(n) for n, c in _phrase_parts(F.col(phrase)).items()])
     )
 
-    number = "|".join(["\\d+"] + [word for word, _ in fixed.SPELLED_NUMBERS])
-    days_word = "(?:дней|дня|день|суток|сутки|сут)"
-    days_text = F.coalesce(
-        _nullif_empty(F.regexp_extract(t, rf"(?U)\bпервые\s+({number})\s+{days_word}\b", 1)),
-        _nullif_empty(F.regexp_extract(t, rf"(?U)\b({number})\s+первых\s+{days_word}\b", 1)),
+    def part(name: str) -> Column:
+        return F.col(f"{parts}.{name}")
+
+    def month_at(i: int) -> Column:
+        word = F.substring(F.try_element_at(part("months"), F.lit(i)), 1, 3)
+        return _position(F.regexp_replace(word, "^ма[яе]$", "май"), [m[0] for m in fixed.MONTHS])
+
+    staged = staged.withColumn(
+        values,
+        F.struct(
+            F.try_element_at(part("years"), F.lit(-1)).cast("int").alias("year"),
+            month_at(1).alias("first_month"),
+            month_at(-1).alias("last_month"),
+            part("quarter").alias("quarter"),
+            part("half").alias("half"),
+            F.coalesce(
+                part("days").try_cast("int"), _position(part("days"), fixed.SPELLED_NUMBERS)
+            ).alias("days"),
+            F.array_min(part("dates")).alias("first_date"),
+            F.array_max(part("dates")).alias("last_date"),
+        ),
     )
-    days = F.coalesce(days_text.try_cast("int"), _lookup(days_text, fixed.SPELLED_NUMBERS))
+    return staged.withColumn(out, _period(lambda name: F.col(f"{values}.{name}"))).drop(
+        phrase, parts, values
+    )
+
 
-    dates = _explicit_dates(t)
-    first_date, last_date = F.array_min(dates), F.array_max(dates)
+def _period(value) -> Column:
+    """The period from the values found in a phrase."""
+    year, days = value("year"), value("days")
+    first_month, last_month = value("first_month"), value("last_month")
+    first_date, last_date = value("first_date"), value("last_date")
+    year_text = year.cast("string")
+
+    def month_name(number: Column, form: int) -> Column:
+        return F.element_at(_words([m[form] for m in fixed.MONTHS]), number)
 
     def period(start: Column, end: Column, label: Column, kind: str) -> Column:
         return F.struct(
@@ -132,8 +166,8 @@ def period_bounds(text: Column) -> Column:
     def span(month: Column, months: int) -> Column:
         return F.add_months(_month_start(year, month), months)
 
-    quarter_month = (quarter - 1) * 3 + 1
-    half_month = (half - 1) * 6 + 1
+    quarter_month = (value("quarter") - 1) * 3 + 1
+    half_month = (value("half") - 1) * 6 + 1
     low = F.least(first_month, last_month)
     high = F.greatest(first_month, last_month)
     dmy = "dd.MM.yyyy"
@@ -152,7 +186,7 @@ def period_bounds(text: Column) -> Column:
             ),
         )
         .when(
-            F.size(dates) > 0,
+            first_date.isNotNull(),
             period(
                 first_date,
                 F.date_add(last_date, 1),
@@ -164,22 +198,22 @@ def period_bounds(text: Column) -> Column:
         )
         .when(year.isNull(), F.lit(None))
         .when(
-            quarter.isNotNull(),
+            value("quarter").isNotNull(),
             period(
                 _month_start(year, quarter_month),
                 span(quarter_month, 3),
-                F.concat(F.lit("Q"), quarter.cast("string"), F.lit(" "), year_text),
+                F.concat(F.lit("Q"), value("quarter").cast("string"), F.lit(" "), year_text),
                 "quarter",
             ),
         )
         .when(
-            half.isNotNull(),
+            value("half").isNotNull(),
             period(
                 _month_start(year, half_month),
                 span(half_month, 6),
                 F.concat_ws(
                     " ",
-                    F.when(half == 1, F.lit("первое")).otherwise(F.lit("второе")),
+                    F.when(value("half") == 1, F.lit("первое")).otherwise(F.lit("второе")),
                     F.lit("полугодие"),
                     year_text,
                 ),

@@ -21,10 +21,9 @@ MONTH_PATTERN = (
 
 # --- Fixed values: quarter words, roman numerals, spelled numbers.
 QUARTER_WORDS = (("перв", 1), ("втор", 2), ("трет", 3), ("четверт", 4), ("четвёрт", 4))
-ROMAN_QUARTERS = (("i", 1), ("ii", 2), ("iii", 3), ("iv", 4))
+ROMAN_QUARTERS = ("i", "ii", "iii", "iv")
 SPELLED_NUMBERS = (
-    ("один", 1), ("два", 2), ("три", 3), ("четыре", 4), ("пять", 5),
-    ("шесть", 6), ("семь", 7), ("восемь", 8), ("девять", 9), ("десять", 10),
+    "один", "два", "три", "четыре", "пять", "шесть", "семь", "восемь", "девять", "десять",
 )
 
 # --- Fixed values: money units.

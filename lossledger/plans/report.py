@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.dates import period_bounds
+from ..functions.dates import with_period
 from ..functions.predicates import all_of, compare, where
 from ..operators import aggregates, joins, projection, windows
 from ..sources.lookup import row_limit
@@ -16,8 +16,7 @@ _MONEY_FUNCTIONS = ("sum",)
 
 def resolve_period(spark: SparkSession, text: str):
     """``(start, end, label, kind)`` of a period phrase, or None."""
-    row = spark.createDataFrame([(text,)], "t string").select(period_bounds(F.col("t")).alias("p")).first()
-    return row["p"]
+    return with_period(spark.range(1).select(F.lit(text).alias("text")), "text", "p").first()["p"]
 
 
 def _period_conditions(spark: SparkSession, spec: ReportSpec) -> list[Column]:
