@@ -93,12 +93,16 @@ def with_hits(
         ),
     )
 
-    def hits_in(part: int) -> Column:
+    names = [f"__entries_{part}" for part in range(catalog_parts)]
+    for part, name in enumerate(names):
         rows = entries
         if catalog_parts > 1:
             rows = entries.filter(F.pmod(F.xxhash64("col", "value"), F.lit(catalog_parts)) == part)
+        asked = asked.withColumn(name, _packed(rows))
+
+    def hits_in(name: str) -> Column:
         scored = F.transform(
-            _packed(rows),
+            F.col(name),
             lambda e: F.struct(
                 (-F.round(score(F.col(q), e), 6)).alias("order"),
                 (-e["cnt"]).alias("order_cnt"),
@@ -108,7 +112,7 @@ def with_hits(
         )
         return F.filter(scored, lambda h: h["order"] <= -min_score)
 
-    found = F.concat(*[hits_in(part) for part in range(catalog_parts)])
+    found = F.concat(*[hits_in(name) for name in names])
     in_order = F.transform(
         F.array_sort(found),
         lambda h: F.struct(
@@ -118,7 +122,7 @@ def with_hits(
             (-h["order"]).alias("score"),
         ),
     )
-    return asked.withColumn("hits", in_order).drop(q)
+    return asked.withColumn("hits", in_order).drop(q, *names)
 
 
 def match_phrases(
@@ -152,12 +156,17 @@ def _first(hits: Column, condition=None) -> Column:
 
 
 def _with_best(filters: DataFrame, catalog: DataFrame, min_score: float) -> DataFrame:
-    """Distinct filters with their hits, the best hit in their own column and the best of all."""
-    return with_hits(_asked(filters), "phrase", catalog, min_score).select(
-        "asked_col",
-        "phrase",
-        _first(F.col("hits"), lambda h: h["col"] == F.col("asked_col")).alias("own"),
-        _first(F.col("hits")).alias("best"),
+    """Distinct filters with the best hit in their own column and the best of all.
+
+    The two go through a generator, below which no later filter can be pushed: a filter
+    there would score every phrase once more for each hit it mentions.
+    """
+    own = _first(F.col("hits"), lambda h: h["col"] == F.col("asked_col"))
+    both = F.struct(own.alias("own"), _first(F.col("hits")).alias("best"))
+    return (
+        with_hits(_asked(filters), "phrase", catalog, min_score)
+        .select("asked_col", "phrase", F.explode_outer(F.array(both)).alias("b"))
+        .select("asked_col", "phrase", "b.own", "b.best")
     )
 
 

@@ -39,18 +39,23 @@ def bm25(
     queries: DataFrame,
     query_text: str,
     k: int = fixed.LEXICAL_DEPTH,
+    allowed: Column | None = None,
     k1: float = fixed.BM25_K1,
     b: float = fixed.BM25_B,
 ) -> DataFrame:
     """Top k documents per query by BM25: ``(query_id, doc, score, rank)``.
 
+    ``allowed`` restricts the documents that can be found; the word statistics stay those of
+    the whole collection.
+
     Words outside the queries are dropped before anything is shuffled, counts are combined
     map-side, and the terms of a score are decimals, so a score does not depend on the order
     in which they are added.
     """
-    words = docs.select(doc, tokens(F.col(text)).alias("words")).withColumn(
-        "doc_len", F.size("words")
-    )
+    may_match = F.lit(True) if allowed is None else F.coalesce(allowed, F.lit(False))
+    words = docs.select(
+        doc, tokens(F.col(text)).alias("words"), may_match.alias("allowed")
+    ).withColumn("doc_len", F.size("words"))
     stats = words.agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("avg_len"))
     n_docs, avg_len = stats.select("n").scalar(), stats.select("avg_len").scalar()
 
@@ -59,9 +64,9 @@ def bm25(
     )
     vocabulary = asked.select("term").distinct()
     tf = (
-        words.select(doc, "doc_len", F.explode("words").alias("term"))
+        words.select(doc, "doc_len", "allowed", F.explode("words").alias("term"))
         .join(vocabulary, "term", "left_semi")
-        .groupBy(doc, "doc_len", "term")
+        .groupBy(doc, "doc_len", "allowed", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -71,7 +76,8 @@ def bm25(
         F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / avg_len)
     )
     scored = (
-        tf.join(weights, "term")
+        tf.filter("allowed")
+        .join(weights, "term")
         .groupBy("query_id", doc)
         .agg(F.sum((F.col("idf") * saturation).cast(SCORE)).alias("exact"))
         .select("query_id", doc, F.round(F.col("exact"), 6).cast("double").alias("score"))
