@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -10,29 +10,22 @@ from ..functions import fixed_values as fixed
 from .aggregates import top_k_per_group
 
 
-def _stack(columns: list[str], value) -> Column:
-    return F.explode(
-        F.array(*[F.struct(F.lit(c).alias("col"), value(c)) for c in columns])
-    ).alias("kv")
-
-
 def fill_rates(df: DataFrame, columns: list[str], table: str) -> DataFrame:
     """Percent of non-NULL values of every column, one aggregation, one row per column."""
-    totals = df.agg(F.count(F.lit(1)).alias("__n"), *[F.count(c).alias(c) for c in columns])
-
-    def pct(c: str) -> Column:
-        rate = F.try_divide(F.col(c).cast("double") * 100, F.col("__n").cast("double"))
-        return F.round(F.coalesce(rate, F.lit(0.0)), 2).alias("filled_pct")
-
-    return totals.select(_stack(columns, pct)).select(F.lit(table).alias("tbl"), "kv.*")
+    rows = F.count(F.lit(1)).cast("double")
+    rates = df.agg(*[
+        F.round(F.coalesce(F.try_divide(F.count(c).cast("double") * 100, rows), F.lit(0.0)), 2).alias(c)
+        for c in columns
+    ])
+    return rates.unpivot([], list(columns), "col", "filled_pct").withColumn("tbl", F.lit(table))
 
 
 def approx_cardinality(df: DataFrame, columns: list[str], table: str) -> DataFrame:
     """Approximate distinct count per column and the high-cardinality flag, one pass."""
     sketches = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns])
     return (
-        sketches.select(_stack(columns, lambda c: F.col(c).alias("distinct_approx")))
-        .select(F.lit(table).alias("tbl"), "kv.*")
+        sketches.unpivot([], list(columns), "col", "distinct_approx")
+        .withColumn("tbl", F.lit(table))
         .withColumn("high_card", F.col("distinct_approx") > fixed.HIGH_CARDINALITY)
     )
 
@@ -40,8 +33,8 @@ def approx_cardinality(df: DataFrame, columns: list[str], table: str) -> DataFra
 def value_counts(df: DataFrame, columns: list[str], table: str) -> DataFrame:
     """Rows per (column, value) for many columns with one shuffle."""
     return (
-        df.select(_stack(columns, lambda c: F.col(c).cast("string").alias("value")))
-        .select("kv.*")
+        df.select(*[F.col(c).cast("string") for c in columns])
+        .unpivot([], list(columns), "col", "value")
         .filter(F.col("value").isNotNull())
         .groupBy("col", "value")
         .agg(F.count(F.lit(1)).alias("cnt"))

@@ -44,15 +44,9 @@ def categories(df: DataFrame, columns: list[str], amount: str, top: int = 5) ->
 
     The columns are unpivoted so that one shuffle serves all of them.
     """
-    long = df.select(
-        F.col(amount),
-        F.explode(
-            F.array(*[
-                F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("value"))
-                for c in columns
-            ])
-        ).alias("kv"),
-    ).select("kv.col", "kv.value", amount)
+    long = df.select(amount, *[F.col(c).cast("string") for c in columns]).unpivot(
+        [amount], list(columns), "col", "value"
+    )
     grouped = (
         long.filter(F.col("value").isNotNull())
         .groupBy("col", "value")
@@ -200,30 +194,24 @@ def best_distribution(
             return 2
         return 1 if "status" in name or "статус" in name else 0
 
+    order = {c: (hint(c.lower()), i) for i, c in enumerate(columns)}
     counted = (
-        df.select(
-            F.explode(
-                F.array(*[
-                    F.struct(
-                        F.lit(i).alias("position"),
-                        F.lit(hint(c.lower())).alias("hint"),
-                        F.lit(c).alias("col"),
-                        F.col(c).cast("string").alias("value"),
-                    )
-                    for i, c in enumerate(columns)
-                ])
-            ).alias("kv")
-        )
-        .select("kv.*")
+        df.select(*[F.col(c).cast("string") for c in columns])
+        .unpivot([], list(columns), "col", "value")
         .filter(F.col("value").isNotNull())
-        .groupBy("position", "hint", "col", "value")
+        .groupBy("col", "value")
         .agg(F.count(F.lit(1)).alias("cnt"))
     )
+
+    def ranked(i: int):
+        named = [F.when(F.col("col") == c, F.lit(order[c][i])) for c in columns]
+        return F.coalesce(*named)
+
     chosen = (
-        counted.groupBy("col", "hint", "position")
+        counted.groupBy("col")
         .agg(F.count(F.lit(1)).alias("n_values"))
         .filter(F.col("n_values").between(low, high))
-        .orderBy(F.desc("hint"), F.asc("n_values"), F.asc("position"))
+        .orderBy(ranked(0).desc(), F.asc("n_values"), ranked(1).asc())
         .limit(1)
         .select("col")
     )
