@@ -12,9 +12,17 @@ from pyspark.sql.types import StringType
 from . import fixed_values as fixed
 
 
+BLANKS = (
+    " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680"
+    + "".join(chr(code) for code in range(0x2000, 0x200B))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
+BLANK_RUN = f"[{BLANKS}]+"
+
+
 def trim_blank(c: Column) -> Column:
     """Strip every kind of white space at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -44,7 +52,7 @@ def canonical_id(c: Column) -> Column:
 
 def norm(c: Column) -> Column:
     """Lower case, single blanks."""
-    return F.regexp_replace(F.lower(trim_blank(c)), r"(?U)\s+", " ")
+    return F.trim(F.regexp_replace(F.lower(c), BLANK_RUN, " "))
 
 
 def tight(c: Column) -> Column:
@@ -94,50 +102,59 @@ def logistic(c: Column) -> Column:
 # --- repeated passages -----------------------------------------------------
 
 
+def _let(value: Column, use) -> Column:
+    """Evaluate ``value`` once for an expression that mentions it several times."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _without_repeats(items: Column) -> Column:
     """Drop an element equal, after normalising, to the one before; blanks always stay."""
-    previous = F.concat(F.array(F.lit(None).cast("string")), items)
 
-    def keep(item: Column, before: Column) -> Column:
-        same = F.coalesce(norm(item) == norm(before), F.lit(False))
-        return F.when((norm(item) == "") | ~same, item)
+    def kept(keys: Column) -> Column:
+        return F.filter(
+            items,
+            lambda _, i: (i == 0) | (F.get(keys, i) == "") | (F.get(keys, i) != F.get(keys, i - 1)),
+        )
 
-    return F.array_compact(F.zip_with(items, previous, keep))
+    return _let(F.transform(items, norm), kept)
 
 
-def collapse_neighbours(text: Column) -> Column:
+def collapse_neighbours(df: DataFrame, text: str, out: str) -> DataFrame:
     """Collapse repeated neighbour lines, then repeated neighbour sentences in a line.
 
-    Returns ``struct(text, removed)``.
+    Adds ``out`` and the number of collapsed passages ``out_removed``.
     """
-    lines = F.split(text, "\n", -1)
-    kept = _without_repeats(lines)
-    sentence_end = r"(?U)(?<=[.!?])\s+"
-
-    def sentences(line: Column) -> Column:
-        return F.split(line, sentence_end, -1)
-
-    def is_blank(line: Column) -> Column:
-        return trim_blank(line) == ""
+    lines, kept, cleaned = "__lines", "__kept", "__cleaned"
+    sentence_end = rf"(?<=[.!?]){BLANK_RUN}"
+
+    def clean(line: Column) -> Column:
+        def collapsed(sentences: Column) -> Column:
+            return _let(
+                _without_repeats(sentences),
+                lambda rest: F.struct(
+                    F.array_join(rest, " ").alias("line"),
+                    (F.size(sentences) - F.size(rest)).alias("removed"),
+                ),
+            )
+
+        untouched = F.struct(line.alias("line"), F.lit(0).alias("removed"))
+        return F.when(trim_blank(line) == "", untouched).otherwise(
+            _let(F.split(line, sentence_end, -1), collapsed)
+        )
 
-    cleaned = F.transform(
-        kept,
-        lambda line: F.when(is_blank(line), line).otherwise(
-            F.array_join(_without_repeats(sentences(line)), " ")
-        ),
+    # Each step is a column of its own that later steps mention more than once.
+    staged = (
+        df.withColumn(lines, F.split(F.col(text), "\n", -1))
+        .withColumn(kept, _without_repeats(F.col(lines)))
+        .withColumn(cleaned, F.transform(kept, clean))
     )
     removed_sentences = F.aggregate(
-        kept,
-        F.lit(0),
-        lambda total, line: total
-        + F.when(is_blank(line), 0).otherwise(
-            F.size(sentences(line)) - F.size(_without_repeats(sentences(line)))
-        ),
-    )
-    return F.struct(
-        F.array_join(cleaned, "\n").alias("text"),
-        (F.size(lines) - F.size(kept) + removed_sentences).alias("removed"),
+        F.col(f"{cleaned}.removed"), F.lit(0), lambda total, n: total + n
     )
+    return staged.withColumns({
+        out: F.array_join(F.col(f"{cleaned}.line"), "\n"),
+        f"{out}_removed": F.size(lines) - F.size(kept) + removed_sentences,
+    }).drop(lines, kept, cleaned)
 
 
 LONGEST_CYCLE = 12

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, fixed_values, money
 from ..functions import text as tx
+from ..sources.tables import spread
 from .base import query
 
 
@@ -105,7 +106,7 @@ def period_phrases(v):
         F.concat(F.lit("с января по "), names, F.lit(" "), year),
         F.concat(F.date_format(_day(), "yyyy-MM-dd"), F.lit(" .. "), F.date_format(last, "yyyy-MM-dd")),
     ])
-    phrases = v.orders.select("o_orderkey", phrase.alias("phrase"))
+    phrases = spread(v.orders).select("o_orderkey", phrase.alias("phrase"))
     return dates.with_period(phrases, "phrase", "p").select(
         "o_orderkey", F.col("p.start").alias("period_start"), F.col("p.end").alias("period_end"),
         F.col("p.kind").alias("kind"), F.col("p.label").alias("label"),
@@ -150,7 +151,7 @@ def amount_conditions(v):
     FROM documents""")
 def rare_unicode(v):
     dirty = F.concat("text", F.char(F.lit(8)), F.lit("ᄨ中я"))
-    return v.documents.select("doc_id", F.length(tx.strip_rare_unicode(dirty)).cast("bigint").alias("n"))
+    return v.texts.select("doc_id", F.length(tx.strip_rare_unicode(dirty)).cast("bigint").alias("n"))
 
 
 _NORM = r"trim(regexp_replace(lower(text), '\s+', ' ', 'g'))"
@@ -162,7 +163,7 @@ _NORM = r"trim(regexp_replace(lower(text), '\s+', ' ', 'g'))"
     FROM documents""")
 def normal_forms(v):
     c = F.col("text")
-    return v.documents.select(
+    return v.texts.select(
         "doc_id", tx.norm(c).alias("norm"), tx.tight(c).alias("tight"), F.size(tx.token_set(c)).alias("n_tokens")
     )
 
@@ -173,7 +174,7 @@ def normal_forms(v):
 def token_counts(v):
     # Counted per document first, so a word in every text does not travel once per use.
     per_doc = (
-        v.documents.select("doc_id", F.explode(tx.tokens(F.col("text"))).alias("token"))
+        v.texts.select("doc_id", F.explode(tx.tokens(F.col("text"))).alias("token"))
         .groupBy("token", "doc_id")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -273,14 +274,14 @@ _KEEP = "list_filter({items}, lambda x, i: i = 1 OR " + _N.format("x") + " = ''
            ((SELECT COUNT(*) FROM lines l WHERE l.doc_id = cleaned.doc_id) - COUNT(*) + SUM(dropped))::BIGINT AS removed
     FROM cleaned GROUP BY doc_id""")
 def repeated_neighbours(v):
-    return v.documents.select("doc_id", tx.collapse_neighbours(F.col("text")).alias("c")).select(
-        "doc_id", F.col("c.text").alias("cleaned"), F.col("c.removed").alias("removed")
+    return tx.collapse_neighbours(v.texts.select("doc_id", "text"), "text", "cleaned").select(
+        "doc_id", "cleaned", F.col("cleaned_removed").alias("removed")
     )
 
 
 @query("h17_repeated_cycles")
 def repeated_cycles(v):
-    return v.documents.select("doc_id", tx.collapse_cycles(F.col("text")).alias("cleaned"))
+    return v.texts.select("doc_id", tx.collapse_cycles(F.col("text")).alias("cleaned"))
 
 
 _HEADER = r"^(#+|\d+\.)"
@@ -305,7 +306,7 @@ def repeated_sections(v):
     short = F.regexp_replace("text", r"(^|\n)([^\n]{0,40}\.)\n", "$1# $2\n")
     headed = F.regexp_replace(short, r"(^|\n)Of ", "$11. Of ")
     return tx.drop_repeated_sections(
-        v.documents.select("doc_id", headed.alias("text")), "text", "cleaned"
+        v.texts.select("doc_id", headed.alias("text")), "text", "cleaned"
     ).select("doc_id", "cleaned")
 
 

@@ -62,7 +62,7 @@ _LABEL_QUERIES = "(SELECT item_id AS query_id, text AS query_text FROM benchmark
 @query("i1_bm25", f"""
     WITH {_bm25_sql(_ALL_QUERIES)} SELECT query_id, doc_id, score, {_rank(10).format('lexical')}""")
 def bm25(v):
-    return search.bm25(v.documents, "doc_id", "text", _queries(v), "query_text", k=10)
+    return search.bm25(v.texts, "doc_id", "text", _queries(v), "query_text", k=10)
 
 
 _DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda p: p[1]::DOUBLE * p[2]::DOUBLE))"
@@ -110,7 +110,7 @@ _DATED = "(SELECT d.*, strftime(o_orderdate, '%Y-%m-%d') AS day FROM documents d
 def _dated(v):
     """Documents with the entry date of the incident they describe, as text."""
     days = v.orders.select(F.col("o_orderkey").alias("doc_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
-    return v.documents.join(days, "doc_id", "left")
+    return v.texts.join(days, "doc_id", "left")
 
 
 @query("i4_bm25_in_dates", f"""
@@ -134,7 +134,7 @@ def dense_in_dates(v):
 
 
 def _fused(v, k):
-    lexical = search.bm25(v.documents, "doc_id", "text", _label_queries(v), "query_text")
+    lexical = search.bm25(v.texts, "doc_id", "text", _label_queries(v), "query_text")
     vectors = v.embeddings.withColumnRenamed("vec_id", "doc_id")
     dense = search.dense_top_k(vectors, "doc_id", "embedding", search.query_vectors(_centroids(v), "vector"))
     return search.fuse(lexical, dense, "doc_id", k)

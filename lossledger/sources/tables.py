@@ -13,15 +13,32 @@ from pyspark.sql import functions as F
 
 from ..functions.money import MONEY
 
-TABLE_NAMES = (
-    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
-    "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
-)
+# Declared schemas: a scan needs no job of its own to read file footers.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+TABLE_NAMES = tuple(SCHEMAS)
 
 
 def scan(spark: SparkSession, path: str, name: str) -> DataFrame:
     """Full scan of one table by name; projection and filters are pushed into it."""
-    return spark.read.parquet(f"{path}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{path}/{name}.parquet")
 
 
 def scan_table(spark: SparkSession, name: str) -> DataFrame:
@@ -33,15 +50,35 @@ def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {name: scan(spark, path, name) for name in TABLE_NAMES}
 
 
+def spread(scanned: DataFrame) -> DataFrame:
+    """Deal the rows of a scan out to all cores when it has fewer splits than cores.
+
+    For costly work per row on a small input. A large input has more splits than cores and is
+    returned as it is, without a shuffle.
+    """
+    cores = scanned.sparkSession.sparkContext.defaultParallelism
+    if scanned.rdd.getNumPartitions() >= cores:
+        return scanned
+    return scanned.repartition(cores)
+
+
 class Views:
     """Lazy views of the incident data model; a view that is not used is never planned."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path
+        self._scans: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return scan(self.spark, self.path, name)
+        if name not in self._scans:
+            self._scans[name] = scan(self.spark, self.path, name)
+        return self._scans[name]
+
+    @cached_property
+    def texts(self) -> DataFrame:
+        """Documents, for work that takes long per text."""
+        return spread(self.table("documents"))
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLE_NAMES:
