@@ -70,6 +70,15 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(f"({fixed.TOKEN_PATTERN})"), F.lit(1))
 
 
+def one_per_row(df: DataFrame, values: Column, name: str, keep: list[str]) -> DataFrame:
+    """One row per array element, next to the kept columns.
+
+    The outer form with a filter behind it: for the inner form Spark would add a filter on the
+    array in front and compute the array a second time.
+    """
+    return df.select(*keep, F.explode_outer(values).alias(name)).filter(F.col(name).isNotNull())
+
+
 # --- joining and cutting ---------------------------------------------------
 
 

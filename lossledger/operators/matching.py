@@ -255,12 +255,8 @@ def ground_texts(
     Of the three best matches of a phrase, a code needs only the minimum score but must
     begin the value; any other phrase needs 0.85.
     """
-    phrases = texts.select(
-        key,
-        F.explode(
-            tx.request_phrases(tx.expand_abbreviations(F.col(text), abbreviations or {}), word_pattern)
-        ).alias("phrase"),
-    )
+    request = tx.expand_abbreviations(F.col(text), abbreviations or {})
+    phrases = tx.one_per_row(texts, tx.request_phrases(request, word_pattern), "phrase", [key])
     code = tx.is_code(F.col("phrase"))
     near = with_hits(phrases.select("phrase").distinct(), "phrase", catalog).select(
         "phrase",
@@ -273,8 +269,7 @@ def ground_texts(
     )
     per_text = (
         phrases.join(near.select("phrase", sure.alias("sure")), "phrase")
-        .select(key, "phrase", F.explode_outer("sure").alias("h"))
-        .filter(F.col("h").isNotNull())
+        .transform(tx.one_per_row, F.col("sure"), "h", [key, "phrase"])
         .select(key, "phrase", "h.col", "h.value", "h.cnt", F.round("h.score", 3).alias("score"))
     )
     order = [F.desc("score"), F.desc("cnt"), F.asc("col"), F.asc("value"), F.asc("phrase")]

@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
-from ..functions.text import tokens
+from ..functions.text import one_per_row, tokens
 
-SCORE = "decimal(20,10)"
+# Scores are added as whole millionths.
+MILLION = 1_000_000
 MAX_QUERY_VECTORS = 1_000
 
 
@@ -49,8 +50,8 @@ def bm25(
     the whole collection.
 
     Words outside the queries are dropped before anything is shuffled, counts are combined
-    map-side, and the terms of a score are decimals, so a score does not depend on the order
-    in which they are added.
+    map-side, and the parts of a score are whole millionths, so a score does not depend on
+    the order in which they are added.
     """
     may_match = F.lit(True) if allowed is None else F.coalesce(allowed, F.lit(False))
     words = docs.select(
@@ -59,28 +60,28 @@ def bm25(
     stats = words.agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("avg_len"))
     n_docs, avg_len = stats.select("n").scalar(), stats.select("avg_len").scalar()
 
-    asked = queries.select(
-        "query_id", F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term")
-    )
+    asked = one_per_row(queries, F.array_distinct(tokens(F.col(query_text))), "term", ["query_id"])
     vocabulary = asked.select("term").distinct()
     tf = (
-        words.select(doc, "doc_len", "allowed", F.explode("words").alias("term"))
+        one_per_row(words, F.col("words"), "term", [doc, "doc_len", "allowed"])
         .join(vocabulary, "term", "left_semi")
         .groupBy(doc, "doc_len", "allowed", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # Mentioning tf keeps both uses of the counts one and the same shuffle.
+    df = tf.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = asked.join(df.select("term", idf.alias("idf")), "term")
+    weights = df.select("term", idf.alias("idf"))
     saturation = F.col("tf") * (k1 + 1) / (
         F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / avg_len)
     )
     scored = (
         tf.filter("allowed")
         .join(weights, "term")
+        .join(asked, "term")
         .groupBy("query_id", doc)
-        .agg(F.sum((F.col("idf") * saturation).cast(SCORE)).alias("exact"))
-        .select("query_id", doc, F.round(F.col("exact"), 6).cast("double").alias("score"))
+        .agg(F.sum(F.round(F.col("idf") * saturation * MILLION).cast("bigint")).alias("points"))
+        .select("query_id", doc, (F.col("points") / F.lit(float(MILLION))).alias("score"))
     )
     return _ranked(scored, doc, k)
 

@@ -141,9 +141,10 @@ def amount_conditions(v):
         " ", F.lit("Сумма"), word(0), t, F.lit("тыс и"), word(1), F.concat(t, F.lit(",5")), F.lit("млн, а также"),
         word(2), t, F.lit("млрд"),
     )
-    return v.orders.select(
-        "o_orderkey", F.posexplode(money.amount_conditions(phrase)).alias("n", "c")
-    ).select("o_orderkey", "n", "c.op", "c.value")
+    found = v.orders.select(
+        "o_orderkey", F.posexplode_outer(money.amount_conditions(phrase)).alias("n", "c")
+    )
+    return found.filter(F.col("c").isNotNull()).select("o_orderkey", "n", "c.op", "c.value")
 
 
 @query("h6_rare_unicode", r"""
@@ -174,7 +175,7 @@ def normal_forms(v):
 def token_counts(v):
     # Counted per document first, so a word in every text does not travel once per use.
     per_doc = (
-        v.texts.select("doc_id", F.explode(tx.tokens(F.col("text"))).alias("token"))
+        tx.one_per_row(v.texts, tx.tokens(F.col("text")), "token", ["doc_id"])
         .groupBy("token", "doc_id")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -322,11 +323,9 @@ def codes_and_quotes(v):
         _key() + 100, F.lit(" с типом «"), F.col("o_orderpriority"), F.lit("» и XП12"),
     )
     found = v.orders.select("o_orderkey", text.alias("text"))
-    codes = found.select("o_orderkey", F.lit("code").alias("kind"), F.explode(tx.codes_in(F.col("text"))).alias("value"))
-    quotes = found.select(
-        "o_orderkey", F.lit("quoted").alias("kind"), F.explode(tx.quoted_in(F.col("text"))).alias("value")
-    )
-    return codes.unionByName(quotes)
+    codes = tx.one_per_row(found, tx.codes_in(F.col("text")), "value", ["o_orderkey"])
+    quotes = tx.one_per_row(found, tx.quoted_in(F.col("text")), "value", ["o_orderkey"])
+    return codes.withColumn("kind", F.lit("code")).unionByName(quotes.withColumn("kind", F.lit("quoted")))
 
 
 @query("h20_ending_variants", """
@@ -337,4 +336,4 @@ def codes_and_quotes(v):
         ELSE ['банк'] END) AS variant FROM orders""")
 def ending_variants(v):
     word = _choose(_key(), [F.lit("Северо-Горному"), F.lit("обращениям"), F.lit("банк")])
-    return v.orders.select("o_orderkey", F.explode(tx.ending_variants(word)).alias("variant"))
+    return tx.one_per_row(v.orders, tx.ending_variants(word), "variant", ["o_orderkey"])

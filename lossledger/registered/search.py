@@ -47,7 +47,7 @@ def _bm25_sql(queries: str, allowed: str = "TRUE", docs: str = "documents") -> s
            WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
     idf AS (SELECT term, ln(1 + (n - COUNT(*) + 0.5::DOUBLE) / (COUNT(*) + 0.5::DOUBLE)) AS idf FROM tf, stats GROUP BY term, n),
     lexical AS (
-        SELECT query_id, doc_id, ROUND(SUM(CAST(idf * (tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * doc_len / avg_len))) AS DECIMAL(20,10))), 6)::DOUBLE AS score
+        SELECT query_id, doc_id, SUM(CAST(ROUND(idf * (tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * doc_len / avg_len))) * 1000000) AS BIGINT))::DOUBLE / 1000000 AS score
         FROM tf JOIN asked USING (term) JOIN idf USING (term), stats WHERE allowed GROUP BY 1, 2)"""
 
 
