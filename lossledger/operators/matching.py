@@ -60,7 +60,7 @@ def score(q: Column, e: Column) -> Column:
 
 def _packed(entries: DataFrame) -> Column:
     """All entries as one array value; refused, not cut, when there are too many."""
-    packed = entries.agg(
+    packed = entries.limit(MAX_ENTRIES + 1).agg(
         F.collect_list(F.struct("col", "value", "cnt", "norm", "tight", "tokens")).alias("a")
     )
     return packed.select(

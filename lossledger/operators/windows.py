@@ -18,6 +18,19 @@ def _ordered(column: str, descending: bool) -> Column:
     return F.col(column).desc_nulls_last() if descending else F.col(column).asc_nulls_last()
 
 
+def _with_ranks(df: DataFrame, ranks: DataFrame, keys: list[str], rank_col: str) -> DataFrame:
+    """Join ranks of distinct (group, value) pairs back to the rows; NULL matches NULL.
+
+    There is one row per pair on the side of the ranks, so a value that fills the table is
+    split by the adaptive skew handling, or the ranks are small enough to be broadcast.
+    """
+    side = ranks.select(*[F.col(c).alias(f"__{c}") for c in keys], rank_col)
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return df.join(side, same).drop(*[f"__{c}" for c in keys])
+
+
 def rank_top_n(
     df: DataFrame,
     partition_by: list[str],
@@ -31,11 +44,28 @@ def rank_top_n(
     """Rows ranked no lower than ``top_n`` in their group.
 
     The limit is applied in every task before the shuffle, so a hot group costs each task
-    only its own best rows.
+    only its own best rows. Ties of ``rank`` and ``dense_rank`` can be any number of rows, so
+    these rank the distinct values, of which ``top_n`` per group are enough.
     """
-    ties = [F.col(c) for c in tie_break] if method == "row_number" else []
-    w = Window.partitionBy(*(partition_by or [F.lit(1)])).orderBy(_ordered(order_by, descending), *ties)
-    return df.withColumn(rank_col, _METHODS[method]().over(w)).filter(F.col(rank_col) <= top_n)
+    if method not in _METHODS:
+        raise ValueError(f"method {method!r}: use row_number, rank or dense_rank")
+    order = _ordered(order_by, descending)
+    groups = partition_by or [F.lit(1)]
+    if method == "row_number":
+        w = Window.partitionBy(*groups).orderBy(order, *[F.col(c) for c in tie_break])
+        return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= top_n)
+
+    w = Window.partitionBy(*groups).orderBy(order)
+    keys = [*partition_by, order_by]
+    values = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    best = values.withColumn("__position", F.row_number().over(w)).filter(F.col("__position") <= top_n)
+    if method == "rank":
+        before = F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1))
+        position = F.coalesce(before, F.lit(0)) + 1
+    else:
+        position = F.col("__position")
+    ranks = best.withColumn(rank_col, position.cast("bigint")).filter(F.col(rank_col) <= top_n)
+    return _with_ranks(df, ranks, keys, rank_col)
 
 
 def _ranged(df: DataFrame, groups: list[str], order: list[Column], pid: str) -> DataFrame:
@@ -112,14 +142,8 @@ def rank_all(
         position = inside + F.col("__rows") + 1
     else:
         position = F.row_number().over(w) + F.col("__values")
-    ranks = shifted.select(
-        *[F.col(c).alias(f"__{c}") for c in [*partition_by, order_by]],
-        position.cast("bigint").alias(rank_col),
-    )
-    same = F.lit(True)
-    for c in [*partition_by, order_by]:
-        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
-    return df.join(ranks, same).drop(*[f"__{c}" for c in [*partition_by, order_by]])
+    ranks = shifted.withColumn(rank_col, position.cast("bigint"))
+    return _with_ranks(df, ranks, [*partition_by, order_by], rank_col)
 
 
 def new_and_resumed(

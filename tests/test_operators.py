@@ -57,6 +57,25 @@ def test_rank_all_with_hot_group(spark, method, descending):
     assert {r["k"]: r["rank"] for r in got.collect()} == brute_rank(rows, method, descending)
 
 
+@pytest.mark.parametrize("method", ["row_number", "rank", "dense_rank"])
+@pytest.mark.parametrize("groups", [["g"], []])
+def test_rank_top_n_with_ties(spark, method, groups):
+    rows = [(k, g if groups else None, v) for k, g, v in skewed_rows()]
+    df = spark.createDataFrame(rows, "k long, g string, v long").repartition(6)
+    got = windows.rank_top_n(df, groups, "v", 36, method, tie_break=("k",))
+    want = {k: r for k, r in brute_rank(rows, method, True).items() if r <= 36}
+    assert {r["k"]: r["rank"] for r in got.collect()} == want
+
+
+def test_catalog_too_large_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(matching, "MAX_ENTRIES", 3)
+    df = spark.createDataFrame([(str(i),) for i in range(5)], "c_name string")
+    values = catalog.build_catalog({"t": (df, ["c_name"])})
+    with pytest.raises(Exception, match="raise catalog_parts"):
+        matching.match_phrases(df, "c_name", values).collect()
+    assert matching.match_phrases(df, "c_name", values, catalog_parts=5).count() == 5
+
+
 def test_rank_all_without_groups(spark):
     rows = [(k, None, v) for k, _, v in skewed_rows()]
     df = spark.createDataFrame([(k, v) for k, _, v in rows], "k long, v long")
