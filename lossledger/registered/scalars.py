@@ -226,12 +226,12 @@ def loose_types(v):
 
 
 @query("h13_joined_parts", """
-    SELECT doc_id, concat_ws(' ', text, CASE WHEN quality = 1 THEN source END) AS joined,
-           concat_ws(chr(10), 'Текст номер ' || doc_id || ': ' || text,
-                     CASE WHEN quality = 1 THEN 'Источник номер ' || doc_id || ': ' || source END) AS numbered
-    FROM documents LEFT JOIN labels USING (doc_id) WHERE regexp_matches(text, '\\S')""")
+    SELECT doc_id, concat_ws(' ', t, s) AS joined,
+           concat_ws(chr(10), 'Текст номер ' || doc_id || ': ' || t, 'Источник номер ' || doc_id || ': ' || s) AS numbered
+    FROM (SELECT doc_id, CASE WHEN regexp_matches(text, '[^\\s]') THEN text END AS t, CASE WHEN quality = 1 THEN source END AS s
+          FROM documents LEFT JOIN labels USING (doc_id))""")
 def joined_parts(v):
-    df = v.documents.join(v.labels, "doc_id", "left").filter(F.col("text").rlike(r"\S"))
+    df = v.documents.join(v.labels, "doc_id", "left")
     source = F.when(F.col("quality") == 1, F.col("source")).otherwise(F.lit("  "))
     return df.select(
         "doc_id",
@@ -257,7 +257,6 @@ def logistic(v):
 
 
 _N = r"trim(regexp_replace(lower({}), '\s+', ' ', 'g'))"
-_KEEP = "list_filter({items}, lambda x, i: i = 1 OR " + _N.format("x") + " = '' OR " + _N.format("x") + " <> " + _N.format("{items}[i - 1]") + ")"
 
 
 @query("h16_repeated_neighbours", rf"""
@@ -285,9 +284,6 @@ def repeated_cycles(v):
     return v.texts.select("doc_id", tx.collapse_cycles(F.col("text")).alias("cleaned"))
 
 
-_HEADER = r"^(#+|\d+\.)"
-
-
 @query("h18_repeated_sections", r"""
     WITH headed AS (
         SELECT doc_id, regexp_replace(regexp_replace(text, '(^|\n)([^\n]{0,40}\.)\n', '\1# \2' || chr(10), 'g'), '(^|\n)Of ', '\11. Of ', 'g') AS text
