@@ -12,9 +12,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     Only a local master without a folder gets a temporary one.
     """
-    context = df.sparkSession.sparkContext
+    session = df.sparkSession
+    context = session.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
+        folder = session.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not context.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")

@@ -83,6 +83,17 @@ def test_rank_all_without_groups(spark):
     assert {r["k"]: r["rank"] for r in got.collect()} == brute_rank(rows, "row_number", True)
 
 
+def test_checkpoint_goes_to_the_named_folder(spark, tmp_path):
+    from lossledger.operators.lineage import cut_lineage
+
+    # The setting itself can only be given at the start of a session, which then sets this.
+    spark.sparkContext.setCheckpointDir(str(tmp_path / "shared"))
+    for _ in range(2):
+        assert cut_lineage(spark.range(5)).count() == 5
+    (folder,) = (tmp_path / "shared").iterdir()
+    assert len(list(folder.iterdir())) == 2
+
+
 def test_new_and_resumed(spark):
     rows = [("new", "2026-02-01"), ("old", "2025-06-01"), ("old", "2026-01-15"), ("steady", "2025-12-20"),
             ("steady", "2026-01-10"), ("gone", "2024-01-01")]
