@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from . import decontaminate, quality
 from .common import stored
 
 QUERIES: dict = {}
@@ -31,3 +31,48 @@ def op7_quality_rules(spark: SparkSession, path: str) -> DataFrame:
         F.col(f"{quality.MEASURES}.{name}").alias(name) for name in (
             "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
             "class_distance", "word_distance")))
+
+
+@registered
+def op2_decontamination(spark: SparkSession, path: str) -> DataFrame:
+    """Words of each document inside an occurrence of a benchmark window, and the items found."""
+    found = decontaminate.marked(
+        table(spark, path, "documents").select("doc_id", "text"), table(spark, path, "benchmark"))
+    items = F.col(f"{decontaminate.DECISION}items")
+    return found.select(
+        "doc_id",
+        F.col(f"{decontaminate.DECISION}n_words").alias("n_words"),
+        decontaminate.hit_words().alias("n_hit"),
+        F.size(items).cast("bigint").alias("n_items"),
+        F.sha2(F.array_join(F.sort_array(items), ","), 256).alias("items_sha256"),
+        decontaminate.contaminated().alias("contaminated"),
+    )
+
+
+SQL["op2_decontamination"] = r"""
+WITH doc AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), item AS (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), windows AS (
+    SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[k:k + least(13, len(w)) - 1], ' ') AS words
+    FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS k FROM item WHERE len(w) > 0)
+), spots AS (
+    SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS words
+    FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k
+          FROM doc, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)
+), hits AS (
+    SELECT doc_id, k, n, item_id FROM spots JOIN windows USING (n, words)
+), words AS (
+    SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM hits) GROUP BY doc_id
+), items AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
+    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hits) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
+FROM doc d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
