@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality
+from . import decontaminate, neardup, quality
 from .common import stored
 
 QUERIES: dict = {}
@@ -76,3 +76,10 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
 FROM doc d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+
+@registered
+def op9_minhash_groups(spark: SparkSession, path: str) -> DataFrame:
+    """Groups of documents whose three-word shingle sets are similar to 0.85 or more."""
+    found = neardup.groups(table(spark, path, "documents").select("doc_id", "text"), width=3, threshold=85)
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
