@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, neardup, quality
+from . import decontaminate, neardup, quality, substrings
 from .common import stored
 
 QUERIES: dict = {}
@@ -83,3 +83,28 @@ def op9_minhash_groups(spark: SparkSession, path: str) -> DataFrame:
     """Groups of documents whose three-word shingle sets are similar to 0.85 or more."""
     found = neardup.groups(table(spark, path, "documents").select("doc_id", "text"), width=3, threshold=85)
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+@registered
+def op3_substring_dedup(spark: SparkSession, path: str) -> DataFrame:
+    """Words left in each document when every 20-word window stays only where it stands first."""
+    return substrings.digests(table(spark, path, "documents").select("doc_id", "text"))
+
+
+SQL["op3_substring_dedup"] = r"""
+WITH doc AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), spots AS (
+    SELECT doc_id, k, array_to_string(w[k:k + 19], ' ') AS words
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS k FROM doc WHERE len(w) >= 20)
+), later AS (
+    SELECT doc_id, k FROM spots
+    QUALIFY row_number() OVER (PARTITION BY words ORDER BY doc_id, k) > 1
+), gone AS (
+    SELECT doc_id, list(DISTINCT p) AS places FROM (SELECT doc_id, unnest(range(k, k + 20)) AS p FROM later) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(places), 0) AS BIGINT) AS n_removed,
+       sha256(CASE WHEN places IS NULL THEN array_to_string(w, ' ') ELSE array_to_string(
+           [w[p] FOR p IN list_sort(list_filter(range(1, len(w) + 1), lambda p: NOT list_contains(places, p)))], ' ') END) AS kept_sha256
+FROM doc LEFT JOIN gone USING (doc_id)
+"""
