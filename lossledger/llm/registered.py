@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, neardup, quality, substrings
+from . import decontaminate, neardup, packing, quality, substrings
 from .common import stored
 
 QUERIES: dict = {}
@@ -108,3 +109,10 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(places), 0)
            [w[p] FOR p IN list_sort(list_filter(range(1, len(w) + 1), lambda p: NOT list_contains(places, p)))], ' ') END) AS kept_sha256
 FROM doc LEFT JOIN gone USING (doc_id)
 """
+
+
+@registered
+def op5_best_fit_packing(spark: SparkSession, path: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens."""
+    docs = table(spark, path, "documents").select("doc_id", "text")
+    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), 2048)
