@@ -19,6 +19,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 # Frequent function words of each language, lower case.
 COMMON_WORDS = {
     "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "ist"],
@@ -221,6 +223,7 @@ def judged(measures: DataFrame, references: dict, limits: Limits = Limits(), lan
 
 def passing(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The documents that the rules keep, columns unchanged."""
-    measures = measured(docs)
+    # Written once: the measures serve the references and the verdict, and are worked out once.
+    measures = stored(measured(docs))
     references = language_references(measures)
-    return judged(measures, references, limits).filter(_m("kept")).drop(MEASURES)
+    return judged(measures, references, limits).filter(_m("kept")).select(*docs.columns)
