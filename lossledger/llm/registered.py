@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, neardup, packing, quality, substrings
-from .common import stored
+from . import decontaminate, maxent, neardup, packing, quality, substrings
+from .common import id_remainder, stored
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -116,3 +116,10 @@ def op5_best_fit_packing(spark: SparkSession, path: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""
     docs = table(spark, path, "documents").select("doc_id", "text")
     return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), 2048)
+
+
+@registered
+def op10_lm_scores(spark: SparkSession, path: str) -> DataFrame:
+    """Unigram and maximum-entropy log10 probabilities of every text."""
+    held_out = id_remainder("doc_id", 7) == 2
+    return maxent.scores(table(spark, path, "documents").select("doc_id", "text"), ~held_out, held_out)
