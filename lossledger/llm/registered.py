@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, maxent, neardup, packing, quality, substrings
+from . import decontaminate, maxent, neardup, packing, preferences, quality, substrings, token_counts
 from .common import id_remainder, stored
 
 QUERIES: dict = {}
@@ -123,3 +123,46 @@ def op10_lm_scores(spark: SparkSession, path: str) -> DataFrame:
     """Unigram and maximum-entropy log10 probabilities of every text."""
     held_out = id_remainder("doc_id", 7) == 2
     return maxent.scores(table(spark, path, "documents").select("doc_id", "text"), ~held_out, held_out)
+
+
+@registered
+def op1_token_counts(spark: SparkSession, path: str) -> DataFrame:
+    """Tokens of every whole text by a unigram search over a public vocabulary."""
+    docs = table(spark, path, "documents").select("doc_id", "text")
+    return token_counts.counted(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@registered
+def op8_preference_formatting(spark: SparkSession, path: str) -> DataFrame:
+    """Every conversation against its begin with a neighbour's answer: prompt, completions and masks."""
+    pairs = preferences.formatted(preferences.neighbour_pairs(table(spark, path, "conversations")))
+
+    def spans(mask: str):
+        return F.array_join(F.transform(mask, lambda s: F.concat(s["begin"].cast("string"), F.lit("-"), s["end"].cast("string"))), ",")
+
+    return pairs.select("pair_id", F.col("prefix_turns").cast("bigint").alias("prefix_turns"), "prompt", "chosen_text", "rejected_text",
+                        spans("chosen_mask").alias("chosen_mask"), spans("rejected_mask").alias("rejected_mask"), "usable")
+
+
+SQL["op8_preference_formatting"] = r"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k
+    FROM conversations WHERE conv_id IS NOT NULL
+), answers AS (
+    SELECT conv_id, max(k) AS last, max_by(text, k) AS text FROM turns WHERE role = 'assistant' GROUP BY conv_id
+), pairs AS (
+    SELECT a.conv_id, a.last, a.text AS chosen, b.text AS rejected, a.text = b.text AS same
+    FROM answers a JOIN answers b ON b.conv_id = xor(a.conv_id, 1)
+), prompts AS (
+    SELECT p.conv_id, coalesce(string_agg('<|' || t.role || '|>' || chr(10) || t.text || chr(10), '' ORDER BY t.k), '') AS prompt
+    FROM pairs p LEFT JOIN turns t ON t.conv_id = p.conv_id AND (t.k < p.last OR p.same AND t.k = p.last) GROUP BY p.conv_id
+)
+SELECT conv_id AS pair_id, CAST(last - CASE WHEN same THEN 0 ELSE 1 END AS BIGINT) AS prefix_turns, prompt,
+       CASE WHEN same THEN '' ELSE '<|assistant|>' || chr(10) || chosen || chr(10) END AS chosen_text,
+       CASE WHEN same THEN '' ELSE '<|assistant|>' || chr(10) || rejected || chr(10) END AS rejected_text,
+       CASE WHEN same OR chosen = '' THEN '' ELSE '14-' || CAST(14 + length(chosen) AS VARCHAR) END AS chosen_mask,
+       CASE WHEN same OR rejected = '' THEN '' ELSE '14-' || CAST(14 + length(rejected) AS VARCHAR) END AS rejected_mask,
+       NOT same AND chosen <> '' AND rejected <> '' AS usable
+FROM pairs JOIN prompts USING (conv_id)
+"""
