@@ -6,7 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, maxent, neardup, packing, preferences, quality, substrings, token_counts
+from . import (
+    decontaminate,
+    language,
+    maxent,
+    neardup,
+    packing,
+    preferences,
+    quality,
+    substrings,
+    token_counts,
+    toxicity,
+)
 from .common import id_remainder, stored
 
 QUERIES: dict = {}
@@ -166,3 +177,22 @@ SELECT conv_id AS pair_id, CAST(last - CASE WHEN same THEN 0 ELSE 1 END AS BIGIN
        NOT same AND chosen <> '' AND rejected <> '' AS usable
 FROM pairs JOIN prompts USING (conv_id)
 """
+
+
+@registered
+def op6_language_id(spark: SparkSession, path: str) -> DataFrame:
+    """Language of every whole text by character models."""
+    docs = table(spark, path, "documents").select("doc_id", "text", "lang")
+    held_out = id_remainder("doc_id", 4) == 2
+    found = language.identified(docs, language.trained(docs, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
+@registered
+def op4_toxicity(spark: SparkSession, path: str) -> DataFrame:
+    """Toxicity of every whole text by a convolutional classifier."""
+    docs = table(spark, path, "documents").select("doc_id", "text")
+    held_out = id_remainder("doc_id", 5) == 0
+    network = toxicity.fitted(docs, table(spark, path, "labels"), ~held_out)
+    return toxicity.scored(docs, network).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
