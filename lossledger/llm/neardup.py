@@ -7,11 +7,10 @@
    size cost one row each.
 3. Documents that share a bucket are candidates. Buckets are never expanded into all pairs:
    a. each member is compared with one leader, the member that shares most buckets with others;
-   b. members of a bucket that are still in different components meet in blocks of bounded size,
-      where signatures are compared by bit counts, corrected for chance collisions. First each
-      member proposes its best partner in every other component, then, among what is still apart,
-      every pair whose estimate passes. No pair of a bucket is left out.
-4. Every proposed pair is confirmed on the full sets; confirmed links join components by minimum label
+   b. buckets with the same leader are taken together; members that are still in different
+      components meet in blocks of bounded size, where signatures are compared by bit counts,
+      corrected for chance collisions. No pair of a bucket is left out.
+4. Every candidate is confirmed on the full sets; confirmed links join components by minimum label
    propagation with pointer jumping. Links, labels and buckets stay distributed.
 
 A pair at the threshold shares a bucket with probability ``1 - (1 - t**ROWS)**BANDS`` (over 1 - 1e-8
@@ -27,6 +26,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,8 +36,8 @@ from .common import LOWER, U64, chunks, hashed, list_array, mixed, signed, store
 ROWS, BANDS, BITS = 5, 32, 4
 PERMUTATIONS = ROWS * BANDS
 SLACK = 0.15
-#: Members of a bucket that meet at a time.
-BLOCK = 1024
+#: Members that meet at a time, and their shingles; a longer document has a block of its own.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 
 _random = np.random.default_rng(20)
 _FACTORS = _random.integers(0, 2**64, PERMUTATIONS, dtype=np.uint64) | U64(1)
@@ -197,8 +197,11 @@ def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     )
 
 
-def leader_pairs(buckets: DataFrame) -> DataFrame:
-    """Every member of a bucket with the member that shares most buckets with others."""
+def gathered(buckets: DataFrame) -> DataFrame:
+    """(leader, node): every bucket's members under the one that shares most buckets with others.
+
+    Buckets with the same leader become one, so a group that meets in many bands is looked at once.
+    """
     sizes = buckets.groupBy("key").agg(F.count("*").alias("size"))
     weight = buckets.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("weight"))
     # Ties go to the smaller node; one maximum of a pair, combined in every task.
@@ -206,70 +209,75 @@ def leader_pairs(buckets: DataFrame) -> DataFrame:
         buckets.join(weight, "node").groupBy("key")
         .agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("leader"))
     )
-    return (
-        buckets.join(leaders, "key").filter("node <> leader")
-        .select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-    )
+    return buckets.join(leaders, "key").select("leader", "node").distinct()
 
 
-def apart(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of the buckets that hold several components, in blocks that meet: (key, x, y, side, ...).
+def apart(gathering: DataFrame, labels: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Members of gatherings that hold several components, dealt to blocks (leader, x, y) that meet.
 
-    ``side`` 0: members outside the component that is the bucket's largest label; 1: all members.
+    ``side`` 0: members outside the gathering's largest component, 1: all members. Every pair of
+    members in different components meets in one block, which is bounded in rows and in shingles.
+    """
+    now = gathering.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")).join(sizes, "node")
+    per = now.groupBy("leader", "component").agg(F.count("*").alias("rows"), F.sum("n").alias("words"))
+    main = per.groupBy("leader").agg(
+        F.max_by("component", F.struct("rows", "component")).alias("main"), F.sum("rows").alias("rows"), F.sum("words").alias("words"),
+        F.max("rows").alias("main_rows"), F.max_by("words", F.struct("rows", "component")).alias("main_words"))
+
+    def blocks(rows: Column, words: Column) -> Column:
+        return F.ceil(F.greatest(rows / BLOCK, words / BLOCK_SHINGLES)).cast("int")
+
+    main = main.filter("main_rows < rows").select(
+        "leader", "main", blocks(F.col("rows"), F.col("words")).alias("many"),
+        blocks(F.col("rows") - F.col("main_rows"), F.col("words") - F.col("main_words")).alias("few"))
+    split = now.join(main, "leader").withColumn("place", F.xxhash64("node"))
+    columns = ["leader", "node", "component"]
+    every = split.select(*columns, F.pmod("place", "many").cast("int").alias("y"), F.explode(F.sequence(F.lit(0), F.col("few") - 1)).alias("x"), F.lit(1).alias("side"))
+    outside = split.filter("component <> main").select(
+        *columns, F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("y"), F.pmod("place", "few").cast("int").alias("x"), F.lit(0).alias("side"))
+    return every.unionByName(outside)
+
+
+def block_links(blocks: DataFrame, described_nodes: DataFrame, threshold: int) -> DataFrame:
+    """Confirmed links between different components of a block, one for each two components it joins.
+
+    Bit counts choose the candidates; their full sets decide. Components that a link joins are one from
+    then on, so a block gives fewer links than it has members.
     """
-    now = buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    per = now.groupBy("key", "component").agg(F.count("*").alias("n"))
-    main = per.groupBy("key").agg(
-        F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("size"), F.max("n").alias("largest"))
-    split = now.join(main.filter("largest < size"), "key")
-    blocks_all = F.ceil(F.col("size") / BLOCK).cast("int")
-    blocks_few = F.ceil((F.col("size") - F.col("largest")) / BLOCK).cast("int")
-    place = F.xxhash64("node")
-    every = split.select("key", "node", "component", F.pmod(place, blocks_all).cast("int").alias("y"),
-                         F.explode(F.sequence(F.lit(0), blocks_few - 1)).alias("x"), F.lit(1).alias("side"))
-    few = split.filter("component <> main").select(
-        "key", "node", "component", F.explode(F.sequence(F.lit(0), blocks_all - 1)).alias("y"),
-        F.pmod(place, blocks_few).cast("int").alias("x"), F.lit(0).alias("side"))
-    return every.unionByName(few)
-
-
-def block_pairs(blocks: DataFrame, signed_nodes: DataFrame, least: float, best_only: bool) -> DataFrame:
-    """Pairs of different components in a block whose estimate is ``least`` or more."""
-
-    def meet(frame):
+    least = threshold / 100 - SLACK
+
+    def meet(frame: pd.DataFrame) -> pd.DataFrame:
         few, every = frame[frame.side == 0], frame[frame.side == 1]
-        if not len(few) or not len(every):
-            return _no_pairs()
-        every = every.sort_values("component", kind="stable")
-        sig = lambda f: np.stack([np.frombuffer(s, np.uint8) for s in f.sig])
-        estimate = similarity(sig(few), sig(every))
-        theirs = every.component.to_numpy()
-        estimate[few.component.to_numpy()[:, None] == theirs[None, :]] = -1
-        if best_only:
-            begins = np.flatnonzero(np.concatenate([[True], theirs[1:] != theirs[:-1]]))
-            top = np.maximum.reduceat(estimate, begins, axis=1)
-            width = np.diff(np.concatenate([begins, [len(theirs)]]))
-            passing = (estimate == np.repeat(top, width, axis=1)) & (estimate >= least)
-            # Of equal best partners the first is enough here; the rest is for the next round.
-            ahead = np.cumsum(passing, axis=1)
-            start = np.repeat(ahead[:, begins] - passing[:, begins], width, axis=1)
-            passing &= ahead - start == 1
-        else:
-            passing = estimate >= least
-        i, j = np.nonzero(passing)
-        a, b = few.node.to_numpy()[i], every.node.to_numpy()[j]
-        return _pairs(np.minimum(a, b), np.maximum(a, b))
-
-    import pandas as pd
-
-    def _pairs(a, b):
-        return pd.DataFrame({"a": a, "b": b})
-
-    def _no_pairs():
-        return _pairs(np.empty(0, np.int64), np.empty(0, np.int64))
-
-    rows = blocks.join(signed_nodes.select("node", "sig"), "node")
-    return rows.groupBy("key", "x", "y").applyInPandas(meet, "a bigint, b bigint").distinct()
+        found: list[tuple[int, int]] = []
+        if len(few) and len(every):
+            sig = lambda f: np.stack([np.frombuffer(s, np.uint8) for s in f.sig])
+            estimate = similarity(sig(few), sig(every))
+            sets = [np.frombuffer(s, np.int64) for s in every.shingles]
+            size = np.array([len(s) for s in sets])
+            begin = np.cumsum(size) - size
+            known, number = np.unique(np.concatenate(sets), return_inverse=True)
+            mine, theirs = few.component.to_numpy().copy(), every.component.to_numpy().copy()
+            nodes = every.node.to_numpy()
+            for k, (node, shingles) in enumerate(zip(few.node, few.shingles, strict=True)):
+                candidate = (estimate[k] >= least) & (theirs != mine[k])
+                if not candidate.any():
+                    continue
+                own = np.frombuffer(shingles, np.int64)
+                at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                held = np.zeros(len(known), np.int64)
+                held[at[known[at] == own]] = 1
+                common = np.add.reduceat(held[number], begin)
+                linked = candidate & (100 * common >= threshold * (size + len(own) - common))
+                for other in np.unique(theirs[linked]):
+                    found.append((node, nodes[np.flatnonzero(linked & (theirs == other))[0]]))
+                joined = np.unique(theirs[linked])
+                now = mine[k]
+                theirs[np.isin(theirs, joined)] = now
+                mine[np.isin(mine, joined)] = now
+        pairs = np.array(found, np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": pairs.min(1), "b": pairs.max(1)}) if len(pairs) else pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return blocks.join(described_nodes, "node").groupBy("leader", "x", "y").applyInPandas(meet, "a bigint, b bigint")
 
 
 def groups(docs: DataFrame, width: int = 3, threshold: int = 85) -> DataFrame:
@@ -295,11 +303,11 @@ def groups(docs: DataFrame, width: int = 3, threshold: int = 85) -> DataFrame:
     # Two classes may hold the same id (rows that repeat it with another text): one document.
     labels = merged(None, members.select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
                     .filter("a <> b").groupBy("a").agg(F.min("b").alias("b"), F.count("*").alias("c")).filter("c > 1").select("a", "b"))
-    least = threshold / 100 - SLACK
-    labels = merged(labels, confirmed(leader_pairs(buckets), sets, threshold))
-    for best_only in (True, False):
-        pairs = block_pairs(apart(buckets, labels), small, least, best_only)
-        labels = merged(labels, confirmed(pairs, sets, threshold))
+    gathering = stored(gathered(buckets))
+    pairs = gathering.filter("leader <> node").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
+    labels = merged(labels, confirmed(pairs, sets, threshold))
+    blocks = apart(gathering, labels, sets.select("node", (F.length("shingles") / 8).alias("n")))
+    labels = merged(labels, block_links(blocks, small.join(sets, "node"), threshold))
 
     final = members.join(labels, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("component_id"))
     return rows.select("doc_id", F.col("n").alias("n_shingles")).join(final, "doc_id", "left").select(
