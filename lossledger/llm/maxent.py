@@ -104,9 +104,10 @@ class Vocabulary:
         within = np.log10((n + 1) / (self.class_total + self.class_words + 1)[self.cls]) if len(n) else np.empty(0)
         self.within = np.where(self.cls < SINGLE, 0.0, within)
 
-    def class_of(self, word: bytes) -> int:
+    def code_of(self, word: bytes) -> int:
+        """Row of a broadcast word; -1 - class of another."""
         k = self.row.get(word)
-        return int(self.cls[k]) if k is not None else self.single.get(word, zlib.crc32(word) % (CLASSES - SINGLE) + SINGLE)
+        return k if k is not None else -1 - self.single.get(word, zlib.crc32(word) % (CLASSES - SINGLE) + SINGLE)
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
@@ -131,10 +132,11 @@ class Tokens:
 
     def __init__(self, words: Vocabulary):
         self.hashes = word_hashes()
-        self.classes = WordTable(words.class_of)
+        self.codes = WordTable(words.code_of)
+        self.cls = words.cls if len(words.cls) else np.zeros(1, np.int64)
 
-    def of(self, texts: list) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
-        """Words of each text; class, feature rows (tokens x 3) and text number of every token."""
+    def of(self, texts: list) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Every token; code, class, feature rows (tokens x 3) and text number of each."""
         split = [_words(t) for t in texts]
         flat = [w for words in split for w in (*words, END)]
         lengths = np.array([len(w) + 1 for w in split])
@@ -144,8 +146,9 @@ class Tokens:
         one = np.where(place > 0, np.roll(number, 1), U64(1))
         two = np.where(place > 1, np.roll(number, 2), U64(2))
         rows = np.stack([mixed(one), mixed(two ^ U64(0x5851F42D4C957F2D)), mixed(one * U64(0x9E3779B97F4A7C15) + two)], 1) % U64(BUCKETS)
-        cls = np.fromiter(map(self.classes.__getitem__, flat), np.int64, len(flat))
-        return split, cls, rows.astype(np.int64), text
+        code = np.fromiter(map(self.codes.__getitem__, flat), np.int64, len(flat))
+        cls = np.where(code >= 0, self.cls[np.maximum(code, 0)], -1 - code)
+        return flat, code, cls, rows.astype(np.int64), text
 
 
 def softmax_logs(weights: np.ndarray, prior: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -175,7 +178,7 @@ def train(docs: DataFrame, training: Column, words) -> np.ndarray:
             own, count = first.copy(), np.zeros(BUCKETS)
             for batch in batches:
                 for _, texts in chunks(batch, limit=1 << 20):
-                    _, cls, rows, _ = tokens.of(texts)
+                    _, _, cls, rows, _ = tokens.of(texts)
                     for at in range(0, len(cls), STEP):
                         r, c = rows[at : at + STEP], cls[at : at + STEP]
                         error = -np.exp(softmax_logs(own, prior, r))
@@ -213,30 +216,32 @@ def scores(docs: DataFrame, training: Column, held_out: Column) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, w = words.value, weights.value
-        tokens, prior, row = Tokens(vocab), vocab.prior.astype(np.float32), vocab.row.get
+        tokens, prior = Tokens(vocab), vocab.prior.astype(np.float32)
         key = TaskContext.get().partitionId() << 40
         for batch in batches:
             for part, texts in chunks(batch, limit=1 << 20):
-                split, cls, rows, text = tokens.of(texts)
-                model = np.zeros(len(texts))
+                n = len(texts)
+                flat, code, cls, rows, text = tokens.of(texts)
+                model = np.zeros(n)
                 for at in range(0, len(cls), STEP):
                     logs = softmax_logs(w, prior, rows[at : at + STEP])
                     c, t = cls[at : at + STEP], text[at : at + STEP]
-                    model += np.bincount(t, logs[np.arange(len(c)), c], minlength=len(texts))
-                model /= math.log(10)
-                base, n_known, tails = np.zeros(len(texts)), np.zeros(len(texts), np.int64), []
-                for k, own in enumerate(split):
-                    found = [*map(row, own), row(END)]
-                    at = np.array([f for f in found if f is not None], np.int64)
-                    base[k], n_known[k] = vocab.base[at].sum(), len(at)
-                    model[k] += vocab.within[at].sum()
-                    tail = Counter(x for x, f in zip([*own, END], found, strict=True) if f is None)
-                    tails.append([{"word": x, "tf": n} for x, n in tail.items()])
-                n = len(texts)
+                    model += np.bincount(t, logs[np.arange(len(c)), c], minlength=n)
+                inside = np.flatnonzero(code >= 0)
+                at, t = code[inside], text[inside]
+                base = np.bincount(t, vocab.base[at], minlength=n)
+                model = model / math.log(10) + np.bincount(t, vocab.within[at], minlength=n)
+                tails: list[dict] = [{} for _ in texts]
+                for i, t in zip((outside := np.flatnonzero(code < 0)).tolist(), text[outside].tolist(), strict=True):
+                    tails[t][flat[i]] = tails[t].get(flat[i], 0) + 1
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.arange(key, key + n)), part.column("doc_id"), part.column("held_out"),
-                    pa.array([len(x) + 1 for x in split], pa.int64()), pa.array(n_known), pa.array(base), pa.array(model),
-                    pa.array(tails, pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())]))),
+                    pa.array(np.bincount(text, minlength=n)), pa.array(np.bincount(text[inside], minlength=n)), pa.array(base), pa.array(model),
+                    pa.ListArray.from_arrays(
+                        pa.array(np.concatenate([[0], np.cumsum([len(x) for x in tails])]), pa.int32()),
+                        pa.StructArray.from_arrays([
+                            pa.array([x for tail in tails for x in tail], pa.binary()),
+                            pa.array([x for tail in tails for x in tail.values()], pa.int64())], ["word", "tf"])),
                 ], ["key", "doc_id", "held_out", "n_tokens", "n_known", "base", "model", "tail"])
                 key += n
 

@@ -76,7 +76,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
     Equal low bits are counted and corrected for the ``2**-BITS`` that agree by chance.
     """
-    x, y = a.view(U64), b.view(U64)
+    x, y = np.ascontiguousarray(a).view(U64), np.ascontiguousarray(b).view(U64)
     low = U64(0x1111111111111111)
     differing = np.zeros((len(x), len(y)), np.int64)
     for k in range(x.shape[1]):
