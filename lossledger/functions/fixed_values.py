@@ -99,7 +99,6 @@ SPARSE_MONEY_FILLED_PCT = 5.0
 HIGH_CARDINALITY = 800
 CATALOG_VALUES_PER_COLUMN = 500
 DEFAULT_ROW_LIMIT = 100_000
-MAX_ROW_LIMIT = 2_000_000
 MATCH_MIN_SCORE = 0.6
 MATCH_TOP_K = 8
 GROUND_STRONG = 0.85

@@ -52,13 +52,17 @@ def frequent_values(
 
 
 def build_catalog(
-    sources: dict[str, tuple[DataFrame, list[str]]], n: int = fixed.CATALOG_VALUES_PER_COLUMN
+    sources: dict[str, tuple[DataFrame, list[str]]], n: int | None = None
 ) -> DataFrame:
-    """Catalog ``(tbl, col, value, norm, cnt, filled_pct)`` over several tables."""
+    """Catalog ``(tbl, col, value, norm, cnt, filled_pct)`` over several tables.
+
+    All values of the columns; the ``n`` most frequent only where a caller asks for them.
+    """
     parts = []
     for table, (df, columns) in sources.items():
         rates = fill_rates(df, columns, table)
-        parts.append(frequent_values(df, columns, table, n).join(rates, ["tbl", "col"]))
+        values = value_counts(df, columns, table) if n is None else frequent_values(df, columns, table, n)
+        parts.append(values.join(rates, ["tbl", "col"]))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.lookup import row_limit
+from ..functions import fixed_values as fixed
+from ..sources.lookup import limited
 
 
 def sort_ascending(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -21,6 +22,6 @@ def top_n(
     return df.orderBy(key, *[F.col(c) for c in tie_break]).limit(n)
 
 
-def limited(df: DataFrame, n=None) -> DataFrame:
-    """The row limit of a report: default, hard cap, junk taken as the default."""
-    return df.limit(row_limit(n))
+def preview_limited(df: DataFrame, n=None, default: int = fixed.DEFAULT_ROW_LIMIT) -> DataFrame:
+    """The rows of a preview: the limit as given, ``default`` where none or junk is given."""
+    return limited(df, n, default)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import with_period
 from ..functions.predicates import all_of, compare, where
 from ..operators import aggregates, joins, projection, windows
-from ..sources.lookup import row_limit
+from ..sources.lookup import limited
 from .spec import ReportSpec, SourceModel, range_stage, spec_from_dict, use_child_money, validate
 
 _MONEY_FUNCTIONS = ("sum",)
@@ -94,4 +94,4 @@ def build_report(
         df = df.orderBy(*order, *[F.col(k) for k in keys])
     if spec.select:
         df = projection.select_present(df, list(spec.select))
-    return df.limit(row_limit(spec.limit)) if spec.limit is not None else df
+    return limited(df, spec.limit)

@@ -42,8 +42,7 @@ _CATALOG_SQL = """
                                'incdnt_autoreg_flag', 'risk_profile_name']) AS col,
                        unnest([incdnt_status_name, incdnt_type_lvl_1_name, org_struct_lvl_4_name,
                                incdnt_autoreg_flag, risk_profile_name]) AS value
-                FROM incident WHERE {where}) WHERE value IS NOT NULL GROUP BY col, value
-            QUALIFY ROW_NUMBER() OVER (PARTITION BY col ORDER BY cnt DESC, value) <= 500) k
+                FROM incident WHERE {where}) WHERE value IS NOT NULL GROUP BY col, value) k
         JOIN (
             SELECT col, ROUND(COUNT(value) * 100.0::DOUBLE / COUNT(*), 2) AS filled_pct FROM (
                 SELECT unnest(['incdnt_status_name', 'incdnt_type_lvl_1_name', 'org_struct_lvl_4_name',
@@ -180,7 +179,7 @@ def bottom_n(v):
     SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 100000""")
 def limit_rules(v):
     ordered = v.orders.select("o_orderkey", "o_totalprice").orderBy("o_totalprice", "o_orderkey")
-    return sorting.limited(ordered, "junk")
+    return sorting.preview_limited(ordered, "junk")
 
 
 @query("s5_preview", """

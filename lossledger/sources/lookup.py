@@ -5,17 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import fixed_values as fixed
 from ..functions.predicates import where as where_clause
 
 
-def row_limit(n=None) -> int:
-    """Default for missing, non-numeric or non-positive limits, never above the hard cap."""
+def row_limit(n=None, default: int | None = None) -> int | None:
+    """The limit as given; ``default`` (none) for missing, non-numeric or non-positive limits."""
     try:
         value = int(n)
     except (TypeError, ValueError):
-        return fixed.DEFAULT_ROW_LIMIT
-    return min(value, fixed.MAX_ROW_LIMIT) if value > 0 else fixed.DEFAULT_ROW_LIMIT
+        return default
+    return value if value > 0 else default
+
+
+def limited(df: DataFrame, n=None, default: int | None = None) -> DataFrame:
+    """At most ``row_limit(n, default)`` rows; all of them where there is no limit."""
+    value = row_limit(n, default)
+    return df if value is None else df.limit(value)
 
 
 def query(
@@ -37,7 +42,7 @@ def query(
         )
     if columns:
         out = out.select(*columns)
-    return out.limit(row_limit(limit))
+    return limited(out, limit)
 
 
 def column_named(df: DataFrame, name: str) -> str:

@@ -216,7 +216,8 @@ def test_short_texts(spark):
 
 
 def test_row_limit():
-    assert [lookup.row_limit(x) for x in (None, "x", 0, -5, 7, 10**9)] == [100_000] * 4 + [7, 2_000_000]
+    assert [lookup.row_limit(x) for x in (None, "x", 0, -5, 7, 10**9)] == [None] * 4 + [7, 10**9]
+    assert [lookup.row_limit(x, 100) for x in (None, "x", 7)] == [100, 100, 7]
 
 
 def test_sinks(spark, tmp_path):
