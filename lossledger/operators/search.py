@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,7 +16,8 @@ from ..functions.text import one_per_row, tokens
 
 # Scores are added as whole millionths.
 MILLION = 1_000_000
-MAX_QUERY_VECTORS = 1_000
+# Query vectors that one pass over the documents answers.
+VECTOR_BLOCK = 1_000
 
 
 def in_dates(docs: DataFrame, date: str, begin: str, end: str) -> DataFrame:
@@ -102,13 +105,16 @@ def inner_product(a: Column, b: Column) -> Column:
 
 
 def query_vectors(queries: DataFrame, vector: str) -> list[tuple[int, list[float]]]:
-    """Query vectors on the driver, refused beyond the bound instead of cut."""
-    rows = queries.select("query_id", F.col(vector).alias("v")).limit(MAX_QUERY_VECTORS + 1).collect()
-    if len(rows) > MAX_QUERY_VECTORS:
-        raise ValueError(f"more than {MAX_QUERY_VECTORS} query vectors: search in batches")
+    """The vectors that are asked for, on the driver; the searched collection stays where it is."""
+    rows = queries.select("query_id", F.col(vector).alias("v")).collect()
     return [(r["query_id"], list(r["v"])) for r in rows]
 
 
+def _unit_rows(matrix: np.ndarray) -> np.ndarray:
+    lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
+    return np.divide(matrix, lengths, out=np.zeros_like(matrix), where=lengths > 0)
+
+
 def dense_top_k(
     docs: DataFrame,
     doc: str,
@@ -120,45 +126,52 @@ def dense_top_k(
 ) -> DataFrame:
     """Exact top k documents per query by inner product, or by cosine.
 
-    Each task multiplies its documents with the few query vectors and hands on its own best
-    k per query; those are ranked across tasks. Results are ``(query_id, doc, score, rank)``.
+    Each task multiplies its documents with a block of query vectors and hands on its own best
+    k per query; those are ranked across tasks. Any number of queries is answered, with one
+    pass over the documents per ``VECTOR_BLOCK`` of them. Results are
+    ``(query_id, doc, score, rank)``.
     """
-    ids = np.array([q for q, _ in queries], dtype=np.int64)
-    matrix = np.array([v for _, v in queries], dtype=np.float64)
-    if cosine and len(ids):
-        lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
-        matrix = np.divide(matrix, lengths, out=np.zeros_like(matrix), where=lengths > 0)
-
-    def best_of_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: list[pd.DataFrame | None] = [None] * len(ids)
-        for batch in batches:
-            if batch.empty:
-                continue
-            vectors = np.stack(batch[vector].to_numpy()).astype(np.float64)
-            if cosine:
-                lengths = np.linalg.norm(vectors, axis=1, keepdims=True)
-                vectors = np.divide(vectors, lengths, out=np.zeros_like(vectors), where=lengths > 0)
-            scores = np.round(vectors @ matrix.T, 6)
-            for i in range(len(ids)):
-                rows = pd.DataFrame({doc: batch[doc].to_numpy(), "score": scores[:, i]})
-                if threshold is not None:
-                    rows = rows[rows["score"] >= threshold]
-                if kept[i] is not None:
-                    rows = pd.concat([kept[i], rows])
-                kept[i] = rows.sort_values(["score", doc], ascending=[False, True]).head(k)
-        for i, rows in enumerate(kept):
-            if rows is not None and len(rows):
-                yield rows.assign(query_id=ids[i])[["query_id", doc, "score"]]
-
     doc_type = docs.schema[doc].dataType.simpleString()
     if not queries:
         return docs.sparkSession.createDataFrame(
             [], f"query_id bigint, {doc} {doc_type}, score double, rank int"
         )
-    partial = docs.select(doc, vector).mapInPandas(
-        best_of_task, f"query_id bigint, {doc} {doc_type}, score double"
-    )
-    return _ranked(partial, doc, k)
+
+    def pass_over(asked: list[tuple[int, list[float]]]) -> DataFrame:
+        ids = np.array([q for q, _ in asked], dtype=np.int64)
+        matrix = np.array([v for _, v in asked], dtype=np.float64)
+        if cosine:
+            matrix = _unit_rows(matrix)
+
+        def best_of_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            kept: list[pd.DataFrame | None] = [None] * len(ids)
+            for batch in batches:
+                if batch.empty:
+                    continue
+                vectors = np.stack(batch[vector].to_numpy()).astype(np.float64)
+                if cosine:
+                    vectors = _unit_rows(vectors)
+                scores, names = np.round(vectors @ matrix.T, 6), batch[doc].to_numpy()
+                for i in range(len(ids)):
+                    own = scores[:, i]
+                    least = -np.inf if threshold is None else threshold
+                    if len(own) > k:  # only scores up to the k-th best, ties included, are sorted
+                        least = max(least, np.partition(own, -k)[-k])
+                    near = np.flatnonzero(own >= least)
+                    rows = pd.DataFrame({doc: names[near], "score": own[near]})
+                    if kept[i] is not None:
+                        rows = pd.concat([kept[i], rows])
+                    kept[i] = rows.sort_values(["score", doc], ascending=[False, True]).head(k)
+            for i, rows in enumerate(kept):
+                if rows is not None and len(rows):
+                    yield rows.assign(query_id=ids[i])[["query_id", doc, "score"]]
+
+        return docs.select(doc, vector).mapInPandas(
+            best_of_task, f"query_id bigint, {doc} {doc_type}, score double"
+        )
+
+    passes = [pass_over(queries[at : at + VECTOR_BLOCK]) for at in range(0, len(queries), VECTOR_BLOCK)]
+    return _ranked(reduce(DataFrame.unionByName, passes), doc, k)
 
 
 def nearest(docs: DataFrame, doc: str, vector: str, query: list[float], k: int) -> DataFrame:
@@ -180,7 +193,11 @@ def fuse(
     c: int = fixed.FUSION_K,
     missing: int = fixed.FUSION_MISSING_RANK,
 ) -> DataFrame:
-    """Weighted reciprocal-rank fusion of two rankings, best k per query."""
+    """Weighted reciprocal-rank fusion of two rankings, best k per query.
+
+    A document that one ranking lacks counts as rank ``missing`` there. The default is a fixed
+    value below ``DENSE_DEPTH``; give one above both depths to have every hit beat a miss.
+    """
     left = lexical.select("query_id", doc, F.col("rank").alias("lexical_rank"))
     right = dense.select("query_id", doc, F.col("rank").alias("dense_rank"))
     both = left.join(right, ["query_id", doc], "outer").fillna(
@@ -221,7 +238,10 @@ def keyword_overlap(
     docs: DataFrame, doc: str, short: str, long: str, query: str, k: int = 15
 ) -> DataFrame:
     """Rank by words of the query found in the short text (5 each) and in the long text (1
-    each); words of three letters and more. When nothing is found the first k rows stand."""
+    each); words of three letters and more. When nothing is found the first k rows stand; a
+    query without such words keeps every row."""
+    if not any(len(w) > 2 for w in re.findall(fixed.TOKEN_PATTERN, query.lower())):
+        return docs.select(doc, F.lit(0).alias("score"))
     words = F.filter(tokens(F.lit(query)), lambda t: F.length(t) > 2)
 
     def points(column: str, weight: int) -> Column:

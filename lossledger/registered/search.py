@@ -27,12 +27,6 @@ def _queries(v):
     return v.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
 
 
-def _label_queries(v):
-    """Text queries that share their number with a label."""
-    labels = v.embeddings.select(F.col("label").cast("bigint").alias("query_id")).distinct()
-    return _queries(v).join(labels, "query_id")
-
-
 _WORDS = r"regexp_extract_all(lower({}), '[а-яёa-z0-9]+')"
 
 
@@ -56,7 +50,6 @@ def _rank(k: int) -> str:
 
 
 _ALL_QUERIES = "(SELECT item_id AS query_id, text AS query_text FROM benchmark)"
-_LABEL_QUERIES = "(SELECT item_id AS query_id, text AS query_text FROM benchmark WHERE item_id IN (SELECT label FROM embeddings))"
 
 
 @query("i1_bm25", f"""
@@ -107,10 +100,13 @@ def subset_cosine(v):
 _DATED = "(SELECT d.*, strftime(o_orderdate, '%Y-%m-%d') AS day FROM documents d LEFT JOIN orders ON o_orderkey = doc_id)"
 
 
+def _days(v):
+    """Entry date of the incident that a document describes, as text."""
+    return v.orders.select(F.col("o_orderkey").alias("doc_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+
+
 def _dated(v):
-    """Documents with the entry date of the incident they describe, as text."""
-    days = v.orders.select(F.col("o_orderkey").alias("doc_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
-    return v.texts.join(days, "doc_id", "left")
+    return v.texts.join(_days(v), "doc_id", "left")
 
 
 @query("i4_bm25_in_dates", f"""
@@ -133,16 +129,22 @@ def dense_in_dates(v):
     return search.dense_top_k(docs, "vec_id", "embedding", search.query_vectors(_centroids(v), "vector"), k=20)
 
 
-def _fused(v, k):
-    lexical = search.bm25(v.texts, "doc_id", "text", _label_queries(v), "query_text")
+def _fused(v, k, dates=None):
+    """Both rankings of every benchmark text, fused; documents outside the dates are not ranked."""
+    docs, allowed = v.texts, None
     vectors = v.embeddings.withColumnRenamed("vec_id", "doc_id")
+    if dates is not None:
+        docs, allowed = _dated(v), F.col("day").between(*dates)
+        vectors = search.in_dates(vectors.join(_days(v), "doc_id"), "day", *dates)
+    lexical = search.bm25(docs, "doc_id", "text", _queries(v), "query_text", allowed=allowed)
     dense = search.dense_top_k(vectors, "doc_id", "embedding", search.query_vectors(_centroids(v), "vector"))
     return search.fuse(lexical, dense, "doc_id", k)
 
 
-_FUSED = f"""{_CENTROIDS}, {_bm25_sql(_LABEL_QUERIES)},
+def _fused_sql(allowed: str = "TRUE", docs: str = "documents", vectors: str = "embeddings") -> str:
+    return f"""{_CENTROIDS}, {_bm25_sql(_ALL_QUERIES, allowed, docs)},
     lex AS (SELECT query_id, doc_id, {_rank(686).format('lexical')}),
-    dense AS (SELECT query_id, vec_id AS doc_id, ROUND({_DOT.format(a='embedding', b='vector')}, 6) AS score FROM embeddings, centroids),
+    dense AS (SELECT query_id, vec_id AS doc_id, ROUND({_DOT.format(a='embedding', b='vector')}, 6) AS score FROM {vectors}, centroids),
     den AS (SELECT query_id, doc_id, {_rank(1024).format('dense')}),
     fused AS (
         SELECT query_id, doc_id, COALESCE(lex.rank, 999) AS lexical_rank, COALESCE(den.rank, 999) AS dense_rank,
@@ -151,22 +153,20 @@ _FUSED = f"""{_CENTROIDS}, {_bm25_sql(_LABEL_QUERIES)},
 
 
 @query("i6_rank_fusion", f"""
-    WITH {_FUSED} SELECT query_id, doc_id, lexical_rank, dense_rank, score, {_rank(200).format('fused')}""")
+    WITH {_fused_sql()} SELECT query_id, doc_id, lexical_rank, dense_rank, score, {_rank(200).format('fused')}""")
 def rank_fusion(v):
     return _fused(v, 200)
 
 
-@query("i5_fused_then_dates", f"""
-    WITH {_FUSED}, ranked AS (SELECT query_id, doc_id, score, {_rank(1200).format('fused')}),
-    dated AS (SELECT r.* FROM ranked r JOIN orders ON o_orderkey = doc_id
-              WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1999-01-01')
-    SELECT query_id, doc_id, score, rank FROM dated QUALIFY ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY rank) <= 20""")
-def fused_then_dates(v):
-    from ..operators.aggregates import top_k_per_group
+_DATED_VECTORS = """(SELECT e.* FROM embeddings e JOIN orders ON o_orderkey = vec_id
+        WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1999-01-01')"""
+
 
-    days = v.orders.select(F.col("o_orderkey").alias("doc_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
-    found = search.in_dates(_fused(v, 1200).join(days, "doc_id"), "day", "1996-01-01", "1998-12-31")
-    return top_k_per_group(found, ["query_id"], [F.asc("rank")], 20).select("query_id", "doc_id", "score", "rank")
+@query("i5_fused_in_dates", f"""
+    WITH {_fused_sql("day BETWEEN '1996-01-01' AND '1998-12-31'", _DATED, _DATED_VECTORS)}
+    SELECT query_id, doc_id, score, {_rank(20).format('fused')}""")
+def fused_in_dates(v):
+    return _fused(v, 20, ("1996-01-01", "1998-12-31")).select("query_id", "doc_id", "score", "rank")
 
 
 _COSINES = f"""{_CENTROIDS}, dense AS (
@@ -206,7 +206,7 @@ def keyword_overlap(v):
 
 
 @query("i10_texts_of_hits", f"""
-    WITH {_FUSED}, ranked AS (SELECT query_id, doc_id, score, {_rank(25).format('fused')})
+    WITH {_fused_sql()}, ranked AS (SELECT query_id, doc_id, score, {_rank(25).format('fused')})
     SELECT query_id, doc_id, score, rank, text, source FROM ranked LEFT JOIN documents USING (doc_id)""")
 def texts_of_hits(v):
     return search.with_texts(
