@@ -1,10 +1,10 @@
 """Fuzzy match of phrases against the value catalog.
 
 Every phrase has to be compared with every catalog value, because a single shared letter
-run can carry a match. The catalog is small by contract (frequent values per column), so it
-travels as one array and each phrase row is scored against it in place: no pairs are
-shuffled, and the best hits are picked inside the row. Phrases are made distinct first, so a
-phrase that fills the table is scored once.
+run can carry a match. The catalog is packed into rows of some thousand values; a phrase
+meets each such row by its number, is scored against it in place, and hands on the best few
+hits of the block, which are merged per phrase. No pairs are shuffled and a catalog may have
+any size. Phrases are made distinct first, so a phrase that fills the table is scored once.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from ..functions import fixed_values as fixed
 from ..functions import text as tx
 from .aggregates import top_k_per_group
 
-MAX_ENTRIES = 50_000
+# Catalog values in one packed row, about.
+BLOCK = 4_000
 
 
 def _entries(catalog: DataFrame) -> DataFrame:
@@ -58,71 +59,89 @@ def score(q: Column, e: Column) -> Column:
     )
 
 
-def _packed(entries: DataFrame) -> Column:
-    """All entries as one array value; refused, not cut, when there are too many."""
-    packed = entries.limit(MAX_ENTRIES + 1).agg(
-        F.collect_list(F.struct("col", "value", "cnt", "norm", "tight", "tokens")).alias("a")
+def _blocks(entries: DataFrame, size: int) -> tuple[DataFrame, Column]:
+    """The entries in rows of about ``size`` of them, and the number of those rows."""
+    many = F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int")
+    n_blocks = entries.agg(F.greatest(F.lit(1), many).alias("n")).scalar()
+    packed = (
+        entries.withColumn("__block", F.pmod(F.xxhash64("col", "value"), n_blocks).cast("int"))
+        .groupBy("__block")
+        .agg(F.collect_list(F.struct("col", "value", "cnt", "norm", "tight", "tokens")).alias("__entries"))
     )
-    return packed.select(
-        F.when(F.size("a") <= MAX_ENTRIES, F.col("a")).otherwise(
-            F.raise_error(F.lit("catalog part too large: raise catalog_parts"))
-        )
-    ).scalar()
+    return packed, n_blocks
 
 
 def with_hits(
-    df: DataFrame,
-    phrase: str,
+    asked: DataFrame,
     catalog: DataFrame,
     min_score: float = fixed.MATCH_MIN_SCORE,
-    catalog_parts: int = 1,
+    top_k: int = fixed.MATCH_TOP_K,
+    block: int = BLOCK,
 ) -> DataFrame:
-    """Add ``hits``: matches of the phrase in order of score, count, column and value.
+    """Add ``hits``, the ``top_k`` best matches of a phrase, and ``own``, the best one in
+    ``asked_col`` if there is such a column.
 
-    A catalog beyond ``MAX_ENTRIES`` values is refused rather than cut; raise
-    ``catalog_parts`` to have it matched part by part.
+    ``asked`` has ``phrase`` and perhaps ``asked_col``, and no row twice. Matches are ordered
+    by score, count, column and value.
     """
-    entries = _entries(catalog)
-    q = "__q"
-    asked = df.withColumn(
-        q,
-        F.struct(
-            tx.norm(F.col(phrase)).alias("norm"),
-            tx.tight(F.col(phrase)).alias("tight"),
-            tx.token_set(F.col(phrase)).alias("tokens"),
+    packed, n_blocks = _blocks(_entries(catalog), block)
+    keys = asked.columns
+    forms = F.struct(
+        tx.norm(F.col("phrase")).alias("norm"),
+        tx.tight(F.col("phrase")).alias("tight"),
+        tx.token_set(F.col("phrase")).alias("tokens"),
+    )
+    met = (
+        asked.withColumn("__q", forms)
+        .withColumn("__n", n_blocks)
+        .select(*keys, "__q", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("__block"))
+        .join(packed, "__block", "left")
+    )
+    scored = F.transform(
+        "__entries",
+        lambda e: F.struct(
+            (-F.round(score(F.col("__q"), e), 6)).alias("order"),
+            (-e["cnt"]).alias("order_cnt"),
+            e["col"].alias("col"),
+            e["value"].alias("value"),
         ),
     )
+    found = F.array_sort(F.filter(scored, lambda h: h["order"] <= -min_score))
 
-    names = [f"__entries_{part}" for part in range(catalog_parts)]
-    for part, name in enumerate(names):
-        rows = entries
-        if catalog_parts > 1:
-            rows = entries.filter(F.pmod(F.xxhash64("col", "value"), F.lit(catalog_parts)) == part)
-        asked = asked.withColumn(name, _packed(rows))
-
-    def hits_in(name: str) -> Column:
-        scored = F.transform(
-            F.col(name),
-            lambda e: F.struct(
-                (-F.round(score(F.col(q), e), 6)).alias("order"),
-                (-e["cnt"]).alias("order_cnt"),
-                e["col"].alias("col"),
-                e["value"].alias("value"),
+    def is_own(h: Column) -> Column:
+        return h["col"] == F.col("asked_col") if "asked_col" in keys else F.lit(False)
+
+    # The lambda binds the matches once, so that a block is scored once for both parts.
+    part = F.get(
+        F.transform(
+            F.array(found),
+            lambda hits: F.struct(
+                F.slice(hits, 1, top_k).alias("best"),
+                F.get(F.filter(hits, is_own), F.lit(0)).alias("own"),
             ),
-        )
-        return F.filter(scored, lambda h: h["order"] <= -min_score)
+        ),
+        F.lit(0),
+    )
 
-    found = F.concat(*[hits_in(name) for name in names])
-    in_order = F.transform(
-        F.array_sort(found),
-        lambda h: F.struct(
+    def shown(h: Column) -> Column:
+        return F.struct(
             h["col"].alias("col"),
             h["value"].alias("value"),
             (-h["order_cnt"]).alias("cnt"),
             (-h["order"]).alias("score"),
-        ),
+        )
+
+    merged = (
+        met.select(*keys, part.alias("__part"))
+        .groupBy(*keys)
+        .agg(
+            F.array_sort(F.flatten(F.collect_list("__part.best"))).alias("hits"),
+            F.transform(F.array_sort(F.collect_list("__part.own")), shown).alias("own"),
+        )
+    )
+    return merged.select(
+        *keys, F.transform(F.slice("hits", 1, top_k), shown).alias("hits"), _first(F.col("own")).alias("own")
     )
-    return asked.withColumn("hits", in_order).drop(q, *names)
 
 
 def match_phrases(
@@ -131,7 +150,7 @@ def match_phrases(
     catalog: DataFrame,
     min_score: float = fixed.MATCH_MIN_SCORE,
     top_k: int = fixed.MATCH_TOP_K,
-    catalog_parts: int = 1,
+    block: int = BLOCK,
 ) -> DataFrame:
     """Best catalog values per distinct phrase: ``(phrase, rn, col, value, cnt, score)``."""
     asked = (
@@ -140,9 +159,8 @@ def match_phrases(
         .distinct()
     )
     return (
-        with_hits(asked, "phrase", catalog, min_score, catalog_parts)
-        .select("phrase", F.posexplode_outer(F.slice("hits", 1, top_k)).alias("pos", "h"))
-        .filter(F.col("h").isNotNull())
+        with_hits(asked, catalog, min_score, top_k, block)
+        .select("phrase", F.posexplode("hits").alias("pos", "h"))
         .select("phrase", (F.col("pos") + 1).alias("rn"), "h.col", "h.value", "h.cnt", "h.score")
     )
 
@@ -156,18 +174,9 @@ def _first(hits: Column, condition=None) -> Column:
 
 
 def _with_best(filters: DataFrame, catalog: DataFrame, min_score: float) -> DataFrame:
-    """Distinct filters with the best hit in their own column and the best of all.
-
-    The two go through a generator, below which no later filter can be pushed: a filter
-    there would score every phrase once more for each hit it mentions.
-    """
-    own = _first(F.col("hits"), lambda h: h["col"] == F.col("asked_col"))
-    both = F.struct(own.alias("own"), _first(F.col("hits")).alias("best"))
-    return (
-        with_hits(_asked(filters), "phrase", catalog, min_score)
-        .select("asked_col", "phrase", F.explode_outer(F.array(both)).alias("b"))
-        .select("asked_col", "phrase", "b.own", "b.best")
-    )
+    """Distinct filters with the best hit in their own column and the best of all."""
+    found = with_hits(_asked(filters), catalog, min_score, top_k=1)
+    return found.select("asked_col", "phrase", "own", _first(F.col("hits")).alias("best"))
 
 
 def ground_filters(filters: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -220,11 +229,11 @@ def diagnose_empty(filters: DataFrame, catalog: DataFrame) -> DataFrame:
     def is_own(h: Column) -> Column:
         return h["col"] == F.col("asked_col")
 
-    found = with_hits(_asked(bare), "phrase", catalog, fixed.DIAGNOSE_ELSEWHERE).select(
+    found = with_hits(_asked(bare), catalog, fixed.DIAGNOSE_ELSEWHERE, top_k=3).select(
         "asked_col",
         "phrase",
-        F.exists("hits", lambda h: is_own(h) & (h["score"] >= fixed.DIAGNOSE_OWN)).alias("is_valid"),
-        _first(F.slice("hits", 1, 3), lambda h: ~is_own(h)).alias("found"),
+        F.coalesce(F.col("own.score") >= fixed.DIAGNOSE_OWN, F.lit(False)).alias("is_valid"),
+        _first(F.col("hits"), lambda h: ~is_own(h)).alias("found"),
     )
     verdict = (
         F.when(F.col("is_valid"), "valid")
@@ -258,11 +267,9 @@ def ground_texts(
     request = tx.expand_abbreviations(F.col(text), abbreviations or {})
     phrases = tx.one_per_row(texts, tx.request_phrases(request, word_pattern), "phrase", [key])
     code = tx.is_code(F.col("phrase"))
-    near = with_hits(phrases.select("phrase").distinct(), "phrase", catalog).select(
+    near = with_hits(phrases.select("phrase").distinct(), catalog, top_k=3).select(
         "phrase",
-        F.slice(
-            F.filter("hits", lambda h: code | (h["score"] >= fixed.GROUND_STRONG)), 1, 3
-        ).alias("near"),
+        F.filter("hits", lambda h: code | (h["score"] >= fixed.GROUND_STRONG)).alias("near"),
     )
     sure = F.filter(
         "near", lambda h: ~code | F.startswith(F.lower(h["value"]), F.lower(F.col("phrase")))
