@@ -50,18 +50,6 @@ def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {name: scan(spark, path, name) for name in TABLE_NAMES}
 
 
-def spread(scanned: DataFrame) -> DataFrame:
-    """Deal the rows of a scan out to all cores when it has fewer splits than cores.
-
-    For costly work per row on a small input. A large input has more splits than cores and is
-    returned as it is, without a shuffle.
-    """
-    cores = scanned.sparkSession.sparkContext.defaultParallelism
-    if scanned.rdd.getNumPartitions() >= cores:
-        return scanned
-    return scanned.repartition(cores)
-
-
 class Views:
     """Lazy views of the incident data model; a view that is not used is never planned."""
 
@@ -77,8 +65,8 @@ class Views:
 
     @cached_property
     def texts(self) -> DataFrame:
-        """Documents, for work that takes long per text."""
-        return spread(self.table("documents"))
+        """Documents; how finely a scan is split is the session's setting."""
+        return self.table("documents")
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLE_NAMES:
