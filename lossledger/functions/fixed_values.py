@@ -40,7 +40,7 @@ CONTROL_CHANNEL = "внешн|регул|контрол|орган"
 
 # --- Fixed values: words that carry no meaning in a tiered text match.
 TIER_NOISE_WORDS = (
-    "банк", "банка", "блок", "отделение", "филиал", "уровень", "дивизион",
+    "банк", "блок", "отделение", "филиал", "банка", "уровень", "дивизион",
 )
 
 # --- Fixed values: characters removed from free text.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -9,6 +11,14 @@ from pyspark.sql.types import StringType
 from ..functions import fixed_values as fixed
 from .aggregates import top_k_per_group
 
+_CATEGORY_MARK = re.compile("|".join(fixed.ENUM_NAME_SUFFIXES), re.IGNORECASE)
+_OTHER_MARK = re.compile(
+    rf"\A(?:{'|'.join(fixed.ENUM_EXCLUDED_NAMES)})\Z"
+    rf"|(?:{'|'.join(fixed.ENUM_EXCLUDED_SUFFIXES)})\Z"
+    rf"|{'|'.join(fixed.ENUM_EXCLUDED_PARTS)}",
+    re.IGNORECASE,
+)
+
 
 def fill_rates(df: DataFrame, columns: list[str], table: str) -> DataFrame:
     """Percent of non-NULL values of every column, one aggregation, one row per column."""
@@ -100,13 +110,8 @@ def invert(catalog: DataFrame) -> DataFrame:
 
 
 def is_enum_name(name: str) -> bool:
-    """Whether a column name reads like a category."""
-    n = name.lower()
-    if n in fixed.ENUM_EXCLUDED_NAMES or n.endswith(fixed.ENUM_EXCLUDED_SUFFIXES):
-        return False
-    if any(part in n for part in fixed.ENUM_EXCLUDED_PARTS):
-        return False
-    return any(s in n for s in fixed.ENUM_NAME_SUFFIXES)
+    """Whether a column name holds a mark of a category and none of a key, measure or text."""
+    return bool(_CATEGORY_MARK.search(name) and not _OTHER_MARK.search(name))
 
 
 def enum_candidates(df: DataFrame) -> list[str]:
