@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +39,20 @@ def _metric(m) -> Column:
     return aggregates.aggregate(m.fn, m.source, condition).alias(m.alias)
 
 
+def with_fill_rates(model: SourceModel, source: DataFrame) -> SourceModel:
+    """The model with the measured percentage of filled rows of its money columns.
+
+    One aggregate over the source; a number per column reaches the driver. Without rows nothing
+    is known to be filled.
+    """
+    columns = [c for c in model.money if c in source.columns]
+    if not columns:
+        return model
+    rows = F.greatest(F.count(F.lit(1)), F.lit(1))
+    filled = source.agg(*[(100 * F.count(c) / rows).alias(c) for c in columns]).first()
+    return replace(model, filled_pct={**model.filled_pct, **filled.asDict()})
+
+
 def _operand(side) -> Column:
     return F.col(side) if isinstance(side, str) else F.lit(side)
 
@@ -92,6 +108,8 @@ def build_report(
             for s in spec.sort
         ]
         df = df.orderBy(*order, *[F.col(k) for k in keys])
-    if spec.select:
+    if spec.detail:
+        df = projection.keys_at_edges(projection.detail_columns(df, list(spec.select)))
+    elif spec.select:
         df = projection.select_present(df, list(spec.select))
     return limited(df, spec.limit)

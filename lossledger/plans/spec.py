@@ -89,6 +89,8 @@ class ReportSpec:
     sort: tuple[Sort, ...] = ()
     select: tuple[str, ...] = ()
     limit: int | None = None
+    #: Rows, not groups: the selection with the audit columns, business id first, surrogate id last.
+    detail: bool = False
 
 
 @dataclass(frozen=True)
@@ -170,6 +172,7 @@ def spec_from_dict(raw: dict) -> ReportSpec:
         ),
         select=tuple(raw.get("select") or ()),
         limit=raw.get("limit"),
+        detail=bool(raw.get("detail")),
     )
 
 
@@ -225,6 +228,8 @@ def validate(spec: ReportSpec, model: SourceModel) -> None:
             if m.fn not in AGGREGATES:
                 raise ValueError(f"aggregate {m.fn!r}: use one of {AGGREGATES}")
 
+    if spec.detail and (spec.group_by or spec.metrics):
+        raise ValueError("a detail report has rows: leave out detail, or the groups and metrics")
     known = set(model.columns) | {m.alias for j in spec.joins for m in j.metrics}
     known |= {d.new_column for d in spec.derive}
     finals = {m.alias for m in spec.metrics} | {d.alias for d in spec.derived_metrics}
