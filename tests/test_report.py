@@ -6,7 +6,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from lossledger.plans.report import build_report, resolve_period
+from lossledger.plans.report import build_report, resolve_period, with_fill_rates
 from lossledger.plans.spec import ChildJoin, Metric, SourceModel, range_stage, spec_from_dict, use_child_money, validate
 
 OWN, STORE, PORT, PIER = "Цех", "Склад", "Порт", "Причал"
@@ -161,6 +161,25 @@ def test_phrases_without_a_period(spark, text):
     assert resolve_period(spark, text) is None
 
 
+def test_detail_rows_carry_the_audit_columns(spark):
+    rows = spark.createDataFrame([(7, "S-7", "open", 3), (8, "S-8", "done", 4)], "incdnt_id int, incdnt_sid string, incdnt_status_name string, size int")
+    spec = {"source": {"table": "incident"}, "select": ["size"], "detail": True,
+            "filters": [{"kind": "categorical", "column": "incdnt_status_name", "value": "open"}]}
+    found = build_report({"incident": rows}, spec)
+    assert found.columns == ["incdnt_sid", "size", "incdnt_status_name", "incdnt_id"]
+    assert [tuple(r) for r in found.collect()] == [("S-7", 3, "open", 7)]
+    grouped = {**SPEC, "detail": True}
+    with pytest.raises(ValueError, match="detail"):
+        validate(spec_from_dict(grouped), MODEL)
+
+
+def test_fill_rates_are_measured(spark):
+    rows = spark.createDataFrame([(1, 5.0), (2, None), (3, None), (4, None)], "incdnt_id int, incdnt_sum double")
+    assert with_fill_rates(MODEL, rows).filled_pct["incdnt_sum"] == 25.0
+    assert with_fill_rates(MODEL, rows.limit(0)).filled_pct["incdnt_sum"] == 0.0
+    assert with_fill_rates(MODEL, rows.select("incdnt_id")) == MODEL
+
+
 def test_null_rules(spark):
     from lossledger.functions.dates import date_part
     from lossledger.functions.predicates import where
