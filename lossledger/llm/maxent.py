@@ -1,26 +1,31 @@
 """Language-model scores: a unigram base and a hashed maximum-entropy model.
 
-The model factors a token into its class and the token within the class. The class is a softmax over
-hashed features of the words before (one back, two back, both), trained by distributed gradient steps
-over every training document: in each round every task runs gradient steps on its documents and emits
-the change of each feature row, weighted by how often the row was met; Spark sums them. The most
-frequent words are classes of their own; all others share classes by CRC-32, and the word within its
-class has its smoothed relative frequency. Probabilities sum to one over the training words and one
-unseen word per class.
-
-Counts of all training tokens are exact. Words of at least a count that leaves at most ``HEAD`` of them
-are broadcast; the other words of each document are joined with their counts, so no frequent word is a
-join key and nothing that grows with the corpus is broadcast.
+The model factors a token into the decisions on its way through a Huffman tree of the words; every
+decision is a softmax over two sides with features of the words before (one back, two back, both).
+There is a row per context and tree node that occurs in training, so the table grows with the corpus;
+it is never in one place. Contexts are dealt by hash: every chunk of documents sends the words it has
+after each context, the sums per context and node are taken there, and each chunk gets back the sums
+along its own words. The weight of a row is its smoothed log odds against the node's prior, scaled by a
+factor for the kind of context and how often it was met; the factors are fitted by distributed gradient
+rounds (Newton steps) over every training token, whose own occurrence is left out of the sums.
+
+Words of at least a count that leaves at most ``HEAD`` of them are leaves of the tree and broadcast. All
+other words share one leaf, below which the bits of their hash are further decisions, as many as there
+are binary digits in the number of such words; words with equal bits have their smoothed relative
+frequency. Probabilities sum to one over the training words and one unseen word per set of bits. Counts
+of all training tokens are exact in the base; the sums of the model are exact up to 63 and within 5 %
+above. Other words of each document are joined with their counts, so no frequent word is a join key and
+nothing that grows with the corpus is broadcast.
 
 Defined results: null and empty texts have the end token alone; rows that repeat an id are scored one
-by one; without training documents every token has probability 1 / (1 + 1); an empty table gives an
-empty result; further columns are not looked at.
+by one; without training documents every token has probability one; an empty table gives an empty
+result; further columns are not looked at.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,9 +39,10 @@ from .common import LOWER, U64, WordTable, chunks, hashed, mixed, stored, word_h
 
 #: Most words that are broadcast, and the longest of them in bytes.
 HEAD, LONGEST = 200_000, 64
-#: Classes, those of them that single words hold (the end token is one), feature rows and rounds.
-CLASSES, SINGLE, BUCKETS, ROUNDS = 32, 24, 1 << 13, 2
-STEP, RATE = 4096, 0.5
+#: Kinds of context, contexts with words that a task holds at a time, bytes of text in a chunk, and rounds.
+KINDS, PART, CHUNK, ROUNDS = 3, 1_000_000, 1 << 20, 2
+#: Tokens that are scored at a time, kinds of frequency, the factors at the start, their weight, and the highest factor.
+STEP, MET, FACTOR, RIDGE, HIGHEST = 1 << 15, 16, 0.3, 10.0, 1.5
 #: The end token; no word holds a blank.
 END = b" "
 
@@ -69,52 +75,119 @@ def token_counts(docs: DataFrame, training: Column) -> DataFrame:
     return docs.filter(training).select("text").mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _shared_class(word: Column) -> Column:
-    return (F.crc32(word) % (CLASSES - SINGLE) + SINGLE).cast("int")
+def _bits(x: np.ndarray) -> np.ndarray:
+    """Binary digits of 64-bit numbers."""
+    high, low = (x >> U64(32)).astype(np.float64), (x & U64(0xFFFFFFFF)).astype(np.float64)
+    return np.where(high > 0, 32 + np.frexp(high)[1], np.frexp(low)[1]).astype(np.int64)
+
+
+def _top(x: np.ndarray, bits) -> np.ndarray:
+    """The numbers with all but their first ``bits`` bits cleared (0 to 63)."""
+    return x & ~(U64(0xFFFFFFFFFFFFFFFF) >> np.asarray(bits).astype(U64))
+
+
+def along(context: np.ndarray, leaf: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For distinct leaves sorted by context: sums of ``n`` along the way to each leaf.
+
+    Gives depth, rows, their sum on the side taken and on both sides, as long as another leaf of the
+    context is below; further down all that is left is the leaf itself.
+    """
+    shared = np.full(len(leaf), -1, np.int64)
+    shared[1:] = np.where(context[1:] == context[:-1], 64 - _bits(leaf[1:] ^ leaf[:-1]), -1)
+
+    def sums(rows: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        begin = np.flatnonzero(shared[rows] < depth)
+        many = np.diff(np.append(begin, len(rows)))
+        return np.repeat(np.add.reduceat(n[rows], begin), many), np.repeat(many > 1, many)
+
+    rows = np.arange(len(leaf))
+    if len(rows):
+        both, further = sums(rows, 0)
+    depth = 0
+    while len(rows):
+        rows, both = rows[further], both[further]
+        if len(rows):
+            side, further = sums(rows, depth + 1)
+            yield depth, rows, side, both
+            both = side
+        depth += 1
+
+
+def _levels(n: np.ndarray) -> np.ndarray:
+    """A byte per sum: exact to 63, then eight steps per doubling."""
+    return np.where(n < 64, n, np.minimum(64 + 8 * np.log2(np.maximum(n, 64) / 64), 255)).astype(np.uint16)
+
+
+_SUMS = np.where(np.arange(256) < 64, np.arange(256), 64 * 2 ** ((np.arange(256) - 63.5) / 8)).astype(np.float32)
+
+
+def _spread(offset: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Places offset, offset + 1, ... of every run, one run after the other."""
+    end = np.cumsum(length)
+    return np.arange(end[-1] if len(end) else 0) + np.repeat(offset - (end - length), length)
 
 
 class Vocabulary:
-    """The broadcast words: counts, classes and logarithms; totals of all words."""
+    """The broadcast words: counts, ways through the tree and their priors; totals of all words."""
 
-    def __init__(self, head: list, total: int, different: int, per_class: dict):
+    def __init__(self, head: list, total: int, different: int):
         head = sorted(head, key=lambda r: (-r[1], r[0]))
         self.total, self.different = total, different
-        single = {END: 0}
-        for word, _ in head:
-            if len(single) == SINGLE:
-                break
-            single.setdefault(word, len(single))
-        self.single = single
-        # Totals of the shared classes, without the words that are classes of their own.
-        self.class_total = np.array([per_class.get(c, (0, 0))[0] for c in range(CLASSES)], np.float64)
-        self.class_words = np.array([per_class.get(c, (0, 0))[1] for c in range(CLASSES)], np.float64)
-        counts = dict(head)
-        for word in single:
-            c = zlib.crc32(word) % (CLASSES - SINGLE) + SINGLE
-            if word in counts:
-                self.class_total[c] -= counts[word]
-                self.class_words[c] -= 1
-        self.prior = np.log(np.array([
-            *(counts.get(w, 0) + 1 for w in single), *[1] * (SINGLE - len(single)), *(self.class_total[SINGLE:] + 1)], np.float64))
-        #: word -> row of the arrays below
+        n = np.array([c for _, c in head], np.int64)
+        #: word -> row of the arrays below; the last row stands for all other words.
         self.row = {w: k for k, (w, _) in enumerate(head)}
-        n = np.array([c for _, c in head], np.float64)
         self.base = np.log10((n + 1) / (total + different + 1)) if len(n) else np.empty(0)
-        self.cls = np.array([single.get(w, zlib.crc32(w) % (CLASSES - SINGLE) + SINGLE) for w, _ in head], np.int64)
-        within = np.log10((n + 1) / (self.class_total + self.class_words + 1)[self.cls]) if len(n) else np.empty(0)
-        self.within = np.where(self.cls < SINGLE, 0.0, within)
+        weight = np.append(n, total - n.sum()) + 1
+        length = self._lengths(weight.tolist())
+        order = np.lexsort((np.arange(len(weight)), length))
+        width = np.where(length > 0, U64(1) << ((64 - length) % 64).astype(U64), U64(0))
+        self.leaf = np.zeros(len(weight), U64)
+        self.leaf[order] = np.cumsum(width[order]) - width[order]
+        self.order, self.sorted_leaf = order, self.leaf[order]
+        self.digits = max(different - len(head) - 1, 0).bit_length()
+        #: Decisions of the tree for each row, and where their priors (log odds of the side taken) are.
+        self.length = length
+        self.offset = np.cumsum(length) - length
+        self.prior = np.zeros(length.sum(), np.float32)
+        for depth, rows, side, both in along(np.zeros(len(order), np.int64), self.sorted_leaf, weight[order].astype(np.float64)):
+            self.prior[self.offset[order[rows]] + depth] = np.log(side / (both - side))
+
+    @staticmethod
+    def _lengths(weights: list) -> np.ndarray:
+        heap = [(w, k) for k, w in enumerate(weights)]
+        heapq.heapify(heap)
+        above = [0] * (2 * len(weights) - 1)
+        for new in range(len(weights), len(above)):
+            (a, i), (b, j) = heapq.heappop(heap), heapq.heappop(heap)
+            above[i] = above[j] = new
+            heapq.heappush(heap, (a + b, new))
+        depth = [0] * len(above)
+        for k in range(len(above) - 2, -1, -1):
+            depth[k] = depth[above[k]] + 1
+        return np.array(depth[: len(weights)], np.int64)
 
     def code_of(self, word: bytes) -> int:
-        """Row of a broadcast word; -1 - class of another."""
-        k = self.row.get(word)
-        return k if k is not None else -1 - self.single.get(word, zlib.crc32(word) % (CLASSES - SINGLE) + SINGLE)
+        """Row of a broadcast word; -1 of another."""
+        return self.row.get(word, -1)
+
+    def places(self, code: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """A 64-bit number per token that begins with its way; other words go on with their hash."""
+        other = self.leaf[-1] | (number >> U64(int(self.length[-1])))
+        return np.where(code >= 0, self.leaf[np.maximum(code, 0)], other)
+
+    def ways(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row and number of decisions of tokens by place."""
+        row = self.order[np.searchsorted(self.sorted_leaf, place, "right") - 1]
+        return row, self.length[row] + np.where(row == len(self.length) - 1, self.digits, 0)
+
+    def other_leaf(self, number: np.ndarray) -> np.ndarray:
+        """Of other words, the place that those with equal bits share."""
+        return _top(self.leaf[-1] | (number >> U64(int(self.length[-1]))), self.length[-1] + self.digits).view(np.int64)
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     """Totals, and the words whose count is high enough for at most ``HEAD`` to have it."""
-    per_class = {r["c"]: (r["n"], r["words"]) for r in counts.groupBy(_shared_class(F.col("word")).alias("c")).agg(
-        F.sum("n").alias("n"), F.count("*").alias("words")).collect()}
-    total, different = (sum(x[k] for x in per_class.values()) for k in (0, 1))
+    total, different = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     short = counts.filter(F.octet_length("word") <= LONGEST)
     level = F.floor(F.log2("n") * 16).cast("int")  # a few hundred levels at most
     levels = sorted(((r["l"], r["count"]) for r in short.groupBy(level.alias("l")).count().collect()), reverse=True)
@@ -124,85 +197,197 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
             break
         least, words = at, words + many
     head = [(bytes(r["word"]), r["n"]) for r in short.filter(level >= least).collect()]
-    return Vocabulary(head, total, different, per_class)
-
-
-class Tokens:
-    """Class and hash of the tokens of texts, and the feature rows of the words before them."""
-
-    def __init__(self, words: Vocabulary):
-        self.hashes = word_hashes()
-        self.codes = WordTable(words.code_of)
-        self.cls = words.cls if len(words.cls) else np.zeros(1, np.int64)
-
-    def of(self, texts: list) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Every token; code, class, feature rows (tokens x 3) and text number of each."""
-        split = [_words(t) for t in texts]
-        flat = [w for words in split for w in (*words, END)]
-        lengths = np.array([len(w) + 1 for w in split])
-        text = np.repeat(np.arange(len(split)), lengths)
-        place = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        number = hashed(flat, self.hashes)
-        one = np.where(place > 0, np.roll(number, 1), U64(1))
-        two = np.where(place > 1, np.roll(number, 2), U64(2))
-        rows = np.stack([mixed(one), mixed(two ^ U64(0x5851F42D4C957F2D)), mixed(one * U64(0x9E3779B97F4A7C15) + two)], 1) % U64(BUCKETS)
-        code = np.fromiter(map(self.codes.__getitem__, flat), np.int64, len(flat))
-        cls = np.where(code >= 0, self.cls[np.maximum(code, 0)], -1 - code)
-        return flat, code, cls, rows.astype(np.int64), text
-
-
-def softmax_logs(weights: np.ndarray, prior: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Log probabilities of the classes for each token (a row of feature rows)."""
-    z = weights[rows[:, 0]] + weights[rows[:, 1]]
-    z += weights[rows[:, 2]]
-    z += prior
-    z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
-    return z
-
-
-def train(docs: DataFrame, training: Column, words) -> np.ndarray:
-    """Feature weights after one pass over every training document, in ``ROUNDS`` averaged rounds."""
-    spark = docs.sparkSession
-    prior = words.value.prior.astype(np.float32)
-    weights = np.zeros((BUCKETS, CLASSES), np.float32)
-    met = np.zeros(BUCKETS)
-    columns = [f"d{k}" for k in range(CLASSES)]
-    schema = "bucket int, n double, " + ", ".join(f"{c} double" for c in columns)
-    for turn in range(ROUNDS):
-        start = spark.sparkContext.broadcast((weights, met))
+    return Vocabulary(head, total, different)
+
+
+def tokenized(docs: DataFrame, words) -> DataFrame:
+    """A row per chunk of documents: places of all tokens, and what else the scores need."""
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = words.value
+        hashes, codes = word_hashes(), WordTable(vocab.code_of)
+        key = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for part, texts in chunks(batch, limit=CHUNK):
+                split = [_words(t) for t in texts]
+                flat = [w for own in split for w in (*own, END)]
+                lengths = np.array([len(w) + 1 for w in split])
+                text = np.repeat(np.arange(len(split)), lengths)
+                number = hashed(flat, hashes)
+                code = np.fromiter(map(codes.__getitem__, flat), np.int64, len(flat))
+                inside = np.flatnonzero(code >= 0)
+                base = np.bincount(text[inside], vocab.base[code[inside]], minlength=len(texts))
+                outside = np.flatnonzero(code < 0)
+                leaf = vocab.other_leaf(number[outside]).tolist()
+                tail = Counter(zip(text[outside].tolist(), map(flat.__getitem__, outside.tolist()), leaf, strict=True))
+                rows = [{"key": key + k, "doc_id": d, "training": t, "held_out": h, "n_tokens": n, "n_known": i, "base": b}
+                        for k, (d, t, h, n, i, b) in enumerate(zip(
+                            part.column("doc_id").to_pylist(), part.column("training").to_pylist(), part.column("held_out").to_pylist(),
+                            lengths.tolist(), np.bincount(text[inside], minlength=len(texts)).tolist(), base.tolist(), strict=True))]
+                yield pa.RecordBatch.from_pydict({
+                    "chunk": pa.array([key], pa.int64()), "n": pa.array([len(flat)], pa.int64()),
+                    "place": pa.array([vocab.places(code, number).tobytes()], pa.binary()),
+                    "docs": pa.array([rows], pa.list_(DOC)),
+                    "tail": pa.array([[{"key": key + t, "word": w, "leaf": x, "tf": n} for (t, w, x), n in tail.items()]], pa.list_(TAIL))})
+                key += len(texts)
+
+    return stored(docs.mapInArrow(take, (
+        "chunk bigint, n bigint, place binary, "
+        "docs array<struct<key:bigint,doc_id:bigint,training:boolean,held_out:boolean,n_tokens:bigint,n_known:bigint,base:double>>, "
+        "tail array<struct<key:bigint,word:binary,leaf:bigint,tf:bigint>>")))
+
+
+DOC = pa.struct([("key", pa.int64()), ("doc_id", pa.int64()), ("training", pa.bool_()), ("held_out", pa.bool_()),
+                 ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64())])
+TAIL = pa.struct([("key", pa.int64()), ("word", pa.binary()), ("leaf", pa.int64()), ("tf", pa.int64())])
+
+
+class Contexts:
+    """The different contexts with a word of a chunk, ordered by part."""
+
+    def __init__(self, vocab: Vocabulary, place: np.ndarray, lengths: np.ndarray, training: np.ndarray, parts: int):
+        at = np.arange(len(place)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        self.row, self.decisions = vocab.ways(place)
+        leaf = _top(place, self.decisions)
+        one = mixed(np.where(at > 0, np.roll(place, 1), U64(1)))
+        two = mixed(np.where(at > 1, np.roll(place, 2), U64(2)) ^ U64(0x5851F42D4C957F2D))
+        context = np.concatenate([one, two, mixed(one * U64(0x9E3779B97F4A7C15) + two)])
+        leaf = np.tile(leaf, KINDS)
+        _, first, token = np.unique(mixed(context * U64(0x9E3779B97F4A7C15) + mixed(leaf)), return_index=True, return_inverse=True)
+        part = (context[first] % U64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        self.part, first = part[order], first[order]
+        self.context, self.leaf = context[first], leaf[first]
+        self.length = np.tile(self.decisions, KINDS)[first]
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        #: By kind and token, the row here.
+        self.of_token = rank[token].reshape(KINDS, len(place))
+        weight = np.tile(np.repeat(training, lengths), KINDS)
+        self.n = np.bincount(self.of_token.ravel(), weight, minlength=len(order)).astype(np.int32)
+
+
+def sums_along(tokens: DataFrame, words, parts: int) -> DataFrame:
+    """A row per chunk: for each kind of context and decision the sums of both sides (a byte each)."""
+
+    def read(place: bytes, docs: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, Contexts]:
+        place = np.frombuffer(place, U64)
+        lengths = np.array([d["n_tokens"] for d in docs])
+        training = np.array([bool(d["training"]) for d in docs], np.float64)
+        return place, lengths, training, Contexts(words.value, place, lengths, training, parts)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                found = read(row["place"], row["docs"])[-1]
+                part, begin = np.unique(found.part, return_index=True)
+                ends = zip(begin.tolist(), [*begin[1:].tolist(), len(found.part)], strict=True)
+                blobs = [(found.context[a:b].tobytes(), found.leaf[a:b].tobytes(), found.n[a:b].tobytes()) for a, b in ends]
+                yield pa.RecordBatch.from_pydict({
+                    "part": pa.array(part), "chunk": pa.array([row["chunk"]] * len(part), pa.int64()),
+                    **{name: pa.array([b[k] for b in blobs], pa.binary()) for k, name in enumerate(("context", "leaf", "n"))}})
+
+    def add(table: pa.Table) -> pa.Table:
+        vocab = words.value
+        column = lambda name, kind: [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
+        contexts = column("context", U64)
+        sizes = [len(x) for x in contexts]
+        context, leaf, n = np.concatenate(contexts), np.concatenate(column("leaf", U64)), np.concatenate(column("n", np.int32))
+        order = np.lexsort((leaf, context))
+        new = np.append(True, (np.diff(context[order]) != 0) | (np.diff(leaf[order]) != 0))
+        begin = np.flatnonzero(new)
+        which = np.empty(len(order), np.int64)
+        which[order] = np.cumsum(new) - 1
+        context, leaf, n = context[order][begin], leaf[order][begin], np.add.reduceat(n[order], begin, dtype=np.int64)
+        length = vocab.ways(leaf)[1]
+        offset = np.cumsum(length) - length
+        out = np.repeat(_levels(n) << 8, length).astype(np.uint16)
+        for depth, rows, side, both in along(context, leaf, n):
+            out[offset[rows] + depth] = _levels(side) << 8 | _levels(both - side)
+        ends = np.cumsum(sizes)
+        back = [out[_spread(offset[own], length[own])].tobytes() for own in (which[b - s : b] for b, s in zip(ends, sizes, strict=True))]
+        return pa.table({"chunk": table.column("chunk"), "part": table.column("part"), "sums": pa.array(back, pa.binary())})
+
+    def gather(own: pa.Table, back: pa.Table) -> pa.Table:
+        vocab = words.value
+        row = own.to_pylist()[0]
+        place, lengths, training, found = read(row["place"], row["docs"])
+        by_part = sorted(zip(back.column("part").to_pylist(), back.column("sums").to_pylist(), strict=True))
+        sums = np.frombuffer(b"".join(x for _, x in by_part), np.uint16)
+        offset = np.cumsum(found.length) - found.length
+        along_tokens = np.concatenate([sums[_spread(offset[of], found.decisions)] for of in found.of_token])
+        return pa.table({
+            "place": pa.array([row["place"]], pa.binary()), "sums": pa.array([along_tokens.tobytes()], pa.binary()),
+            "key": pa.array([[d["key"] for d in row["docs"]]], pa.list_(pa.int64())),
+            "lengths": pa.array([lengths.tolist()], pa.list_(pa.int64())),
+            "training": pa.array([training.astype(bool).tolist()], pa.list_(pa.bool_()))})
+
+    tokens = tokens.select("chunk", "place", "docs")
+    sent = tokens.mapInArrow(send, "part bigint, chunk bigint, context binary, leaf binary, n binary")
+    back = sent.groupBy("part").applyInArrow(add, "chunk bigint, part bigint, sums binary")
+    return stored(tokens.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(
+        gather, "place binary, sums binary, key array<bigint>, lengths array<bigint>, training array<boolean>"))
+
+
+def decisions(vocab: Vocabulary, row: dict, left_out: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For slices of a chunk: text of each decision, prior, and for each kind its odds and frequency."""
+    place, sums = np.frombuffer(row["place"], U64), np.frombuffer(row["sums"], np.uint16)
+    text = np.repeat(np.arange(len(row["lengths"])), row["lengths"])
+    training = np.array(row["training"], bool)
+    way, length = vocab.ways(place)
+    sums = sums.reshape(KINDS, -1)
+    ends = np.append(0, np.cumsum(length))
+    for a in range(0, len(place), STEP):
+        b = min(a + STEP, len(place))
+        many, of = length[a:b], way[a:b]
+        inside = vocab.length[of]
+        at = ends[a:b] - ends[a]
+        prior = np.zeros(ends[b] - ends[a], np.float32)
+        prior[_spread(at, inside)] = vocab.prior[_spread(vocab.offset[of], inside)]
+        own = np.repeat(text[a:b], many)
+        some = sums[:, ends[a] : ends[b]]
+        side, other = _SUMS[some >> 8], _SUMS[some & 255]
+        if left_out:
+            side = np.maximum(side - training[own], 0)
+        p = 1 / (1 + np.exp(-prior))
+        odds = np.log((side + p) / (other + 1 - p)) - prior
+        met = np.minimum(np.log2(side + other + 1), MET - 1).astype(np.int64)
+        yield own, prior, odds, met
+
+
+def fit(sums: DataFrame, words) -> np.ndarray:
+    """Factors by kind and frequency of contexts: Newton steps on the sums over every training token."""
+    spark, size = sums.sparkSession, KINDS * MET
+    factors = np.full(size, FACTOR)
+    for _ in range(ROUNDS):
+        start = spark.sparkContext.broadcast(factors)
 
         def steps(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
-            tokens = Tokens(words.value)
-            first, before = start.value
-            own, count = first.copy(), np.zeros(BUCKETS)
+            first, second = np.zeros(size), np.zeros((size, size))
             for batch in batches:
-                for _, texts in chunks(batch, limit=1 << 20):
-                    _, _, cls, rows, _ = tokens.of(texts)
-                    for at in range(0, len(cls), STEP):
-                        r, c = rows[at : at + STEP], cls[at : at + STEP]
-                        error = -np.exp(softmax_logs(own, prior, r))
-                        error[np.arange(len(c)), c] += 1
-                        flat = r.ravel()
-                        order = np.argsort(flat, kind="stable")
-                        bucket, begin, many = np.unique(flat[order], return_index=True, return_counts=True)
-                        change = np.add.reduceat(error[order // 3], begin, axis=0)
-                        count[bucket] += many
-                        own[bucket] += change * (RATE / np.sqrt(before[bucket] + count[bucket]) / np.sqrt(many))[:, None].astype(np.float32)
-            at = np.flatnonzero(count)
-            if len(at):
-                change = ((own - first)[at] * count[at, None]).astype(np.float64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(at.astype(np.int32)), pa.array(count[at]), *(pa.array(np.ascontiguousarray(change[:, k])) for k in range(CLASSES))],
-                    ["bucket", "n", *columns])
-
-        mine = docs.filter(training & (F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == turn)).select("text")
-        summed = mine.mapInArrow(steps, schema).groupBy("bucket").agg(*(F.sum(c).alias(c) for c in ["n", *columns])).toPandas()
-        at, n = summed["bucket"].to_numpy(), summed["n"].to_numpy()
-        weights[at] += (summed[columns].to_numpy() / n[:, None]).astype(np.float32)
-        met[at] += n
+                for row in batch.to_pylist():
+                    trained = np.array(row["training"], bool)
+                    for own, prior, odds, met in decisions(words.value, row, True):
+                        mine = trained[own]
+                        prior, odds, met = prior[mine], odds[:, mine], met[:, mine] + MET * np.arange(KINDS)[:, None]
+                        z = prior + (start.value[met] * odds).sum(0)
+                        miss = 1 / (1 + np.exp(np.clip(z, -60, 60)))
+                        for i in range(KINDS):
+                            first += np.bincount(met[i], miss * odds[i], size)
+                            for j in range(i, KINDS):
+                                part = np.bincount(met[i] * size + met[j], miss * (1 - miss) * odds[i] * odds[j], size * size).reshape(size, size)
+                                second += part if i == j else part + part.T
+            at = np.arange(size)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(first), *(pa.array(second[:, k].copy()) for k in at)], ["at", "first", *(f"s{k}" for k in at)])
+
+        columns = ["first", *(f"s{k}" for k in range(size))]
+        summed = sums.mapInArrow(steps, "at bigint, " + ", ".join(f"{c} double" for c in columns)).groupBy("at").agg(*(F.sum(c).alias(c) for c in columns)).toPandas().sort_values("at")
+        if len(summed):
+            slope = summed["first"].to_numpy() + RIDGE * (FACTOR - factors)
+            step = np.linalg.solve(summed[columns[1:]].to_numpy() + RIDGE * np.eye(size), slope)
+            factors = np.clip(factors + step, 0, HIGHEST)  # far from the optimum a Newton step may be too long
         start.unpersist()
-    return weights
+    return factors
 
 
 def scores(docs: DataFrame, training: Column, held_out: Column) -> DataFrame:
@@ -212,55 +397,41 @@ def scores(docs: DataFrame, training: Column, held_out: Column) -> DataFrame:
     counts = stored(token_counts(docs, F.col("training")))
     words = spark.sparkContext.broadcast(vocabulary(counts))
     known = words.value
-    weights = spark.sparkContext.broadcast(train(docs, F.col("training"), words))
+    tokens = tokenized(docs, words)
+    n = tokens.agg(F.sum("n")).first()[0] or 0
+    sums = sums_along(tokens, words, KINDS * n // PART + 1)
+    factors = spark.sparkContext.broadcast(fit(sums, words).reshape(KINDS, MET))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, w = words.value, weights.value
-        tokens, prior = Tokens(vocab), vocab.prior.astype(np.float32)
-        key = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for part, texts in chunks(batch, limit=1 << 20):
-                n = len(texts)
-                flat, code, cls, rows, text = tokens.of(texts)
-                model = np.zeros(n)
-                for at in range(0, len(cls), STEP):
-                    logs = softmax_logs(w, prior, rows[at : at + STEP])
-                    c, t = cls[at : at + STEP], text[at : at + STEP]
-                    model += np.bincount(t, logs[np.arange(len(c)), c], minlength=n)
-                inside = np.flatnonzero(code >= 0)
-                at, t = code[inside], text[inside]
-                base = np.bincount(t, vocab.base[at], minlength=n)
-                model = model / math.log(10) + np.bincount(t, vocab.within[at], minlength=n)
-                tails: list[dict] = [{} for _ in texts]
-                for i, t in zip((outside := np.flatnonzero(code < 0)).tolist(), text[outside].tolist(), strict=True):
-                    tails[t][flat[i]] = tails[t].get(flat[i], 0) + 1
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.arange(key, key + n)), part.column("doc_id"), part.column("held_out"),
-                    pa.array(np.bincount(text, minlength=n)), pa.array(np.bincount(text[inside], minlength=n)), pa.array(base), pa.array(model),
-                    pa.ListArray.from_arrays(
-                        pa.array(np.concatenate([[0], np.cumsum([len(x) for x in tails])]), pa.int32()),
-                        pa.StructArray.from_arrays([
-                            pa.array([x for tail in tails for x in tail], pa.binary()),
-                            pa.array([x for tail in tails for x in tail.values()], pa.int64())], ["word", "tf"])),
-                ], ["key", "doc_id", "held_out", "n_tokens", "n_known", "base", "model", "tail"])
-                key += n
-
-    schema = ("key bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, model double, "
-              "tail array<struct<word:binary,tf:bigint>>")
-    rows = stored(docs.mapInArrow(score, schema))
-    c = F.coalesce(F.col("n"), F.lit(0))
-    size = F.array(*(F.lit(float(x)) for x in known.class_total + known.class_words + 1))
-    is_single = F.col("word").isin([bytearray(w) for w in known.single])
-    within = F.when(is_single, F.lit(0.0)).otherwise(F.log10((c + 1) / F.get(size, _shared_class(F.col("word")))))
+            for row in batch.to_pylist():
+                model = np.zeros(len(row["key"]))
+                for own, prior, odds, met in decisions(words.value, row, False):
+                    z = prior + (factors.value[np.arange(KINDS)[:, None], met] * odds).sum(0)
+                    model -= np.bincount(own, np.logaddexp(0, -z), minlength=len(model))
+                yield pa.RecordBatch.from_arrays([pa.array(row["key"], pa.int64()), pa.array(model / math.log(10))], ["key", "model"])
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab, hashes = words.value, word_hashes()
+        for batch in batches:
+            rows = [(w, c) for w, c in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True) if w not in vocab.row]
+            number = hashed([w for w, _ in rows], hashes)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([w for w, _ in rows], pa.binary()), pa.array([c for _, c in rows], pa.int64()), pa.array(vocab.other_leaf(number))], ["word", "n", "leaf"])
+
+    rare = counts.select("word", "n").mapInArrow(others, "word binary, n bigint, leaf bigint")
+    leaves = rare.groupBy("leaf").agg((F.sum("n") + F.count("*")).alias("size"))
+    c, size = F.coalesce(F.col("n"), F.lit(0)), F.coalesce(F.col("size"), F.lit(0))
     tail = (
-        rows.select("key", F.explode("tail").alias("t")).select("key", "t.word", "t.tf")
-        .join(counts, "word", "left")
+        tokens.select(F.explode("tail").alias("t")).select("t.*")
+        .join(rare.drop("leaf"), "word", "left").join(leaves, "leaf", "left")
         .select("key", (F.col("tf") * F.log10((c + 1) / F.lit(float(known.total + known.different + 1)))).alias("base"),
-                (F.col("tf") * within).alias("model"), F.when(c > 0, F.col("tf")).otherwise(0).alias("known"))
+                (F.col("tf") * F.log10((c + 1) / (size + 1))).alias("model"), F.when(c > 0, F.col("tf")).otherwise(0).alias("known"))
         .groupBy("key").agg(F.sum("base").alias("tail_base"), F.sum("model").alias("tail_model"), F.sum("known").alias("tail_known"))
     )
+    model = sums.mapInArrow(score, "key bigint, model double")
     zero = F.lit(0.0)
-    return rows.drop("tail").join(tail, "key", "left").select(
+    return tokens.select(F.explode("docs").alias("d")).select("d.*").join(model, "key").join(tail, "key", "left").select(
         "doc_id", "held_out", "n_tokens",
         (F.col("n_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
         F.lit(known.total).cast("bigint").alias("train_tokens"),

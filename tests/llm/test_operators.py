@@ -278,6 +278,46 @@ def test_language_model_base_and_sum(docs, rows, nothing, monkeypatch):
     assert maxent.scores(nothing, ~held, held).count() == 0
 
 
+def test_language_model_learns_every_context(spark, monkeypatch):
+    # Far more pairs than there are words in any fixed list, and every one tells its second word.
+    pairs = [(k, f"a{k} b{k * 7 % 400}") for k in range(400)]
+    kept = [(1000 * n + k, t) for n in range(4) for k, t in pairs]
+    asked = [(-1 - k, t) for k, t in pairs] + [(-1001 - k, f"a{k} b{(k * 7 + 1) % 400}") for k, _ in pairs]
+    for head in (200_000, 40):  # words in the tree, and words below its last leaf
+        monkeypatch.setattr(maxent, "HEAD", head)
+        monkeypatch.setattr(maxent, "PART", 500)
+        both = spark.createDataFrame(kept + asked, "doc_id bigint, text string").repartition(3)
+        found = {r["doc_id"]: r["score"] for r in maxent.scores(both, F.col("doc_id") >= 0, F.col("doc_id") < 0).collect()}
+        assert len(found) == len(kept + asked)
+        gain = [found[-1 - k] - found[-1001 - k] for k, _ in pairs]
+        assert min(gain) > 0
+        assert np.mean(gain) > 1
+        # The right second word is nearly sure: what is left is the first of 400 words.
+        assert np.mean([found[-1 - k] for k, _ in pairs]) > -3.6
+
+
+def test_sums_along_the_tree():
+    rng = random.Random(8)
+    head = [(f"w{k}".encode(), rng.randrange(1, 500)) for k in range(50)]
+    vocab = maxent.Vocabulary(head, sum(n for _, n in head) + 7, 53)
+    weight = np.array([vocab.total - sum(n for _, n in head) + 1 if k == 50 else dict(head)[w] + 1 for w, k in [*vocab.row.items(), (None, 50)]])
+    for k in range(51):  # the decisions multiply to the share of the word
+        prior = vocab.prior[vocab.offset[k] : vocab.offset[k] + vocab.length[k]]
+        assert np.prod(1 / (1 + np.exp(-prior.astype(float)))) == pytest.approx(weight[k] / weight.sum(), rel=1e-4)
+    rows = sorted({(rng.randrange(5), int(vocab.leaf[rng.randrange(51)])) for _ in range(90)})
+    context, leaf, n = np.array([c for c, _ in rows], np.uint64), np.array([x for _, x in rows], np.uint64), np.array([rng.randrange(4) for _ in rows])
+    seen = set()
+    for depth, own, side, both in maxent.along(context, leaf, n):
+        for r, s, b in zip(own.tolist(), side.tolist(), both.tolist(), strict=True):
+            same = [sum(int(m) for (c, x), m in zip(rows, n, strict=True) if c == rows[r][0] and x >> (64 - d) == rows[r][1] >> (64 - d)) for d in (depth + 1, depth)]
+            assert [s, b] == same
+            seen.add((depth, r))
+    for r, (c, x) in enumerate(rows):  # nothing is skipped while other leaves are below
+        for d in range(64):
+            if sum(c == e and x >> (64 - d) == y >> (64 - d) for e, y in rows) > 1:
+                assert (d, r) in seen
+
+
 def test_language_identification(spark, docs, nothing):
     real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
     held = id_remainder("doc_id", 4) == 2
