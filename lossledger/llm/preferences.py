@@ -14,19 +14,24 @@ differ. A turn list is one record of training data, as long as its conversation.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: How a turn is rendered.
 OPEN, MIDDLE, CLOSE = "<|", "|>\n", "\n"
 TRAINED = "assistant"
 
 
-def turn_lists(turns: DataFrame) -> DataFrame:
-    """(conv_id, turns): the turns of each conversation in order, as (role, text)."""
+def turn_lists(turns: DataFrame, nameless: bool = False) -> DataFrame:
+    """(conv_id, turns): the turns of each conversation in order, as (role, text).
+
+    With ``nameless`` the turns without an id are one conversation, too; else they are left out.
+    """
     text = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     return (
-        turns.filter("conv_id IS NOT NULL").groupBy("conv_id").agg(F.sort_array(F.collect_list(text)).alias("turns"))
+        turns.filter(F.lit(nameless) | F.col("conv_id").isNotNull()).groupBy("conv_id").agg(F.sort_array(F.collect_list(text)).alias("turns"))
         .select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
     )
 
@@ -82,3 +87,24 @@ def neighbour_pairs(conversations: DataFrame) -> DataFrame:
     return lists.join(other, "conv_id").select(
         F.col("conv_id").alias("pair_id"), F.slice("turns", 1, F.col("last") + 1).alias("chosen"),
         F.concat(F.slice("turns", 1, F.col("last")), F.array("answer")).alias("rejected"))
+
+
+def whole_pairs(conversations: DataFrame) -> DataFrame:
+    """Pairs of whole conversations, one for each: it is chosen over the next in order of ids, the last
+    over the first. Where there is no other, the rejected side is empty, so the pair is not usable.
+
+    The next id is found inside ranges of ids, which are even because ids are unique here; the first id
+    of each range is all that the driver sees.
+    """
+    key = F.struct(F.col("conv_id").isNotNull().alias("named"), F.coalesce(F.col("conv_id").cast("bigint"), F.lit(0)).alias("id"))
+    lists = stored(turn_lists(conversations, nameless=True).withColumn("key", key))
+    ids = stored(lists.select("key").repartitionByRange("key").select("key", F.spark_partition_id().alias("range")))
+    firsts = sorted((r["range"], tuple(r["first"])) for r in ids.groupBy("range").agg(F.min("key").alias("first")).collect())
+    after = lists.sparkSession.createDataFrame(
+        [(at, firsts[(k + 1) % len(firsts)][1]) for k, (at, _) in enumerate(firsts)], "range int, first struct<named:boolean,id:bigint>")
+    following = F.lead("key").over(Window.partitionBy("range").orderBy("key"))
+    partners = ids.withColumn("next", following).join(after, "range").select("key", F.coalesce("next", "first").alias("partner"))
+    other = lists.select(F.col("key").alias("partner"), F.col("turns").alias("other"))
+    return lists.join(partners, "key").join(other, "partner").select(
+        F.col("conv_id").alias("pair_id"), F.col("turns").alias("chosen"),
+        F.when(F.col("key") != F.col("partner"), F.col("other")).otherwise(F.slice("turns", 1, 0)).alias("rejected"))

@@ -143,10 +143,8 @@ def op1_token_counts(spark: SparkSession, path: str) -> DataFrame:
     return token_counts.counted(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
-@registered
-def op8_preference_formatting(spark: SparkSession, path: str) -> DataFrame:
-    """Every conversation against its begin with a neighbour's answer: prompt, completions and masks."""
-    pairs = preferences.formatted(preferences.neighbour_pairs(table(spark, path, "conversations")))
+def _preference_rows(pairs: DataFrame) -> DataFrame:
+    pairs = preferences.formatted(pairs)
 
     def spans(mask: str):
         return F.array_join(F.transform(mask, lambda s: F.concat(s["begin"].cast("string"), F.lit("-"), s["end"].cast("string"))), ",")
@@ -155,6 +153,18 @@ def op8_preference_formatting(spark: SparkSession, path: str) -> DataFrame:
                         spans("chosen_mask").alias("chosen_mask"), spans("rejected_mask").alias("rejected_mask"), "usable")
 
 
+@registered
+def op8_preference_formatting(spark: SparkSession, path: str) -> DataFrame:
+    """Conversations with an answer against their begin with a neighbour's answer: prompt, completions and masks."""
+    return _preference_rows(preferences.neighbour_pairs(table(spark, path, "conversations")))
+
+
+@registered
+def op8_whole_conversations(spark: SparkSession, path: str) -> DataFrame:
+    """Every whole conversation against the next one: prompt, completions and masks."""
+    return _preference_rows(preferences.whole_pairs(table(spark, path, "conversations")))
+
+
 SQL["op8_preference_formatting"] = r"""
 WITH turns AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,

@@ -374,3 +374,25 @@ def test_preferences(spark):
     assert found[3]["prefix_turns"] == 0
     assert (found[4]["prefix_turns"], found[4]["chosen_text"]) == (1, "")
     assert preferences.neighbour_pairs(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")).count() == 0
+
+
+def test_whole_conversations(spark):
+    # Sparse ids, none beside another; no answer, turns after the last answer, no id.
+    turns = [(10, 0, "user", "Q"), (10, 1, "assistant", "yes"), (10, 2, "user", "thanks"), (30, 0, "user", "Q"), (30, 1, "assistant", "no"),
+             (30, 2, "user", "why"), (70, 0, "user", "alone"), (None, 0, "assistant", "x")]
+    schema = "conv_id bigint, turn bigint, role string, text string"
+    found = {r["pair_id"]: r for r in preferences.formatted(preferences.whole_pairs(spark.createDataFrame(turns, schema))).collect()}
+    assert set(found) == {10, 30, 70, None}
+    assert (found[10]["prefix_turns"], found[10]["prompt"]) == (1, "<|user|>\nQ\n")
+    assert found[10]["chosen_text"] == "<|assistant|>\nyes\n<|user|>\nthanks\n"
+    assert found[10]["rejected_text"] == "<|assistant|>\nno\n<|user|>\nwhy\n"
+    assert {k: r["usable"] for k, r in found.items()} == {10: True, 30: False, 70: False, None: True}
+    assert found[70]["rejected_text"] == "<|assistant|>\nx\n"
+    # Every conversation is chosen once and rejected once, over any number of ranges, and all turns are there.
+    real = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").withColumn("conv_id", F.col("conv_id") * 5)
+    pairs = preferences.whole_pairs(real)
+    assert pairs.count() == pairs.select("pair_id").distinct().count() == real.select("conv_id").distinct().count()
+    assert tuple(pairs.agg(F.sum(F.size("chosen")), F.sum(F.size("rejected"))).first()) == (real.count(), real.count())
+    one = preferences.formatted(preferences.whole_pairs(real.filter("conv_id = 5"))).collect()
+    assert [(r["pair_id"], r["rejected_text"], r["usable"]) for r in one] == [(5, "", False)]
+    assert preferences.whole_pairs(real.limit(0)).count() == 0
