@@ -4,20 +4,21 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from ..functions import fixed_values as fixed
 from ..functions.text import one_per_row, tokens
+from . import blocks
 
 # Scores are added as whole millionths.
 MILLION = 1_000_000
-# Query vectors that one pass over the documents answers.
-VECTOR_BLOCK = 1_000
+# Query vectors in a block.
+QUERY_ROWS = 256
 
 
 def in_dates(docs: DataFrame, date: str, begin: str, end: str) -> DataFrame:
@@ -89,13 +90,6 @@ def bm25(
     return _ranked(scored, doc, k)
 
 
-def unit(vector: Column) -> Column:
-    """The vector divided by its length, in double precision; a zero vector stays zero."""
-    wide = F.transform(vector, lambda x: x.cast("double"))
-    length = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda total, x: total + x * x))
-    return F.transform(wide, lambda x: F.coalesce(F.try_divide(x, length), F.lit(0.0)))
-
-
 def inner_product(a: Column, b: Column) -> Column:
     return F.aggregate(
         F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")),
@@ -104,84 +98,73 @@ def inner_product(a: Column, b: Column) -> Column:
     )
 
 
-def query_vectors(queries: DataFrame, vector: str) -> list[tuple[int, list[float]]]:
-    """The vectors that are asked for, on the driver; the searched collection stays where it is."""
-    rows = queries.select("query_id", F.col(vector).alias("v")).collect()
-    return [(r["query_id"], list(r["v"])) for r in rows]
-
-
 def _unit_rows(matrix: np.ndarray) -> np.ndarray:
     lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
     return np.divide(matrix, lengths, out=np.zeros_like(matrix), where=lengths > 0)
 
 
+def _kind(df: DataFrame, vector: str) -> str:
+    return "<f4" if isinstance(df.schema[vector].dataType.elementType, FloatType) else "<f8"
+
+
 def dense_top_k(
     docs: DataFrame,
     doc: str,
     vector: str,
-    queries: list[tuple[int, list[float]]],
+    queries: DataFrame,
     k: int = fixed.DENSE_DEPTH,
     threshold: float | None = None,
     cosine: bool = False,
+    query_vector: str = "vector",
+    query_rows: int = QUERY_ROWS,
 ) -> DataFrame:
-    """Exact top k documents per query by inner product, or by cosine.
+    """Exact top k documents per query by inner product, or by cosine: ``(query_id, doc, score, rank)``.
 
-    Each task multiplies its documents with a block of query vectors and hands on its own best
-    k per query; those are ranked across tasks. Any number of queries is answered, with one
-    pass over the documents per ``VECTOR_BLOCK`` of them. Results are
-    ``(query_id, doc, score, rank)``.
+    ``queries`` has ``query_id`` and ``query_vector`` and any number of rows. Blocks of queries meet
+    blocks of documents; the product of two blocks is one matrix product. Of each query a task hands
+    on its best k, ties at the last place by id, and those are ranked across tasks. A document or
+    query without a vector finds nothing; of vectors of unequal length the common part counts.
     """
     doc_type = docs.schema[doc].dataType.simpleString()
-    if not queries:
-        return docs.sparkSession.createDataFrame(
-            [], f"query_id bigint, {doc} {doc_type}, score double, rank int"
-        )
+    query_type = queries.schema["query_id"].dataType.simpleString()
+    kinds = _kind(queries, query_vector), _kind(docs, vector)
+    asked = blocks.pack(
+        queries.filter(F.col(query_vector).isNotNull()).select("query_id", F.col(query_vector).alias("vector")),
+        "vector", query_rows,
+    )
+    searched = blocks.pack(
+        docs.filter(F.col(vector).isNotNull()).select(F.col(doc).alias("doc"), F.col(vector).alias("vector")), "vector"
+    )
 
-    def pass_over(asked: list[tuple[int, list[float]]]) -> DataFrame:
-        ids = np.array([q for q, _ in asked], dtype=np.int64)
-        matrix = np.array([v for _, v in asked], dtype=np.float64)
-        if cosine:
-            matrix = _unit_rows(matrix)
-
-        def best_of_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            kept: list[pd.DataFrame | None] = [None] * len(ids)
-            for batch in batches:
-                if batch.empty:
-                    continue
-                vectors = np.stack(batch[vector].to_numpy()).astype(np.float64)
+    def best_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for first, run in blocks.per_asked_block(batches):
+            ids = first["asked_query_id"].values
+            wanted = blocks.vectors_of(first["asked_vector"].as_py(), len(ids), kinds[0]).astype(np.float64)
+            if cosine:
+                wanted = _unit_rows(wanted)
+            best = blocks.RunningBest(k)
+            for row in run:
+                names = row["doc"].values.to_numpy(zero_copy_only=False)
+                vectors = blocks.vectors_of(row["vector"].as_py(), len(names), kinds[1]).astype(np.float64)
                 if cosine:
                     vectors = _unit_rows(vectors)
-                scores, names = np.round(vectors @ matrix.T, 6), batch[doc].to_numpy()
-                for i in range(len(ids)):
-                    own = scores[:, i]
-                    least = -np.inf if threshold is None else threshold
-                    if len(own) > k:  # only scores up to the k-th best, ties included, are sorted
-                        least = max(least, np.partition(own, -k)[-k])
-                    near = np.flatnonzero(own >= least)
-                    rows = pd.DataFrame({doc: names[near], "score": own[near]})
-                    if kept[i] is not None:
-                        rows = pd.concat([kept[i], rows])
-                    kept[i] = rows.sort_values(["score", doc], ascending=[False, True]).head(k)
-            for i, rows in enumerate(kept):
-                if rows is not None and len(rows):
-                    yield rows.assign(query_id=ids[i])[["query_id", doc, "score"]]
-
-        return docs.select(doc, vector).mapInPandas(
-            best_of_task, f"query_id bigint, {doc} {doc_type}, score double"
-        )
-
-    passes = [pass_over(queries[at : at + VECTOR_BLOCK]) for at in range(0, len(queries), VECTOR_BLOCK)]
-    return _ranked(reduce(DataFrame.unionByName, passes), doc, k)
-
-
-def nearest(docs: DataFrame, doc: str, vector: str, query: list[float], k: int) -> DataFrame:
-    """One query vector: a score column and a distributed top-k, all in the JVM."""
-    literal = F.array(*[F.lit(float(x)) for x in query])
-    return (
-        docs.select(doc, F.round(inner_product(F.col(vector), literal), 6).alias("score"))
-        .orderBy(F.desc("score"), F.asc(doc))
-        .limit(k)
+                common = min(wanted.shape[1], vectors.shape[1])
+                scores = np.round(wanted[:, :common] @ vectors[:, :common].T, 6)
+                near = np.ones(scores.shape, bool) if threshold is None else scores >= threshold
+                if len(names) > k:  # only scores up to the k-th best, ties included, are sorted
+                    near &= scores >= np.partition(scores, -k, axis=1)[:, -k:][:, :1]
+                query, at = np.nonzero(near)
+                best.add(query, scores[query, at], names[at])
+            query, score, name = best.taken()
+            yield pa.RecordBatch.from_arrays(
+                [ids.take(pa.array(query)), pa.array(name, row["doc"].type.value_type), pa.array(score)],
+                names=["query_id", doc, "score"],
+            )
+
+    near = blocks.meet(asked, searched).mapInArrow(
+        best_of_task, f"query_id {query_type}, {doc} {doc_type}, score double"
     )
+    return _ranked(near, doc, k)
 
 
 def fuse(

@@ -67,8 +67,7 @@ _LENGTH = "sqrt(list_sum(list_transform({a}, lambda x: x::DOUBLE * x::DOUBLE)))"
         SELECT query_id, vec_id AS doc_id, ROUND({_DOT.format(a='embedding', b='vector')}, 6) AS score FROM embeddings, centroids)
     SELECT query_id, doc_id AS vec_id, score, {_rank(100).format('dense')}""")
 def dense_top_k(v):
-    queries = search.query_vectors(_centroids(v), "vector")
-    return search.dense_top_k(v.embeddings, "vec_id", "embedding", queries, k=100)
+    return search.dense_top_k(v.embeddings, "vec_id", "embedding", _centroids(v), k=100)
 
 
 @query("i2_nearest_to_mean", f"""
@@ -80,8 +79,9 @@ def dense_top_k(v):
 def nearest_to_mean(v):
     parts = v.embeddings.select(F.posexplode("embedding").alias("pos", "x"))
     means = parts.groupBy("pos").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("x"))
-    mean = [r["x"] for r in means.orderBy("pos").collect()]
-    return search.nearest(v.embeddings, "vec_id", "embedding", mean, 50)
+    packed = means.agg(F.sort_array(F.collect_list(F.struct("pos", "x"))).alias("v"))
+    asked = packed.select(F.lit(0).cast("bigint").alias("query_id"), F.col("v.x").alias("vector"))
+    return search.dense_top_k(v.embeddings, "vec_id", "embedding", asked, k=50).select("vec_id", "score")
 
 
 @query("i3_subset_cosine", f"""
@@ -93,8 +93,7 @@ def nearest_to_mean(v):
 def subset_cosine(v):
     ids = v.labels.filter("quality = 1").select(F.col("doc_id").alias("vec_id"))
     docs = search.restrict_to(v.embeddings, ids, "vec_id")
-    queries = search.query_vectors(_centroids(v), "vector")
-    return search.dense_top_k(docs, "vec_id", "embedding", queries, k=50, threshold=0.4, cosine=True)
+    return search.dense_top_k(docs, "vec_id", "embedding", _centroids(v), k=50, threshold=0.4, cosine=True)
 
 
 _DATED = "(SELECT d.*, strftime(o_orderdate, '%Y-%m-%d') AS day FROM documents d LEFT JOIN orders ON o_orderkey = doc_id)"
@@ -126,7 +125,7 @@ def bm25_in_dates(v):
 def dense_in_dates(v):
     days = v.orders.select(F.col("o_orderkey").alias("vec_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
     docs = search.in_dates(v.embeddings.join(days, "vec_id"), "day", "1996-01-01", "1998-12-31")
-    return search.dense_top_k(docs, "vec_id", "embedding", search.query_vectors(_centroids(v), "vector"), k=20)
+    return search.dense_top_k(docs, "vec_id", "embedding", _centroids(v), k=20)
 
 
 def _fused(v, k, dates=None):
@@ -137,7 +136,7 @@ def _fused(v, k, dates=None):
         docs, allowed = _dated(v), F.col("day").between(*dates)
         vectors = search.in_dates(vectors.join(_days(v), "doc_id"), "day", *dates)
     lexical = search.bm25(docs, "doc_id", "text", _queries(v), "query_text", allowed=allowed)
-    dense = search.dense_top_k(vectors, "doc_id", "embedding", search.query_vectors(_centroids(v), "vector"))
+    dense = search.dense_top_k(vectors, "doc_id", "embedding", _centroids(v))
     return search.fuse(lexical, dense, "doc_id", k)
 
 
@@ -180,16 +179,14 @@ _COSINES = f"""{_CENTROIDS}, dense AS (
     FROM (SELECT *, MAX(score) OVER (PARTITION BY query_id) AS best FROM ranked)
     WHERE CASE WHEN best >= 0.62 THEN score >= 0.62 ELSE rank <= 5 END""")
 def cut_by_threshold(v):
-    queries = search.query_vectors(_centroids(v), "vector")
-    ranked = search.dense_top_k(v.embeddings, "vec_id", "embedding", queries, k=50, cosine=True)
+    ranked = search.dense_top_k(v.embeddings, "vec_id", "embedding", _centroids(v), k=50, cosine=True)
     return search.cut(ranked, threshold=0.62, default_k=5)
 
 
 @query("i8_cut_by_count", f"""
     WITH {_COSINES} SELECT query_id, doc_id AS vec_id, score, rank FROM ranked WHERE rank <= 7""")
 def cut_by_count(v):
-    queries = search.query_vectors(_centroids(v), "vector")
-    ranked = search.dense_top_k(v.embeddings, "vec_id", "embedding", queries, k=50, cosine=True)
+    ranked = search.dense_top_k(v.embeddings, "vec_id", "embedding", _centroids(v), k=50, cosine=True)
     return search.cut(ranked, top_k=7)
 
 

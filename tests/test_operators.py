@@ -11,6 +11,7 @@ from lossledger.functions import money, text as tx
 from lossledger.functions.predicates import status_in
 from lossledger.operators import (
     aggregates,
+    blocks,
     catalog,
     credit,
     filters,
@@ -311,24 +312,54 @@ def test_bm25_against_formula(spark):
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 2e-6 for i in want)
 
 
-def test_dense_against_numpy(spark):
+def by_rank(rows, query):
+    return [(r["d"], r["score"]) for r in sorted((r for r in rows if r["query_id"] == query), key=lambda r: r["rank"])]
+
+
+@pytest.mark.parametrize("cosine", [False, True])
+def test_dense_against_numpy(spark, cosine):
     rnd = np.random.default_rng(5)
-    vectors, asked = rnd.normal(size=(400, 8)), rnd.normal(size=(3, 8))
+    vectors, asked = rnd.normal(size=(400, 8)), rnd.normal(size=(23, 8))
+    vectors[100:140] = vectors[3]  # ties within and across blocks
     df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "d long, v array<double>").repartition(5)
-    got = search.dense_top_k(df, "d", "v", [(i, list(q)) for i, q in enumerate(asked)], k=7).collect()
+    queries = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(asked)], "query_id long, vector array<double>")
+    got = search.dense_top_k(df, "d", "v", queries.repartition(3), k=7, cosine=cosine, query_rows=4).collect()
     for i, q in enumerate(asked):
-        order = sorted(range(400), key=lambda j: (-round(float(vectors[j] @ q), 6), j))[:7]
-        assert [r["d"] for r in sorted((r for r in got if r["query_id"] == i), key=lambda r: r["rank"])] == order
-    near = search.nearest(df, "d", "v", list(asked[0]), 7)
-    assert [r["d"] for r in near.collect()] == [r["d"] for r in sorted((r for r in got if r["query_id"] == 0), key=lambda r: r["rank"])]
-
-
-def test_more_queries_than_one_pass_answers(spark):
-    n = search.VECTOR_BLOCK + 200
-    df = spark.createDataFrame([(i, [float(i % 5), 1.0]) for i in range(40)], "d long, v array<double>")
-    got = search.dense_top_k(df, "d", "v", [(q, [1.0, 0.0]) for q in range(n)], k=2).collect()
+        scores = vectors @ q
+        if cosine:
+            scores = scores / np.linalg.norm(vectors, axis=1) / np.linalg.norm(q)
+        order = sorted(range(400), key=lambda j: (-round(float(scores[j]), 6), j))[:7]
+        assert by_rank(got, i) == [(j, pytest.approx(scores[j], abs=2e-6)) for j in order]
+
+
+def test_dense_with_a_threshold_text_ids_and_missing_vectors(spark):
+    rows = [("a", [1.0, 0.0]), ("b", [0.5]), ("c", None), ("d", [0.0, 0.0]), ("e", [2.0, 2.0])]
+    df = spark.createDataFrame(rows, "d string, v array<float>")
+    queries = spark.createDataFrame([("q", [1.0, 0.0]), ("none", None), ("low", [-1.0, 0.0])], "query_id string, vector array<float>")
+    got = search.dense_top_k(df, "d", "v", queries, k=9, threshold=0.5).collect()
+    assert by_rank(got, "q") == [("e", 2.0), ("a", 1.0), ("b", 0.5)] and len(got) == 3
+    assert search.dense_top_k(df.filter("d > 'z'"), "d", "v", queries, k=9).count() == 0
+    assert search.dense_top_k(df, "d", "v", queries.filter("query_id > 'z'"), k=9).count() == 0
+
+
+def test_many_queries_meet_every_document_once(spark):
+    df = spark.createDataFrame([(i, [float(i % 5), 1.0]) for i in range(40)], "d long, v array<double>").repartition(3)
+    queries = spark.range(1_200).select(F.col("id").alias("query_id"), F.array(F.lit(1.0), F.lit(0.0)).alias("vector"))
+    got = search.dense_top_k(df, "d", "v", queries, k=2).collect()
     # Ties at the highest score: the smallest ids.
-    assert len(got) == 2 * n and {r["d"] for r in got} == {4, 9}
+    assert len(got) == 2 * 1_200 and {r["d"] for r in got} == {4, 9}
+
+
+def test_running_best_merges_like_one_sort():
+    rnd = np.random.default_rng(6)
+    query, score, ident = rnd.integers(0, 30, 400_000), rnd.integers(0, 50, 400_000), rnd.permutation(400_000)
+    running = blocks.RunningBest(5)
+    for part in np.array_split(np.arange(400_000), 40):
+        running.add(query[part], score[part], ident[part])
+    kept = blocks.best_k(query, score, ident, 5)
+    for have, want in zip(running.taken(), (query[kept], score[kept], ident[kept]), strict=True):
+        assert (have == want).all()
+    assert len(running.parts) < 40 and len(kept) == 150
 
 
 def test_a_query_without_words_keeps_every_row(spark):
