@@ -39,10 +39,15 @@ def matrix(lists: pa.Array, kind: str) -> np.ndarray:
     return out
 
 
+def kind_of(df: DataFrame, vector: str) -> str:
+    """Number format in which the vectors of a column are packed."""
+    return "<f4" if isinstance(df.schema[vector].dataType.elementType, FloatType) else "<f8"
+
+
 def pack(df: DataFrame, vector: str, rows: int = ROWS) -> DataFrame:
     """Blocks of consecutive rows of a partition: their number ``block``, their ``rows``, the vectors as
     one binary matrix, and every other column as an array."""
-    kind = "<f4" if isinstance(df.schema[vector].dataType.elementType, FloatType) else "<f8"
+    kind = kind_of(df, vector)
     others = [f for f in df.schema.fields if f.name != vector]
     schema = StructType([
         StructField("rows", IntegerType()),

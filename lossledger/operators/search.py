@@ -9,7 +9,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import FloatType
 
 from ..functions import fixed_values as fixed
 from ..functions.text import one_per_row, tokens
@@ -103,10 +102,6 @@ def _unit_rows(matrix: np.ndarray) -> np.ndarray:
     return np.divide(matrix, lengths, out=np.zeros_like(matrix), where=lengths > 0)
 
 
-def _kind(df: DataFrame, vector: str) -> str:
-    return "<f4" if isinstance(df.schema[vector].dataType.elementType, FloatType) else "<f8"
-
-
 def dense_top_k(
     docs: DataFrame,
     doc: str,
@@ -127,7 +122,7 @@ def dense_top_k(
     """
     doc_type = docs.schema[doc].dataType.simpleString()
     query_type = queries.schema["query_id"].dataType.simpleString()
-    kinds = _kind(queries, query_vector), _kind(docs, vector)
+    kinds = blocks.kind_of(queries, query_vector), blocks.kind_of(docs, vector)
     asked = blocks.pack(
         queries.filter(F.col(query_vector).isNotNull()).select("query_id", F.col(query_vector).alias("vector")),
         "vector", query_rows,
