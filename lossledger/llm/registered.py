@@ -11,6 +11,7 @@ from . import (
     language,
     maxent,
     neardup,
+    negatives,
     packing,
     preferences,
     quality,
@@ -206,3 +207,34 @@ def op4_toxicity(spark: SparkSession, path: str) -> DataFrame:
     network = toxicity.fitted(docs, table(spark, path, "labels"), ~held_out)
     return toxicity.scored(docs, network).select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@registered
+def op13_hard_negatives(spark: SparkSession, path: str) -> DataFrame:
+    """For each anchor's five best rows of its label, the best rows of other labels just below them."""
+    mislabelled = F.col("vec_id") % 7 == 0
+    label = F.when(mislabelled, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mined(
+        table(spark, path, "embeddings"), "vec_id", label, "embedding", F.col("vec_id") % 100 == 0)
+
+
+SQL["op13_hard_negatives"] = r"""
+WITH kept AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+           CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+    FROM kept a JOIN kept b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), positives AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM pairs WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN pairs USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score QUALIFY rank <= 5
+"""
