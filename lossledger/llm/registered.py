@@ -7,11 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    codes,
     decontaminate,
     language,
     maxent,
     neardup,
     negatives,
+    neighbours,
     packing,
     preferences,
     quality,
@@ -209,6 +211,19 @@ def op4_toxicity(spark: SparkSession, path: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@registered
+def op11_vector_codes(spark: SparkSession, path: str) -> DataFrame:
+    """Codes and errors of every vector under codebooks fitted to all of them."""
+    return codes.digests(table(spark, path, "embeddings"), "vec_id", "embedding", "label")
+
+
+@registered
+def op12_nearest_neighbours(spark: SparkSession, path: str) -> DataFrame:
+    """The five nearest rows by cosine of every row whose id is divisible by 50."""
+    found = neighbours.nearest(table(spark, path, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 50 == 0)
+    return found.withColumnRenamed("id", "vec_id")
+
+
 @registered
 def op13_hard_negatives(spark: SparkSession, path: str) -> DataFrame:
     """For each anchor's five best rows of its label, the best rows of other labels just below them."""
