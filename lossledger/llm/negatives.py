@@ -13,14 +13,15 @@ are ranked across tasks; anchors are the stated query set, never collected.
 Defined results: rows without an id, label or vector, or with a null or non-finite component, take no
 part. Vectors of unequal length count as filled up with zeros, an empty one scores 0. A row is never its
 own positive or negative, but another row with the same id may be; equal rows stay separate. Ties go to
-the smaller id. An anchor without positives or negatives in its windows has no row. Whole numbers are
-exact at any size; a score that does not fit 64 bits is held at the end of the range. An empty table
-gives an empty result.
+the smaller id. An anchor without positives or negatives in its windows has no row. Scores are exact and
+compared as whole numbers of up to 38 digits, and shown as 64-bit numbers; beyond, they are held at the
+end of the range. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..operators import blocks
 from .common import stored
-from .vectors import EXACT, as_longs, exact_ints, largest, scaled, usable
+from .vectors import EXACT, LONG, exact_ints, largest, scaled, usable
 
 #: Anchors in a block; its spanning tree is built from all their distances.
 ANCHORS = 256
@@ -40,6 +41,9 @@ PAIRS = 100_000
 #: Signs of so many leading components order the anchors, so that a block holds near ones.
 SIGNS = 32
 
+#: Scores on their way: whole numbers of up to 38 digits.
+DIGITS, MOST = pa.decimal128(38, 0), 10**38 - 1
+
 Level = tuple[np.ndarray, np.ndarray | None, np.ndarray | None]
 
 
@@ -106,6 +110,21 @@ def best_places(scores: np.ndarray, wanted: np.ndarray, k: int) -> tuple[np.ndar
     return np.nonzero(wanted)
 
 
+def _whole(scores: np.ndarray) -> np.ndarray:
+    return scores if scores.dtype == object else scores.astype(np.int64)
+
+
+def _decimals(scores: np.ndarray) -> pa.Array:
+    if scores.dtype != object:
+        return pa.array(scores, pa.int64()).cast(DIGITS)
+    return pa.array([Decimal(max(-MOST, min(MOST, int(x)))) for x in scores], DIGITS)
+
+
+def _long(score: str) -> Column:
+    end = F.lit(LONG).cast("decimal(38,0)")
+    return F.greatest(F.least(F.col(score), end), -end).cast("bigint").alias(score)
+
+
 def _aligned(anchors: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The components that both have; the others meet zeros."""
     common = min(anchors.shape[1], rows.shape[1])
@@ -152,18 +171,18 @@ def _positives(pairs: DataFrame, kind: str, scale: int, k: int, id_type: str) ->
                 allowed = (anchors.labels[:, None] == block.labels) & (anchors.numbers[:, None] != block.numbers)
                 scores, known = anchors.scores(block, least, most, allowed)
                 which, at = best_places(scores, known, k)
-                best.add(which, as_longs(scores[which, at]), block.ids[at])
+                best.add(which, _whole(scores[which, at]), block.ids[at])
                 which, held, _ = best.taken()
                 ends = np.cumsum(np.bincount(which, minlength=n))
                 full = np.flatnonzero(np.bincount(which, minlength=n) == k)
                 least[full] = held[ends[full] - 1]
             which, score, ident = best.taken()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchors.numbers[which]), pa.array(ident, row["id"].type.value_type), pa.array(score, pa.int64())],
+                [pa.array(anchors.numbers[which]), pa.array(ident, row["id"].type.value_type), _decimals(score)],
                 names=["number", "positive_id", "positive_score"],
             )
 
-    near = pairs.mapInArrow(found, f"number bigint, positive_id {id_type}, positive_score bigint")
+    near = pairs.mapInArrow(found, f"number bigint, positive_id {id_type}, positive_score decimal(38,0)")
     order = Window.partitionBy("number").orderBy(F.desc("positive_score"), F.asc("positive_id"))
     return near.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
 
@@ -190,15 +209,15 @@ def _negatives(
                     ends = [own[place] if place < len(own) else (1, 0) for own in windows]
                     begin, end = (np.array([e[i] for e in ends], scores.dtype)[:, None] for i in (0, 1))
                     which, at = best_places(scores, known & (scores >= begin) & (scores <= end), k)
-                    best.add(which * places + place, as_longs(scores[which, at]), block.ids[at])
+                    best.add(which * places + place, _whole(scores[which, at]), block.ids[at])
             window, score, ident = best.taken()
             yield pa.RecordBatch.from_arrays(
                 [pa.array(anchors.numbers[window // places]), pa.array((window % places + 1).astype(np.int32)),
-                 pa.array(ident, row["id"].type.value_type), pa.array(score, pa.int64())],
+                 pa.array(ident, row["id"].type.value_type), _decimals(score)],
                 names=["number", "place", "negative_id", "negative_score"],
             )
 
-    near = pairs.mapInArrow(found, f"number bigint, place int, negative_id {id_type}, negative_score bigint")
+    near = pairs.mapInArrow(found, f"number bigint, place int, negative_id {id_type}, negative_score decimal(38,0)")
     order = Window.partitionBy("number", "place").orderBy(F.desc("negative_score"), F.asc("negative_id"))
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
@@ -267,5 +286,5 @@ def mined(
     asked = blocks.pack(with_tops.select("number", "label", "vector", "tops"), "vector", ANCHORS)
     near = _negatives(blocks.meet(asked, rows_of), kind, scale, negatives, low, high, id_type)
     return near.join(best, ["number", "place"]).join(anchors.select("number", F.col("id").alias("anchor_id")), "number").select(
-        "anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"
+        "anchor_id", "positive_id", "rank", "negative_id", _long("positive_score"), _long("negative_score")
     )

@@ -32,10 +32,3 @@ def exact_ints(values: np.ndarray) -> np.ndarray:
 
 def largest(values: np.ndarray) -> float:
     return float(np.abs(values).max(initial=0.0))
-
-
-def as_longs(values: np.ndarray) -> np.ndarray:
-    """Integers as 64-bit numbers; what does not fit is held at the end of the range."""
-    if values.dtype == object:
-        return np.array([max(-LONG, min(LONG, int(x))) for x in values], np.int64)
-    return values.astype(np.int64)
