@@ -1,74 +1,228 @@
-"""Fuzzy match of phrases against the value catalog.
-
-Every phrase has to be compared with every catalog value, because a single shared letter
-run can carry a match. The catalog is packed into rows of some thousand values; a phrase
-meets each such row by its number, is scored against it in place, and hands on the best few
-hits of the block, which are merged per phrase. No pairs are shuffled and a catalog may have
-any size. Phrases are made distinct first, so a phrase that fills the table is scored once.
+"""Fuzzy match of phrases against the value catalog, by indexes instead of all pairs.
+
+A score is the best of four parts, and every part has an index that finds all pairs in which it reaches
+the least score asked for:
+
+* equal normal forms: a join on the form;
+* one tight form inside the other: the inner one looks up its rarest letter run among the letter runs of
+  the others (a run that nobody has ends the search at once);
+* shared words: postings of words;
+* few edits: a value is cut into one more segment than there may be edits, so at least one survives; a
+  phrase looks up its own substrings of that length near the segment's place (the shift is limited by the
+  edits on either side). Beyond ``MOST_EDITS`` edits, or more edits than letters, pairs of fitting lengths
+  are compared.
+
+Each part is worked out only for the pairs its own index names. Indexes are joins on plain keys, so a
+catalog and a set of phrases may have any size, and a frequent key is split by the adaptive skew handling.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
 from ..functions import text as tx
 from .aggregates import top_k_per_group
+from .lineage import cut_lineage
 
-# Catalog values in one packed row, about.
-BLOCK = 4_000
+# Letters in a run of the containment index; shorter forms are looked up whole.
+RUN = 3
+# Up to so many edits a pair has to share a segment.
+MOST_EDITS = 12
+# Scores are rounded to six places before they are compared.
+HALF_STEP = 5e-7
 
 
-def _entries(catalog: DataFrame) -> DataFrame:
-    """Distinct (column, value) with the normal forms the score needs."""
+def _forms(df: DataFrame, value: str) -> DataFrame:
+    """Distinct normal forms of a text column, and what is derived from them."""
     return (
-        catalog.groupBy("col", "value")
-        .agg(F.max("cnt").alias("cnt"))
-        .select(
-            "col",
-            "value",
-            "cnt",
-            tx.norm(F.col("value")).alias("norm"),
-            tx.tight(F.col("value")).alias("tight"),
-            tx.token_set(F.col("value")).alias("tokens"),
-        )
+        df.select(tx.norm(F.col(value)).alias("norm"))
+        .filter(F.col("norm").isNotNull())
+        .distinct()
+        .select("norm", tx.tight(F.col("norm")).alias("tight"), tx.token_set(F.col("norm")).alias("tokens"))
+    )
+
+
+def _postings(forms: DataFrame, name: str) -> DataFrame:
+    """``(run, name_norm, name_tight)`` for all runs of one to ``RUN`` letters."""
+    runs = F.flatten(F.transform(
+        F.sequence(F.lit(1), F.least(F.lit(RUN), F.length("tight"))),
+        lambda size: F.transform(
+            F.sequence(F.lit(1), F.length("tight") - size + 1), lambda at: F.substring("tight", at, size)
+        ),
+    ))
+    return (
+        forms.filter(F.length("tight") > 0)
+        .select(F.col("norm").alias(f"{name}_norm"), F.col("tight").alias(f"{name}_tight"), F.explode(F.array_distinct(runs)).alias("run"))
+    )
+
+
+def _contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """``(inner_norm, inner_tight, outer_norm, outer_tight)`` where the inner tight form, not empty, is
+    part of the outer one."""
+    postings = _postings(outer, "outer")
+    frequency = postings.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+    size = F.least(F.lit(RUN), F.length("tight"))
+    own = F.transform(
+        F.sequence(F.lit(1), F.length("tight") - size + 1), lambda at: F.substring("tight", at, size)
+    )
+    rarest = (
+        inner.filter(F.length("tight") > 0)
+        .select(F.col("norm").alias("inner_norm"), F.col("tight").alias("inner_tight"), F.explode(F.array_distinct(own)).alias("run"))
+        .join(frequency, "run", "left")
+        .groupBy("inner_norm", "inner_tight")
+        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("best"))
+        .filter("best.n > 0")
+        .select("inner_norm", "inner_tight", F.col("best.run").alias("run"))
+    )
+    return rarest.join(postings, "run").filter(F.contains("outer_tight", F.col("inner_tight"))).drop("run")
+
+
+def _of_length(inner: str, outer: str) -> Column:
+    return F.length(inner) / F.length(outer)
+
+
+def _sharing_words(phrases: DataFrame, entries: DataFrame) -> DataFrame:
+    """Pairs with a common word and the share of their common words; a pair is kept at its first one."""
+    asked = phrases.select(F.col("norm").alias("q_norm"), F.col("tokens").alias("q_tokens"), F.explode("tokens").alias("word"))
+    known = entries.select(F.col("norm").alias("e_norm"), F.col("tokens").alias("e_tokens"), F.explode("tokens").alias("word"))
+    shared = F.array_intersect("q_tokens", "e_tokens")
+    n = F.size(shared)
+    return (
+        asked.join(known, "word")
+        .filter(F.get(shared, F.lit(0)) == F.col("word"))
+        .select("q_norm", "e_norm", (n / (F.size("q_tokens") + F.size("e_tokens") - n)).alias("share"))
+    )
+
+
+def _edits_allowed(least: float, a: Column, b: Column) -> Column:
+    """Edits at which the similarity still reaches ``least``."""
+    return F.floor(F.lit(1.0 - least + HALF_STEP) * F.greatest(a, b)).cast("int")
+
+
+def _lengths_fit(q_len: Column, e_len: Column) -> Column:
+    """Only forms whose lengths are near count as variants of each other."""
+    return F.abs(q_len - e_len) <= F.greatest(F.lit(4), F.floor(e_len / F.lit(2)))
+
+
+def _segment_start(i: Column, length: Column, edits: Column) -> Column:
+    """Where segment ``i`` of ``edits + 1`` begins."""
+    return F.floor(i * length / (edits + 1)).cast("int")
+
+
+def _key(edits: Column, i: Column, text: Column) -> Column:
+    return F.struct(edits.cast("int").alias("edits"), i.cast("int").alias("segment"), text.alias("part"))
+
+
+def _anywhere() -> Column:
+    """The key of pairs that no segment has to hold together."""
+    return F.array(_key(F.lit(-1), F.lit(-1), F.lit("")))
+
+
+def _by_segments(edits: Column, length: Column) -> Column:
+    return (edits <= MOST_EDITS) & (edits < length)
+
+
+def _segments(entries: DataFrame, least: float) -> DataFrame:
+    """``(e_len, edits, segment, part, e_norm)``: the segments of every value, for each number of edits
+    that phrases of a fitting length may have."""
+    n = F.col("e_len")
+    longest = F.least(n + F.greatest(F.lit(4), F.floor(n / F.lit(2))), F.floor(n / F.lit(least - HALF_STEP)))
+
+    def cut(edits: Column) -> Column:
+        return F.when(_by_segments(edits, n), F.transform(
+            F.sequence(F.lit(0), edits),
+            lambda i: _key(edits, i, F.substring(
+                "tight", _segment_start(i, n, edits) + 1, _segment_start(i + 1, n, edits) - _segment_start(i, n, edits))),
+        )).otherwise(_anywhere())
+
+    numbers = F.sequence(_edits_allowed(least, n, n), _edits_allowed(least, longest, n))
+    return (
+        entries.select(F.col("norm").alias("e_norm"), "tight", F.length("tight").alias("e_len"))
+        .filter("e_len > 0")
+        .select("e_norm", "e_len", F.explode(F.array_distinct(F.flatten(F.transform(numbers, cut)))).alias("key"))
+        .select("e_norm", "e_len", "key.*")
     )
 
 
-def score(q: Column, e: Column) -> Column:
-    """Similarity 0..1 of two structs ``(norm, tight, tokens)``."""
-    zero = F.lit(0.0)
-    q_len, e_len = F.length(q["tight"]), F.length(e["tight"])
-    filled = (q_len > 0) & (e_len > 0)
-    containment = F.when(
-        filled & F.contains(e["tight"], q["tight"]), F.lit(0.72) + F.lit(0.25) * (q_len / e_len)
-    ).when(filled & F.contains(q["tight"], e["tight"]), F.lit(0.62) + F.lit(0.20) * (e_len / q_len))
-    shared = F.size(F.array_intersect(q["tokens"], e["tokens"]))
-    either = F.size(F.array_union(q["tokens"], e["tokens"]))
-    overlap = F.when(shared > 0, F.lit(0.55) + F.lit(0.4) * (shared / either))
-    longer = F.greatest(q_len, e_len)
-    comparable = filled & (
-        F.abs(q_len - e_len) <= F.greatest(F.lit(4), F.floor(e_len / F.lit(2)))
+def _substrings(phrases: DataFrame, lengths: DataFrame, least: float) -> DataFrame:
+    """``(e_len, edits, segment, part, q_norm)``: for each length in the catalog, the substrings of a
+    phrase that may be a surviving segment."""
+    m, n = F.col("q_len"), F.col("e_len")
+    fitting = F.sequence(F.ceil(m * F.lit(least - HALF_STEP)).cast("int"), F.floor(m / F.lit(least - HALF_STEP)).cast("int"))
+    asked = (
+        phrases.select(F.col("norm").alias("q_norm"), "tight", F.length("tight").alias("q_len"))
+        .filter("q_len > 0")
+        .select("*", F.explode(fitting).alias("e_len"))
+        .filter((n > 0) & _lengths_fit(m, n))
+        .join(lengths, "e_len", "left_semi")
+        .withColumn("edits", _edits_allowed(least, m, n))
     )
-    edits = F.when(
-        comparable, F.lit(1.0) - F.levenshtein(q["tight"], e["tight"]) / longer
+    edits = F.col("edits")
+
+    def near_segment(i: Column) -> Column:
+        start = _segment_start(i, n, edits)
+        size = _segment_start(i + 1, n, edits) - start
+        first = F.greatest(F.lit(0), start - i, start + m - n - (edits - i))
+        last = F.least(m - size, start + i, start + m - n + (edits - i))
+        places = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda at: _key(edits, i, F.substring("tight", at + 1, size)))
+
+    looked_up = F.when(
+        _by_segments(edits, n), F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), edits), near_segment)))
+    ).otherwise(_anywhere())
+    return asked.select("q_norm", "e_len", F.explode(looked_up).alias("key")).select("q_norm", "e_len", "key.*")
+
+
+def candidates(phrases: DataFrame, entries: DataFrame, least: float) -> DataFrame:
+    """``(q_norm, e_norm, part, edits)``: pairs with the best part that is already known to reach
+    ``least`` (0 for none), and whether they have to be compared letter by letter.
+
+    Both frames hold distinct forms: ``norm``, ``tight``, ``tokens``.
+    """
+    none = F.lit(False).alias("edits")
+    inside = _contained(phrases, entries).select(
+        F.col("inner_norm").alias("q_norm"), F.col("outer_norm").alias("e_norm"),
+        (F.lit(0.72) + F.lit(0.25) * _of_length("inner_tight", "outer_tight")).alias("part"), none,
     )
-    return F.when(q["norm"] == e["norm"], F.lit(1.0)).otherwise(
-        F.greatest(F.coalesce(containment, zero), F.coalesce(overlap, zero), F.coalesce(edits, zero))
+    around = _contained(entries, phrases).select(
+        F.col("outer_norm").alias("q_norm"), F.col("inner_norm").alias("e_norm"),
+        (F.lit(0.62) + F.lit(0.20) * _of_length("inner_tight", "outer_tight")).alias("part"), none,
+    )
+    words = _sharing_words(phrases, entries).select(
+        "q_norm", "e_norm", (F.lit(0.55) + F.lit(0.4) * F.col("share")).alias("part"), none
+    )
+    equal = phrases.select(F.col("norm").alias("q_norm"), "norm").join(entries.select("norm"), "norm").select(
+        "q_norm", F.col("norm").alias("e_norm"), F.lit(1.0).alias("part"), none
+    )
+    parts = reduce(DataFrame.unionByName, [equal, inside, around, words]).withColumn("part", F.round("part", 6))
+    segments = _segments(entries, least)
+    lengths = entries.select(F.length("tight").alias("e_len")).distinct()
+    variants = _substrings(phrases, lengths, least).join(segments, ["e_len", "edits", "segment", "part"]).select(
+        "q_norm", "e_norm", F.lit(0.0).alias("part"), F.lit(True).alias("edits")
+    )
+    return (
+        parts.filter(F.col("part") >= least).unionByName(variants)
+        .groupBy("q_norm", "e_norm")
+        .agg(F.max("part").alias("part"), F.max("edits").alias("edits"))
     )
 
 
-def _blocks(entries: DataFrame, size: int) -> tuple[DataFrame, Column]:
-    """The entries in rows of about ``size`` of them, and the number of those rows."""
-    many = F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int")
-    n_blocks = entries.agg(F.greatest(F.lit(1), many).alias("n")).scalar()
-    packed = (
-        entries.withColumn("__block", F.pmod(F.xxhash64("col", "value"), n_blocks).cast("int"))
-        .groupBy("__block")
-        .agg(F.collect_list(F.struct("col", "value", "cnt", "norm", "tight", "tokens")).alias("__entries"))
+def _scored(phrases: DataFrame, entries: DataFrame, least: float) -> DataFrame:
+    """``(q_norm, e_norm, score)`` of all pairs that reach ``least``."""
+    q, e = tx.tight(F.col("q_norm")), tx.tight(F.col("e_norm"))
+    q_len, e_len = F.length(q), F.length(e)
+    near = F.when(
+        F.col("edits") & _lengths_fit(q_len, e_len),
+        F.round(F.lit(1.0) - F.levenshtein(q, e) / F.greatest(q_len, e_len), 6),
+    )
+    score = F.greatest(F.col("part"), F.coalesce(near, F.lit(0.0)))
+    return candidates(phrases, entries, least).select("q_norm", "e_norm", score.alias("score")).filter(
+        F.col("score") >= least
     )
-    return packed, n_blocks
 
 
 def with_hits(
@@ -76,72 +230,44 @@ def with_hits(
     catalog: DataFrame,
     min_score: float = fixed.MATCH_MIN_SCORE,
     top_k: int = fixed.MATCH_TOP_K,
-    block: int = BLOCK,
 ) -> DataFrame:
     """Add ``hits``, the ``top_k`` best matches of a phrase, and ``own``, the best one in
     ``asked_col`` if there is such a column.
 
     ``asked`` has ``phrase`` and perhaps ``asked_col``, and no row twice. Matches are ordered
-    by score, count, column and value.
+    by score, count, column and value. The least score has to be above zero, because every pair
+    reaches zero.
     """
-    packed, n_blocks = _blocks(_entries(catalog), block)
+    if min_score <= 0:
+        raise ValueError(f"min_score={min_score!r}: matches need a score above zero")
     keys = asked.columns
-    forms = F.struct(
-        tx.norm(F.col("phrase")).alias("norm"),
-        tx.tight(F.col("phrase")).alias("tight"),
-        tx.token_set(F.col("phrase")).alias("tokens"),
-    )
-    met = (
-        asked.withColumn("__q", forms)
-        .withColumn("__n", n_blocks)
-        .select(*keys, "__q", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("__block"))
-        .join(packed, "__block", "left")
+    asked = cut_lineage(asked)
+    values = cut_lineage(
+        catalog.groupBy("col", "value").agg(F.max("cnt").alias("cnt")).withColumn("e_norm", tx.norm(F.col("value")))
     )
-    scored = F.transform(
-        "__entries",
-        lambda e: F.struct(
-            (-F.round(score(F.col("__q"), e), 6)).alias("order"),
-            (-e["cnt"]).alias("order_cnt"),
-            e["col"].alias("col"),
-            e["value"].alias("value"),
-        ),
+    near = _scored(cut_lineage(_forms(asked, "phrase")), cut_lineage(_forms(values, "value")), min_score)
+    numbered = asked.withColumn("__asked", F.struct(*keys)).withColumn("q_norm", tx.norm(F.col("phrase")))
+    order = [F.struct((-F.col("score")).alias("order"), (-F.col("cnt")).alias("order_cnt"), "col", "value").alias("hit")]
+    is_own = F.col("col") == F.col("__asked.asked_col") if "asked_col" in keys else F.lit(False)
+    found = cut_lineage(
+        numbered.select("__asked", "q_norm").join(near, "q_norm").join(values, "e_norm").select("__asked", is_own.alias("own"), *order)
     )
-    found = F.array_sort(F.filter(scored, lambda h: h["order"] <= -min_score))
-
-    def is_own(h: Column) -> Column:
-        return h["col"] == F.col("asked_col") if "asked_col" in keys else F.lit(False)
-
-    # The lambda binds the matches once, so that a block is scored once for both parts.
-    part = F.get(
-        F.transform(
-            F.array(found),
-            lambda hits: F.struct(
-                F.slice(hits, 1, top_k).alias("best"),
-                F.get(F.filter(hits, is_own), F.lit(0)).alias("own"),
-            ),
-        ),
-        F.lit(0),
+    best = top_k_per_group(found, ["__asked"], [F.asc("hit")], top_k).groupBy("__asked").agg(
+        F.sort_array(F.collect_list("hit")).alias("hits")
     )
+    own = found.filter("own").groupBy("__asked").agg(F.min("hit").alias("own"))
 
     def shown(h: Column) -> Column:
-        return F.struct(
-            h["col"].alias("col"),
-            h["value"].alias("value"),
-            (-h["order_cnt"]).alias("cnt"),
-            (-h["order"]).alias("score"),
-        )
+        return F.struct(h["col"].alias("col"), h["value"].alias("value"), (-h["order_cnt"]).alias("cnt"), (-h["order"]).alias("score"))
 
-    merged = (
-        met.select(*keys, part.alias("__part"))
-        .groupBy(*keys)
-        .agg(
-            F.array_sort(F.flatten(F.collect_list("__part.best"))).alias("hits"),
-            F.transform(F.array_sort(F.collect_list("__part.own")), shown).alias("own"),
+    none = F.array().cast("array<struct<col:string,value:string,cnt:bigint,score:double>>")
+    return (
+        numbered.select("__asked").join(best, "__asked", "left").join(own, "__asked", "left").select(
+            "__asked.*",
+            F.coalesce(F.transform("hits", shown), none).alias("hits"),
+            F.when(F.col("own").isNotNull(), shown(F.col("own"))).alias("own"),
         )
     )
-    return merged.select(
-        *keys, F.transform(F.slice("hits", 1, top_k), shown).alias("hits"), _first(F.col("own")).alias("own")
-    )
 
 
 def match_phrases(
@@ -150,7 +276,6 @@ def match_phrases(
     catalog: DataFrame,
     min_score: float = fixed.MATCH_MIN_SCORE,
     top_k: int = fixed.MATCH_TOP_K,
-    block: int = BLOCK,
 ) -> DataFrame:
     """Best catalog values per distinct phrase: ``(phrase, rn, col, value, cnt, score)``."""
     asked = (
@@ -159,7 +284,7 @@ def match_phrases(
         .distinct()
     )
     return (
-        with_hits(asked, catalog, min_score, top_k, block)
+        with_hits(asked, catalog, min_score, top_k)
         .select("phrase", F.posexplode("hits").alias("pos", "h"))
         .select("phrase", (F.col("pos") + 1).alias("rn"), "h.col", "h.value", "h.cnt", "h.score")
     )

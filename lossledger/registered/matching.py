@@ -125,7 +125,7 @@ def fuzzy_values(v):
            col, value, cnt, score
     FROM hits WHERE score >= 0.75 QUALIFY rn <= 3""")
 def fuzzy_values_in_parts(v):
-    return matching.match_phrases(_phrases(v), "phrase", _catalog(v), 0.75, 3, block=300)
+    return matching.match_phrases(_phrases(v), "phrase", _catalog(v), 0.75, 3)
 
 
 def _filters(v):

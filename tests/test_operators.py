@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -267,9 +268,91 @@ def test_fuzzy_values(spark, values):
     assert hits(spark, values, "экозябра") == []
 
 
-def test_a_catalog_in_parts_gives_the_same(spark, values):
-    whole = [tuple(r) for r in hits(spark, values, "степной филиал")]
-    assert [tuple(r) for r in hits(spark, values, "степной филиал", block=2)] == whole
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def forms_by_hand(value):
+    norm = " ".join(value.lower().split())
+    return norm, re.sub("[^0-9a-zа-яё]+", "", norm), {t for t in norm.split(" ") if len(t) >= 2}
+
+
+def score_by_hand(phrase, value):
+    (qn, q, qt), (en, e, et) = forms_by_hand(phrase), forms_by_hand(value)
+    if qn == en:
+        return 1.0
+    parts = [0.0]
+    if q and e:
+        if q in e:
+            parts.append(0.72 + 0.25 * len(q) / len(e))
+        elif e in q:
+            parts.append(0.62 + 0.20 * len(e) / len(q))
+        if abs(len(q) - len(e)) <= max(4, len(e) // 2):
+            parts.append(1 - edit_distance(q, e) / max(len(q), len(e)))
+    if qt & et:
+        parts.append(0.55 + 0.4 * len(qt & et) / len(qt | et))
+    return round(max(parts), 6)
+
+
+def random_values(rnd, n, long=False):
+    """Values of few letters with near copies, shared words, blanks, case and signs; some very long."""
+    words = ["".join(rnd.choice("абвг1") for _ in range(rnd.randrange(1, 7))) for _ in range(25)]
+    out = ["", " ", "-", "а", "аб", "Аб", "а-б"]
+    while len(out) < n:
+        value = rnd.choice([" ", "  ", "-"]).join(rnd.choice(words) for _ in range(rnd.randrange(1, 5)))
+        if out and rnd.random() < 0.4:
+            value = list(rnd.choice(out))
+            for _ in range(rnd.randrange(1, 4)):
+                value[rnd.randrange(len(value) + 1) : rnd.randrange(len(value) + 2)] = rnd.choice(["", "а", "г", "ю "])
+            value = "".join(value)
+        out.append(value.title() if rnd.random() < 0.2 else value)
+    if long:
+        base = "".join(rnd.choice("абвг ") for _ in range(60))
+        out += [base, base[:50] + "ююю" + base[53:], base[10:], base * 3]
+    return out
+
+
+@pytest.mark.parametrize("least", [0.05, 0.4, 0.6, 0.75, 0.9, 1.0])
+def test_indexes_find_all_that_brute_force_finds(spark, least):
+    rnd = random.Random(int(least * 100))
+    known, asked = random_values(rnd, 90, long=True), random_values(rnd, 60)
+    asked += [rnd.choice(known) + rnd.choice(["", "а", " аб"]) for _ in range(30)] + known[-4:]
+    catalog_df = spark.createDataFrame(
+        [(rnd.choice(["c1", "c2"]), v, rnd.randrange(1, 4)) for v in known], "col string, value string, cnt long").repartition(3)
+    entries = {}
+    for r in catalog_df.collect():
+        entries[r["col"], r["value"]] = max(r["cnt"], entries.get((r["col"], r["value"]), 0))
+    filters_df = spark.createDataFrame([(rnd.choice(["c1", "c2", "c3", None]), p) for p in asked] + [("c1", None)], "asked_col string, phrase string").distinct()
+    got = {(r["asked_col"], r["phrase"]): (r["hits"], r["own"]) for r in matching.with_hits(filters_df, catalog_df, least, top_k=5).collect()}
+    assert len(got) == filters_df.count()
+    for (column, phrase), (best, own) in got.items():
+        want = [] if phrase is None else sorted(
+            (-score_by_hand(phrase, v), -n, c, v) for (c, v), n in entries.items() if score_by_hand(phrase, v) >= least)
+        assert [(-h["score"], -h["cnt"], h["col"], h["value"]) for h in best] == want[:5], phrase
+        of_column = [w for w in want if w[2] == column]
+        assert (own and (-own["score"], -own["cnt"], own["col"], own["value"])) == (of_column[0] if of_column else None)
+
+
+def test_a_score_of_zero_names_no_pairs(spark, values):
+    with pytest.raises(ValueError):
+        hits(spark, values, "x", min_score=0.0)
+
+
+def test_few_pairs_are_named_as_candidates(spark):
+    """Names that share letters and endings, each asked for with a typing error."""
+    rnd = random.Random(8)
+    names = sorted({"".join(rnd.choice(["ка", "ле", "ми", "но", "ру", "сто", "вар", "ин"]) for _ in range(5)) for _ in range(600)})
+    asked = [n[:4] + "ю" + n[5:] for n in names]
+    forms = [matching._forms(spark.createDataFrame([(v,) for v in x], "v string"), "v") for x in (asked, names)]
+    pairs = matching.candidates(*forms, 0.85)
+    assert pairs.count() < len(names) ** 2 / 10
+    scored = {(r["q_norm"], r["e_norm"]) for r in matching._scored(*forms, 0.85).collect()}
+    assert scored == {(q, e) for q in asked for e in names if score_by_hand(q, e) >= 0.85}
 
 
 def test_wrong_column_is_diagnosed(spark, values):
