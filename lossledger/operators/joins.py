@@ -7,10 +7,17 @@ skew handling, because the other side has one row for it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.predicates import compare
+from .windows import rank_all
+
+
+# Records of one kind in a row of a dossier.
+PAGE = 1_000
 
 
 def with_children(
@@ -41,18 +48,43 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("row_count")).filter(F.col("row_count") > 1)
 
 
-def has_fanout(df: DataFrame, keys: list[str]) -> bool:
-    """Whether joining to this frame on the keys would multiply rows."""
-    return not duplicate_keys(df, keys).isEmpty()
+def unique_on(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The same rows, of which each key has one; the plan fails where it runs into a repeated key.
+
+    Keys are counted on the way into the join, map-side first, so there is no job of its own.
+    """
+    others = [c for c in df.columns if c not in keys]
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.first(F.struct(*others) if others else F.lit(1)).alias("__row"))
+    message = F.concat(
+        F.lit(f"right side is not unique on {keys}: aggregate it first or allow the fan-out; a key has rows: "),
+        F.col("__n").cast("string"),
+    )
+    checked = counted.filter(F.assert_true(F.col("__n") == 1, message).isNull())
+    return checked.select(*[F.col(c) if c in keys else F.col(f"__row.{c}") for c in df.columns])
 
 
 def guarded_join(
     left: DataFrame, right: DataFrame, on: list[str], how: str = "left", allow_fanout: bool = False
 ) -> DataFrame:
-    """Equi-join that refuses a right side with repeated keys."""
-    if how in ("left", "inner") and not allow_fanout and has_fanout(right, on):
-        raise ValueError(f"right side is not unique on {on}: aggregate it first or allow the fan-out")
-    return equi_join(left, right, on, how=how)
+    """Equi-join that refuses a right side with repeated keys, when it runs."""
+    guarded = how in ("left", "inner") and not allow_fanout
+    return equi_join(left, unique_on(right, on) if guarded else right, on, how=how)
+
+
+def watched_join(
+    left: DataFrame, right: DataFrame, on: list[str], how: str = "left", allow_fanout: bool = False
+) -> tuple[DataFrame, Callable[[], dict]]:
+    """A guarded join, and a function that tells after one action on it how rows grew: rows on the
+    left, rows made, and whether these are more. Both counts come from the join's own run."""
+    before, after = Observation(), Observation()
+    rows = F.count(F.lit(1)).alias("rows")
+    joined = guarded_join(left.observe(before, rows), right, on, how, allow_fanout).observe(after, rows)
+
+    def growth() -> dict:
+        counts = before.get["rows"], after.get["rows"]
+        return {"left_rows": counts[0], "joined_rows": counts[1], "grew": counts[1] > counts[0]}
+
+    return joined, growth
 
 
 def child_sums(child: DataFrame, key: str, metrics: list[Column]) -> DataFrame:
@@ -103,6 +135,47 @@ def dossier(incident: DataFrame, impacts: DataFrame, recoveries: DataFrame, key:
     )
 
 
+def pages_of(child: DataFrame, key: str, order: list[str], name: str, page: int) -> DataFrame:
+    """``(key, page, name)``: the rows of a key as records in order, at most ``page`` to an array.
+
+    Only keys with more rows than that are ranked, in sorted ranges, so that a key that holds a third
+    of all rows is spread over many pages and tasks. Rows without a key are left out.
+    """
+    child = child.filter(F.col(key).isNotNull())
+    others = [c for c in child.columns if c not in (key, *order)]
+    large = child.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > page).select(key)
+    first = F.lit(0).cast("bigint")
+    paged = child.withColumn("page", first)
+    if not large.isEmpty():
+        ranked = rank_all(child.join(large, key, "left_semi"), [key], order[0], [*order[1:], *others], descending=False, rank_col="__rank")
+        numbered = ranked.withColumn("page", F.floor((F.col("__rank") - 1) / page)).drop("__rank")
+        paged = child.join(large, key, "left_anti").withColumn("page", first).unionByName(numbered)
+    record = F.struct(*order, *others)
+    return paged.groupBy(key, "page").agg(F.array_sort(F.collect_list(record)).alias(name))
+
+
+def nested_dossier(
+    incident: DataFrame,
+    children: dict[str, tuple[DataFrame, list[str]]],
+    key: str = "incdnt_id",
+    page: int = PAGE,
+) -> DataFrame:
+    """The main row with every child table as an array of records in the given order.
+
+    One row an incident, page 0; an incident with more than ``page`` children of a kind goes on on
+    further pages, which repeat the main row. No children are an empty array.
+    """
+    pages = None
+    for name, (child, order) in children.items():
+        part = pages_of(child, key, order, name, page)
+        pages = part if pages is None else pages.unionByName(part, allowMissingColumns=True)
+    gathered = pages.groupBy(key, "page").agg(*[F.any_value(n, F.lit(True)).alias(n) for n in children])
+    out = incident.join(gathered, key, "left").withColumn("page", F.coalesce("page", F.lit(0)))
+    return out.withColumns({
+        n: F.coalesce(n, F.array().cast(gathered.schema[n].dataType)) for n in children
+    })
+
+
 def dossier_counts(incident: DataFrame, children: dict[str, DataFrame], key: str = "incdnt_id") -> DataFrame:
     """Rows of every child table per incident, counted before joining."""
     out = incident.select(key)

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(session: SparkSession) -> str:
+    """The folder the session names for checkpoints; else one in the warehouse, which every executor
+    can reach, too."""
+    folder = session.conf.get("spark.checkpoint.dir", None)
+    return folder or f"{session.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the session names; else in the warehouse, which every
-    executor can reach, too."""
+    """Reliable checkpoint in the shared folder."""
     session = df.sparkSession
-    context = session.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = session.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or f"{session.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+    if session.sparkContext.getCheckpointDir() is None:
+        session.sparkContext.setCheckpointDir(shared_folder(session))
     return df.checkpoint()

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import with_period
@@ -57,15 +58,48 @@ def _operand(side) -> Column:
     return F.col(side) if isinstance(side, str) else F.lit(side)
 
 
+class Funnel:
+    """Rows left after each stage of a report, counted while the report itself runs.
+
+    Read it after one action on the report. Where a branch turned out empty, Spark may drop a stage
+    from the plan while it runs; only such a stage is counted by itself.
+    """
+
+    def __init__(self):
+        self._stages: list[tuple[str, DataFrame, Observation]] = []
+
+    def watch(self, stage: str, df: DataFrame) -> DataFrame:
+        seen = Observation()
+        self._stages.append((stage, df, seen))
+        return df.observe(seen, F.count(F.lit(1)).alias("rows"))
+
+    def rows(self) -> list[tuple[str, int]]:
+        return [(stage, self._count(df, seen)) for stage, df, seen in self._stages]
+
+    @staticmethod
+    def _count(df: DataFrame, seen: Observation) -> int:
+        try:
+            return seen.get["rows"]
+        except (Py4JJavaError, KeyError):
+            return df.count()
+
+
 def build_report(
-    tables: dict[str, DataFrame], spec: ReportSpec | dict, model: SourceModel | None = None
+    tables: dict[str, DataFrame],
+    spec: ReportSpec | dict,
+    model: SourceModel | None = None,
+    funnel: Funnel | None = None,
 ) -> DataFrame:
     """Filter, join aggregated children, group, derive, rank, sort, project and limit.
 
     Steps follow the order of a SQL statement, so Catalyst can push filters and columns
     into the scans. With a ``model`` sparse money columns are replaced by child sums and the
-    specification is checked first.
+    specification is checked first. A ``funnel`` watches the rows after the stages ``source``,
+    ``join``, ``ranges``, ``aggregate`` and ``export``.
     """
+    def watched(stage: str, rows: DataFrame) -> DataFrame:
+        return rows if funnel is None else funnel.watch(stage, rows)
+
     if isinstance(spec, dict):
         spec = spec_from_dict(spec)
     if model is not None:
@@ -80,9 +114,11 @@ def build_report(
     df = source.filter(
         all_of(_period_conditions(source.sparkSession, spec)) & where(spec.where) & ranges("source")
     )
+    df = watched("source", df)
     for j in spec.joins:
         df = joins.join_aggregated(df, tables[j.table], [_metric(m) for m in j.metrics], j.key, how=j.how)
-    df = df.filter(ranges("join"))
+    df = watched("join", df)
+    df = watched("ranges", df.filter(ranges("join")))
     for d in spec.derive:
         df = projection.derive(df, d.source, d.new_column, d.op)
     if spec.group_by or spec.metrics:
@@ -91,7 +127,10 @@ def build_report(
     for d in spec.derived_metrics:
         metric = aggregates.derived_metric(d.op, _operand(d.left), _operand(d.right))
         df = df.withColumn(d.alias, metric)
-    df = df.filter(ranges("aggregate"))
+    df = watched("aggregate", df.filter(ranges("aggregate")))
+    if funnel is not None:
+        # Ranges of a sort are drawn by reading its input twice; behind an exchange nothing is counted twice.
+        df = df.hint("rebalance")
     keys = [c for c in (spec.group_by or ("incdnt_id",)) if c in df.columns]
     for w in spec.window:
         if w.top_n is None:
@@ -112,4 +151,4 @@ def build_report(
         df = projection.keys_at_edges(projection.detail_columns(df, list(spec.select)))
     elif spec.select:
         df = projection.select_present(df, list(spec.select))
-    return limited(df, spec.limit)
+    return watched("export", limited(df, spec.limit))

@@ -1,10 +1,14 @@
 """Joins (J) and set operations (U)."""
 
+import uuid
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.predicates import equals_ignore_case
 from ..operators import credit, joins, sets
+from ..operators.lineage import shared_folder
+from ..sources import sinks
 from .base import query
 
 
@@ -153,6 +157,27 @@ def guarded_join(v):
     return joins.guarded_join(v.orders, customer, ["o_custkey"], "inner").select("o_orderkey", "c_mktsegment")
 
 
+@query("j8_join_growth", """
+    SELECT 'impacts' AS side, (SELECT COUNT(*) FROM orders) AS left_rows,
+           (SELECT COUNT(*) FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey) AS joined_rows,
+           (SELECT COUNT(*) FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey) > (SELECT COUNT(*) FROM orders) AS grew
+    UNION ALL SELECT 'unit', (SELECT COUNT(*) FROM orders), (SELECT COUNT(*) FROM orders JOIN customer ON o_custkey = c_custkey),
+           (SELECT COUNT(*) FROM orders JOIN customer ON o_custkey = c_custkey) > (SELECT COUNT(*) FROM orders)""")
+def join_growth(v):
+    """Rows before and after two joins, counted while the joined rows are written."""
+    customer = v.customer.select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
+    impacts = v.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber")
+    orders = v.orders.select("o_orderkey", "o_custkey")
+    rows = []
+    for side, joined, growth in (
+        ("impacts", *joins.watched_join(orders, impacts, ["o_orderkey"], allow_fanout=True)),
+        ("unit", *joins.watched_join(orders, customer, ["o_custkey"], "inner")),
+    ):
+        sinks.publish_csv(joined, f"{shared_folder(joined.sparkSession)}/growth-{uuid.uuid4().hex}")
+        rows.append((side, *growth().values()))
+    return v.orders.sparkSession.createDataFrame(rows, "side string, left_rows bigint, joined_rows bigint, grew boolean")
+
+
 @query("j9_having_sum", """
     SELECT incdnt_id, incdnt_sid FROM incident_base WHERE incdnt_id IN (
         SELECT incdnt_id FROM fin_impact WHERE fin_impact_type_name = 'R'
@@ -194,6 +219,64 @@ def dossier(v):
     )
 
 
+def _children(v):
+    """The four child tables of an incident, each with the order of its records."""
+    return {
+        "impacts": (v.fin_impact.select("incdnt_id", "fin_impact_sid", "fin_impact_type_name"), ["fin_impact_sid"]),
+        "recoveries": (v.recovery.select("incdnt_id", "recovery_sid", "recovery_type_name"), ["recovery_sid"]),
+        "qualitative": (v.nonfin_impact.select("incdnt_id", "nonfin_impact_sid", "nonfin_impact_kind_name"), ["nonfin_impact_sid"]),
+        "actions": (v.status_change.select("incdnt_id", "stts_chng_action_dttm", "stts_chng_id", "stts_chng_action_name"),
+                    ["stts_chng_action_dttm", "stts_chng_id"]),
+    }
+
+
+_SHOWN = {  # record -> text, in SQL and in Spark
+    "impacts": ("fin_impact_sid || ':' || fin_impact_type_name", lambda r: F.concat_ws(":", r["fin_impact_sid"], r["fin_impact_type_name"])),
+    "recoveries": ("recovery_sid || ':' || recovery_type_name", lambda r: F.concat_ws(":", r["recovery_sid"], r["recovery_type_name"])),
+    "qualitative": ("nonfin_impact_sid || ':' || nonfin_impact_kind_name",
+                    lambda r: F.concat_ws(":", r["nonfin_impact_sid"], r["nonfin_impact_kind_name"])),
+    "actions": ("stts_chng_id || ':' || stts_chng_action_name",
+                lambda r: F.concat_ws(":", r["stts_chng_id"].cast("string"), r["stts_chng_action_name"])),
+}
+_CHILD_TABLES = ("fin_impact", "recovery", "nonfin_impact", "status_change")
+
+
+def _dossier_sql(page: int) -> str:
+    orders = ("fin_impact_sid, fin_impact_type_name", "recovery_sid, recovery_type_name",
+              "nonfin_impact_sid, nonfin_impact_kind_name", "stts_chng_action_dttm, stts_chng_id, stts_chng_action_name")
+    pages = ", ".join(f"""{name} AS (
+        SELECT incdnt_id, page, COUNT(*) AS n, string_agg(shown, '|' ORDER BY place) AS records FROM (
+            SELECT incdnt_id, {shown} AS shown, ROW_NUMBER() OVER w AS place, (ROW_NUMBER() OVER w - 1) // {page} AS page FROM {table}
+            WINDOW w AS (PARTITION BY incdnt_id ORDER BY {order})) GROUP BY 1, 2)"""
+        for (name, (shown, _)), table, order in zip(_SHOWN.items(), _CHILD_TABLES, orders, strict=True))
+    every = " UNION ".join(f"SELECT incdnt_id, page FROM {name}" for name in _SHOWN)
+    columns = ", ".join(f"COALESCE({n}.n, 0) AS n_{n}, COALESCE({n}.records, '') AS {n}" for n in _SHOWN)
+    sides = " ".join(f"LEFT JOIN {n} ON {n}.incdnt_id = i.incdnt_id AND {n}.page = p.page" for n in _SHOWN)
+    return f"""WITH {pages}, pages AS ({every})
+        SELECT i.incdnt_id, i.incdnt_sid, i.incdnt_status_name, COALESCE(p.page, 0) AS page, {columns}
+        FROM incident_base i LEFT JOIN pages p ON p.incdnt_id = i.incdnt_id {sides}"""
+
+
+def _shown(dossiers):
+    return dossiers.select(
+        "incdnt_id", "incdnt_sid", "incdnt_status_name", "page",
+        *[F.size(n).alias(f"n_{n}") for n in _SHOWN],
+        *[F.array_join(F.transform(n, show), "|").alias(n) for n, (_, show) in _SHOWN.items()],
+    )
+
+
+@query("j10_nested_dossier", _dossier_sql(joins.PAGE), ("incident_base", *_CHILD_TABLES))
+def nested_dossier(v):
+    """Every incident with its impacts, recoveries, qualitative impacts and status log as records."""
+    return _shown(joins.nested_dossier(v.incident_base, _children(v)))
+
+
+@query("j10_nested_dossier_pages", _dossier_sql(3), ("incident_base", *_CHILD_TABLES))
+def nested_dossier_pages(v):
+    """The same on pages of three records."""
+    return _shown(joins.nested_dossier(v.incident_base, _children(v), page=3))
+
+
 @query("j11_balance_with_penalty", "WITH" + SNAPSHOT_SQL + """
     SELECT loan_id, CAST(debt AS DOUBLE) AS debt, CAST(COALESCE(penalty, 0) AS DOUBLE) AS penalty
     FROM cases JOIN snapshots USING (loan_id)

@@ -1,10 +1,13 @@
 """Scans, lookups and projections (A, B) and limits (S)."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_id
-from ..operators import catalog, projection, search, sorting
-from ..sources import lookup
+from ..operators import catalog, projection, search, snapshots, sorting
+from ..operators.lineage import shared_folder
+from ..sources import lookup, sinks
 from .base import query
 
 DAY = "strftime({}, '%Y-%m-%d %H:%M:%S')"
@@ -75,6 +78,67 @@ def snapshot_drift(v):
     return catalog.drift(*sides)
 
 
+def _two_snapshots(v):
+    """Orders and customers before a release, and after it: a new column, a lost one, another type,
+    a status that is no longer given, and a unit that was renamed."""
+    root = f"{shared_folder(v.orders.sparkSession)}/profiles-{uuid.uuid4().hex}"
+    orders = v.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
+    customer = v.customer.select("c_custkey", "c_mktsegment", "c_acctbal")
+    snapshots.save({"orders": (orders, ["o_orderstatus", "o_orderpriority"]), "customer": (customer, ["c_mktsegment"])}, root, "1")
+    later = orders.drop("o_custkey").withColumns({
+        "o_totalprice": F.col("o_totalprice").cast("decimal(18,2)"),
+        "o_orderstatus": F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")),
+        "o_is_large": F.col("o_totalprice") > 100000,
+    })
+    renamed = customer.withColumn("c_mktsegment", F.replace("c_mktsegment", F.lit("MACHINERY"), F.lit("MACHINES")))
+    snapshots.save({"orders": (later, ["o_orderstatus", "o_orderpriority"]), "customer": (renamed, ["c_mktsegment"])}, root, "2")
+    return root
+
+
+@query("a5_stored_schema_drift", """
+    WITH o AS (SELECT COUNT(*) AS n, COUNT(o_custkey) AS custkey, COUNT(o_totalprice) AS price, COUNT(o_orderstatus) AS status,
+                      COUNT(CASE WHEN o_orderstatus <> 'P' THEN 1 END) AS kept FROM orders),
+    p AS (SELECT ROUND(custkey * 100.0::DOUBLE / n, 2) AS custkey, ROUND(price * 100.0::DOUBLE / n, 2) AS price,
+                 ROUND(status * 100.0::DOUBLE / n, 2) AS status, ROUND(kept * 100.0::DOUBLE / n, 2) AS kept FROM o)
+    SELECT 'orders' AS tbl, 'o_custkey' AS col, 'bigint' AS type_before, NULL AS type_after, custkey AS filled_before,
+           NULL::DOUBLE AS filled_after, 'lost' AS change, FALSE AS same_schema FROM p
+    UNION ALL SELECT 'orders', 'o_is_large', NULL, 'boolean', NULL, price, 'new', FALSE FROM p
+    UNION ALL SELECT 'orders', 'o_totalprice', 'double', 'decimal(18,2)', price, price, 'type', FALSE FROM p
+    UNION ALL SELECT 'orders', 'o_orderstatus', 'string', 'string', status, kept, 'fill', FALSE FROM p WHERE status <> kept""")
+def stored_schema_drift(v):
+    """Columns that changed between two stored snapshots."""
+    return snapshots.schema_drift(v.orders.sparkSession, _two_snapshots(v), "1", "2")
+
+
+@query("a5_stored_value_drift", """
+    WITH a AS (
+        SELECT 'orders' AS tbl, 'o_orderstatus' AS col, o_orderstatus AS value, COUNT(*) AS cnt FROM orders WHERE o_orderstatus IS NOT NULL GROUP BY 3
+        UNION ALL SELECT 'orders', 'o_orderpriority', o_orderpriority, COUNT(*) FROM orders WHERE o_orderpriority IS NOT NULL GROUP BY 3
+        UNION ALL SELECT 'customer', 'c_mktsegment', c_mktsegment, COUNT(*) FROM customer WHERE c_mktsegment IS NOT NULL GROUP BY 3),
+    b AS (SELECT tbl, col, replace(value, 'MACHINERY', 'MACHINES') AS value, cnt FROM a WHERE NOT (col = 'o_orderstatus' AND value = 'P')),
+    rows AS (SELECT 'orders' AS tbl, COUNT(*) AS n FROM orders UNION ALL SELECT 'customer', COUNT(*) FROM customer),
+    fa AS (SELECT tbl, col, ROUND(SUM(cnt) * 100.0::DOUBLE / n, 2) AS filled_before FROM a JOIN rows USING (tbl) GROUP BY 1, 2, n),
+    fb AS (SELECT tbl, col, ROUND(SUM(cnt) * 100.0::DOUBLE / n, 2) AS filled_after FROM b JOIN rows USING (tbl) GROUP BY 1, 2, n)
+    SELECT tbl, col, value, a.cnt AS cnt_before, CASE WHEN a.cnt IS NOT NULL THEN filled_before END AS filled_before,
+           b.cnt AS cnt_after, CASE WHEN b.cnt IS NOT NULL THEN filled_after END AS filled_after,
+           CASE WHEN a.cnt IS NULL THEN 'new' WHEN b.cnt IS NULL THEN 'lost' WHEN a.cnt <> b.cnt THEN 'count' ELSE 'fill' END AS change
+    FROM a FULL JOIN b USING (tbl, col, value) LEFT JOIN fa USING (tbl, col) LEFT JOIN fb USING (tbl, col)
+    WHERE a.cnt IS DISTINCT FROM b.cnt OR filled_before IS DISTINCT FROM filled_after""")
+def stored_value_drift(v):
+    """Values that changed between two stored snapshots."""
+    return snapshots.value_drift(v.orders.sparkSession, _two_snapshots(v), "1", "2")
+
+
+@query("a6_csv_round_trip", """
+    SELECT doc_id, text, lang, source, n_chars FROM documents""")
+def csv_round_trip(v):
+    """All documents, line breaks, quotes and nulls included, published as CSV twice and read again."""
+    spark, path = v.documents.sparkSession, f"{shared_folder(v.documents.sparkSession)}/csv-{uuid.uuid4().hex}"
+    sinks.publish_csv(v.documents.select("doc_id", "text"), path)
+    sinks.publish_csv(v.documents.select("doc_id", "text", "lang", "source", "n_chars"), path)
+    return sinks.read_published_csv(spark, path)
+
+
 @query("a7_point_lookup_list", """
     SELECT doc_id, lang, source FROM documents WHERE doc_id IN (3, 17, 42, 99, 100000)""")
 def point_lookup_list(v):
