@@ -14,6 +14,10 @@ from ..functions.money import net_loss, share_pct
 from ..functions.predicates import status_in
 from ..functions.text import blank_to_null
 from .aggregates import money_sum, top_k_per_group
+from .lineage import cut_lineage
+
+# Characters of a text that order texts of equal count, and how many digests are broadcast at most.
+BEGINNING, MAY_BE_SHOWN = 64, 10_000
 
 
 def _total(df: DataFrame, metric: Column) -> Column:
@@ -219,19 +223,35 @@ def best_distribution(
 
 
 def text_frequency(df: DataFrame, column: str, order: str, top: int = 200) -> DataFrame:
-    """Short texts counted without regard to case, most frequent first, with their share.
+    """Texts counted without regard to case, most frequent first, with their share.
 
-    The spelling shown is the one that comes first by ``order``.
+    The spelling shown is the one that comes first by ``order``. Digests and short beginnings are
+    shuffled instead of texts: the beginning decides most ties, and only texts that may be among the
+    first ``top`` are fetched, next to a broadcast list of their digests while that is short.
     """
-    texts = df.select(blank_to_null(F.col(column)).alias("text"), F.col(order)).filter(
-        F.col("text").isNotNull()
-    )
-    grouped = texts.groupBy(F.lower("text").alias("key")).agg(
-        F.count(F.lit(1)).alias("cnt"), F.min_by("text", order).alias("display")
-    )
-    total = _total(texts, F.count(F.lit(1)))
+    text = blank_to_null(F.col(column))
+    digested = df.select(F.lower(text).alias("__key"), F.col(order).alias("__order")).filter(F.col("__key").isNotNull())
+    grouped = cut_lineage(
+        digested.select(F.sha2("__key", 256).alias("digest"), F.substring("__key", 1, BEGINNING).alias("begin"), "__order")
+        .groupBy("digest")
+        .agg(F.count(F.lit(1)).alias("cnt"), F.min("__order").alias("__order"), F.first("begin").alias("begin"))
+    )
+    place = F.struct((-F.col("cnt")).alias("cnt"), "begin")
+    last = grouped.select(place.alias("place")).orderBy("place").limit(top).agg(F.max("place").alias("last"))
+    may_be_shown = cut_lineage(grouped.filter(place <= last.scalar()).select("digest", "cnt", "__order"))
+    if may_be_shown.count() <= MAY_BE_SHOWN:
+        may_be_shown = F.broadcast(may_be_shown)
+    texts = df.select(text.alias("display"), F.col(order).alias("__order")).filter(F.col("display").isNotNull())
+    fetched = (
+        texts.withColumn("digest", F.sha2(F.lower("display"), 256))
+        .join(may_be_shown, ["digest", "__order"])
+        .groupBy("digest", "cnt")
+        .agg(F.min("display").alias("display"))
+        .select(F.lower("display").alias("key"), "display", "cnt")
+    )
+    total = _total(grouped, F.sum("cnt"))
     return (
-        grouped.orderBy(F.desc("cnt"), F.asc("key"))
+        fetched.orderBy(F.desc("cnt"), F.asc("key"))
         .limit(top)
         .select("key", "display", "cnt", share_pct(F.col("cnt"), total).alias("pct"))
     )

@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fixed
 from ..functions.text import one_per_row, tokens
 from . import blocks
+from .lineage import cut_lineage
 
 # Scores are added as whole millionths.
 MILLION = 1_000_000
+# First sign of the rows that carry document lengths, and how many such rows there are.
+LENGTH_MARK, LENGTH_MARKS = "#", 64
 # Query vectors in a block.
 QUERY_ROWS = 256
 
@@ -52,27 +55,32 @@ def bm25(
     ``allowed`` restricts the documents that can be found; the word statistics stay those of
     the whole collection.
 
-    Words outside the queries are dropped before anything is shuffled, counts are combined
-    map-side, and the parts of a score are whole millionths, so a score does not depend on
-    the order in which they are added.
+    Texts are taken apart once: what is kept of them is one row per document and word that a query
+    asks for, and one per document for its length. Counts are combined map-side, and the parts of a
+    score are whole millionths, so a score does not depend on the order in which they are added.
     """
     may_match = F.lit(True) if allowed is None else F.coalesce(allowed, F.lit(False))
-    words = docs.select(
-        doc, tokens(F.col(text)).alias("words"), may_match.alias("allowed")
-    ).withColumn("doc_len", F.size("words"))
-    stats = words.agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("avg_len"))
-    n_docs, avg_len = stats.select("n").scalar(), stats.select("avg_len").scalar()
-
     asked = one_per_row(queries, F.array_distinct(tokens(F.col(query_text))), "term", ["query_id"])
-    vocabulary = asked.select("term").distinct()
-    tf = (
-        one_per_row(words, F.col("words"), "term", [doc, "doc_len", "allowed"])
+    # The mark of a document's length; no word begins with this sign, and several marks spread the rows.
+    lengths = F.concat(F.lit(LENGTH_MARK), F.pmod(F.xxhash64(doc), F.lit(LENGTH_MARKS)).cast("string"))
+    marks = docs.sparkSession.range(LENGTH_MARKS).select(F.concat(F.lit(LENGTH_MARK), F.col("id").cast("string")).alias("term"))
+    vocabulary = asked.select("term").distinct().unionByName(marks)
+    words = docs.select(
+        doc, F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("words"),
+        F.col(text).isNotNull().alias("has_text"), may_match.alias("allowed"),
+    ).withColumn("doc_len", F.when(F.col("has_text"), F.size("words")))
+    found = cut_lineage(
+        one_per_row(words, F.array_append("words", lengths), "term", [doc, "doc_len", "allowed"])
         .join(vocabulary, "term", "left_semi")
         .groupBy(doc, "doc_len", "allowed", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
-    # Mentioning tf keeps both uses of the counts one and the same shuffle.
-    df = tf.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
+    is_length = F.startswith("term", F.lit(LENGTH_MARK))
+    of_docs = found.filter(is_length)
+    n_docs = of_docs.agg(F.coalesce(F.sum("tf"), F.lit(0))).scalar()
+    avg_len = of_docs.agg(F.try_divide(F.sum(F.col("doc_len") * F.col("tf")).cast("double"), F.sum(F.when(F.col("doc_len").isNotNull(), F.col("tf"))))).scalar()
+    tf = found.filter(~is_length)
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = df.select("term", idf.alias("idf"))
     saturation = F.col("tf") * (k1 + 1) / (

@@ -1,9 +1,12 @@
 """Aggregations (G1–G17, G32–G33)."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as g
 from ..operators import catalog
+from ..operators.lineage import shared_folder
 from .base import query
 from .scans import CATALOG_COLUMNS
 
@@ -106,6 +109,23 @@ def approx_cardinality(v):
     return catalog.approx_cardinality(v.incident, CATALOG_COLUMNS, "incident")
 
 
+@query("g8_sketched_cardinality", """
+    SELECT 'incident' AS tbl, col, COUNT(DISTINCT value) AS n_values, COUNT(DISTINCT value) > 800 AS high_card, TRUE AS within_5_pct FROM (
+        SELECT unnest(['incdnt_status_name', 'incdnt_type_lvl_1_name', 'org_struct_lvl_4_name',
+                       'incdnt_autoreg_flag', 'risk_profile_name', 'incdnt_sid']) AS col,
+               unnest([incdnt_status_name, incdnt_type_lvl_1_name, org_struct_lvl_4_name,
+                       incdnt_autoreg_flag, risk_profile_name, incdnt_sid]) AS value FROM incident) GROUP BY col""", ("incident",))
+def sketched_cardinality(v):
+    """Sketches per year, stored and united, against exact counts."""
+    spark, columns = v.incident.sparkSession, [*CATALOG_COLUMNS, "incdnt_sid"]
+    path = f"{shared_folder(spark)}/sketches-{uuid.uuid4().hex}"
+    catalog.cardinality_sketches(v.incident, columns, F.year("incdnt_entry_dt")).write.partitionBy("part").parquet(path)
+    estimates = catalog.united(spark.read.parquet(path), "incident")
+    exact = v.incident.agg(*[F.count_distinct(c).alias(c) for c in columns]).unpivot([], columns, "col", "n_values")
+    near = F.abs(F.col("distinct_approx") - F.col("n_values")) <= F.col("n_values") * 0.05
+    return estimates.join(exact, "col").select("tbl", "col", "n_values", "high_card", near.alias("within_5_pct"))
+
+
 @query("g9_frequent_values", """
     SELECT tbl, col, value, cnt FROM (
         SELECT 'incident' AS tbl, col, value, COUNT(*) AS cnt FROM (

@@ -351,13 +351,13 @@ def problem_debt(v):
     SELECT incdnt_sid, CAST(incdnt_sum AS DOUBLE) AS incdnt_sum, description, rn, CAST(ceil(rn / 10.0) AS BIGINT) AS batch
     FROM (SELECT incdnt_sid, incdnt_sum, ROW_NUMBER() OVER (ORDER BY incdnt_sum DESC, incdnt_sid) AS rn,
                  COALESCE(NULLIF(regexp_replace(CASE WHEN lang <> 'en' THEN text END, '^\s+|\s+$', '', 'g'), ''), source) AS description
-          FROM incident_base LEFT JOIN documents ON doc_id = incdnt_id) WHERE rn <= 30 AND description IS NOT NULL""",
+          FROM incident_base JOIN documents ON doc_id = incdnt_id) WHERE rn <= 30 AND description IS NOT NULL""",
        ("incident_base",))
 def largest_described(v):
     full = F.when(F.col("lang") != "en", F.col("text")).alias("full")
     docs = v.documents.select(F.col("doc_id").alias("incdnt_id"), full, "source")
     return profile.largest_described(
-        v.incident_base.join(docs, "incdnt_id", "left"), "incdnt_sid", "incdnt_sum", ["full", "source"]
+        v.incident_base.join(docs, "incdnt_id"), "incdnt_sid", "incdnt_sum", ["full", "source"]
     )
 
 

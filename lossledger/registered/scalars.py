@@ -278,7 +278,28 @@ def repeated_neighbours(v):
     )
 
 
-@query("h17_repeated_cycles")
+@query("h17_repeated_cycles", r"""
+    WITH RECURSIVE lines AS (
+        SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i,
+               len(string_split(text, chr(10))) AS n FROM documents WHERE text IS NOT NULL),
+    keyed AS (SELECT *, lower(regexp_replace(regexp_replace(line, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g')) AS k FROM lines),
+    compared AS (  -- does line i equal the one s lines below, and has one of the s lines from i on a word
+        SELECT a.doc_id, a.i, a.n, s, a.k = b.k AS same FROM keyed a, range(1, 13) t(s), keyed b
+        WHERE b.doc_id = a.doc_id AND b.i = a.i + s),
+    runs AS (SELECT doc_id, i, s, COALESCE(MIN(i) FILTER (NOT same) OVER w, n - s + 1) - i AS run FROM compared
+             WINDOW w AS (PARTITION BY doc_id, s ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+    worded AS (SELECT doc_id, i, COALESCE(MIN(i) FILTER (k <> '') OVER (PARTITION BY doc_id ORDER BY i
+                   ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), n + 1) AS next_word FROM keyed),
+    steps AS (SELECT doc_id, i, MIN(s) AS s, arg_min(run // s, s) AS again FROM runs JOIN worded USING (doc_id, i)
+              WHERE run >= s AND next_word < i + s GROUP BY 1, 2),
+    walk AS (
+        SELECT doc_id, 1::BIGINT AS pos, n FROM keyed WHERE i = 1
+        UNION ALL
+        SELECT w.doc_id, w.pos + COALESCE(s + again * s, 1), w.n FROM walk w LEFT JOIN steps ON steps.doc_id = w.doc_id AND i = w.pos
+        WHERE w.pos + COALESCE(s + again * s, 1) <= w.n),
+    kept AS (SELECT w.doc_id, unnest(range(pos, pos + COALESCE(s, 1))) AS i FROM walk w LEFT JOIN steps ON steps.doc_id = w.doc_id AND i = pos)
+    SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS cleaned FROM kept JOIN lines USING (doc_id, i) GROUP BY 1
+    UNION ALL SELECT doc_id, NULL FROM documents WHERE text IS NULL""")
 def repeated_cycles(v):
     return v.texts.select("doc_id", tx.collapse_cycles(F.col("text")).alias("cleaned"))
 
