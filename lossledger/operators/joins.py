@@ -139,19 +139,21 @@ def pages_of(child: DataFrame, key: str, order: list[str], name: str, page: int)
     """``(key, page, name)``: the rows of a key as records in order, at most ``page`` to an array.
 
     Only keys with more rows than that are ranked, in sorted ranges, so that a key that holds a third
-    of all rows is spread over many pages and tasks. Rows without a key are left out.
+    of all rows is spread over many pages and tasks. Records are ordered by the columns of ``order``,
+    then by the others, nulls last; rows without a key are left out.
     """
-    child = child.filter(F.col(key).isNotNull())
     others = [c for c in child.columns if c not in (key, *order)]
-    large = child.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > page).select(key)
+    place = F.struct(*[part for c in (*order, *others) for part in (F.col(c).isNull(), F.col(c))])
+    rows = child.filter(F.col(key).isNotNull()).select(key, place.alias("__place"), F.struct(*order, *others).alias("__record"))
+    large = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > page).select(key)
     first = F.lit(0).cast("bigint")
-    paged = child.withColumn("page", first)
+    paged = rows.withColumn("page", first)
     if not large.isEmpty():
-        ranked = rank_all(child.join(large, key, "left_semi"), [key], order[0], [*order[1:], *others], descending=False, rank_col="__rank")
+        ranked = rank_all(rows.join(large, key, "left_semi"), [key], "__place", [], descending=False, rank_col="__rank")
         numbered = ranked.withColumn("page", F.floor((F.col("__rank") - 1) / page)).drop("__rank")
-        paged = child.join(large, key, "left_anti").withColumn("page", first).unionByName(numbered)
-    record = F.struct(*order, *others)
-    return paged.groupBy(key, "page").agg(F.array_sort(F.collect_list(record)).alias(name))
+        paged = rows.join(large, key, "left_anti").withColumn("page", first).unionByName(numbered)
+    records = F.array_sort(F.collect_list(F.struct("__place", "__record")))
+    return paged.groupBy(key, "page").agg(F.transform(records, lambda r: r["__record"]).alias(name))
 
 
 def nested_dossier(
