@@ -21,6 +21,7 @@ import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +34,18 @@ from .common import WordTable, chunks, stored
 STEPS, RISE = 24, 0.02
 #: Words whose ids a worker remembers (about 200 bytes each).
 REMEMBERED = 700_000
+#: Words that are encoded in one text, and what stands between them.
+TOGETHER, BETWEEN = 1_000, b"\x01"
 #: Pieces in a slice, about; a slice of one length is ranked by one task.
 SLICE = 50_000
 
 
 class WordIds(WordTable):
-    """Ids of a word as little-endian bytes; new words are encoded together, at :meth:`learn`."""
+    """Ids of a word as little-endian bytes; new words are encoded together, at :meth:`learn`.
+
+    Many words make one text, which is quicker than one text each: the tokenizer cuts at white space, so a
+    word that stands alone between blanks, and has ids of its own, tells them apart again.
+    """
 
     def __init__(self, tokenizer_file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -46,18 +53,35 @@ class WordIds(WordTable):
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         super().__init__(lambda word: self.encoded([word])[0], REMEMBERED)
+        self.between = np.frombuffer(self.encoded([BETWEEN])[0], "<u4")
 
     def encoded(self, words: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
+    def encoded_together(self, words: list[bytes]) -> list[bytes]:
+        """The same as :meth:`encoded`; word by word where the separator's id is in a word."""
+        ids = np.frombuffer(self.encoded([(b" " + BETWEEN + b" ").join([*words, b""])])[0], "<u4")
+        ends = np.flatnonzero(ids == self.between[0])
+        if len(self.between) > 1 or len(ends) != len(words):
+            return self.encoded(words)
+        raw, ends = ids.tobytes(), (4 * ends).tolist()
+        return [raw[x:y] for x, y in zip([0, *(e + 4 for e in ends[:-1])], ends, strict=True)]
+
     def learn(self, words: list[bytes]) -> None:
         new = list(set(words).difference(self))
         if len(self) + len(new) > self.limit:
             self.clear()
             new = list(set(words))
-        for word, ids in zip(new, self.encoded(new), strict=True):
-            self[word] = ids
+        for at in range(0, len(new), TOGETHER):
+            some = new[at : at + TOGETHER]
+            self.update(zip(some, self.encoded_together(some), strict=True))
+
+
+@cache
+def word_ids(tokenizer_file: str) -> WordIds:
+    """One tokenizer and word memory per worker and file; later tasks of the worker know the words."""
+    return WordIds(tokenizer_file)
 
 
 def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = 2048, with_ids: bool = False) -> DataFrame:
@@ -67,7 +91,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = 2048, with_ids:
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordIds(tokenizer_file)
+        table = word_ids(tokenizer_file)
         for batch in batches:
             for part, texts in chunks(batch):
                 split = [t.split() if t else [] for t in texts]
