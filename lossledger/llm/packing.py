@@ -17,7 +17,9 @@ by one; ties in rank are between equal rows; an empty table gives an empty resul
 
 from __future__ import annotations
 
+import json
 import os
+import string
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -32,19 +34,26 @@ from .common import WordTable, chunks, stored
 
 #: Steps of the multiplicative weights and how much an uncovered length rises in a step.
 STEPS, RISE = 24, 0.02
-#: Words whose ids a worker remembers (about 200 bytes each).
-REMEMBERED = 700_000
-#: Words that are encoded in one text, and what stands between them.
-TOGETHER, BETWEEN = 1_000, b"\x01"
+#: Words and parts of words whose ids a worker remembers (about 200 bytes each).
+REMEMBERED = 1_000_000
+#: Parts of words that are encoded in one text.
+TOGETHER = 2_000
+#: ASCII signs that follow a word's letters.
+SIGNS_TEXT = string.punctuation
+SIGNS = SIGNS_TEXT.encode()
+#: Letters before this one, but for the dotted capital I, are their own composed form and are lowered one by one.
+FIRST_OTHER, DOTTED = "\u0250", "\u0130"
 #: Pieces in a slice, about; a slice of one length is ranked by one task.
 SLICE = 50_000
 
 
 class WordIds(WordTable):
-    """Ids of a word as little-endian bytes; new words are encoded together, at :meth:`learn`.
+    """Ids of a word as little-endian bytes; new words are encoded together, by :meth:`ids_of`.
 
-    Many words make one text, which is quicker than one text each: the tokenizer cuts at white space, so a
-    word that stands alone between blanks, and has ids of its own, tells them apart again.
+    Most words are letters and signs behind them, in some spelling with capitals. Where the tokenizer
+    lowers letters and cuts there (:func:`part_ends`), texts are lowered first, and only distinct cores and
+    endings are encoded, many in one text, which its part-ending tokens tell apart again. Words of another
+    form are encoded as they are.
     """
 
     def __init__(self, tokenizer_file: str):
@@ -53,29 +62,93 @@ class WordIds(WordTable):
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         super().__init__(lambda word: self.encoded([word])[0], REMEMBERED)
-        self.between = np.frombuffer(self.encoded([BETWEEN])[0], "<u4")
+        self.ends = part_ends(tokenizer_file)
+        self[b""] = b""
+
+    def words(self, text: bytes) -> list[bytes]:
+        """The words of a text; lowered where that changes no id (a special token's mark stays as it is)."""
+        return (text if self.ends is None or b"<|" in text else text.lower()).split()
 
     def encoded(self, words: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def encoded_together(self, words: list[bytes]) -> list[bytes]:
-        """The same as :meth:`encoded`; word by word where the separator's id is in a word."""
-        ids = np.frombuffer(self.encoded([(b" " + BETWEEN + b" ").join([*words, b""])])[0], "<u4")
-        ends = np.flatnonzero(ids == self.between[0])
-        if len(self.between) > 1 or len(ends) != len(words):
-            return self.encoded(words)
-        raw, ends = ids.tobytes(), (4 * ends).tolist()
-        return [raw[x:y] for x, y in zip([0, *(e + 4 for e in ends[:-1])], ends, strict=True)]
-
-    def learn(self, words: list[bytes]) -> None:
-        new = list(set(words).difference(self))
+    def encoded_together(self, parts: list[bytes]) -> list[bytes]:
+        """The same as :meth:`encoded`, for parts that the tokenizer does not cut."""
+        ids = np.frombuffer(self.encoded([b" ".join(parts)])[0], "<u4")
+        ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(ends) != len(parts):
+            return self.encoded(parts)
+        raw = ids.tobytes()
+        return [raw[x:y] for x, y in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def learn_parts(self, parts: list[bytes]) -> None:
+        for at in range(0, len(parts), TOGETHER):
+            some = parts[at : at + TOGETHER]
+            self.update(zip(some, self.encoded_together(some), strict=True))
+
+    def learn(self, new: set[bytes]) -> None:
         if len(self) + len(new) > self.limit:
             self.clear()
-            new = list(set(words))
-        for at in range(0, len(new), TOGETHER):
-            some = new[at : at + TOGETHER]
-            self.update(zip(some, self.encoded_together(some), strict=True))
+            self[b""] = b""
+        rest = new
+        if self.ends is not None:
+            cut = [(word, core_and_signs(word)) for word in new]
+            rest = [word for word, found in cut if not found]
+            composed = [(word, found) for word, found in cut if found and found[0] != word]
+            parts = {found[0] for _, found in cut if found}.union(found[1] for _, found in composed)
+            self.learn_parts(list(parts.difference(self)))
+            self.update((word, self[found[0]] + self[found[1]]) for word, found in composed)
+        rest = list(rest)
+        self.update(zip(rest, self.encoded(rest), strict=True))
+
+    def ids_of(self, texts: list[list[bytes]]) -> list[bytes]:
+        """Ids of texts that are given as words; each word is looked up once, unknown ones are learned together."""
+        found = [list(map(self.get, words)) for words in texts]
+        whole = [None not in ids for ids in found]
+        self.learn({
+            word for words, ids, known in zip(texts, found, whole, strict=True) if not known
+            for word, i in zip(words, ids, strict=True) if i is None
+        })
+        return [
+            b"".join(ids if known else [self[word] if i is None else i for word, i in zip(words, ids, strict=True)])
+            for words, ids, known in zip(texts, found, whole, strict=True)
+        ]
+
+
+def core_and_signs(word: bytes) -> tuple[bytes, bytes] | None:
+    """The lowered letters of a word and the ASCII signs behind them; None for words of another form, or
+    with letters that are normalised in other ways than by lowering them one by one."""
+    if word.isalpha() and word.islower():
+        return word, b""
+    if word.isascii():
+        low = word.lower()
+        core = low.rstrip(SIGNS)
+        return (core, low[len(core) :]) if core.isalpha() else None
+    text = word.decode()
+    if max(text) >= FIRST_OTHER or DOTTED in text:
+        return None
+    low = text.lower()
+    core = low.rstrip(SIGNS_TEXT)
+    return (core.encode(), low[len(core) :].encode()) if core.isalpha() else None
+
+
+def part_ends(tokenizer_file: str) -> np.ndarray | None:
+    """Which tokens end a part, for a tokenizer that lowers letters, drops white space, and takes a run of
+    letters and a run of signs as one part each; None for any other."""
+    with open(tokenizer_file, "rb") as f:
+        told = json.load(f)
+    cuts = (told.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    choices = ((cuts[0].get("pattern") or {}).get("Regex") or "").split("|")
+    suffix = told["model"].get("end_of_word_suffix")
+    steps = [n["type"] for n in (told.get("normalizer") or {}).get("normalizers", [])]
+    runs = {r"[\p{L}]+", r"[^\s\p{L}\p{N}]+"} <= set(choices) and cuts[0].get("behavior") == "Removed"
+    if not (suffix and runs and steps == ["NFC", "Replace", "Lowercase"]):
+        return None
+    numbers = told["model"]["vocab"]
+    ends = np.zeros(max([*numbers.values(), *(t["id"] for t in told.get("added_tokens", []))]) + 1, bool)
+    ends[[number for token, number in numbers.items() if token.endswith(suffix)]] = True
+    return ends
 
 
 @cache
@@ -94,11 +167,10 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = 2048, with_ids:
         table = word_ids(tokenizer_file)
         for batch in batches:
             for part, texts in chunks(batch):
-                split = [t.split() if t else [] for t in texts]
-                table.learn([w for words in split for w in words])
+                split = [table.words(t) if t else [] for t in texts]
                 rows, ids = [], []
-                for k, words in enumerate(split):
-                    doc = b"".join(map(table.__getitem__, words)) + b"\0\0\0\0"
+                for k, doc in enumerate(table.ids_of(split)):
+                    doc += b"\0\0\0\0"
                     for piece, at in enumerate(range(0, len(doc), 4 * capacity)):
                         own = doc[at : at + 4 * capacity]
                         rows.append((k, piece, at // 4, len(own) // 4, zlib.crc32(own)))
