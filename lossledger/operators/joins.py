@@ -48,6 +48,11 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("row_count")).filter(F.col("row_count") > 1)
 
 
+def has_fanout(df: DataFrame, keys: list[str]) -> bool:
+    """Whether joining to this frame on the keys would multiply rows; a job of its own."""
+    return not duplicate_keys(df, keys).isEmpty()
+
+
 def unique_on(df: DataFrame, keys: list[str]) -> DataFrame:
     """The same rows, of which each key has one; the plan fails where it runs into a repeated key.
 
