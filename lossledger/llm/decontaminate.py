@@ -8,8 +8,9 @@ so positions before the text or a window longer than the rest are dropped; what
 word by word. No window is found by hash alone.
 
 The benchmark is the stated query set. It is cut into blocks of at most ``BLOCK_WORDS`` words by window
-hash; the size of a block is checked before it is broadcast, and every block goes over the documents,
-which stay in place: nothing but counts of benchmark shingles is shuffled.
+hash; the size of a block is checked before it is broadcast, a larger one is halved again, and the items
+of a window that very many share are dealt to several rows and blocks, whose hits are united. Every block
+goes over the documents, which stay in place: nothing but counts of benchmark shingles is shuffled.
 
 Defined results: null or empty text has no words, no hits, and is not contaminated; items without
 words have no windows; items without an id are ignored; rows of the same item id are one item; empty
@@ -35,6 +36,10 @@ _WORDS = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 #: Words of the windows in one broadcast block.
 BLOCK_WORDS = 6_500_000
+#: The item ids of one row of windows are at most about this part of a block.
+SLICES_OF_BLOCK = 16
+#: Parts that the windows are cut into at most; rows that fall together even then have equal hashes.
+MOST_PARTS = 1 << 40
 DECISION = "__benchmark__"
 
 
@@ -44,7 +49,8 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 def benchmark_windows(items: DataFrame, width: int, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """One row per different window: its words, joined by blanks, and the ids of its items."""
+    """A row per different window: its words, joined by blanks, and the ids of its items; several rows for
+    a window of so many items that their ids would fill a good part of a block."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -59,9 +65,12 @@ def benchmark_windows(items: DataFrame, width: int, item_id: str = "item_id", te
                     [pa.array(ids, pa.string()), pa.array(windows, pa.binary()).cast(pa.string())], ["item_id", "window"])
 
     rows = items.select(F.col(item_id).cast("string").alias("item_id"), F.col(text).alias("text")).filter("item_id IS NOT NULL")
+    # The items of a window that very many share are dealt to several rows.
+    n_slices = 1 + rows.count() // max(1, BLOCK_WORDS // SLICES_OF_BLOCK)
     return (
         rows.mapInArrow(cut, "item_id string, window string")
-        .groupBy("window").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+        .groupBy("window", F.pmod(F.xxhash64("item_id"), F.lit(n_slices)).alias("slice"))
+        .agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     )
 
 
@@ -184,10 +193,16 @@ def _blocks(docs: DataFrame, items: DataFrame, width: int, shingle: int, item_id
     words = F.size(F.split("window", " ")) + F.size("items")
     total = windows.agg(F.sum(words)).first()[0] or 0
     n_blocks = 1 + 2 * total // BLOCK_WORDS if total > BLOCK_WORDS else 1
-    for k in range(n_blocks if total else 0):
-        part = windows.filter(F.pmod(F.xxhash64("window"), F.lit(n_blocks)) == k)
-        if n_blocks > 1 and (part.agg(F.sum(words)).first()[0] or 0) > BLOCK_WORDS:
-            raise ValueError("a block of benchmark windows is larger than BLOCK_WORDS")
+    row = F.xxhash64("window", "slice")
+    todo = [(n_blocks, k) for k in reversed(range(n_blocks if total else 0))]
+    while todo:
+        n, k = todo.pop()
+        part = windows.filter(F.pmod(row, F.lit(n)) == k)
+        if n_blocks > 1:
+            size, many = part.agg(F.coalesce(F.sum(words), F.lit(0)), F.count(F.lit(1))).first()
+            if size > BLOCK_WORDS and many > 1 and n < MOST_PARTS:  # halved until it fits; a row alone is bounded by its slice
+                todo += [(2 * n, k + n), (2 * n, k)]
+                continue
         rows = part.collect()
         if not rows:
             continue

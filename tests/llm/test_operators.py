@@ -138,6 +138,20 @@ def test_decontamination_in_blocks(spark, docs, monkeypatch):
     assert ordered(decontaminate.marked(docs, benchmark(spark)).select("doc_id", decontaminate.hit_words())) == whole
 
 
+def test_a_window_that_very_many_items_share(spark, docs, monkeypatch):
+    """200 items of one text next to the others: their ids alone exceed a block."""
+    shared = benchmark(spark).filter("text IS NOT NULL").first()["text"]
+    more = spark.createDataFrame([(10_000 + k, shared) for k in range(200)], benchmark(spark).select("item_id", "text").schema)
+    items = benchmark(spark).select("item_id", "text").unionByName(more)
+    columns = ["doc_id", f"{decontaminate.DECISION}spans", F.sort_array(f"{decontaminate.DECISION}items")]
+    whole = ordered(decontaminate.marked(docs, items).select(*columns))
+    assert max(len(r[2]) for r in whole) > 200
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 300)
+    windows = decontaminate.benchmark_windows(items, 13)
+    assert windows.agg(F.max(F.size("items"))).first()[0] < 100 and windows.groupBy("window").count().filter("count > 1").count() > 0
+    assert ordered(decontaminate.marked(docs, items).select(*columns)) == whole
+
+
 def kept_words(rows):
     """Windows of 20 words that stand earlier, judged on (id, text) once per different row."""
     seen, out = {}, {}
