@@ -353,3 +353,39 @@ def codes_and_quotes(v):
 def ending_variants(v):
     word = _choose(_key(), [F.lit("Северо-Горному"), F.lit("обращениям"), F.lit("банк")])
     return tx.one_per_row(v.orders, tx.ending_variants(word), "variant", ["o_orderkey"])
+
+
+# Part names in Cyrillic letters, each with an ending by its key.
+_LATIN, _CYRILLIC = "abcdefghijklmnopqrstuvwxyz ", "абцдефгхийклмнопкрстуввхыз-"
+_ENDINGS = ("ому", "ого", "ая", "ые", "иями", "ов", "а", "")
+
+
+def _stem_before(endings) -> str:
+    return f"'(?i)^(.{{3,}}?)(?:{'|'.join(endings)})$'"
+
+
+_ADJECTIVE, _NOUN = _stem_before(fixed_values.ADJECTIVE_ENDINGS), _stem_before(fixed_values.NOUN_ENDINGS)
+
+
+@query("h20_ending_variants_of_names", f"""
+    WITH words AS (
+        SELECT p_partkey, translate(lower(p_name), '{_LATIN}', '{_CYRILLIC}') ||
+               ({list(_ENDINGS)})[CAST(p_partkey % {len(_ENDINGS)} AS BIGINT) + 1] AS word FROM part),
+    parts AS (
+        SELECT p_partkey, word, list_transform(string_split(word, '-'), lambda p: CASE WHEN regexp_matches(p, {_ADJECTIVE})
+            THEN regexp_extract(p, {_ADJECTIVE}, 1) || CASE WHEN regexp_matches(lower(regexp_extract(p, {_ADJECTIVE}, 1)),
+                 '[{fixed_values.SOFT_STEM_LETTERS}]$') THEN 'ий' ELSE 'ый' END ELSE p END) AS nominative FROM words),
+    variants AS (
+        SELECT p_partkey, word, array_to_string(nominative, '-') AS variant FROM parts
+        UNION ALL SELECT p_partkey, word, word FROM words
+        UNION ALL SELECT p_partkey, word, regexp_extract(word, {_NOUN}, 1) || unnest({list(fixed_values.NOUN_SUFFIXES)})
+                  FROM words WHERE regexp_matches(word, {_NOUN}))
+    SELECT DISTINCT p_partkey, word, variant FROM variants""")
+def ending_variants_of_names(v):
+    endings = F.array(*[F.lit(e) for e in _ENDINGS])
+    word = F.concat(
+        F.translate(F.lower("p_name"), _LATIN, _CYRILLIC),
+        F.get(endings, (F.col("p_partkey") % len(_ENDINGS)).cast("int")),
+    )
+    words = v.part.select("p_partkey", word.alias("word"))
+    return tx.one_per_row(words, tx.ending_variants(F.col("word")), "variant", ["p_partkey", "word"])
