@@ -1,21 +1,26 @@
 """Language-model scores: a unigram base and a hashed maximum-entropy model.
 
-The model factors a token into the decisions on its way through a Huffman tree of the words; every
-decision is a softmax over two sides with features of the words before (one back, two back, both).
-There is a row per context and tree node that occurs in training, so the table grows with the corpus;
-it is never in one place. Contexts are dealt by hash: every chunk of documents sends the words it has
-after each context, the sums per context and node are taken there, and each chunk gets back the sums
-along its own words. The weight of a row is its smoothed log odds against the node's prior, scaled by a
-factor for the kind of context and how often it was met; the factors are fitted by distributed gradient
-rounds (Newton steps) over every training token, whose own occurrence is left out of the sums.
-
-Words of at least a count that leaves at most ``HEAD`` of them are leaves of the tree and broadcast. All
-other words share one leaf, below which the bits of their hash are further decisions, as many as there
-are binary digits in the number of such words; words with equal bits have their smoothed relative
-frequency. Probabilities sum to one over the training words and one unseen word per set of bits. Counts
-of all training tokens are exact in the base; the sums of the model are exact up to 63 and within 5 %
-above. Other words of each document are joined with their counts, so no frequent word is a join key and
-nothing that grows with the corpus is broadcast.
+A token's probability is that of its class times that of the word within its class; both are softmaxes
+over features of the words before. Class features are the word before (w1), both words before (w2 w1)
+and, skipping one, the second word before (w2); word features are w1 and w2 w1. Classes are ranges of
+words by frequency. A feature has weights for what stood after it in training, over the unigram shares
+as prior; of words never met after it the weight is zero, so a normaliser is the prior's plus sums over
+met words, and no softmax walks over the vocabulary.
+
+The n-gram features grow with the corpus and are never in one place. Every chunk of documents sends its
+distinct (w1, w2, word) with counts, dealt by the hash of w1; a frequent w1 is one feature per bucket of
+w2, as many buckets as keep each below an eighth of a part. So all features of a token but the skip are
+in one part, which gradient steps train on all tokens of the part in runs of w1. The skip weights
+(``ROWS`` hashed rows) are shared: every round each part trains its own features, sends its gradient
+for the skip rows, and the driver takes a step with the sums. After the last round parts send the log
+probability of each distinct (w1, w2, word) back to the chunks, which add them up per text.
+
+Words of at least a count that leaves at most ``HEAD`` of them have a class and are broadcast by hash.
+All others share the last class and are told apart by bits of their hash there, as many as there are
+binary digits in the number of such words; words with equal bits have their smoothed relative frequency.
+As features they have 31 bits. Probabilities sum to one over the training words and one unseen word per
+set of bits. Base counts are exact. Other words of each document are joined with their counts, so no
+frequent word is a join key and nothing that grows with the corpus is broadcast.
 
 Defined results: null and empty texts have the end token alone; rows that repeat an id are scored one
 by one; without training documents every token has probability one; an empty table gives an empty
@@ -24,7 +29,6 @@ result; further columns are not looked at.
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -35,22 +39,36 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, WordTable, chunks, hashed, mixed, stored, word_hashes
+from .common import LOWER, U64, chunks, hashed, mixed, stored, word_hashes
 
-#: Most words that are broadcast, and the longest of them in bytes.
-HEAD, LONGEST = 200_000, 64
-#: Kinds of context, contexts with words that a task holds at a time, bytes of text in a chunk, and rounds.
-KINDS, PART, CHUNK, ROUNDS = 3, 1_000_000, 1 << 20, 2
-#: Tokens that are scored at a time, kinds of frequency, the factors at the start, their weight, and the highest factor.
-STEP, MET, FACTOR, RIDGE, HIGHEST = 1 << 15, 16, 0.3, 10.0, 1.5
-#: The end token; no word holds a blank.
-END = b" "
+#: Most words that are broadcast (by hash), classes of words, and rows of skip weights.
+HEAD, CLASSES, ROWS = 200_000, 32, 2048
+#: Tokens in a part, contexts that are trained at a time, bytes of text in a chunk.
+PART, SLICE, CHUNK = 1 << 20, 1 << 13, 4 << 20
+#: Rounds of the shared weights, steps of a part in a round, length of a step, its highest move, and the highest weight.
+ROUNDS, STEPS, RATE, MOVE, HIGHEST = 2, 4, 0.6, 3.0, 9.0
+#: Precision of the prior of weights: class by one word, class by two, class by skip, word by one, word by two.
+RIDGES = (0.2, 0.4, 5.0, 0.05, 0.1)
+#: The end token; no word holds a blank. The words before a text.
+END, BEFORE = b" ", -1
 
 
 def _words(text: bytes | None) -> list[bytes]:
     return text.translate(LOWER).split() if text else []
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Numbers byte plane by byte plane, compressed: the high bytes of small numbers cost nothing."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    return len(x).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
+
+
+def unpacked(blob: bytes, kind) -> np.ndarray:
+    n, size = int.from_bytes(blob[:8], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(blob[8:], n * size, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).reshape(n)
+
+
 def token_counts(docs: DataFrame, training: Column) -> DataFrame:
     """(word, n) over all training documents, the end token included."""
 
@@ -75,137 +93,80 @@ def token_counts(docs: DataFrame, training: Column) -> DataFrame:
     return docs.filter(training).select("text").mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _bits(x: np.ndarray) -> np.ndarray:
-    """Binary digits of 64-bit numbers."""
-    high, low = (x >> U64(32)).astype(np.float64), (x & U64(0xFFFFFFFF)).astype(np.float64)
-    return np.where(high > 0, 32 + np.frexp(high)[1], np.frexp(low)[1]).astype(np.int64)
-
-
-def _top(x: np.ndarray, bits) -> np.ndarray:
-    """The numbers with all but their first ``bits`` bits cleared (0 to 63)."""
-    return x & ~(U64(0xFFFFFFFFFFFFFFFF) >> np.asarray(bits).astype(U64))
-
-
-def along(context: np.ndarray, leaf: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For distinct leaves sorted by context: sums of ``n`` along the way to each leaf.
-
-    Gives depth, rows, their sum on the side taken and on both sides, as long as another leaf of the
-    context is below; further down all that is left is the leaf itself.
-    """
-    shared = np.full(len(leaf), -1, np.int64)
-    shared[1:] = np.where(context[1:] == context[:-1], 64 - _bits(leaf[1:] ^ leaf[:-1]), -1)
-
-    def sums(rows: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        begin = np.flatnonzero(shared[rows] < depth)
-        many = np.diff(np.append(begin, len(rows)))
-        return np.repeat(np.add.reduceat(n[rows], begin), many), np.repeat(many > 1, many)
-
-    rows = np.arange(len(leaf))
-    if len(rows):
-        both, further = sums(rows, 0)
-    depth = 0
-    while len(rows):
-        rows, both = rows[further], both[further]
-        if len(rows):
-            side, further = sums(rows, depth + 1)
-            yield depth, rows, side, both
-            both = side
-        depth += 1
-
-
-def _levels(n: np.ndarray) -> np.ndarray:
-    """A byte per sum: exact to 63, then eight steps per doubling."""
-    return np.where(n < 64, n, np.minimum(64 + 8 * np.log2(np.maximum(n, 64) / 64), 255)).astype(np.uint16)
-
-
-_SUMS = np.where(np.arange(256) < 64, np.arange(256), 64 * 2 ** ((np.arange(256) - 63.5) / 8)).astype(np.float32)
-
-
-def _spread(offset: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Places offset, offset + 1, ... of every run, one run after the other."""
-    end = np.cumsum(length)
-    return np.arange(end[-1] if len(end) else 0) + np.repeat(offset - (end - length), length)
-
-
 class Vocabulary:
-    """The broadcast words: counts, ways through the tree and their priors; totals of all words."""
-
-    def __init__(self, head: list, total: int, different: int):
-        head = sorted(head, key=lambda r: (-r[1], r[0]))
-        self.total, self.different = total, different
-        n = np.array([c for _, c in head], np.int64)
-        #: word -> row of the arrays below; the last row stands for all other words.
-        self.row = {w: k for k, (w, _) in enumerate(head)}
+    """The broadcast words by hash: base, class and share in the class; totals of all words."""
+
+    def __init__(self, number: np.ndarray, n: np.ndarray, total: int, different: int):
+        order = np.lexsort((number, -n))
+        number, n = number[order].astype(U64), n[order].astype(np.int64)
+        self.total, self.different, self.size = total, different, len(n)
+        #: Words in order of frequency; the row after them stands for all other words.
+        self.n = np.append(n, total - n.sum())
+        self.by_hash = np.argsort(number).astype(np.int32)
+        self.number = number[self.by_hash]
         self.base = np.log10((n + 1) / (total + different + 1)) if len(n) else np.empty(0)
-        weight = np.append(n, total - n.sum()) + 1
-        length = self._lengths(weight.tolist())
-        order = np.lexsort((np.arange(len(weight)), length))
-        width = np.where(length > 0, U64(1) << ((64 - length) % 64).astype(U64), U64(0))
-        self.leaf = np.zeros(len(weight), U64)
-        self.leaf[order] = np.cumsum(width[order]) - width[order]
-        self.order, self.sorted_leaf = order, self.leaf[order]
-        self.digits = max(different - len(head) - 1, 0).bit_length()
-        #: Decisions of the tree for each row, and where their priors (log odds of the side taken) are.
-        self.length = length
-        self.offset = np.cumsum(length) - length
-        self.prior = np.zeros(length.sum(), np.float32)
-        for depth, rows, side, both in along(np.zeros(len(order), np.int64), self.sorted_leaf, weight[order].astype(np.float64)):
-            self.prior[self.offset[order[rows]] + depth] = np.log(side / (both - side))
-
-    @staticmethod
-    def _lengths(weights: list) -> np.ndarray:
-        heap = [(w, k) for k, w in enumerate(weights)]
-        heapq.heapify(heap)
-        above = [0] * (2 * len(weights) - 1)
-        for new in range(len(weights), len(above)):
-            (a, i), (b, j) = heapq.heappop(heap), heapq.heappop(heap)
-            above[i] = above[j] = new
-            heapq.heappush(heap, (a + b, new))
-        depth = [0] * len(above)
-        for k in range(len(above) - 2, -1, -1):
-            depth[k] = depth[above[k]] + 1
-        return np.array(depth[: len(weights)], np.int64)
-
-    def code_of(self, word: bytes) -> int:
-        """Row of a broadcast word; -1 of another."""
-        return self.row.get(word, -1)
-
-    def places(self, code: np.ndarray, number: np.ndarray) -> np.ndarray:
-        """A 64-bit number per token that begins with its way; other words go on with their hash."""
-        other = self.leaf[-1] | (number >> U64(int(self.length[-1])))
-        return np.where(code >= 0, self.leaf[np.maximum(code, 0)], other)
-
-    def ways(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Row and number of decisions of tokens by place."""
-        row = self.order[np.searchsorted(self.sorted_leaf, place, "right") - 1]
-        return row, self.length[row] + np.where(row == len(self.length) - 1, self.digits, 0)
-
-    def other_leaf(self, number: np.ndarray) -> np.ndarray:
-        """Of other words, the place that those with equal bits share."""
-        return _top(self.leaf[-1] | (number >> U64(int(self.length[-1]))), self.length[-1] + self.digits).view(np.int64)
+        root = np.sqrt(n)
+        bin_ = ((CLASSES - 1) * (np.cumsum(root) - root) / max(root.sum(), 1)).astype(np.int64)
+        _, of = np.unique(bin_, return_inverse=True)
+        self.classes = (int(of[-1]) + 1 if len(of) else 0) + 1
+        self.of = np.append(of, self.classes - 1).astype(np.int64)
+        mass = np.bincount(self.of, self.n, self.classes)
+        self.prior = np.log((mass + 1) / (mass.sum() + self.classes)).astype(np.float32)
+        #: Bits that tell other words apart.
+        self.digits = min(max(different - len(n) - 1, 0).bit_length(), 30)
+        self.share = np.append(n / mass[self.of[:-1]], 0.5**self.digits)
+
+    def ids(self, number: np.ndarray) -> np.ndarray:
+        """Row of a broadcast word; above them 31 bits of the hash of another."""
+        at = np.minimum(np.searchsorted(self.number, number), max(self.size - 1, 0))
+        other = self.size + (number % U64((1 << 31) - self.size - 1)).astype(np.int64)
+        if not self.size:
+            return other.astype(np.int32)
+        return np.where(self.number[at] == number, self.by_hash[at], other).astype(np.int32)
+
+    def targets(self, ids: np.ndarray) -> np.ndarray:
+        """What the model tells apart: broadcast words, and above them the bits of others."""
+        return np.where(ids < self.size, ids, self.size + ((ids - self.size) & ((1 << self.digits) - 1))).astype(np.int32)
+
+    def bucket(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Of a frequent word before, the bucket of the word before that: its feature is split by it."""
+        inside = (one >= 0) & (one < self.size)
+        buckets = 1 + np.where(inside, self.n[np.where(inside, one, 0)], 0) * 8 // PART
+        buckets = np.where(one == BEFORE, 1 + self.n.sum() * 8 // PART, buckets)
+        return (mixed(two.astype(np.int64).view(U64)) % buckets.astype(U64)).astype(np.int64)
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     """Totals, and the words whose count is high enough for at most ``HEAD`` to have it."""
     total, different = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    short = counts.filter(F.octet_length("word") <= LONGEST)
     level = F.floor(F.log2("n") * 16).cast("int")  # a few hundred levels at most
-    levels = sorted(((r["l"], r["count"]) for r in short.groupBy(level.alias("l")).count().collect()), reverse=True)
+    levels = sorted(((r["l"], r["count"]) for r in counts.groupBy(level.alias("l")).count().collect()), reverse=True)
     least, words = 10**6, 0
     for at, many in levels:
         if words + many > HEAD:
             break
         least, words = at, words + many
-    head = [(bytes(r["word"]), r["n"]) for r in short.filter(level >= least).collect()]
-    return Vocabulary(head, total, different)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = word_hashes()
+        for batch in batches:
+            own = hashed(batch.column("word").to_pylist(), hashes).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(own), batch.column("n")], ["number", "n"])
+
+    head = counts.filter(level >= least).select("word", "n").mapInArrow(number, "number bigint, n bigint").toPandas()
+    return Vocabulary(head["number"].to_numpy(np.int64).view(U64), head["n"].to_numpy(np.int64), total, different)
+
+
+DOC = pa.struct([("key", pa.int64()), ("doc_id", pa.int64()), ("training", pa.bool_()), ("held_out", pa.bool_()),
+                 ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64())])
+TAIL = pa.struct([("key", pa.int64()), ("word", pa.binary()), ("leaf", pa.int64()), ("tf", pa.int64())])
 
 
 def tokenized(docs: DataFrame, words) -> DataFrame:
-    """A row per chunk of documents: places of all tokens, and what else the scores need."""
+    """A row per chunk of documents: ids of all tokens, and what else the scores need."""
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = words.value
-        hashes, codes = word_hashes(), WordTable(vocab.code_of)
+        vocab, hashes = words.value, word_hashes()
         key = TaskContext.get().partitionId() << 40
         for batch in batches:
             for part, texts in chunks(batch, limit=CHUNK):
@@ -213,12 +174,11 @@ def tokenized(docs: DataFrame, words) -> DataFrame:
                 flat = [w for own in split for w in (*own, END)]
                 lengths = np.array([len(w) + 1 for w in split])
                 text = np.repeat(np.arange(len(split)), lengths)
-                number = hashed(flat, hashes)
-                code = np.fromiter(map(codes.__getitem__, flat), np.int64, len(flat))
-                inside = np.flatnonzero(code >= 0)
-                base = np.bincount(text[inside], vocab.base[code[inside]], minlength=len(texts))
-                outside = np.flatnonzero(code < 0)
-                leaf = vocab.other_leaf(number[outside]).tolist()
+                ids = vocab.ids(hashed(flat, hashes))
+                known = ids < vocab.size
+                inside, outside = np.flatnonzero(known), np.flatnonzero(~known)
+                base = np.bincount(text[inside], vocab.base[ids[inside]], minlength=len(texts))
+                leaf = vocab.targets(ids[outside]).tolist()
                 tail = Counter(zip(text[outside].tolist(), map(flat.__getitem__, outside.tolist()), leaf, strict=True))
                 rows = [{"key": key + k, "doc_id": d, "training": t, "held_out": h, "n_tokens": n, "n_known": i, "base": b}
                         for k, (d, t, h, n, i, b) in enumerate(zip(
@@ -226,168 +186,197 @@ def tokenized(docs: DataFrame, words) -> DataFrame:
                             lengths.tolist(), np.bincount(text[inside], minlength=len(texts)).tolist(), base.tolist(), strict=True))]
                 yield pa.RecordBatch.from_pydict({
                     "chunk": pa.array([key], pa.int64()), "n": pa.array([len(flat)], pa.int64()),
-                    "place": pa.array([vocab.places(code, number).tobytes()], pa.binary()),
-                    "docs": pa.array([rows], pa.list_(DOC)),
+                    "ids": pa.array([packed(ids)], pa.binary()), "docs": pa.array([rows], pa.list_(DOC)),
                     "tail": pa.array([[{"key": key + t, "word": w, "leaf": x, "tf": n} for (t, w, x), n in tail.items()]], pa.list_(TAIL))})
                 key += len(texts)
 
     return stored(docs.mapInArrow(take, (
-        "chunk bigint, n bigint, place binary, "
+        "chunk bigint, n bigint, ids binary, "
         "docs array<struct<key:bigint,doc_id:bigint,training:boolean,held_out:boolean,n_tokens:bigint,n_known:bigint,base:double>>, "
         "tail array<struct<key:bigint,word:binary,leaf:bigint,tf:bigint>>")))
 
 
-DOC = pa.struct([("key", pa.int64()), ("doc_id", pa.int64()), ("training", pa.bool_()), ("held_out", pa.bool_()),
-                 ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64())])
-TAIL = pa.struct([("key", pa.int64()), ("word", pa.binary()), ("leaf", pa.int64()), ("tf", pa.int64())])
+class Events:
+    """The distinct (w1, w2, word) of a chunk in order of part, w1, bucket, w2 and word, with training counts."""
 
+    def __init__(self, vocab: Vocabulary, ids: np.ndarray, lengths: np.ndarray, training: np.ndarray, parts: int):
+        at = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        one = np.where(at > 0, np.roll(ids, 1), BEFORE).astype(np.int32)
+        two = np.where(at > 1, np.roll(ids, 2), BEFORE).astype(np.int32)
+        word = vocab.targets(ids)
+        bucket = vocab.bucket(one, two)
+        part = (mixed(one.astype(np.int64).view(U64) * U64(0x9E3779B97F4A7C15) + bucket.view(U64)) % U64(parts)).astype(np.int64)
+        order = np.lexsort((word, two, bucket, one, part))
+        first = _starts(*(x[order] for x in (part, one, bucket, two, word)))
+        of = np.empty(len(order), np.int64)
+        #: By token, the row here.
+        of[order] = np.cumsum(first) - 1
+        self.of, first = of, order[first]
+        self.part, self.one, self.two, self.word = part[first], one[first], two[first], word[first]
+        self.n = np.bincount(of, np.repeat(training, lengths), minlength=len(first)).astype(np.int32)
 
-class Contexts:
-    """The different contexts with a word of a chunk, ordered by part."""
-
-    def __init__(self, vocab: Vocabulary, place: np.ndarray, lengths: np.ndarray, training: np.ndarray, parts: int):
-        at = np.arange(len(place)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        self.row, self.decisions = vocab.ways(place)
-        leaf = _top(place, self.decisions)
-        one = mixed(np.where(at > 0, np.roll(place, 1), U64(1)))
-        two = mixed(np.where(at > 1, np.roll(place, 2), U64(2)) ^ U64(0x5851F42D4C957F2D))
-        context = np.concatenate([one, two, mixed(one * U64(0x9E3779B97F4A7C15) + two)])
-        leaf = np.tile(leaf, KINDS)
-        _, first, token = np.unique(mixed(context * U64(0x9E3779B97F4A7C15) + mixed(leaf)), return_index=True, return_inverse=True)
-        part = (context[first] % U64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        self.part, first = part[order], first[order]
-        self.context, self.leaf = context[first], leaf[first]
-        self.length = np.tile(self.decisions, KINDS)[first]
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        #: By kind and token, the row here.
-        self.of_token = rank[token].reshape(KINDS, len(place))
-        weight = np.tile(np.repeat(training, lengths), KINDS)
-        self.n = np.bincount(self.of_token.ravel(), weight, minlength=len(order)).astype(np.int32)
-
-
-def sums_along(tokens: DataFrame, words, parts: int) -> DataFrame:
-    """A row per chunk: for each kind of context and decision the sums of both sides (a byte each)."""
-
-    def read(place: bytes, docs: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, Contexts]:
-        place = np.frombuffer(place, U64)
-        lengths = np.array([d["n_tokens"] for d in docs])
-        training = np.array([bool(d["training"]) for d in docs], np.float64)
-        return place, lengths, training, Contexts(words.value, place, lengths, training, parts)
+
+def _starts(*sorted_columns: np.ndarray) -> np.ndarray:
+    """True where a row differs from the one before."""
+    new = np.zeros(len(sorted_columns[0]), bool)
+    new[:1] = True
+    for x in sorted_columns:
+        new[1:] |= x[1:] != x[:-1]
+    return new
+
+
+def _events(vocab: Vocabulary, row: dict, parts: int) -> Events:
+    lengths = np.array([d["n_tokens"] for d in row["docs"]])
+    training = np.array([bool(d["training"]) for d in row["docs"]], np.float64)
+    return Events(vocab, unpacked(row["ids"], np.int32), lengths, training, parts)
+
+
+def dealt(tokens: DataFrame, words, parts: int) -> DataFrame:
+    """A row per part: its distinct events in order, counts over all chunks, and where each chunk's are."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                found = read(row["place"], row["docs"])[-1]
+                found = _events(words.value, row, parts)
                 part, begin = np.unique(found.part, return_index=True)
-                ends = zip(begin.tolist(), [*begin[1:].tolist(), len(found.part)], strict=True)
-                blobs = [(found.context[a:b].tobytes(), found.leaf[a:b].tobytes(), found.n[a:b].tobytes()) for a, b in ends]
+                ends = list(zip(begin.tolist(), [*begin[1:].tolist(), len(found.part)], strict=True))
                 yield pa.RecordBatch.from_pydict({
                     "part": pa.array(part), "chunk": pa.array([row["chunk"]] * len(part), pa.int64()),
-                    **{name: pa.array([b[k] for b in blobs], pa.binary()) for k, name in enumerate(("context", "leaf", "n"))}})
-
-    def add(table: pa.Table) -> pa.Table:
-        vocab = words.value
-        column = lambda name, kind: [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
-        contexts = column("context", U64)
-        sizes = [len(x) for x in contexts]
-        context, leaf, n = np.concatenate(contexts), np.concatenate(column("leaf", U64)), np.concatenate(column("n", np.int32))
-        order = np.lexsort((leaf, context))
-        new = np.append(True, (np.diff(context[order]) != 0) | (np.diff(leaf[order]) != 0))
-        begin = np.flatnonzero(new)
-        which = np.empty(len(order), np.int64)
-        which[order] = np.cumsum(new) - 1
-        context, leaf, n = context[order][begin], leaf[order][begin], np.add.reduceat(n[order], begin, dtype=np.int64)
-        length = vocab.ways(leaf)[1]
-        offset = np.cumsum(length) - length
-        out = np.repeat(_levels(n) << 8, length).astype(np.uint16)
-        for depth, rows, side, both in along(context, leaf, n):
-            out[offset[rows] + depth] = _levels(side) << 8 | _levels(both - side)
-        ends = np.cumsum(sizes)
-        back = [out[_spread(offset[own], length[own])].tobytes() for own in (which[b - s : b] for b, s in zip(ends, sizes, strict=True))]
-        return pa.table({"chunk": table.column("chunk"), "part": table.column("part"), "sums": pa.array(back, pa.binary())})
-
-    def gather(own: pa.Table, back: pa.Table) -> pa.Table:
-        vocab = words.value
-        row = own.to_pylist()[0]
-        place, lengths, training, found = read(row["place"], row["docs"])
-        by_part = sorted(zip(back.column("part").to_pylist(), back.column("sums").to_pylist(), strict=True))
-        sums = np.frombuffer(b"".join(x for _, x in by_part), np.uint16)
-        offset = np.cumsum(found.length) - found.length
-        along_tokens = np.concatenate([sums[_spread(offset[of], found.decisions)] for of in found.of_token])
+                    **{k: pa.array([packed(getattr(found, k)[a:b]) for a, b in ends], pa.binary()) for k in ("one", "two", "word", "n")}})
+
+    def merge(table: pa.Table) -> pa.Table:
+        one, two, word, n = ([unpacked(x, np.int32) for x in table.column(k).to_pylist()] for k in ("one", "two", "word", "n"))
+        sizes = [len(x) for x in one]
+        one, two, word, n = (np.concatenate(x) for x in (one, two, word, n))
+        bucket = words.value.bucket(one, two)
+        order = np.lexsort((word, two, bucket, one))
+        one, two, word, bucket = (x[order] for x in (one, two, word, bucket))
+        run, pair = _starts(one, bucket), _starts(one, bucket, two)
+        first = pair | _starts(word)
+        of = np.empty(len(order), np.int64)
+        of[order] = np.cumsum(first) - 1
+        total = np.add.reduceat(n[order], np.flatnonzero(first), dtype=np.int64)
+        row = np.where((two >= 0) & (two < ROWS // 2), two, ROWS // 2 + mixed(two.astype(np.int64).view(U64)) % U64(ROWS // 2))
         return pa.table({
-            "place": pa.array([row["place"]], pa.binary()), "sums": pa.array([along_tokens.tobytes()], pa.binary()),
-            "key": pa.array([[d["key"] for d in row["docs"]]], pa.list_(pa.int64())),
-            "lengths": pa.array([lengths.tolist()], pa.list_(pa.int64())),
-            "training": pa.array([training.astype(bool).tolist()], pa.list_(pa.bool_()))})
-
-    tokens = tokens.select("chunk", "place", "docs")
-    sent = tokens.mapInArrow(send, "part bigint, chunk bigint, context binary, leaf binary, n binary")
-    back = sent.groupBy("part").applyInArrow(add, "chunk bigint, part bigint, sums binary")
-    return stored(tokens.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(
-        gather, "place binary, sums binary, key array<bigint>, lengths array<bigint>, training array<boolean>"))
-
-
-def decisions(vocab: Vocabulary, row: dict, left_out: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For slices of a chunk: text of each decision, prior, and for each kind its odds and frequency."""
-    place, sums = np.frombuffer(row["place"], U64), np.frombuffer(row["sums"], np.uint16)
-    text = np.repeat(np.arange(len(row["lengths"])), row["lengths"])
-    training = np.array(row["training"], bool)
-    way, length = vocab.ways(place)
-    sums = sums.reshape(KINDS, -1)
-    ends = np.append(0, np.cumsum(length))
-    for a in range(0, len(place), STEP):
-        b = min(a + STEP, len(place))
-        many, of = length[a:b], way[a:b]
-        inside = vocab.length[of]
-        at = ends[a:b] - ends[a]
-        prior = np.zeros(ends[b] - ends[a], np.float32)
-        prior[_spread(at, inside)] = vocab.prior[_spread(vocab.offset[of], inside)]
-        own = np.repeat(text[a:b], many)
-        some = sums[:, ends[a] : ends[b]]
-        side, other = _SUMS[some >> 8], _SUMS[some & 255]
-        if left_out:
-            side = np.maximum(side - training[own], 0)
-        p = 1 / (1 + np.exp(-prior))
-        odds = np.log((side + p) / (other + 1 - p)) - prior
-        met = np.minimum(np.log2(side + other + 1), MET - 1).astype(np.int64)
-        yield own, prior, odds, met
-
-
-def fit(sums: DataFrame, words) -> np.ndarray:
-    """Factors by kind and frequency of contexts: Newton steps on the sums over every training token."""
-    spark, size = sums.sparkSession, KINDS * MET
-    factors = np.full(size, FACTOR)
-    for _ in range(ROUNDS):
-        start = spark.sparkContext.broadcast(factors)
-
-        def steps(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
-            first, second = np.zeros(size), np.zeros((size, size))
+            "part": table.column("part").slice(0, 1),
+            "chunks": pa.array([table.column("chunk").to_pylist()], pa.list_(pa.int64())),
+            "sizes": pa.array([sizes], pa.list_(pa.int64())),
+            "at": pa.array([packed(np.diff(of, prepend=0).astype(np.int32))], pa.binary()),
+            "begins": pa.array([packed((run[first].astype(np.uint8) + pair[first]).astype(np.uint8))], pa.binary()),
+            "skip": pa.array([packed(row[pair].astype(np.uint16))], pa.binary()),
+            "word": pa.array([packed(word[first])], pa.binary()), "n": pa.array([packed(total)], pa.binary())})
+
+    sent = tokens.select("chunk", "ids", "docs").mapInArrow(send, "part bigint, chunk bigint, one binary, two binary, word binary, n binary")
+    return stored(sent.groupBy("part").applyInArrow(merge, (
+        "part bigint, chunks array<bigint>, sizes array<bigint>, at binary, begins binary, skip binary, word binary, n binary")))
+
+
+class Runs:
+    """Whole runs of w1 out of a part: events, contexts (w2 w1) and features w1, numbered from 0."""
+
+    def __init__(self, vocab: Vocabulary, begins: np.ndarray, skip: np.ndarray, word: np.ndarray, n: np.ndarray):
+        self.skip, self.n, self.k = skip.astype(np.int64), n.astype(np.float64), vocab.classes
+        self.prior = vocab.prior
+        self.pair = np.cumsum(begins > 0) - 1
+        self.run_begin = np.flatnonzero(begins[begins > 0] == 2)
+        self.run = np.cumsum(begins[begins > 0] == 2) - 1
+        row, words = np.minimum(word, vocab.size), vocab.size + (1 << vocab.digits)
+        self.of, self.share = vocab.of[row], vocab.share[row]
+        # The words after w1, each once.
+        self.met, self.met_of = np.unique(self.run[self.pair] * words + word, return_inverse=True)
+        self.met_run, met_word = np.divmod(self.met, words)
+        row = np.minimum(met_word, vocab.size)
+        self.met_class, self.met_share = vocab.of[row], vocab.share[row]
+        self.counts = self._table(self.pair * self.k + self.of, self.n, len(self.skip))
+
+    def _table(self, at: np.ndarray, x: np.ndarray, rows: int) -> np.ndarray:
+        return np.bincount(at, x, rows * self.k).reshape(rows, self.k)
+
+    def classes(self, shared: np.ndarray, steps: int) -> np.ndarray:
+        """Probabilities of the classes in every context, after steps on the features w1 and w2 w1."""
+        start = self.prior + shared[self.skip]
+        counts = self.counts.astype(np.float32)
+        many, summed = counts.sum(1, keepdims=True), np.add.reduceat(counts, self.run_begin)
+        one, two = np.zeros_like(summed), np.zeros_like(counts)
+        for step in range(steps + 1):
+            p = start + one[self.run] + two
+            p -= p.max(1, keepdims=True)
+            np.exp(p, out=p)
+            p /= p.sum(1, keepdims=True)
+            if step < steps:
+                expected = many * p
+                one = stepped(one, summed, np.add.reduceat(expected, self.run_begin), RIDGES[0])
+                two = stepped(two, counts, expected, RIDGES[1])
+        return p
+
+    def words(self, steps: int) -> np.ndarray:
+        """Probability of each event's word within its class, after steps on the features w1 and w2 w1."""
+        met_at, at = self.met_run * self.k + self.met_class, self.pair * self.k + self.of
+        met_n = np.bincount(self.met_of, self.n, len(self.met))
+        one, two = np.zeros(len(self.met)), np.zeros(len(self.n))
+        for step in range(steps + 1):
+            first = self.met_share * np.exp(one)
+            own = first[self.met_of]
+            further = own * np.expm1(two)
+            by_run = 1 + self._table(met_at, first - self.met_share, len(self.run_begin))
+            norm = (by_run[self.run] + self._table(at, further, len(self.skip))).ravel()
+            p = (own + further) / norm[at]
+            if step < steps:
+                per = self.counts.ravel() / norm
+                all_ = np.add.reduceat(per.reshape(self.counts.shape), self.run_begin).ravel()
+                expected = first * all_[met_at] + np.bincount(self.met_of, further * per[at], len(self.met))
+                # What was never met in training has no feature.
+                one = np.where(met_n > 0, stepped(one, met_n, expected, RIDGES[3]), 0)
+                two = np.where(self.n > 0, stepped(two, self.n, self.counts.ravel()[at] * p, RIDGES[4]), 0)
+        return p
+
+
+def stepped(weight: np.ndarray, counted: np.ndarray, expected: np.ndarray, ridge: float) -> np.ndarray:
+    """A gradient step, each weight scaled by its expected count (which bounds its curvature)."""
+    move = RATE * (counted - expected - ridge * weight) / (expected + ridge)
+    return np.clip(weight + np.clip(move, -MOVE, MOVE), -HIGHEST, HIGHEST)
+
+
+def runs_of(vocab: Vocabulary, row: dict) -> Iterator[Runs]:
+    """A part in slices of whole runs, of about ``SLICE`` contexts."""
+    begins, skip = unpacked(row["begins"], np.uint8), unpacked(row["skip"], np.uint16)
+    word, n = unpacked(row["word"], np.int32), unpacked(row["n"], np.int64)
+    events, pairs = np.flatnonzero(begins == 2), np.flatnonzero(begins[begins > 0] == 2)
+    cut = np.flatnonzero(_starts(pairs // SLICE))
+    ends = zip(cut.tolist(), [*cut[1:].tolist(), None], strict=True)
+    for a, b in ends:
+        e, p = slice(events[a], b and events[b]), slice(pairs[a], b and pairs[b])
+        yield Runs(vocab, begins[e], skip[p], word[e], n[e])
+
+
+def fit(events: DataFrame, words) -> np.ndarray:
+    """Skip weights by gradient rounds over all training tokens; parts take as many steps as there were rounds before."""
+    spark, k = events.sparkSession, words.value.classes
+    shared = np.zeros((ROWS, k), np.float32)
+    for round_ in range(ROUNDS):
+        start = spark.sparkContext.broadcast(shared)
+
+        def gradient(batches: Iterator[pa.RecordBatch], start=start, steps=min(round_, STEPS)) -> Iterator[pa.RecordBatch]:
+            counted, expected = np.zeros(ROWS * k), np.zeros(ROWS * k)
             for batch in batches:
                 for row in batch.to_pylist():
-                    trained = np.array(row["training"], bool)
-                    for own, prior, odds, met in decisions(words.value, row, True):
-                        mine = trained[own]
-                        prior, odds, met = prior[mine], odds[:, mine], met[:, mine] + MET * np.arange(KINDS)[:, None]
-                        z = prior + (start.value[met] * odds).sum(0)
-                        miss = 1 / (1 + np.exp(np.clip(z, -60, 60)))
-                        for i in range(KINDS):
-                            first += np.bincount(met[i], miss * odds[i], size)
-                            for j in range(i, KINDS):
-                                part = np.bincount(met[i] * size + met[j], miss * (1 - miss) * odds[i] * odds[j], size * size).reshape(size, size)
-                                second += part if i == j else part + part.T
-            at = np.arange(size)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(first), *(pa.array(second[:, k].copy()) for k in at)], ["at", "first", *(f"s{k}" for k in at)])
-
-        columns = ["first", *(f"s{k}" for k in range(size))]
-        summed = sums.mapInArrow(steps, "at bigint, " + ", ".join(f"{c} double" for c in columns)).groupBy("at").agg(*(F.sum(c).alias(c) for c in columns)).toPandas().sort_values("at")
-        if len(summed):
-            slope = summed["first"].to_numpy() + RIDGE * (FACTOR - factors)
-            step = np.linalg.solve(summed[columns[1:]].to_numpy() + RIDGE * np.eye(size), slope)
-            factors = np.clip(factors + step, 0, HIGHEST)  # far from the optimum a Newton step may be too long
+                    for runs in runs_of(words.value, row):
+                        at = (runs.skip[:, None] * k + np.arange(k)).ravel()
+                        counted += np.bincount(at, runs.counts.ravel(), ROWS * k)
+                        p = runs.classes(start.value, steps)
+                        expected += np.bincount(at, (runs.counts.sum(1, keepdims=True) * p).ravel(), ROWS * k)
+            some = np.flatnonzero(expected.reshape(ROWS, k).any(1))
+            both = np.hstack([x.reshape(ROWS, k)[some] for x in (counted, expected)]).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(both[:, j].copy()) for j in range(2 * k))], ["row", *(f"x{j}" for j in range(2 * k))])
+
+        columns = [f"x{j}" for j in range(2 * k)]
+        summed = (events.select("begins", "skip", "word", "n").mapInArrow(gradient, "row bigint, " + ", ".join(f"{c} float" for c in columns))
+                  .groupBy("row").agg(*(F.sum(c).alias(c) for c in columns)).toPandas())
+        row, both = summed["row"].to_numpy(np.int64), summed[columns].to_numpy(np.float64)
+        shared = shared.copy()
+        shared[row] = stepped(shared[row], both[:, :k], both[:, k:], RIDGES[2])
         start.unpersist()
-    return factors
+    return shared
 
 
 def scores(docs: DataFrame, training: Column, held_out: Column) -> DataFrame:
@@ -398,26 +387,39 @@ def scores(docs: DataFrame, training: Column, held_out: Column) -> DataFrame:
     words = spark.sparkContext.broadcast(vocabulary(counts))
     known = words.value
     tokens = tokenized(docs, words)
-    n = tokens.agg(F.sum("n")).first()[0] or 0
-    sums = sums_along(tokens, words, KINDS * n // PART + 1)
-    factors = spark.sparkContext.broadcast(fit(sums, words).reshape(KINDS, MET))
+    parts = (tokens.agg(F.sum("n")).first()[0] or 0) // PART + 1
+    events = dealt(tokens, words, parts)
+    shared = spark.sparkContext.broadcast(fit(events, words))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                model = np.zeros(len(row["key"]))
-                for own, prior, odds, met in decisions(words.value, row, False):
-                    z = prior + (factors.value[np.arange(KINDS)[:, None], met] * odds).sum(0)
-                    model -= np.bincount(own, np.logaddexp(0, -z), minlength=len(model))
-                yield pa.RecordBatch.from_arrays([pa.array(row["key"], pa.int64()), pa.array(model / math.log(10))], ["key", "model"])
+                own = []
+                for runs in runs_of(words.value, row):
+                    own.append(np.log(runs.classes(shared.value, STEPS)[runs.pair, runs.of]) + np.log(runs.words(STEPS)))
+                found = np.concatenate(own).astype(np.float32)[np.cumsum(unpacked(row["at"], np.int32).astype(np.int64))]
+                ends = np.cumsum(row["sizes"]).tolist()
+                yield pa.RecordBatch.from_pydict({
+                    "chunk": pa.array(row["chunks"], pa.int64()), "part": pa.array([row["part"]] * len(ends), pa.int64()),
+                    "found": pa.array([packed(found[b - s : b]) for b, s in zip(ends, row["sizes"], strict=True)], pa.binary())})
+
+    def add(own: pa.Table, back: pa.Table) -> pa.Table:
+        row = own.to_pylist()[0]
+        mine = _events(words.value, row, parts)
+        by_part = sorted(zip(back.column("part").to_pylist(), back.column("found").to_pylist(), strict=True))
+        found = np.concatenate([unpacked(x, np.float32) for _, x in by_part])
+        text = np.repeat(np.arange(len(row["docs"])), [d["n_tokens"] for d in row["docs"]])
+        model = np.bincount(text, found[mine.of], len(row["docs"])) / math.log(10)
+        return pa.table({"key": pa.array([d["key"] for d in row["docs"]], pa.int64()), "model": pa.array(model)})
+
+    back = events.mapInArrow(score, "chunk bigint, part bigint, found binary")
+    model = tokens.select("chunk", "ids", "docs").groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(add, "key bigint, model double")
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, hashes = words.value, word_hashes()
         for batch in batches:
-            rows = [(w, c) for w, c in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True) if w not in vocab.row]
-            number = hashed([w for w, _ in rows], hashes)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([w for w, _ in rows], pa.binary()), pa.array([c for _, c in rows], pa.int64()), pa.array(vocab.other_leaf(number))], ["word", "n", "leaf"])
+            ids = vocab.ids(hashed(batch.column("word").to_pylist(), hashes))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(vocab.targets(ids).astype(np.int64))], ["word", "n", "leaf"]).filter(pa.array(ids >= vocab.size))
 
     rare = counts.select("word", "n").mapInArrow(others, "word binary, n bigint, leaf bigint")
     leaves = rare.groupBy("leaf").agg((F.sum("n") + F.count("*")).alias("size"))
@@ -429,7 +431,6 @@ def scores(docs: DataFrame, training: Column, held_out: Column) -> DataFrame:
                 (F.col("tf") * F.log10((c + 1) / (size + 1))).alias("model"), F.when(c > 0, F.col("tf")).otherwise(0).alias("known"))
         .groupBy("key").agg(F.sum("base").alias("tail_base"), F.sum("model").alias("tail_model"), F.sum("known").alias("tail_known"))
     )
-    model = sums.mapInArrow(score, "key bigint, model double")
     zero = F.lit(0.0)
     return tokens.select(F.explode("docs").alias("d")).select("d.*").join(model, "key").join(tail, "key", "left").select(
         "doc_id", "held_out", "n_tokens",

@@ -25,7 +25,7 @@ from lossledger.llm import (
     token_counts,
     toxicity,
 )
-from lossledger.llm.common import id_remainder
+from lossledger.llm.common import hashed, id_remainder, mixed, word_hashes
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, kept string, n_words int, g int"
 WORDBPE = public_tokenizers.path("word_bpe_49k.json")
@@ -310,26 +310,81 @@ def test_language_model_learns_every_context(spark, monkeypatch):
         assert np.mean([found[-1 - k] for k, _ in pairs]) > -3.6
 
 
-def test_sums_along_the_tree():
-    rng = random.Random(8)
-    head = [(f"w{k}".encode(), rng.randrange(1, 500)) for k in range(50)]
-    vocab = maxent.Vocabulary(head, sum(n for _, n in head) + 7, 53)
-    weight = np.array([vocab.total - sum(n for _, n in head) + 1 if k == 50 else dict(head)[w] + 1 for w, k in [*vocab.row.items(), (None, 50)]])
-    for k in range(51):  # the decisions multiply to the share of the word
-        prior = vocab.prior[vocab.offset[k] : vocab.offset[k] + vocab.length[k]]
-        assert np.prod(1 / (1 + np.exp(-prior.astype(float)))) == pytest.approx(weight[k] / weight.sum(), rel=1e-4)
-    rows = sorted({(rng.randrange(5), int(vocab.leaf[rng.randrange(51)])) for _ in range(90)})
-    context, leaf, n = np.array([c for c, _ in rows], np.uint64), np.array([x for _, x in rows], np.uint64), np.array([rng.randrange(4) for _ in rows])
-    seen = set()
-    for depth, own, side, both in maxent.along(context, leaf, n):
-        for r, s, b in zip(own.tolist(), side.tolist(), both.tolist(), strict=True):
-            same = [sum(int(m) for (c, x), m in zip(rows, n, strict=True) if c == rows[r][0] and x >> (64 - d) == rows[r][1] >> (64 - d)) for d in (depth + 1, depth)]
-            assert [s, b] == same
-            seen.add((depth, r))
-    for r, (c, x) in enumerate(rows):  # nothing is skipped while other leaves are below
-        for d in range(64):
-            if sum(c == e and x >> (64 - d) == y >> (64 - d) for e, y in rows) > 1:
-                assert (d, r) in seen
+def dense(events, vocab, words):
+    """The model with a weight for every word: class and word probabilities of all contexts, in plain loops."""
+    runs, pairs = sorted({o for o, _, _ in events}), sorted({(o, t) for o, t, _ in events})
+    run = np.array([runs.index(o) for o, _ in pairs])
+    skip = np.array([t if 0 <= t < maxent.ROWS // 2 else maxent.ROWS // 2 + int(mixed(np.array([t]).view(np.uint64))[0]) % (maxent.ROWS // 2) for _, t in pairs])
+    row = np.minimum(np.arange(words), vocab.size)
+    n = np.zeros((len(pairs), words))
+    for (o, t, w), k in events.items():
+        n[pairs.index((o, t)), w] = k
+    belongs = np.eye(vocab.classes)[vocab.of[row]]
+    by_class, add = n @ belongs, np.eye(len(runs))[run].T
+    shared, r = np.zeros((maxent.ROWS, vocab.classes)), maxent.RIDGES
+
+    def step(w, o, e, ridge):
+        return np.clip(w + np.clip(maxent.RATE * (o - e - ridge * w) / (e + ridge), -maxent.MOVE, maxent.MOVE), -maxent.HIGHEST, maxent.HIGHEST)
+
+    def classes(steps):
+        one, two = np.zeros((len(runs), vocab.classes)), np.zeros_like(by_class)
+        for k in range(steps + 1):
+            p = np.exp(vocab.prior + shared[skip] + one[run] + two)
+            p /= p.sum(1, keepdims=True)
+            e = by_class.sum(1, keepdims=True) * p
+            if k < steps:
+                one, two = step(one, add @ by_class, add @ e, r[0]), step(two, by_class, e, r[1])
+        return p
+
+    for k in range(maxent.ROUNDS):
+        e, onto = by_class.sum(1, keepdims=True) * classes(k), np.eye(maxent.ROWS)[skip].T
+        shared = step(shared, onto @ by_class, onto @ e, r[2])
+    one, two = np.zeros((len(runs), words)), np.zeros_like(n)
+    for k in range(maxent.STEPS + 1):
+        q = vocab.share[row] * np.exp(one[run] + two)
+        q /= (q @ belongs) @ belongs.T
+        e = (by_class @ belongs.T) * q
+        if k < maxent.STEPS:
+            one, two = (np.where(o > 0, step(w, o, x, y), 0) for w, o, x, y in ((one, add @ n, add @ e, r[3]), (two, n, e, r[4])))
+    p = classes(maxent.STEPS) @ belongs.T * q
+    return {(o, t, w): p[k, w] for k, (o, t) in enumerate(pairs) for w in range(words)}
+
+
+def test_language_model_against_dense_weights(docs, rows, monkeypatch):
+    monkeypatch.setattr(maxent, "PART", 700)  # several parts
+    for head in (30, 1000):
+        monkeypatch.setattr(maxent, "HEAD", head)
+        held = id_remainder("doc_id", 7) == 2
+        texts_ = [([*(w.encode() for w in split(low(x[1]))), b" "], zlib.crc32(("" if x[0] is None else str(x[0])).encode()) % 7 != 2) for x in rows]
+        n = Counter(w for t, training in texts_ for w in t if training)
+        vocab = maxent.vocabulary(docs.sparkSession.createDataFrame(list(n.items()), "word binary, n bigint"))
+        number = word_hashes()
+        ids = [vocab.ids(hashed(t, number)) for t, _ in texts_]
+        events = Counter()
+        for own, (_, training) in zip(ids, texts_, strict=True):
+            for o, t, w in zip([-1, *own], [-1, -1, *own], vocab.targets(own), strict=False):
+                events[int(o), int(t), int(w)] += training
+        p = dense(events, vocab, vocab.size + (1 << vocab.digits))
+        for o, t in {(o, t) for o, t, _ in events}:
+            assert sum(p[o, t, w] for w in range(vocab.size + (1 << vocab.digits))) == pytest.approx(1)
+        seen = [(w, c, vocab.targets(vocab.ids(hashed([w], number)))[0]) for w, c in n.items()]
+        size = Counter()
+        for _, c, leaf in seen:
+            size[leaf] += c + 1
+        want = []
+        for x, own, (t, _) in zip(rows, ids, texts_, strict=True):
+            total = 0.0
+            for o, u, w, word in zip([-1, *own], [-1, -1, *own], vocab.targets(own), t, strict=False):
+                total += log10(p[int(o), int(u), int(w)]) + (log10((n[word] + 1) / (size[w] + 1)) if w >= vocab.size else 0)
+            want.append((-1 if x[0] is None else x[0], total))
+        found = [(-1 if x["doc_id"] is None else x["doc_id"], x["score"]) for x in maxent.scores(docs, ~held, held).collect()]
+        for (a, x), (b, y) in zip(sorted(want), sorted(found), strict=True):
+            assert a == b and x == pytest.approx(y, rel=2e-4, abs=1e-4)
+
+
+def test_packed_numbers():
+    for x in (np.array([], np.int32), np.arange(-3, 9, dtype=np.int32), np.array([1.5, -2.25], np.float32), np.array([7], np.uint8)):
+        assert maxent.unpacked(maxent.packed(x), x.dtype).tolist() == x.tolist()
 
 
 def test_language_identification(spark, docs, nothing):
