@@ -44,7 +44,7 @@ from .common import LOWER, U64, chunks, hashed, mixed, stored, word_hashes
 #: Most words that are broadcast (by hash), classes of words, and rows of skip weights.
 HEAD, CLASSES, ROWS = 200_000, 32, 2048
 #: Tokens in a part, contexts that are trained at a time, bytes of text in a chunk.
-PART, SLICE, CHUNK = 1 << 20, 1 << 13, 4 << 20
+PART, SLICE, CHUNK = 1 << 20, 1 << 12, 4 << 20
 #: Rounds of the shared weights, steps of a part in a round, length of a step, its highest move, and the highest weight.
 ROUNDS, STEPS, RATE, MOVE, HIGHEST = 2, 4, 0.6, 3.0, 9.0
 #: Precision of the prior of weights: class by one word, class by two, class by skip, word by one, word by two.
@@ -206,8 +206,9 @@ class Events:
         word = vocab.targets(ids)
         bucket = vocab.bucket(one, two)
         part = (mixed(one.astype(np.int64).view(U64) * U64(0x9E3779B97F4A7C15) + bucket.view(U64)) % U64(parts)).astype(np.int64)
-        order = np.lexsort((word, two, bucket, one, part))
-        first = _starts(*(x[order] for x in (part, one, bucket, two, word)))
+        feature, event = _pair(one, bucket), _pair(two, word)
+        order = np.lexsort((event, feature, part))
+        first = _starts(feature[order], event[order])
         of = np.empty(len(order), np.int64)
         #: By token, the row here.
         of[order] = np.cumsum(first) - 1
@@ -216,6 +217,11 @@ class Events:
         self.n = np.bincount(of, np.repeat(training, lengths), minlength=len(first)).astype(np.int32)
 
 
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One sortable number for two below 2^31, the first from -1."""
+    return (a.astype(np.int64) << 31) + b
+
+
 def _starts(*sorted_columns: np.ndarray) -> np.ndarray:
     """True where a row differs from the one before."""
     new = np.zeros(len(sorted_columns[0]), bool)
@@ -249,9 +255,11 @@ def dealt(tokens: DataFrame, words, parts: int) -> DataFrame:
         sizes = [len(x) for x in one]
         one, two, word, n = (np.concatenate(x) for x in (one, two, word, n))
         bucket = words.value.bucket(one, two)
-        order = np.lexsort((word, two, bucket, one))
-        one, two, word, bucket = (x[order] for x in (one, two, word, bucket))
-        run, pair = _starts(one, bucket), _starts(one, bucket, two)
+        feature = _pair(one, bucket)
+        order = np.lexsort((_pair(two, word), feature))
+        feature, two, word = (x[order] for x in (feature, two, word))
+        run = _starts(feature)
+        pair = run | _starts(two)
         first = pair | _starts(word)
         of = np.empty(len(order), np.int64)
         of[order] = np.cumsum(first) - 1
@@ -294,13 +302,14 @@ class Runs:
 
     def classes(self, shared: np.ndarray, steps: int) -> np.ndarray:
         """Probabilities of the classes in every context, after steps on the features w1 and w2 w1."""
-        start = self.prior + shared[self.skip]
+        start = self.prior + shared[self.skip]  # all weights are bounded, so no exponential overflows
         counts = self.counts.astype(np.float32)
         many, summed = counts.sum(1, keepdims=True), np.add.reduceat(counts, self.run_begin)
         one, two = np.zeros_like(summed), np.zeros_like(counts)
         for step in range(steps + 1):
-            p = start + one[self.run] + two
-            p -= p.max(1, keepdims=True)
+            p = one[self.run]
+            p += two
+            p += start
             np.exp(p, out=p)
             p /= p.sum(1, keepdims=True)
             if step < steps:
@@ -333,8 +342,14 @@ class Runs:
 
 def stepped(weight: np.ndarray, counted: np.ndarray, expected: np.ndarray, ridge: float) -> np.ndarray:
     """A gradient step, each weight scaled by its expected count (which bounds its curvature)."""
-    move = RATE * (counted - expected - ridge * weight) / (expected + ridge)
-    return np.clip(weight + np.clip(move, -MOVE, MOVE), -HIGHEST, HIGHEST)
+    move = weight * -ridge
+    move += counted
+    move -= expected
+    move /= expected + ridge
+    move *= RATE
+    np.clip(move, -MOVE, MOVE, out=move)
+    move += weight
+    return np.clip(move, -HIGHEST, HIGHEST, out=move)
 
 
 def runs_of(vocab: Vocabulary, row: dict) -> Iterator[Runs]:
