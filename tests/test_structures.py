@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry_points
 from lossledger.operators import catalog, joins, profile, snapshots
 from lossledger.sources import sinks
 
@@ -204,3 +205,17 @@ def test_text_frequency_with_ties_behind_the_beginning(spark, monkeypatch, bound
     want = sorted(counted.items(), key=lambda x: (-x[1], x[0]))[:20]
     assert [(r["key"], r["cnt"], r["display"]) for r in got] == [(k, n, shown[k]) for k, n in want]
     assert got[0]["pct"] == pytest.approx(100 * want[0][1] / sum(counted.values()), abs=1e-3)
+
+
+# --- largest losses ------------------------------------------------------------
+
+
+def test_an_incident_without_a_document_keeps_its_place(spark):
+    """The 30 largest of all incidents are looked at, those without a document among them."""
+    path = "/root/testdata/sf0.001"
+    orders = sorted(spark.read.parquet(f"{path}/orders.parquet").select("o_totalprice", "o_orderkey").collect(),
+                    key=lambda r: (-round(r[0], 2), f"EVE-{r[1]}"))
+    described = {r[0] for r in spark.read.parquet(f"{path}/documents.parquet").select("doc_id").collect()}
+    want = {(f"EVE-{r[1]}", at) for at, r in enumerate(orders[:30], 1) if r[1] in described}
+    assert 0 < len(want) < 30
+    assert {(r["incdnt_sid"], r["rn"]) for r in entry_points.queries()["g43_largest_described"](spark, path).collect()} == want
