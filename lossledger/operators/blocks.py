@@ -88,8 +88,13 @@ def meet(asked: DataFrame, collection: DataFrame, groups: int | None = None) ->
 
 
 def ordinal(values: np.ndarray) -> np.ndarray:
-    """Numbers that sort like the values, whatever their type."""
-    return np.unique(values, return_inverse=True)[1] if values.dtype == object else values
+    """Numbers that sort like the values, whatever their type; nulls come first."""
+    if values.dtype != object:
+        return values
+    out = np.zeros(len(values), np.int64)
+    given = np.array([v is not None for v in values], bool)
+    out[given] = 1 + np.unique(values[given], return_inverse=True)[1]
+    return out
 
 
 def best_k(query: np.ndarray, score: np.ndarray, ident: np.ndarray, k: int) -> np.ndarray:

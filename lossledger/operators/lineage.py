@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -18,3 +20,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if session.sparkContext.getCheckpointDir() is None:
         session.sparkContext.setCheckpointDir(shared_folder(session))
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again; unlike a checkpoint it is worked out once."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    schema = df.schema
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)

@@ -7,18 +7,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
 from ..functions.text import one_per_row, tokens
 from . import blocks
-from .lineage import cut_lineage
+from .lineage import stored
 
 # Scores are added as whole millionths.
 MILLION = 1_000_000
-# First sign of the rows that carry document lengths, and how many such rows there are.
-LENGTH_MARK, LENGTH_MARKS = "#", 64
+# Fraction of a point that marks a pair of a document and a term.
+PAIR = 2.0**-19
+# Documents and words in a block of counted documents, and documents multiplied at a time.
+DOC_ROWS, DOC_WORDS, PART_ROWS = 1_024, 400_000, 256
 # Query vectors in a block.
 QUERY_ROWS = 256
 
@@ -55,46 +58,177 @@ def bm25(
     ``allowed`` restricts the documents that can be found; the word statistics stay those of
     the whole collection.
 
-    Texts are taken apart once: what is kept of them is one row per document and word that a query
-    asks for, and one per document for its length. Counts are combined map-side, and the parts of a
-    score are whole millionths, so a score does not depend on the order in which they are added.
+    Texts are taken apart once and kept as blocks of documents with their distinct words and counts.
+    Blocks of queries meet them, and the scores of two blocks are one matrix product, so no row is made
+    per query and document; of each query a task hands on its best k. The parts of a score are whole
+    millionths, so a score does not depend on the order in which they are added.
     """
     may_match = F.lit(True) if allowed is None else F.coalesce(allowed, F.lit(False))
     asked = one_per_row(queries, F.array_distinct(tokens(F.col(query_text))), "term", ["query_id"])
-    # The mark of a document's length; no word begins with this sign, and several marks spread the rows.
-    lengths = F.concat(F.lit(LENGTH_MARK), F.pmod(F.xxhash64(doc), F.lit(LENGTH_MARKS)).cast("string"))
-    marks = docs.sparkSession.range(LENGTH_MARKS).select(F.concat(F.lit(LENGTH_MARK), F.col("id").cast("string")).alias("term"))
-    vocabulary = asked.select("term").distinct().unionByName(marks)
-    words = docs.select(
-        doc, F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("words"),
-        F.col(text).isNotNull().alias("has_text"), may_match.alias("allowed"),
-    ).withColumn("doc_len", F.when(F.col("has_text"), F.size("words")))
-    found = cut_lineage(
-        one_per_row(words, F.array_append("words", lengths), "term", [doc, "doc_len", "allowed"])
-        .join(vocabulary, "term", "left_semi")
-        .groupBy(doc, "doc_len", "allowed", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
+    doc_type = docs.schema[doc].dataType.simpleString()
+    query_type = queries.schema["query_id"].dataType.simpleString()
+    counted = stored(_counted(docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"), may_match.alias("allowed")), doc_type))
+    n_docs = counted.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).scalar()
+    avg_len = counted.agg(F.try_divide(F.sum("all_words").cast("double"), F.sum("n_texts"))).scalar()
+    df = (
+        counted.select("words", "code").mapInArrow(_document_counts, "term string, df bigint")
+        .join(asked.select("term").distinct(), "term", "left_semi")
+        .groupBy("term")
+        .agg(F.sum("df").alias("df"))
     )
-    is_length = F.startswith("term", F.lit(LENGTH_MARK))
-    of_docs = found.filter(is_length)
-    n_docs = of_docs.agg(F.coalesce(F.sum("tf"), F.lit(0))).scalar()
-    avg_len = of_docs.agg(F.try_divide(F.sum(F.col("doc_len") * F.col("tf")).cast("double"), F.sum(F.when(F.col("doc_len").isNotNull(), F.col("tf"))))).scalar()
-    tf = found.filter(~is_length)
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = df.select("term", idf.alias("idf"))
-    saturation = F.col("tf") * (k1 + 1) / (
-        F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / avg_len)
+    weighted = asked.join(df.select("term", idf.alias("idf")), "term")
+    wanted = _asked_blocks(weighted, query_type).withColumn("avg_len", avg_len)
+    collection = counted.withColumn("block", F.monotonically_increasing_id())
+
+    def best_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for first, run in blocks.per_asked_block(batches):
+            ids, avg = first["asked_query_id"].values, first["asked_avg_len"].as_py()
+            terms = first["asked_term"].values.dictionary_encode()
+            place = terms.indices.to_numpy()
+            weight = np.zeros(len(terms.dictionary))
+            weight[place] = first["asked_idf"].values.to_numpy()
+            asks = np.zeros((len(weight), len(ids)))
+            np.add.at(asks, (place, np.repeat(np.arange(len(ids)), first["asked_terms"].values.to_numpy())), 1)
+            best = blocks.RunningBest(k)
+            for row in run:
+                names, found = _block_points(row, terms.dictionary, weight, avg, k1, b)
+                raw = np.concatenate([part @ asks for part in found]).T
+                points = np.where(raw > 0, np.floor(raw), -1)
+                near = points >= 0
+                if len(names) > k:  # only scores up to the k-th best, ties included, are sorted
+                    near &= points >= np.partition(points, -k, axis=1)[:, -k:][:, :1]
+                query, at = np.nonzero(near)
+                best.add(query, points[query, at], names[at])
+            query, points, name = best.taken()
+            yield pa.RecordBatch.from_arrays(
+                [ids.take(pa.array(query)), pa.array(name, first["doc"].type.value_type), pa.array(points / MILLION)],
+                names=["query_id", doc, "score"],
+            )
+
+    scored = blocks.meet(wanted, collection).mapInArrow(best_of_task, f"query_id {query_type}, {doc} {doc_type}, score double")
+    return _ranked(scored, doc, k)
+
+
+def _counted(docs: DataFrame, doc_type: str) -> DataFrame:
+    """Blocks of documents (``doc, text, allowed``) with their word counts.
+
+    A block has ``doc``, ``doc_len`` and ``allowed`` of its rows, its distinct ``words``, per row the number
+    of its different words (``sizes``), and for those their places in ``words`` (``code``) and counts
+    (``tf``). Equal ids lie in one block, and those of equal length are one row. ``n_rows``, ``n_texts``
+    and ``all_words`` count the given rows, those with a text, and their words.
+    """
+    kinds = {
+        "doc": doc_type, "doc_len": "int", "allowed": "boolean", "words": "string", "sizes": "int", "code": "int", "tf": "int",
+    }
+    totals = ("n_rows", "n_texts", "all_words")
+
+    def block(part: pa.RecordBatch) -> pa.RecordBatch:
+        ids, lists = part.column("doc"), part.column("words")
+        length = lists.value_lengths().fill_null(0).to_numpy()
+        rows: dict = {}
+        keys = zip(ids.to_pylist(), length.tolist(), part.column("allowed").to_pylist(), strict=True)
+        row = np.array([rows.setdefault(key, len(rows)) for key in keys], np.int64)
+        words = lists.flatten().dictionary_encode()
+        width = max(1, len(words.dictionary))
+        pairs, tf = np.unique(np.repeat(row, length) * width + words.indices.to_numpy(), return_counts=True)
+        names, lengths, may = zip(*rows, strict=True)
+        columns = [
+            pa.array(names, ids.type), pa.array(lengths, pa.int32()), pa.array(may, pa.bool_()), words.dictionary,
+            *[pa.array(x.astype(np.int32)) for x in (np.bincount(pairs // width, minlength=len(rows)), pairs % width, tf)],
+        ]
+        counts = (len(ids), len(ids) - lists.null_count, int(length.sum()))
+        return pa.RecordBatch.from_arrays(
+            [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns] + [pa.array([n], pa.int64()) for n in counts],
+            names=[*kinds, *totals],
+        )
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            batch = batch if held is None else pa.concat_batches([held, batch])
+            ids = batch.column("doc").to_pylist()
+            ends = np.cumsum(batch.column("words").value_lengths().fill_null(0).to_numpy())
+            begin = 0
+            while begin < len(ids):
+                before = int(ends[begin - 1]) if begin else 0
+                end = max(begin + 1, min(begin + DOC_ROWS, int(np.searchsorted(ends, before + DOC_WORDS, "right"))))
+                while end < len(ids) and ids[end] == ids[end - 1]:
+                    end += 1
+                if end >= len(ids):  # the rows of the last id may go on in the next batch
+                    break
+                yield block(batch.slice(begin, end - begin))
+                begin = end
+            held = batch.slice(begin)
+        if held is not None and held.num_rows:
+            yield block(held)
+
+    words = docs.repartition("doc").sortWithinPartitions("doc").select("doc", tokens(F.col("text")).alias("words"), "allowed")
+    return words.mapInArrow(
+        pack, ", ".join([*[f"{n} array<{kind}>" for n, kind in kinds.items()], *[f"{n} bigint" for n in totals]])
     )
-    scored = (
-        tf.filter("allowed")
-        .join(weights, "term")
-        .join(asked, "term")
-        .groupBy("query_id", doc)
-        .agg(F.sum(F.round(F.col("idf") * saturation * MILLION).cast("bigint")).alias("points"))
-        .select("query_id", doc, (F.col("points") / F.lit(float(MILLION))).alias("score"))
+
+
+def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a counted block that have each of its words."""
+    for batch in batches:
+        for words, code in zip(batch.column("words"), batch.column("code"), strict=True):
+            n = np.bincount(code.values.to_numpy(), minlength=len(words.values))
+            yield pa.RecordBatch.from_arrays([words.values, pa.array(n, pa.int64())], names=["term", "df"])
+
+
+def _asked_blocks(weighted: DataFrame, query_type: str) -> DataFrame:
+    """Up to ``QUERY_ROWS`` queries in a row: ids, terms per query, and all terms with their weights."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, QUERY_ROWS):
+                part = batch.slice(at, QUERY_ROWS)
+                lists = part.column("terms")
+                flat = lists.flatten()
+                columns = [part.column("query_id"), lists.value_lengths(), flat.field("term"), flat.field("idf")]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns],
+                    names=["query_id", "terms", "term", "idf"],
+                )
+
+    per_query = weighted.groupBy("query_id").agg(F.collect_list(F.struct("term", "idf")).alias("terms"))
+    packed = per_query.mapInArrow(
+        pack, f"query_id array<{query_type}>, terms array<int>, term array<string>, idf array<double>"
     )
-    return _ranked(scored, doc, k)
+    return packed.withColumn("block", F.monotonically_increasing_id())
+
+
+def _block_points(
+    row: dict, terms: pa.Array, weight: np.ndarray, avg: float, k1: float, b: float
+) -> tuple[np.ndarray, Iterator[np.ndarray]]:
+    """Ids of a counted block, and for ``PART_ROWS`` of them at a time what each term adds to their scores.
+
+    Every pair of a document and a term has a fraction ``PAIR`` besides its whole points, so that pairs
+    whose points round to nothing are still found.
+    """
+    sizes, code, tf = (row[n].values.to_numpy() for n in ("sizes", "code", "tf"))
+    names = row["doc"].values
+    names = np.array(names.to_pylist(), object) if names.null_count else names.to_numpy(zero_copy_only=False)
+    allowed = row["allowed"].values.to_numpy(zero_copy_only=False).astype(bool)
+    term = pc.index_in(row["words"].values, value_set=terms).fill_null(-1).to_numpy()[code]
+    entry = np.repeat(np.arange(len(sizes)), sizes)
+    own = (term >= 0) & allowed[entry]
+    entry, term, tf = entry[own], term[own], tf[own].astype(float)
+    length = row["doc_len"].values.to_numpy()[entry]
+    points = np.floor(weight[term] * (tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avg))) * MILLION + 0.5) + PAIR
+    # Rows of one id follow each other; of their scores the sum counts.
+    first = np.r_[True, names[1:] != names[:-1]]
+    at = (np.cumsum(first) - 1)[entry]
+
+    def parts() -> Iterator[np.ndarray]:
+        for begin in range(0, int(first.sum()), PART_ROWS):
+            low, high = np.searchsorted(at, [begin, begin + PART_ROWS])
+            rows = min(PART_ROWS, int(first.sum()) - begin)
+            cells = (at[low:high] - begin) * len(terms) + term[low:high]
+            yield np.bincount(cells, points[low:high], rows * len(terms)).reshape(rows, len(terms))
+
+    return names[first], parts()
 
 
 def inner_product(a: Column, b: Column) -> Column:

@@ -395,6 +395,45 @@ def test_bm25_against_formula(spark):
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 2e-6 for i in want)
 
 
+def bm25_brute(docs, queries, k):
+    """Ranks by the formula; rows with the same id and length are one, other rows of an id add up."""
+    words = [(d, None if t is None else t.split()) for d, t in docs]
+    avg = sum(len(w) for _, w in words if w is not None) / sum(w is not None for _, w in words)
+    tf = {}
+    for d, w in words:
+        for term in w or ():
+            tf[d, len(w), term] = tf.get((d, len(w), term), 0) + 1
+    out = {}
+    for q, text in queries:
+        points = {}
+        for term in set(text.split()):
+            n = sum(key[2] == term for key in tf)
+            for (d, length, _), f in ((key, f) for key, f in tf.items() if key[2] == term):
+                idf = math.log(1 + (len(docs) - n + 0.5) / (n + 0.5))
+                points[d] = points.get(d, 0) + round(idf * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * length / avg)) * 1e6)
+        order = sorted(points, key=lambda d: (-points[d], d is not None, d or 0))[:k]
+        out |= {(q, at): (d, points[d] / 1e6) for at, d in enumerate(order, 1)}
+    return out
+
+
+@pytest.mark.parametrize("sizes", [(1_024, 400_000, 256), (5, 40, 3)])
+def test_bm25_makes_no_row_per_query_and_document(spark, monkeypatch, sizes):
+    rnd = random.Random(3)
+    for name, size in zip(("DOC_ROWS", "DOC_WORDS", "PART_ROWS"), sizes):
+        monkeypatch.setattr(search, name, size, raising=False)
+    docs = [(rnd.choice([i, i, i, 7, None]), rnd.choice([None, "", *[" ".join(rnd.choices("a b c d e f g".split(), k=rnd.randrange(1, 9)))] * 8]))
+            for i in range(600)]
+    queries = [(q, " ".join(rnd.choices("a b c d e f g z".split(), k=3))) for q in range(40)]
+    handed = []
+    ranked = search._ranked
+    monkeypatch.setattr(search, "_ranked", lambda scored, doc, k: handed.append(scored.count()) or ranked(scored, doc, k))
+    df = spark.createDataFrame(docs, "d long, t string").repartition(4)
+    got = search.bm25(df, "d", "t", spark.createDataFrame(queries, "query_id long, q string"), "q", k=3).collect()
+    want = bm25_brute(docs, queries, 3)
+    assert {(r["query_id"], r["rank"]): (r["d"], r["score"]) for r in got} == want
+    assert handed[0] <= 40 * 3 * 16  # best of every task, of about 15,000 pairs
+
+
 def by_rank(rows, query):
     return [(r["d"], r["score"]) for r in sorted((r for r in rows if r["query_id"] == query), key=lambda r: r["rank"])]
 
