@@ -8,16 +8,20 @@ skew handling, because the other side has one row for it.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.predicates import compare
+from .lineage import stored
 from .windows import rank_all
 
 
 # Records of one kind in a row of a dossier.
 PAGE = 1_000
+# Records of one kind that a key may have to be gathered in one array.
+HOT = 10_000
 
 
 def with_children(
@@ -140,25 +144,45 @@ def dossier(incident: DataFrame, impacts: DataFrame, recoveries: DataFrame, key:
     )
 
 
-def pages_of(child: DataFrame, key: str, order: list[str], name: str, page: int) -> DataFrame:
-    """``(key, page, name)``: the rows of a key as records in order, at most ``page`` to an array.
+def _placed(child: DataFrame, key: str, order: list[str]) -> tuple[DataFrame, Callable[[Column], Column]]:
+    """``(key, __place)`` of the rows with a key: their columns as a struct that sorts in order, nulls last;
+    and how a record is read back from it."""
+    others = [c for c in child.columns if c not in (key, *order)]
+    named = [*order, *others]
+    place = F.struct(*[
+        part for at, c in enumerate(named) for part in (F.col(c).isNull().alias(f"null_{at}"), F.col(c).alias(f"value_{at}"))
+    ])
+
+    def record(placed: Column) -> Column:
+        return F.struct(*[placed[f"value_{at}"].alias(c) for at, c in enumerate(named)])
+
+    return child.filter(F.col(key).isNotNull()).select(key, place.alias("__place")), record
+
 
-    Only keys with more rows than that are ranked, in sorted ranges, so that a key that holds a third
-    of all rows is spread over many pages and tasks. Records are ordered by the columns of ``order``,
-    then by the others, nulls last; rows without a key are left out.
+def pages_of(rows: DataFrame, key: str, name: str, page: int, record: Callable[[Column], Column]) -> DataFrame:
+    """``(key, page, name)`` of placed rows: the records of a key in order, at most ``page`` to an array.
+
+    Rows are ranked in sorted ranges, so that a key that holds a third of all rows is spread over many
+    pages and tasks.
     """
-    others = [c for c in child.columns if c not in (key, *order)]
-    place = F.struct(*[part for c in (*order, *others) for part in (F.col(c).isNull(), F.col(c))])
-    rows = child.filter(F.col(key).isNotNull()).select(key, place.alias("__place"), F.struct(*order, *others).alias("__record"))
-    large = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > page).select(key)
-    first = F.lit(0).cast("bigint")
-    paged = rows.withColumn("page", first)
-    if not large.isEmpty():
-        ranked = rank_all(rows.join(large, key, "left_semi"), [key], "__place", [], descending=False, rank_col="__rank")
-        numbered = ranked.withColumn("page", F.floor((F.col("__rank") - 1) / page)).drop("__rank")
-        paged = rows.join(large, key, "left_anti").withColumn("page", first).unionByName(numbered)
-    records = F.array_sort(F.collect_list(F.struct("__place", "__record")))
-    return paged.groupBy(key, "page").agg(F.transform(records, lambda r: r["__record"]).alias(name))
+    ranked = rank_all(rows, [key], "__place", [], descending=False, rank_col="__rank")
+    paged = ranked.withColumn("page", F.floor((F.col("__rank") - 1) / page))
+    places = F.array_sort(F.collect_list("__place"))
+    return paged.groupBy(key, "page").agg(F.transform(places, record).alias(name))
+
+
+def _paged_arrays(incident: DataFrame, arrays: dict[str, DataFrame], key: str, page: int) -> DataFrame:
+    """The main row with the arrays of each kind joined by key, cut into pages."""
+    out = incident
+    for part in arrays.values():
+        out = out.join(part, key, "left")
+    out = out.withColumns({n: F.coalesce(n, F.array().cast(part.schema[n].dataType)) for n, part in arrays.items()})
+    last = F.greatest(F.lit(1), *[F.ceil(F.size(n) / F.lit(page)) for n in arrays]) - 1
+    # Whole arrays are cut before they are dealt to rows, so that no row of a long one carries it.
+    pages = F.transform(F.sequence(F.lit(0).cast("bigint"), last.cast("bigint")), lambda p: F.struct(
+        p.alias("page"), *[F.slice(n, (p * page + 1).cast("int"), F.lit(page)).alias(n) for n in arrays]
+    ))
+    return out.select(*incident.columns, F.explode(pages).alias("__page")).select(*incident.columns, "__page.*")
 
 
 def nested_dossier(
@@ -166,21 +190,40 @@ def nested_dossier(
     children: dict[str, tuple[DataFrame, list[str]]],
     key: str = "incdnt_id",
     page: int = PAGE,
+    hot: int = HOT,
 ) -> DataFrame:
     """The main row with every child table as an array of records in the given order.
 
     One row an incident, page 0; an incident with more than ``page`` children of a kind goes on on
-    further pages, which repeat the main row. No children are an empty array.
+    further pages, which repeat the main row. No children are an empty array. Records are ordered by the
+    columns given, then by the others, nulls last.
+
+    Rows of a kind are gathered by key in one shuffle, and the joins by key need none of their own. Keys
+    with more than ``hot`` rows of a kind are ranked in ranges instead.
     """
+    placed = {n: _placed(child, key, order) for n, (child, order) in children.items()}
+    counts = [rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select(key) for rows, _ in placed.values()]
+    large = stored(reduce(DataFrame.unionByName, counts).distinct())
+    some = not large.isEmpty()
+
+    def arrays(name: str) -> DataFrame:
+        rows, record = placed[name]
+        few = rows.join(large, key, "left_anti") if some else rows
+        return few.groupBy(key).agg(F.transform(F.array_sort(F.collect_list("__place")), record).alias(name))
+
+    usual = incident.join(large, key, "left_anti") if some else incident
+    out = _paged_arrays(usual, {n: arrays(n) for n in children}, key, page)
+    if not some:
+        return out
     pages = None
-    for name, (child, order) in children.items():
-        part = pages_of(child, key, order, name, page)
+    for name, (rows, record) in placed.items():
+        part = pages_of(rows.join(large, key, "left_semi"), key, name, page, record)
         pages = part if pages is None else pages.unionByName(part, allowMissingColumns=True)
     gathered = pages.groupBy(key, "page").agg(*[F.any_value(n, F.lit(True)).alias(n) for n in children])
-    out = incident.join(gathered, key, "left").withColumn("page", F.coalesce("page", F.lit(0)))
-    return out.withColumns({
+    rest = incident.join(large, key, "left_semi").join(gathered, key).withColumns({
         n: F.coalesce(n, F.array().cast(gathered.schema[n].dataType)) for n in children
     })
+    return out.unionByName(rest)
 
 
 def dossier_counts(incident: DataFrame, children: dict[str, DataFrame], key: str = "incdnt_id") -> DataFrame:

@@ -41,6 +41,33 @@ def test_nested_dossier_against_brute_force(spark, page):
     assert got == want
 
 
+@pytest.mark.parametrize("hot", [0, 15, 1000])
+def test_dossiers_of_large_and_small_keys(spark, hot):
+    incidents, children = dossier_rows(5)
+    incidents.append((None, "S"))
+    frames = {n: (spark.createDataFrame(rows, "k long, at int, what string").repartition(3), ["at"]) for n, rows in children.items()}
+    found = joins.nested_dossier(spark.createDataFrame(incidents, "k long, sid string"), frames, "k", 3, hot=hot).collect()
+    for k, sid in incidents:
+        pages = sorted((r for r in found if r["sid"] == sid), key=lambda r: r["page"])
+        assert [r["page"] for r in pages] == list(range(len(pages)))
+        for n in children:
+            own = sorted(((a, w) for key, a, w in children[n] if key is not None and key == k), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+            assert [tuple(x) for r in pages for x in r[n]] == own and all(len(r[n]) <= 3 for r in pages)
+
+
+def test_dossier_rows_are_shuffled_once(spark, capsys):
+    """Whatever the page: one shuffle by key for each kind, and one for the incidents."""
+    incidents, children = dossier_rows(5)
+    frames = {n: (spark.createDataFrame(rows, "k long, at int, what string"), ["at"]) for n, rows in children.items()}
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joins.nested_dossier(spark.createDataFrame(incidents, "k long, sid string"), frames, "k", 3).explain()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert capsys.readouterr().out.count("Exchange ") == 3
+
+
 def test_a_dossier_without_children_is_empty(spark):
     none = spark.createDataFrame([], "k long, at int, what string")
     row = joins.nested_dossier(spark.createDataFrame([(1, "S")], "k long, sid string"), {"impacts": (none, ["at"])}, "k").first()
