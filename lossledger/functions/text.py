@@ -17,7 +17,10 @@ BLANKS = (
     + "".join(chr(code) for code in range(0x2000, 0x200B))
     + "\u2028\u2029\u202f\u205f\u3000"
 )
-BLANK_RUN = f"[{BLANKS}]+"
+# The same characters; the regular expression engine tests a range at once and single ones in turn.
+BLANK_RUN = "[ \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+# Everything but 0-9, a-z, а-я and ё, as ranges: several times quicker than the negated class.
+NOT_TIGHT = "[\\x00-\\x2f\\x3a-\\x60\\x7b-\\u042f\\u0450\\u0452-\\x{10ffff}]+"
 
 
 def trim_blank(c: Column) -> Column:
@@ -57,12 +60,17 @@ def norm(c: Column) -> Column:
 
 def tight(c: Column) -> Column:
     """Lower case, letters and digits only."""
-    return F.regexp_replace(F.lower(c), "[^0-9a-zа-яё]+", "")
+    return F.regexp_replace(F.lower(c), NOT_TIGHT, "")
 
 
 def token_set(c: Column) -> Column:
     """Distinct blank-separated words of two characters or more."""
-    return F.array_distinct(F.filter(F.split(norm(c), " "), lambda t: F.length(t) >= 2))
+    return words_of_normal(norm(c))
+
+
+def words_of_normal(normal: Column) -> Column:
+    """The same of a text that is normal already."""
+    return F.array_distinct(F.filter(F.split(normal, " "), lambda t: F.length(t) >= 2))
 
 
 def tokens(c: Column) -> Column:

@@ -163,9 +163,8 @@ _NORM = r"trim(regexp_replace(lower(text), '\s+', ' ', 'g'))"
     FROM documents""")
 def normal_forms(v):
     c = F.col("text")
-    return v.texts.select(
-        "doc_id", tx.norm(c).alias("norm"), tx.tight(c).alias("tight"), F.size(tx.token_set(c)).alias("n_tokens")
-    )
+    forms = v.texts.select("doc_id", tx.norm(c).alias("norm"), tx.tight(c).alias("tight"))
+    return forms.withColumn("n_tokens", F.size(tx.words_of_normal(F.col("norm"))))
 
 
 @query("h9_tokens", r"""

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry_points
 from lossledger.functions import money, text as tx
 from lossledger.functions.predicates import status_in
 from lossledger.operators import (
@@ -548,3 +549,21 @@ def test_credit_branches(spark):
 
 def test_weights_as_percent(spark):
     assert one(spark, credit.factor_weight(F.array(F.lit("1"), F.lit("2"), F.lit("9")))) == 48
+
+
+def test_normal_forms_over_all_characters(spark):
+    """Every character, by Python's rules; the classes are written as ranges, which must miss none."""
+    every = [chr(n) for n in range(1, 0x11000) if not 0xD800 <= n < 0xE000]
+    df = spark.createDataFrame([(f"a{ch}b",) for ch in every], "t string").select(
+        F.lower("t").alias("low"), tx.norm(F.col("t")).alias("norm"), tx.tight(F.col("t")).alias("tight"),
+        F.size(tx.words_of_normal(tx.norm(F.col("t")))).alias("n"), F.size(tx.token_set(F.col("t"))).alias("same"))
+    for r in df.collect():
+        assert r["norm"] == " ".join(r["low"].split()) and r["n"] == r["same"]
+        assert r["tight"] == "".join(x for x in r["low"] if x in "0123456789abcdefghijklmnopqrstuvwxyz" or "а" <= x <= "я" or x == "ё")
+
+
+def test_normal_forms_take_a_text_apart_once(spark, capsys):
+    """The normal form is worked out in one step and only read in the next; the slow class is gone."""
+    entry_points.queries()["h8_normal_forms"](spark, "/root/testdata/sf0.001").explain(True)
+    physical = capsys.readouterr().out.split("== Physical Plan ==")[1]
+    assert physical.count("regexp_replace(") == 2 and "[^0-9a-z" not in physical
