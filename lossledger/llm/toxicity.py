@@ -2,10 +2,11 @@
 
 A word has two hashed embeddings; filters of several widths run over the words, each keeps its largest
 response in the whole text, and a logistic layer joins them. Embeddings start from smoothed log odds of
-their buckets, filters and output are trained by Adam on the places that won the maximum. Trained on a
-bounded sample of labelled rows (``PER_LABEL`` of each label, those with the smallest id hash); a
-quarter of it is held back to calibrate one threshold per language. The language used for that is read
-off the text's common words, never from a column. Scores are shifted so that a threshold is at 0.5.
+their buckets, filters and output are trained by Adam on the places that won the maximum. Every labelled
+training row counts: three quarters teach (log odds are counted by Spark; all parts of about ``PART_ROWS``
+texts are trained from the same network for ``EPOCHS`` passes and their changes are averaged), the other
+quarter sets one threshold per language. The language used for that is read off the text's common
+words, never from a column. Scores are shifted so that a threshold is at 0.5.
 
 Defined results: null and empty texts are scored as a text without words; ids with several labels count
 as toxic if one says so, null labels say nothing; with labels of one kind only, every score is that
@@ -14,6 +15,8 @@ kind's share; repeated rows are scored one by one; an empty table gives an empty
 
 from __future__ import annotations
 
+import copy
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,13 +25,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WordTable, chunks
+from .common import LOWER, WordTable, chunks, stored
 from .quality import COMMON_WORDS
 
-#: Rows of the sample per label, hash buckets, numbers per embedding, filters per width.
-PER_LABEL, BUCKETS, SIZE, FILTERS = 1600, 1 << 17, 8, 8
+#: Texts that are trained together, hash buckets, numbers per embedding, filters per width.
+PART_ROWS, BUCKETS, SIZE, FILTERS = 2000, 1 << 17, 8, 8
 WIDTHS = (1, 2, 3)
 EPOCHS, BATCH, RATE = 3, 32, 0.001
+#: Changes are added as whole numbers of this size, so their order does not matter; logits are counted in steps.
+GRAIN, STEP = 2.0**-36, 1 / 256
 #: Training texts that a bucket must stand in before its embedding is learned.
 EVIDENCE = 4
 #: Standard errors taken off the log odds, and what an error on a clean text weighs in a threshold.
@@ -79,18 +84,35 @@ class Network:
         self.constant = np.float32(-1.0)
         self.shift = np.zeros(len(LANGUAGES))
 
-    def start(self, texts: list[np.ndarray], label: np.ndarray) -> None:
-        """First numbers of the embeddings: log odds of a bucket's presence in toxic texts, smoothed."""
+    def start(self, present: np.ndarray, n: np.ndarray) -> None:
+        """First numbers of the embeddings: log odds of a bucket's presence in toxic texts, smoothed.
+        ``present`` counts texts by side, label and bucket, ``n`` by label."""
         for side in (0, 1):
-            present = np.zeros((2, BUCKETS))
-            for x, y in zip(texts, label, strict=True):
-                present[int(y), np.unique((x >> (24 * side)) & 0xFFFFFF)] += 1
-            odds = np.log((present[1] + 0.5) / (label.sum() + 1)) - np.log((present[0] + 0.5) / ((1 - label).sum() + 1))
-            error = np.sqrt(1 / (present[0] + 0.5) + 1 / (present[1] + 0.5))
+            clean, toxic = present[side] + 0.5
+            odds = np.log(toxic / (n[1] + 1)) - np.log(clean / (n[0] + 1))
+            error = np.sqrt(1 / toxic + 1 / clean)
             odds = np.sign(odds) * np.maximum(np.abs(odds) - CAUTION * error, 0)
-            self.learned[side] = present.sum(0) >= EVIDENCE
+            self.learned[side] = present[side].sum(0) >= EVIDENCE
             self.embedding[side, :, 0] = np.where(self.learned[side], odds, 0).clip(-3, 3)
 
+    def layers(self) -> np.ndarray:
+        """Filters, biases, output and constant in a row, filled up to whole embeddings."""
+        flat = np.concatenate([*[self.filters[w].ravel() for w in WIDTHS], *[self.bias[w] for w in WIDTHS], self.output, [self.constant]])
+        return np.pad(flat, (0, -len(flat) % SIZE)).reshape(-1, SIZE).astype(np.float64)
+
+    def change(self, key: np.ndarray, by: np.ndarray) -> None:
+        """Add changes to embeddings (keys from 0) and rows of :meth:`layers` (keys below 0)."""
+        side, bucket = np.divmod(key[key >= 0], BUCKETS)
+        self.embedding[side, bucket] += by[key >= 0].astype(np.float32)
+        rows = self.layers()
+        rows[-1 - key[key < 0]] += by[key < 0]
+        flat = rows.ravel()
+        for group in (self.filters, self.bias):
+            for w in WIDTHS:
+                n = group[w].size
+                group[w], flat = flat[:n].reshape(group[w].shape).astype(np.float32), flat[n:]
+        self.output, self.constant = flat[: len(self.output)].astype(np.float32), np.float32(flat[len(self.output)])
+
     def rows(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Embeddings of all words, each text followed by empty words, and where the texts begin."""
         pad = max(WIDTHS)
@@ -118,13 +140,14 @@ class Network:
             top = np.maximum.reduceat(response, begin, axis=0)
             best.append(np.maximum(top + self.bias[w], 0))
             if places:
-                where.append(np.array([[begin[i] + int(np.argmax(response[begin[i] : ends[i], f])) for f in range(FILTERS)] for i in range(len(texts))]))
+                where.append(np.array([begin[i] + np.argmax(response[begin[i] : ends[i]], axis=0) for i in range(len(texts))]))
         return np.concatenate(best, 1), where, rows, begin
 
     def logits(self, texts: list[np.ndarray]) -> np.ndarray:
         return self.pooled(texts)[0] @ self.output + self.constant
 
     def train(self, texts: list[np.ndarray], label: np.ndarray, seed: int = 11) -> None:
+        """One pass of Adam over the texts."""
         rng = np.random.default_rng(seed)
         moments: dict = {}
         step = 0
@@ -136,68 +159,61 @@ class Network:
             value -= (RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-6)).astype(value.dtype)
 
         constant = np.array([self.constant])
-        for _ in range(EPOCHS):
-            order = rng.permutation(len(texts))
-            for at in range(0, len(order), BATCH):
-                own = order[at : at + BATCH]
-                step += 1
-                x = [texts[k] for k in own]
-                pooled, where, rows, begin = self.pooled(x, places=True)
-                error = (1 / (1 + np.exp(-(pooled @ self.output + constant[0]))) - label[own]) / len(own)
-                back = error[:, None] * self.output * (pooled > 0)
-                lengths = np.array([len(t) for t in x])
-                changes = []
-                for j, w in enumerate(WIDTHS):
-                    part = back[:, j * FILTERS : (j + 1) * FILTERS]
-                    windows = np.concatenate([rows[where[j] + k] for k in range(w)], axis=2)  # text x filter x numbers
-                    adam(("bias", w), self.bias[w], part.sum(0))
-                    gradient = np.einsum("tf,tfn->nf", part, windows)
-                    for k in range(w):
-                        place = where[j] + k - begin[:, None]
-                        inside = (place < lengths[:, None]) & (part != 0)
-                        t, f = np.nonzero(inside)
-                        changes += [(x[i][place[i, g]], part[i, g] * self.filters[w][k * 2 * SIZE : (k + 1) * 2 * SIZE, g]) for i, g in zip(t, f, strict=True)]
-                    adam(("filter", w), self.filters[w], gradient.astype(np.float32) + 1e-4 * self.filters[w])
-                adam("output", self.output, pooled.T @ error + 1e-4 * self.output)
-                adam("constant", constant, np.array([error.sum()]))
-                for code, change in changes:
-                    for side, bucket in enumerate((code & 0xFFFFFF, code >> 24)):
-                        if self.learned[side, bucket]:
-                            self.embedding[side, bucket] -= RATE * change[side * SIZE : (side + 1) * SIZE]
+        order = rng.permutation(len(texts))
+        for at in range(0, len(order), BATCH):
+            own = order[at : at + BATCH]
+            step += 1
+            x = [texts[k] for k in own]
+            pooled, where, rows, begin = self.pooled(x, places=True)
+            error = (1 / (1 + np.exp(-(pooled @ self.output + constant[0]))) - label[own]) / len(own)
+            back = error[:, None] * self.output * (pooled > 0)
+            lengths = np.array([len(t) for t in x])
+            changes = []
+            for j, w in enumerate(WIDTHS):
+                part = back[:, j * FILTERS : (j + 1) * FILTERS]
+                windows = np.concatenate([rows[where[j] + k] for k in range(w)], axis=2)  # text x filter x numbers
+                adam(("bias", w), self.bias[w], part.sum(0))
+                gradient = np.einsum("tf,tfn->nf", part, windows)
+                for k in range(w):
+                    place = where[j] + k - begin[:, None]
+                    inside = (place < lengths[:, None]) & (part != 0)
+                    t, f = np.nonzero(inside)
+                    part_change = part[t, f][:, None] * self.filters[w][k * 2 * SIZE : (k + 1) * 2 * SIZE, f].T
+                    changes.append((np.array([x[i][place[i, g]] for i, g in zip(t, f, strict=True)], np.int64), part_change))
+                adam(("filter", w), self.filters[w], gradient.astype(np.float32) + 1e-4 * self.filters[w])
+            adam("output", self.output, pooled.T @ error + 1e-4 * self.output)
+            adam("constant", constant, np.array([error.sum()]))
+            for code, by in changes:
+                for side, bucket in enumerate((code & 0xFFFFFF, code >> 24)):
+                    known = self.learned[side, bucket]
+                    np.subtract.at(self.embedding[side], bucket[known], (RATE * by[known, side * SIZE : (side + 1) * SIZE]).astype(np.float32))
         self.constant = constant[0]
 
-    def calibrate(self, texts: list[np.ndarray], label: np.ndarray, language: np.ndarray) -> None:
-        """The logit per language that parts the labels best; few texts of a language: that of all."""
+    def calibrate(self, language: np.ndarray, step: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> None:
+        """The logit per language that parts the labels best, from counts of texts per language and step of
+        the logit; few texts of a language: that of all."""
 
-        def best(logit: np.ndarray, y: np.ndarray) -> float:
-            order = np.argsort(logit)
-            logit, y = logit[order], y[order]
+        def best(own: np.ndarray) -> float:
+            steps, at = np.unique(step[own], return_inverse=True)
+            y, n = np.bincount(at, toxic[own]), np.bincount(at, clean[own])
             # Errors when everything from place k on is called toxic; in the middle of the best stretch.
-            missed, clean = np.concatenate([[0], np.cumsum(y)]), np.concatenate([[0], np.cumsum(1 - y)])
-            wrong = missed + CLEAN_WEIGHT * (clean[-1] - clean)
-            edges = np.concatenate([[logit[0] - 1], (logit[1:] + logit[:-1]) / 2, [logit[-1] + 1]])
+            missed, passed = np.concatenate([[0], np.cumsum(y)]), np.concatenate([[0], np.cumsum(n)])
+            wrong = missed + CLEAN_WEIGHT * (passed[-1] - passed)
+            edges = STEP * np.concatenate([[steps[0] - 1], (steps[1:] + steps[:-1] + 1) / 2, [steps[-1] + 2]])
             return float(np.median(edges[wrong == wrong.min()]))
 
-        logit = self.logits(texts)
-        everything = best(logit, label)
+        everything = best(np.ones(len(step), bool))
         for k in range(len(LANGUAGES)):
             own = language == k
-            enough = min(label[own].sum(), (1 - label[own]).sum()) >= 20
-            self.shift[k] = best(logit[own], label[own]) if enough else everything
+            self.shift[k] = best(own) if min(toxic[own].sum(), clean[own].sum()) >= 20 else everything
 
     def scores(self, texts: list[np.ndarray], language: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.logits(texts) - self.shift[language], -30, 30)))
 
 
-def sample(docs: DataFrame, labels: DataFrame, training: Column) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Coded texts, labels and languages of the bounded sample; documents stay where they are."""
+def taught(docs: DataFrame, labels: DataFrame, training: Column) -> DataFrame:
+    """Every labelled training row: doc_id, toxic, its words (packed), language, and whether it is held back."""
     marked = labels.filter(training & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    label: dict[int, int] = {}
-    for kind in (0, 1):
-        rows = marked.filter(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(PER_LABEL).collect()
-        label |= {r["doc_id"]: kind for r in rows}
-    if not label:
-        return [], np.empty(0), np.empty(0, np.int64)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Texts()
@@ -205,28 +221,87 @@ def sample(docs: DataFrame, labels: DataFrame, training: Column) -> tuple[list[n
             for part, texts in chunks(batch):
                 coded, languages = coder.of(texts)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(coded, pa.list_(pa.int64())), pa.array(languages, pa.int64())], ["doc_id", "words", "language"])
-
-    mine = docs.filter(F.col("doc_id").isin(list(label))).select("doc_id", "text")
-    rows = sorted(mine.mapInArrow(code, "doc_id bigint, words array<bigint>, language bigint").collect(), key=lambda r: (xxhash.xxh3_64_intdigest(str(r[0])), r[0]))
-    return ([np.array(r["words"], np.int64) for r in rows], np.array([label[r["doc_id"]] for r in rows], np.float64),
-            np.array([r["language"] for r in rows], np.int64))
+                    [part.column("doc_id"), part.column("toxic"), pa.array([zlib.compress(x.tobytes(), 1) for x in coded], pa.binary()),
+                     pa.array(languages, pa.int64())],
+                    ["doc_id", "toxic", "words", "language"])
+
+    mine = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(
+        marked.filter(F.col("toxic").isin(0, 1)).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")), "doc_id")
+    coded = mine.select("doc_id", "text", "toxic").mapInArrow(code, "doc_id bigint, toxic int, words binary, language bigint")
+    return stored(coded.withColumn("back", F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 3))
+
+
+def _words(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.frombuffer(zlib.decompress(w), np.int64) for w in column.to_pylist()]
+
+
+def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of a task by side, label and bucket, as ``(key, n)``."""
+    present = np.zeros((2, 2, BUCKETS), np.int64)
+    for batch in batches:
+        for x, y in zip(_words(batch.column("words")), batch.column("toxic").to_pylist(), strict=True):
+            for side in (0, 1):
+                present[side, y, np.unique((x >> (24 * side)) & 0xFFFFFF)] += 1
+    key = np.flatnonzero(present)
+    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(present.ravel()[key])], ["key", "n"])
+
+
+def train_parts(texts: DataFrame, network: Network, parts: int, n: int) -> None:
+    """Train every part from ``network`` and add the mean of their changes to it."""
+    broadcast = texts.sparkSession.sparkContext.broadcast(network)
+    columns = [f"d{k}" for k in range(SIZE)]
+
+    def one(table: pa.Table) -> pa.Table:
+        table = table.sort_by("doc_id")
+        before, after = broadcast.value, copy.deepcopy(broadcast.value)
+        words, label = _words(table.column("words")), table.column("toxic").to_numpy().astype(np.float64)
+        for k in range(EPOCHS):
+            after.train(words, label, k)
+        key = np.flatnonzero((after.embedding != before.embedding).any(2))
+        by = (after.embedding - before.embedding).reshape(-1, SIZE)[key].astype(np.float64)
+        layers = after.layers() - before.layers()
+        key, by = np.r_[key, -1 - np.arange(len(layers))], np.concatenate([by, layers])
+        whole = np.rint(by * (len(table) / n) / GRAIN).astype(np.int64)
+        return pa.table([pa.array(key), *[pa.array(whole[:, k].copy()) for k in range(SIZE)]], names=["key", *columns])
+
+    dealt = texts.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(parts)))
+    changes = dealt.groupBy("part").applyInArrow(one, f"key bigint, {', '.join(f'{c} bigint' for c in columns)}")
+    rows = changes.groupBy("key").agg(*[F.sum(c).alias(c) for c in columns]).toPandas()
+    broadcast.unpersist()
+    network.change(rows["key"].to_numpy(), rows[columns].to_numpy() * GRAIN)
 
 
 def fitted(docs: DataFrame, labels: DataFrame, training: Column) -> Network | float:
     """The trained network; the share of toxic labels where there is one kind only."""
-    texts, label, language = sample(docs, labels, training)
-    if not len(label) or label.min() == label.max():
-        return float(label.mean()) if len(label) else 0.0
-    back = np.arange(len(label)) % 4 == 3
-    if len(np.unique(label[back])) < 2 or len(np.unique(label[~back])) < 2:
-        back = np.zeros(len(label), bool)
+    rows = taught(docs, labels, training)
+    counts = np.zeros((2, 2), np.int64)
+    for r in rows.groupBy("back", "toxic").count().collect():
+        counts[int(r["back"]), r["toxic"]] = r["count"]
+    if not counts.sum(0).all():
+        return float(counts[:, 1].sum() / counts.sum()) if counts.sum() else 0.0
+    own = held = rows
+    n = counts.sum(0)
+    if counts.all():
+        own, held, n = rows.filter("NOT back"), rows.filter("back"), counts[0]
+    present = np.zeros(4 * BUCKETS)
+    found = own.select("words", "toxic").mapInArrow(_presence, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
+    present[found["key"]] = found["n"]
     network = Network()
-    own = np.flatnonzero(~back)
-    network.start([texts[k] for k in own], label[own])
-    network.train([texts[k] for k in own], label[own])
-    held = np.flatnonzero(back) if back.any() else own
-    network.calibrate([texts[k] for k in held], label[held], language[held])
+    network.start(present.reshape(2, 2, BUCKETS), n)
+    train_parts(own.select("doc_id", "words", "toxic"), network, -(-int(n.sum()) // PART_ROWS), int(n.sum()))
+    broadcast = rows.sparkSession.sparkContext.broadcast(network)
+
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                logit = np.clip(broadcast.value.logits(_words(part.column("words"))), -40, 40)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("language"), pa.array(np.floor(logit / STEP).astype(np.int64)), part.column("toxic")], ["language", "step", "toxic"])
+
+    by_step = held.select("language", "words", "toxic").mapInArrow(steps, "language bigint, step bigint, toxic int")
+    c = by_step.groupBy("language", "step").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean")).toPandas()
+    network.calibrate(*(c[name].to_numpy() for name in ("language", "step", "toxic", "clean")))
     return network
 
 

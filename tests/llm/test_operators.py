@@ -422,6 +422,24 @@ def test_toxicity(spark, docs, nothing):
     assert toxicity.scored(nothing, network).count() == 0
 
 
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    """Twenty parts; each odd word stands in four toxic texts only, whatever their number."""
+    monkeypatch.setattr(toxicity, "PART_ROWS", 200, raising=False)
+    n = 6_000
+    rows = [(i, f"common words w{i // 8} and more", i % 2) for i in range(n)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, y, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    taught = toxicity.taught(docs, labels, F.lit(True))
+    assert taught.count() == n and 0 < taught.filter("back").count() < n / 2
+    network = toxicity.fitted(docs, labels, F.lit(True))
+    own = {r[0] for r in taught.filter("NOT back").select("doc_id").collect()}
+    heard = {i // 8 for i in own if sum(k in own for k in range(i // 8 * 8, i // 8 * 8 + 8)) >= toxicity.EVIDENCE}
+    buckets = {toxicity._numbers(f"w{k}".encode()) & 0xFFFFFF for k in heard}
+    assert network.learned[0, sorted(buckets)].all() and len(heard) > 600
+    again = toxicity.fitted(docs.repartition(3), labels, F.lit(True))
+    assert (network.embedding == again.embedding).all() and (network.layers() == again.layers()).all()
+
+
 def test_preferences(spark):
     turns = [(1, 0, "user", "Q"), (1, 1, "assistant", "yes"), (2, 0, "user", "Q"), (2, 1, "assistant", "no"), (2, 2, "user", "why"),
              (4, 5, None, None), (4, 7, "assistant", "yes"), (5, 0, "assistant", "yes"), (None, 0, "user", "x"), (9, 0, "user", "alone")]
