@@ -5,7 +5,8 @@ response in the whole text, and a logistic layer joins them. Embeddings start fr
 their buckets, filters and output are trained by Adam on the places that won the maximum. Every labelled
 training row counts: three quarters teach (log odds are counted by Spark; all parts of about ``PART_ROWS``
 texts are trained from the same network for ``EPOCHS`` passes and their changes are averaged), the other
-quarter sets one threshold per language. The language used for that is read off the text's common
+quarter sets one threshold per language. Texts move once, as the numbers of their words: a broadcast field
+of bits of fixed size leaves out most texts without a label, labels meet the rest in its part. The language used for that is read off the text's common
 words, never from a column. Scores are shifted so that a threshold is at 0.5.
 
 Defined results: null and empty texts are scored as a text without words; ids with several labels count
@@ -32,6 +33,8 @@ from .quality import COMMON_WORDS
 PART_ROWS, BUCKETS, SIZE, FILTERS = 2000, 1 << 17, 8, 8
 WIDTHS = (1, 2, 3)
 EPOCHS, BATCH, RATE = 3, 32, 0.001
+#: Bits that tell most unlabelled texts before they move; labels set one each.
+BITS = 1 << 26
 #: Changes are added as whole numbers of this size, so their order does not matter; logits are counted in steps.
 GRAIN, STEP = 2.0**-36, 1 / 256
 #: Training texts that a bucket must stand in before its embedding is learned.
@@ -211,61 +214,113 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logits(texts) - self.shift[language], -30, 30)))
 
 
-def taught(docs: DataFrame, labels: DataFrame, training: Column) -> DataFrame:
-    """Every labelled training row: doc_id, toxic, its words (packed), language, and whether it is held back."""
-    marked = labels.filter(training & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+def _place() -> Column:
+    """The bit of an id among ``BITS``."""
+    return F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(BITS))
+
+
+def coded(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """doc_id, words (packed) and language of the texts whose bit a label has set: all labelled ones, and few others."""
+    place = marked.select(_place().alias("place"))
+    bit = F.expr("shiftleft(1L, CAST(place & 63 AS INT))")
+    found = place.groupBy(F.shiftright("place", 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    bits = np.zeros(BITS // 64, np.int64)
+    bits[found["at"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    noted = docs.sparkSession.sparkContext.broadcast(bits)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Texts()
         for batch in batches:
+            place = batch.column("place").to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array(noted.value[place >> 6] >> (place & 63) & 1 == 1))
             for part, texts in chunks(batch):
-                coded, languages = coder.of(texts)
+                words, languages = coder.of(texts)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("toxic"), pa.array([zlib.compress(x.tobytes(), 1) for x in coded], pa.binary()),
-                     pa.array(languages, pa.int64())],
-                    ["doc_id", "toxic", "words", "language"])
+                    [part.column("doc_id"), pa.array([zlib.compress(x.tobytes(), 1) for x in words], pa.binary()), pa.array(languages, pa.int64())],
+                    ["doc_id", "words", "language"])
+
+    own = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", _place().alias("place"))
+    return own.mapInArrow(code, "doc_id bigint, words binary, language bigint")
+
 
-    mine = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(
-        marked.filter(F.col("toxic").isin(0, 1)).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")), "doc_id")
-    coded = mine.select("doc_id", "text", "toxic").mapInArrow(code, "doc_id bigint, toxic int, words binary, language bigint")
-    return stored(coded.withColumn("back", F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 3))
+#: A text of a part.
+TEXT = pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("words", pa.binary()), ("language", pa.int64())])
 
 
-def _words(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
-    return [np.frombuffer(zlib.decompress(w), np.int64) for w in column.to_pylist()]
+def _back(doc_id: Column) -> Column:
+    """Whether a row is held back for the thresholds."""
+    return F.pmod(F.xxhash64(doc_id), F.lit(4)) == 3
+
+
+def gathered(docs: DataFrame, labels: DataFrame, training: Column) -> tuple[DataFrame, np.ndarray]:
+    """Every labelled training row in a row per part of about ``PART_ROWS`` that teach, and the number of rows by
+    whether they are held back and label. Ids are counted first, so words move once, straight to their part."""
+    marked = labels.filter(training & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    marked = stored(marked.filter(F.col("toxic").isin(0, 1)).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")))
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    counts = np.zeros((2, 2), np.int64)
+    for r in docs.select("doc_id").join(marked, "doc_id").groupBy(_back(F.col("doc_id")).alias("back"), "toxic").count().collect():
+        counts[int(r["back"]), r["toxic"]] = r["count"]
+    parts = max(1, -(-int((counts[0] if counts.all() else counts).sum()) // PART_ROWS))
+    part = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(parts)).alias("part")
+
+    def gather(texts: pa.Table, marks: pa.Table) -> pa.Table:
+        toxic = dict(zip(marks.column("doc_id").to_pylist(), marks.column("toxic").to_pylist(), strict=True))
+        # Texts without a label have come along by chance.
+        own = [{**x, "toxic": toxic[x["doc_id"]]} for x in texts.sort_by([("doc_id", "ascending"), ("words", "ascending")]).to_pylist() if x["doc_id"] in toxic]
+        return pa.table({"texts": pa.array([own] if own else [], pa.list_(TEXT))})
+
+    return stored(
+        coded(docs, marked).select(part, "doc_id", "words", "language").groupBy("part")
+        .cogroup(marked.select(part, "doc_id", "toxic").groupBy("part"))
+        .applyInArrow(gather, "texts array<struct<doc_id:bigint,toxic:int,words:binary,language:bigint>>")), counts
+
+
+def taught(docs: DataFrame, labels: DataFrame, training: Column) -> DataFrame:
+    """Every labelled training row: doc_id, toxic, its words (packed), language, and whether it is held back."""
+    return gathered(docs, labels, training)[0].select(F.explode("texts").alias("t")).select("t.*").withColumn("back", _back(F.col("doc_id")))
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    """Words, labels and languages of each part that has texts."""
+    for batch in batches:
+        column = batch.column("texts")
+        for k in range(len(column)):
+            texts = column[k].values
+            if len(texts):
+                words = [np.frombuffer(zlib.decompress(w), np.int64) for w in texts.field("words").to_pylist()]
+                yield words, *(np.array(texts.field(c).to_pylist(), np.int64) for c in ("toxic", "language"))
 
 
 def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts of a task by side, label and bucket, as ``(key, n)``."""
     present = np.zeros((2, 2, BUCKETS), np.int64)
-    for batch in batches:
-        for x, y in zip(_words(batch.column("words")), batch.column("toxic").to_pylist(), strict=True):
+    for words, toxic, _ in _parts(batches):
+        for x, y in zip(words, toxic.tolist(), strict=True):
             for side in (0, 1):
                 present[side, y, np.unique((x >> (24 * side)) & 0xFFFFFF)] += 1
     key = np.flatnonzero(present)
     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(present.ravel()[key])], ["key", "n"])
 
 
-def train_parts(texts: DataFrame, network: Network, parts: int, n: int) -> None:
+def train_parts(parts: DataFrame, network: Network, n: int) -> None:
     """Train every part from ``network`` and add the mean of their changes to it."""
-    broadcast = texts.sparkSession.sparkContext.broadcast(network)
+    broadcast = parts.sparkSession.sparkContext.broadcast(network)
     columns = [f"d{k}" for k in range(SIZE)]
 
-    def one(table: pa.Table) -> pa.Table:
-        table = table.sort_by("doc_id")
-        before, after = broadcast.value, copy.deepcopy(broadcast.value)
-        words, label = _words(table.column("words")), table.column("toxic").to_numpy().astype(np.float64)
-        for k in range(EPOCHS):
-            after.train(words, label, k)
-        key = np.flatnonzero((after.embedding != before.embedding).any(2))
-        by = (after.embedding - before.embedding).reshape(-1, SIZE)[key].astype(np.float64)
-        layers = after.layers() - before.layers()
-        key, by = np.r_[key, -1 - np.arange(len(layers))], np.concatenate([by, layers])
-        whole = np.rint(by * (len(table) / n) / GRAIN).astype(np.int64)
-        return pa.table([pa.array(key), *[pa.array(whole[:, k].copy()) for k in range(SIZE)]], names=["key", *columns])
-
-    dealt = texts.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(parts)))
-    changes = dealt.groupBy("part").applyInArrow(one, f"key bigint, {', '.join(f'{c} bigint' for c in columns)}")
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words, toxic, _ in _parts(batches):
+            before, after = broadcast.value, copy.deepcopy(broadcast.value)
+            for k in range(EPOCHS):
+                after.train(words, toxic.astype(np.float64), k)
+            key = np.flatnonzero((after.embedding != before.embedding).any(2))
+            by = (after.embedding - before.embedding).reshape(-1, SIZE)[key].astype(np.float64)
+            layers = after.layers() - before.layers()
+            key, by = np.r_[key, -1 - np.arange(len(layers))], np.concatenate([by, layers])
+            whole = np.rint(by * (len(words) / n) / GRAIN).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), *[pa.array(whole[:, k].copy()) for k in range(SIZE)]], ["key", *columns])
+
+    changes = parts.mapInArrow(each, f"key bigint, {', '.join(f'{c} bigint' for c in columns)}")
     rows = changes.groupBy("key").agg(*[F.sum(c).alias(c) for c in columns]).toPandas()
     broadcast.unpersist()
     network.change(rows["key"].to_numpy(), rows[columns].to_numpy() * GRAIN)
@@ -273,33 +328,31 @@ def train_parts(texts: DataFrame, network: Network, parts: int, n: int) -> None:
 
 def fitted(docs: DataFrame, labels: DataFrame, training: Column) -> Network | float:
     """The trained network; the share of toxic labels where there is one kind only."""
-    rows = taught(docs, labels, training)
-    counts = np.zeros((2, 2), np.int64)
-    for r in rows.groupBy("back", "toxic").count().collect():
-        counts[int(r["back"]), r["toxic"]] = r["count"]
+    parts, counts = gathered(docs, labels, training)
     if not counts.sum(0).all():
         return float(counts[:, 1].sum() / counts.sum()) if counts.sum() else 0.0
-    own = held = rows
+    own = held = parts
     n = counts.sum(0)
     if counts.all():
-        own, held, n = rows.filter("NOT back"), rows.filter("back"), counts[0]
+        own = parts.select(F.filter("texts", lambda t: ~_back(t["doc_id"])).alias("texts"))
+        held, n = parts.select(F.filter("texts", lambda t: _back(t["doc_id"])).alias("texts")), counts[0]
     present = np.zeros(4 * BUCKETS)
-    found = own.select("words", "toxic").mapInArrow(_presence, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
+    found = own.mapInArrow(_presence, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
     present[found["key"]] = found["n"]
     network = Network()
     network.start(present.reshape(2, 2, BUCKETS), n)
-    train_parts(own.select("doc_id", "words", "toxic"), network, -(-int(n.sum()) // PART_ROWS), int(n.sum()))
-    broadcast = rows.sparkSession.sparkContext.broadcast(network)
+    train_parts(own, network, int(n.sum()))
+    broadcast = parts.sparkSession.sparkContext.broadcast(network)
 
     def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                logit = np.clip(broadcast.value.logits(_words(part.column("words"))), -40, 40)
+        for words, toxic, language in _parts(batches):
+            for at in range(0, len(words), 256):
+                logit = np.clip(broadcast.value.logits(words[at : at + 256]), -40, 40)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("language"), pa.array(np.floor(logit / STEP).astype(np.int64)), part.column("toxic")], ["language", "step", "toxic"])
+                    [pa.array(language[at : at + 256]), pa.array(np.floor(logit / STEP).astype(np.int64)), pa.array(toxic[at : at + 256])],
+                    ["language", "step", "toxic"])
 
-    by_step = held.select("language", "words", "toxic").mapInArrow(steps, "language bigint, step bigint, toxic int")
+    by_step = held.mapInArrow(steps, "language bigint, step bigint, toxic bigint")
     c = by_step.groupBy("language", "step").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean")).toPandas()
     network.calibrate(*(c[name].to_numpy() for name in ("language", "step", "toxic", "clean")))
     return network

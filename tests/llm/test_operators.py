@@ -440,6 +440,33 @@ def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
     assert (network.embedding == again.embedding).all() and (network.layers() == again.layers()).all()
 
 
+def shuffled_bytes(spark):
+    """Bytes that all stages of the session have written for others so far."""
+    sc = spark.sparkContext
+    none = sc._gateway.new_array(sc._jvm.double, 0)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, none, None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_toxicity_moves_no_text_without_label(spark, monkeypatch):
+    rng = random.Random(5)
+    own = [(i, " ".join(f"w{rng.getrandbits(60)}" for _ in range(500))) for i in range(1000)]
+    docs = spark.createDataFrame(own, "doc_id long, text string").repartition(4).localCheckpoint()
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(0, 1000, 20)], "doc_id long, quality int, toxic int")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # labels as they are on large tables
+    try:
+        before = shuffled_bytes(spark)
+        assert toxicity.taught(docs, labels, F.lit(True)).count() == 50
+        assert shuffled_bytes(spark) - before < sum(len(t) for _, t in own) / 5
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    # Where every bit is set, the labels themselves decide.
+    want = {tuple(r) for r in toxicity.taught(docs, labels, F.lit(True)).collect()}
+    monkeypatch.setattr(toxicity, "BITS", 64)
+    assert {tuple(r) for r in toxicity.taught(docs, labels, F.lit(True)).collect()} == want and len(want) == 50
+
+
 def test_preferences(spark):
     turns = [(1, 0, "user", "Q"), (1, 1, "assistant", "yes"), (2, 0, "user", "Q"), (2, 1, "assistant", "no"), (2, 2, "user", "why"),
              (4, 5, None, None), (4, 7, "assistant", "yes"), (5, 0, "assistant", "yes"), (None, 0, "user", "x"), (9, 0, "user", "alone")]
