@@ -35,11 +35,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, chunks, hashed, mixed, stored, word_hashes
+from .common import U64, chunks, hashed, mixed, stored, word_hashes
 
 #: Most words that are broadcast (by hash), classes of words, and rows of skip weights.
 HEAD, CLASSES, ROWS = 200_000, 32, 2048
@@ -49,12 +50,24 @@ PART, SLICE, CHUNK = 1 << 20, 1 << 12, 4 << 20
 ROUNDS, STEPS, RATE, MOVE, HIGHEST = 2, 4, 0.6, 3.0, 9.0
 #: Precision of the prior of weights: class by one word, class by two, class by skip, word by one, word by two.
 RIDGES = (0.2, 0.4, 5.0, 0.05, 0.1)
+#: Log probabilities are sent as whole numbers of this size, about the precision of the softmax.
+GRAIN = 2.0**-16
 #: The end token; no word holds a blank. The words before a text.
 END, BEFORE = b" ", -1
 
 
-def _words(text: bytes | None) -> list[bytes]:
-    return text.translate(LOWER).split() if text else []
+def _words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The different words of texts, END last; the number of each token's word, text by text; tokens per text."""
+    trimmed = pc.ascii_trim_whitespace(pc.ascii_lower(texts.fill_null("")))
+    split = pc.ascii_split_whitespace(trimmed)
+    lengths = split.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = split.flatten().dictionary_encode()
+    empty = pc.binary_length(trimmed).to_numpy(zero_copy_only=False) == 0  # split into one empty word
+    of = coded.indices.to_numpy(zero_copy_only=False)[~np.repeat(empty, lengths)]
+    lengths = np.where(empty, 0, lengths)
+    tokens = np.full(len(of) + len(lengths), len(coded.dictionary), np.int64)
+    tokens[np.arange(len(of)) + np.repeat(np.arange(len(lengths)), lengths)] = of
+    return [*coded.dictionary.cast(pa.binary()).to_pylist(), END], tokens, lengths + 1
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -81,10 +94,11 @@ def token_counts(docs: DataFrame, training: Column) -> DataFrame:
             return out
 
         for batch in batches:
-            for _, texts in chunks(batch):
-                for text in texts:
-                    seen.update(_words(text))
-                seen[END] += len(texts)
+            for part, _ in chunks(batch):
+                words, tokens, _ = _words(part.column("text"))
+                for word, n in zip(words, np.bincount(tokens, minlength=len(words)).tolist(), strict=True):
+                    if n:
+                        seen[word] += n
                 if len(seen) > 500_000:
                     yield flushed()
         if seen:
@@ -128,12 +142,15 @@ class Vocabulary:
         """What the model tells apart: broadcast words, and above them the bits of others."""
         return np.where(ids < self.size, ids, self.size + ((ids - self.size) & ((1 << self.digits) - 1))).astype(np.int32)
 
-    def bucket(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """Of a frequent word before, the bucket of the word before that: its feature is split by it."""
+    def buckets(self, one: np.ndarray) -> np.ndarray:
+        """Into how many buckets of the word before it the feature of a word is split."""
         inside = (one >= 0) & (one < self.size)
         buckets = 1 + np.where(inside, self.n[np.where(inside, one, 0)], 0) * 8 // PART
-        buckets = np.where(one == BEFORE, 1 + self.n.sum() * 8 // PART, buckets)
-        return (mixed(two.astype(np.int64).view(U64)) % buckets.astype(U64)).astype(np.int64)
+        return np.where(one == BEFORE, 1 + self.n.sum() * 8 // PART, buckets)
+
+    def bucket(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Of a frequent word before, the bucket of the word before that: its feature is split by it."""
+        return (mixed(two.astype(np.int64).view(U64)) % self.buckets(one).astype(U64)).astype(np.int64)
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
@@ -170,24 +187,23 @@ def tokenized(docs: DataFrame, words) -> DataFrame:
         key = TaskContext.get().partitionId() << 40
         for batch in batches:
             for part, texts in chunks(batch, limit=CHUNK):
-                split = [_words(t) for t in texts]
-                flat = [w for own in split for w in (*own, END)]
-                lengths = np.array([len(w) + 1 for w in split])
-                text = np.repeat(np.arange(len(split)), lengths)
-                ids = vocab.ids(hashed(flat, hashes))
-                known = ids < vocab.size
-                inside, outside = np.flatnonzero(known), np.flatnonzero(~known)
+                different, flat, lengths = _words(part.column("text"))
+                number = vocab.ids(hashed(different, hashes))
+                text, ids = np.repeat(np.arange(len(texts)), lengths), number[flat]
+                inside, outside = np.flatnonzero(ids < vocab.size), np.flatnonzero(ids >= vocab.size)
                 base = np.bincount(text[inside], vocab.base[ids[inside]], minlength=len(texts))
-                leaf = vocab.targets(ids[outside]).tolist()
-                tail = Counter(zip(text[outside].tolist(), map(flat.__getitem__, outside.tolist()), leaf, strict=True))
-                rows = [{"key": key + k, "doc_id": d, "training": t, "held_out": h, "n_tokens": n, "n_known": i, "base": b}
-                        for k, (d, t, h, n, i, b) in enumerate(zip(
-                            part.column("doc_id").to_pylist(), part.column("training").to_pylist(), part.column("held_out").to_pylist(),
-                            lengths.tolist(), np.bincount(text[inside], minlength=len(texts)).tolist(), base.tolist(), strict=True))]
+                tail, tf = np.unique(text[outside] * len(different) + flat[outside], return_counts=True)
+                at, of = np.divmod(tail, len(different))
+                rows = pa.StructArray.from_arrays(
+                    [pa.array(key + np.arange(len(texts))), part.column("doc_id"), part.column("training"), part.column("held_out"), pa.array(lengths),
+                     pa.array(np.bincount(text[inside], minlength=len(texts))), pa.array(base.astype(np.float64))], fields=list(DOC))
+                others = pa.StructArray.from_arrays(
+                    [pa.array(key + at), pa.array([different[k] for k in of.tolist()], pa.binary()), pa.array(vocab.targets(number[of]).astype(np.int64)),
+                     pa.array(tf.astype(np.int64))], fields=list(TAIL))
                 yield pa.RecordBatch.from_pydict({
-                    "chunk": pa.array([key], pa.int64()), "n": pa.array([len(flat)], pa.int64()),
-                    "ids": pa.array([packed(ids)], pa.binary()), "docs": pa.array([rows], pa.list_(DOC)),
-                    "tail": pa.array([[{"key": key + t, "word": w, "leaf": x, "tf": n} for (t, w, x), n in tail.items()]], pa.list_(TAIL))})
+                    "chunk": pa.array([key], pa.int64()), "n": pa.array([len(flat)], pa.int64()), "ids": pa.array([packed(ids)], pa.binary()),
+                    "docs": pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows),
+                    "tail": pa.ListArray.from_arrays(pa.array([0, len(others)], pa.int32()), others)})
                 key += len(texts)
 
     return stored(docs.mapInArrow(take, (
@@ -201,19 +217,34 @@ class Events:
 
     def __init__(self, vocab: Vocabulary, ids: np.ndarray, lengths: np.ndarray, training: np.ndarray, parts: int):
         at = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        one = np.where(at > 0, np.roll(ids, 1), BEFORE).astype(np.int32)
-        two = np.where(at > 1, np.roll(ids, 2), BEFORE).astype(np.int32)
-        word = vocab.targets(ids)
-        bucket = vocab.bucket(one, two)
-        part = (mixed(one.astype(np.int64).view(U64) * U64(0x9E3779B97F4A7C15) + bucket.view(U64)) % U64(parts)).astype(np.int64)
-        feature, event = _pair(one, bucket), _pair(two, word)
-        order = np.lexsort((event, feature, part))
-        first = _starts(feature[order], event[order])
+        # The chunk's words in order, so that three of them are one number.
+        own, local = np.unique(ids, return_inverse=True)
+        own, local = np.append(np.int32(BEFORE), own), local + 1
+        one = np.where(at > 0, np.roll(local, 1), 0)
+        two = np.where(at > 1, np.roll(local, 2), 0)
+        targets, target = np.unique(vocab.targets(own[1:]), return_inverse=True)
+        word = target[local - 1]
+        # Features: words, frequent ones by bucket; in order of part, word and bucket.
+        buckets = vocab.buckets(own)
+        begin = np.cumsum(buckets) - buckets
+        feature, many = begin[one], np.flatnonzero(buckets[one] > 1)
+        feature[many] += (mixed(own.astype(np.int64).view(U64))[two[many]] % buckets[one[many]].astype(U64)).astype(np.int64)
+        bucket = np.arange(buckets.sum()) - np.repeat(begin, buckets)
+        dealt_to = (mixed(np.repeat(own, buckets).astype(np.int64).view(U64) * U64(0x9E3779B97F4A7C15) + bucket.view(U64)) % U64(parts)).astype(np.int64)
+        rank = np.empty(len(dealt_to), np.int64)
+        rank[np.argsort(dealt_to, kind="stable")] = np.arange(len(dealt_to))
+        if len(rank) * len(own) * max(len(targets), 1) < 1 << 63:
+            event = (rank[feature] * len(own) + two) * len(targets) + word
+            order = np.argsort(event)
+            first = _starts(event[order])
+        else:  # a text of very many different words
+            order = np.lexsort((word, two, rank[feature]))
+            first = _starts(feature[order], two[order], word[order])
         of = np.empty(len(order), np.int64)
         #: By token, the row here.
         of[order] = np.cumsum(first) - 1
         self.of, first = of, order[first]
-        self.part, self.one, self.two, self.word = part[first], one[first], two[first], word[first]
+        self.part, self.one, self.two, self.word = dealt_to[feature[first]], own[one[first]], own[two[first]], targets[word[first]]
         self.n = np.bincount(of, np.repeat(training, lengths), minlength=len(first)).astype(np.int32)
 
 
@@ -279,75 +310,107 @@ def dealt(tokens: DataFrame, words, parts: int) -> DataFrame:
         "part bigint, chunks array<bigint>, sizes array<bigint>, at binary, begins binary, skip binary, word binary, n binary")))
 
 
+class Table:
+    """Logits and chances of the classes by the skip row alone."""
+
+    def __init__(self, vocab: Vocabulary, shared: np.ndarray):
+        self.logits = vocab.prior + shared
+        self.chance = chances(self.logits.copy())
+
+
 class Runs:
     """Whole runs of w1 out of a part: events, contexts (w2 w1) and features w1, numbered from 0."""
 
     def __init__(self, vocab: Vocabulary, begins: np.ndarray, skip: np.ndarray, word: np.ndarray, n: np.ndarray):
-        self.skip, self.n, self.k = skip.astype(np.int64), n.astype(np.float64), vocab.classes
-        self.prior = vocab.prior
+        self.vocab, self.skip, self.word, self.n, self.k = vocab, skip.astype(np.int64), word, n.astype(np.float64), vocab.classes
         self.pair = np.cumsum(begins > 0) - 1
         self.run_begin = np.flatnonzero(begins[begins > 0] == 2)
         self.run = np.cumsum(begins[begins > 0] == 2) - 1
-        row, words = np.minimum(word, vocab.size), vocab.size + (1 << vocab.digits)
-        self.of, self.share = vocab.of[row], vocab.share[row]
-        # The words after w1, each once.
-        self.met, self.met_of = np.unique(self.run[self.pair] * words + word, return_inverse=True)
-        self.met_run, met_word = np.divmod(self.met, words)
-        row = np.minimum(met_word, vocab.size)
-        self.met_class, self.met_share = vocab.of[row], vocab.share[row]
-        self.counts = self._table(self.pair * self.k + self.of, self.n, len(self.skip))
-
-    def _table(self, at: np.ndarray, x: np.ndarray, rows: int) -> np.ndarray:
-        return np.bincount(at, x, rows * self.k).reshape(rows, self.k)
-
-    def classes(self, shared: np.ndarray, steps: int) -> np.ndarray:
-        """Probabilities of the classes in every context, after steps on the features w1 and w2 w1."""
-        start = self.prior + shared[self.skip]  # all weights are bounded, so no exponential overflows
-        counts = self.counts.astype(np.float32)
-        many, summed = counts.sum(1, keepdims=True), np.add.reduceat(counts, self.run_begin)
-        one, two = np.zeros_like(summed), np.zeros_like(counts)
-        for step in range(steps + 1):
-            p = one[self.run]
-            p += two
-            p += start
-            np.exp(p, out=p)
-            p /= p.sum(1, keepdims=True)
-            if step < steps:
-                expected = many * p
-                one = stepped(one, summed, np.add.reduceat(expected, self.run_begin), RIDGES[0])
-                two = stepped(two, counts, expected, RIDGES[1])
-        return p
+        self.of = vocab.of[np.minimum(word, vocab.size)]
+        self.counts = np.bincount(self.pair * self.k + self.of, self.n, len(self.skip) * self.k).reshape(-1, self.k).astype(np.float32)
+        self.many = self.counts.sum(1, keepdims=True)
+
+    def logits(self, table: Table, steps: int) -> np.ndarray:
+        """Logarithms of the classes' weights in every context, after steps on the features w1 and w2 w1."""
+        start = table.logits[self.skip]  # all weights are bounded, so no exponential overflows
+        counts, summed = self.counts, np.add.reduceat(self.counts, self.run_begin)
+        one, two, logits = np.zeros_like(summed), None, start
+        for step in range(steps):
+            expected = np.take(table.chance, self.skip, 0) if step == 0 else chances(logits)
+            expected *= self.many
+            one = stepped(one, summed, np.add.reduceat(expected, self.run_begin), RIDGES[0])
+            two = stepped(two, counts, expected, RIDGES[1])
+            logits = np.take(one, self.run, 0)
+            logits += two
+            logits += start
+        return logits
+
+    def classes(self, table: Table, steps: int) -> np.ndarray:
+        """Log probability of each event's class."""
+        logits = self.logits(table, steps)
+        own = logits[self.pair, self.of].astype(np.float64)
+        np.exp(logits, out=logits)
+        return own - np.log(logits @ np.ones(self.k, np.float32))[self.pair]
+
+    def expected(self, table: Table, steps: int) -> tuple[np.ndarray, np.ndarray]:
+        """Skip rows, and how often they expect each class."""
+        order = np.argsort(self.skip)
+        begin = np.flatnonzero(_starts(self.skip[order]))
+        p = chances(self.logits(table, steps))
+        p *= self.many
+        return self.skip[order[begin]], np.add.reduceat(p[order], begin)
 
     def words(self, steps: int) -> np.ndarray:
-        """Probability of each event's word within its class, after steps on the features w1 and w2 w1."""
-        met_at, at = self.met_run * self.k + self.met_class, self.pair * self.k + self.of
-        met_n = np.bincount(self.met_of, self.n, len(self.met))
-        one, two = np.zeros(len(self.met)), np.zeros(len(self.n))
+        """Log probability of each event's word within its class, after steps on the features w1 and w2 w1."""
+        size, words = self.vocab.size, self.vocab.size + (1 << self.vocab.digits)
+        # The words after w1, each once; classes are ranges of words, so those of a class stand together.
+        met, met_of = np.unique(self.run[self.pair] * words + self.word, return_inverse=True)
+        met_run, met_word = np.divmod(met, words)
+        row = np.minimum(met_word, size)
+        share, new = self.vocab.share[row], _starts(met_run, self.vocab.of[row])
+        run_begin, run_class = np.flatnonzero(new), np.cumsum(new) - 1
+        # Classes that were met in a context.
+        new = _starts(self.pair, self.of)
+        begin, cell = np.flatnonzero(new), np.cumsum(new) - 1
+        of_run = run_class[met_of[begin]]
+        cell_n, met_n = np.add.reduceat(self.n, begin), np.bincount(met_of, self.n, len(met))
+        one, two = np.zeros(len(met)), np.zeros(len(self.n))
         for step in range(steps + 1):
-            first = self.met_share * np.exp(one)
-            own = first[self.met_of]
+            first = share * np.exp(one)
+            own = first[met_of]
             further = own * np.expm1(two)
-            by_run = 1 + self._table(met_at, first - self.met_share, len(self.run_begin))
-            norm = (by_run[self.run] + self._table(at, further, len(self.skip))).ravel()
-            p = (own + further) / norm[at]
+            norm = (1 + np.add.reduceat(first - share, run_begin))[of_run] + np.add.reduceat(further, begin)
+            own += further
             if step < steps:
-                per = self.counts.ravel() / norm
-                all_ = np.add.reduceat(per.reshape(self.counts.shape), self.run_begin).ravel()
-                expected = first * all_[met_at] + np.bincount(self.met_of, further * per[at], len(self.met))
+                per = cell_n / norm
+                all_ = np.bincount(of_run, per, len(run_begin))
+                per = per[cell]
+                expected = first * all_[run_class] + np.bincount(met_of, further * per, len(met))
                 # What was never met in training has no feature.
                 one = np.where(met_n > 0, stepped(one, met_n, expected, RIDGES[3]), 0)
-                two = np.where(self.n > 0, stepped(two, self.n, self.counts.ravel()[at] * p, RIDGES[4]), 0)
-        return p
+                two = np.where(self.n > 0, stepped(two, self.n, own * per, RIDGES[4]), 0)
+        return np.log(own / norm[cell])
+
 
+def chances(logits: np.ndarray) -> np.ndarray:
+    """Softmax of each row, in place."""
+    np.exp(logits, out=logits)
+    logits /= (logits @ np.ones(logits.shape[1], logits.dtype))[:, None]
+    return logits
 
-def stepped(weight: np.ndarray, counted: np.ndarray, expected: np.ndarray, ridge: float) -> np.ndarray:
-    """A gradient step, each weight scaled by its expected count (which bounds its curvature)."""
-    move = weight * -ridge
-    move += counted
-    move -= expected
-    move /= expected + ridge
+
+def stepped(weight: np.ndarray | None, counted: np.ndarray, expected: np.ndarray, ridge: float) -> np.ndarray:
+    """A gradient step, each weight scaled by its expected count (which bounds its curvature). Weights start at
+    zero (None); ``expected`` is used up."""
+    move = counted - expected
+    if weight is not None:
+        move -= weight * ridge
+    expected += ridge
+    move /= expected
     move *= RATE
     np.clip(move, -MOVE, MOVE, out=move)
+    if weight is None:
+        return move
     move += weight
     return np.clip(move, -HIGHEST, HIGHEST, out=move)
 
@@ -369,18 +432,21 @@ def fit(events: DataFrame, words) -> np.ndarray:
     spark, k = events.sparkSession, words.value.classes
     shared = np.zeros((ROWS, k), np.float32)
     for round_ in range(ROUNDS):
-        start = spark.sparkContext.broadcast(shared)
+        start = spark.sparkContext.broadcast(Table(words.value, shared))
 
         def gradient(batches: Iterator[pa.RecordBatch], start=start, steps=min(round_, STEPS)) -> Iterator[pa.RecordBatch]:
-            counted, expected = np.zeros(ROWS * k), np.zeros(ROWS * k)
+            vocab, counted, expected = words.value, np.zeros(ROWS * k), np.zeros((ROWS, k))
             for batch in batches:
                 for row in batch.to_pylist():
-                    for runs in runs_of(words.value, row):
-                        at = (runs.skip[:, None] * k + np.arange(k)).ravel()
-                        counted += np.bincount(at, runs.counts.ravel(), ROWS * k)
-                        p = runs.classes(start.value, steps)
-                        expected += np.bincount(at, (runs.counts.sum(1, keepdims=True) * p).ravel(), ROWS * k)
-            some = np.flatnonzero(expected.reshape(ROWS, k).any(1))
+                    skip, word = unpacked(row["skip"], np.uint16), unpacked(row["word"], np.int32)
+                    pair = np.cumsum(unpacked(row["begins"], np.uint8) > 0) - 1
+                    counted += np.bincount(skip[pair].astype(np.int64) * k + vocab.of[np.minimum(word, vocab.size)], unpacked(row["n"], np.int64), ROWS * k)
+                    for runs in runs_of(vocab, row) if steps else ():
+                        at, p = runs.expected(start.value, steps)
+                        expected[at] += p
+            if not steps:  # the skip row tells all
+                expected = counted.reshape(ROWS, k).sum(1, keepdims=True) * start.value.chance
+            some = np.flatnonzero(expected.any(1))
             both = np.hstack([x.reshape(ROWS, k)[some] for x in (counted, expected)]).astype(np.float32)
             yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(both[:, j].copy()) for j in range(2 * k))], ["row", *(f"x{j}" for j in range(2 * k))])
 
@@ -394,6 +460,31 @@ def fit(events: DataFrame, words) -> np.ndarray:
     return shared
 
 
+def tail_sums(tokens: DataFrame, counts: DataFrame, words) -> DataFrame:
+    """Per document with words that are not broadcast: base and log10 probability of these in their last
+    place, and how many are known. Stored, so that its shuffle can go before the large ones come."""
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab, hashes = words.value, word_hashes()
+        for batch in batches:
+            ids = vocab.ids(hashed(batch.column("word").to_pylist(), hashes))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(vocab.targets(ids).astype(np.int64))], ["word", "n", "leaf"]).filter(pa.array(ids >= vocab.size))
+
+    # Words with equal bits meet in one place: those of the documents (tf) and those of training (n).
+    rare = counts.select("word", "n").mapInArrow(others, "word binary, n bigint, leaf bigint")
+    both = tokens.select(F.explode("tail").alias("t")).select("t.leaf", "t.word", "t.key", "t.tf", F.lit(0).cast("bigint").alias("n")).unionAll(
+        rare.select("leaf", "word", F.lit(0).cast("bigint"), F.lit(0).cast("bigint"), "n"))
+    both = both.repartition("leaf").select(
+        "key", "tf", F.max("n").over(Window.partitionBy("leaf", "word")).alias("n"),
+        F.sum(F.when(F.col("tf") == 0, F.col("n") + 1).otherwise(0)).over(Window.partitionBy("leaf")).alias("size"))
+    return stored(
+        both.filter("tf > 0")
+        .select("key", (F.col("tf") * F.log10((F.col("n") + 1) / F.lit(float(words.value.total + words.value.different + 1)))).alias("base"),
+                (F.col("tf") * F.log10((F.col("n") + 1) / (F.col("size") + 1))).alias("model"), F.when(F.col("n") > 0, F.col("tf")).otherwise(0).alias("known"))
+        .groupBy("key").agg(F.sum("base").alias("tail_base"), F.sum("model").alias("tail_model"), F.sum("known").alias("tail_known"))
+    )
+
+
 def scores(docs: DataFrame, training: Column, held_out: Column) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): counts, the base score and the model's log10 probability."""
     spark = docs.sparkSession
@@ -402,17 +493,19 @@ def scores(docs: DataFrame, training: Column, held_out: Column) -> DataFrame:
     words = spark.sparkContext.broadcast(vocabulary(counts))
     known = words.value
     tokens = tokenized(docs, words)
+    tail = tail_sums(tokens, counts, words)
     parts = (tokens.agg(F.sum("n")).first()[0] or 0) // PART + 1
     events = dealt(tokens, words, parts)
-    shared = spark.sparkContext.broadcast(fit(events, words))
+    table = spark.sparkContext.broadcast(Table(known, fit(events, words)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 own = []
                 for runs in runs_of(words.value, row):
-                    own.append(np.log(runs.classes(shared.value, STEPS)[runs.pair, runs.of]) + np.log(runs.words(STEPS)))
-                found = np.concatenate(own).astype(np.float32)[np.cumsum(unpacked(row["at"], np.int32).astype(np.int64))]
+                    own.append(runs.classes(table.value, STEPS) + runs.words(STEPS))
+                steps = np.rint(np.concatenate(own) / -GRAIN).astype(np.int32)
+                found = steps[np.cumsum(unpacked(row["at"], np.int32).astype(np.int64))]
                 ends = np.cumsum(row["sizes"]).tolist()
                 yield pa.RecordBatch.from_pydict({
                     "chunk": pa.array(row["chunks"], pa.int64()), "part": pa.array([row["part"]] * len(ends), pa.int64()),
@@ -422,30 +515,14 @@ def scores(docs: DataFrame, training: Column, held_out: Column) -> DataFrame:
         row = own.to_pylist()[0]
         mine = _events(words.value, row, parts)
         by_part = sorted(zip(back.column("part").to_pylist(), back.column("found").to_pylist(), strict=True))
-        found = np.concatenate([unpacked(x, np.float32) for _, x in by_part])
+        found = np.concatenate([unpacked(x, np.int32) for _, x in by_part])
         text = np.repeat(np.arange(len(row["docs"])), [d["n_tokens"] for d in row["docs"]])
-        model = np.bincount(text, found[mine.of], len(row["docs"])) / math.log(10)
+        model = np.bincount(text, found[mine.of], len(row["docs"])) * (-GRAIN / math.log(10))
         return pa.table({"key": pa.array([d["key"] for d in row["docs"]], pa.int64()), "model": pa.array(model)})
 
     back = events.mapInArrow(score, "chunk bigint, part bigint, found binary")
     model = tokens.select("chunk", "ids", "docs").groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(add, "key bigint, model double")
 
-    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, hashes = words.value, word_hashes()
-        for batch in batches:
-            ids = vocab.ids(hashed(batch.column("word").to_pylist(), hashes))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(vocab.targets(ids).astype(np.int64))], ["word", "n", "leaf"]).filter(pa.array(ids >= vocab.size))
-
-    rare = counts.select("word", "n").mapInArrow(others, "word binary, n bigint, leaf bigint")
-    leaves = rare.groupBy("leaf").agg((F.sum("n") + F.count("*")).alias("size"))
-    c, size = F.coalesce(F.col("n"), F.lit(0)), F.coalesce(F.col("size"), F.lit(0))
-    tail = (
-        tokens.select(F.explode("tail").alias("t")).select("t.*")
-        .join(rare.drop("leaf"), "word", "left").join(leaves, "leaf", "left")
-        .select("key", (F.col("tf") * F.log10((c + 1) / F.lit(float(known.total + known.different + 1)))).alias("base"),
-                (F.col("tf") * F.log10((c + 1) / (size + 1))).alias("model"), F.when(c > 0, F.col("tf")).otherwise(0).alias("known"))
-        .groupBy("key").agg(F.sum("base").alias("tail_base"), F.sum("model").alias("tail_model"), F.sum("known").alias("tail_known"))
-    )
     zero = F.lit(0.0)
     return tokens.select(F.explode("docs").alias("d")).select("d.*").join(model, "key").join(tail, "key", "left").select(
         "doc_id", "held_out", "n_tokens",

@@ -265,6 +265,14 @@ def test_quality_measures(docs, rows, nothing):
     assert quality.passing(nothing).count() == 0
 
 
+def shuffled_bytes(spark):
+    """Bytes that all stages of the session have written for others so far."""
+    sc = spark.sparkContext
+    none = sc._gateway.new_array(sc._jvm.double, 0)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, none, None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
 def test_jensen_shannon(spark):
     frame = spark.range(1).select(F.array(F.lit(3), F.lit(1), F.lit(0)).cast("array<bigint>").alias("c"), F.array(F.lit(0.5), F.lit(0.25), F.lit(0.25)).alias("q"))
     p, q = np.array([0.75, 0.25, 0]), np.array([0.5, 0.25, 0.25])
@@ -382,6 +390,25 @@ def test_language_model_against_dense_weights(docs, rows, monkeypatch):
             assert a == b and x == pytest.approx(y, rel=2e-4, abs=1e-4)
 
 
+def test_language_model_moves_little(spark, monkeypatch):
+    """Words without a class move once, log probabilities in three bytes."""
+    monkeypatch.setattr(maxent, "HEAD", 50)
+    rng = random.Random(6)
+    own = [(i, " ".join(f"w{int(rng.paretovariate(0.3)) % 30_000}" for _ in range(400))) for i in range(500)]
+    docs = spark.createDataFrame(own, "doc_id long, text string").repartition(4).localCheckpoint()
+    held = id_remainder("doc_id", 7) == 2
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as on large tables
+    try:
+        before = shuffled_bytes(spark)
+        assert maxent.scores(docs, ~held, held).collect()
+        moved = (shuffled_bytes(spark) - before) / sum(len(t) for _, t in own)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    print("moved", moved)
+    assert moved < 0
+
+
 def test_packed_numbers():
     for x in (np.array([], np.int32), np.arange(-3, 9, dtype=np.int32), np.array([1.5, -2.25], np.float32), np.array([7], np.uint8)):
         assert maxent.unpacked(maxent.packed(x), x.dtype).tolist() == x.tolist()
@@ -440,14 +467,6 @@ def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
     assert (network.embedding == again.embedding).all() and (network.layers() == again.layers()).all()
 
 
-def shuffled_bytes(spark):
-    """Bytes that all stages of the session have written for others so far."""
-    sc = spark.sparkContext
-    none = sc._gateway.new_array(sc._jvm.double, 0)
-    stages = sc._jsc.sc().statusStore().stageList(None, False, False, none, None)
-    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
-
-
 def test_toxicity_moves_no_text_without_label(spark, monkeypatch):
     rng = random.Random(5)
     own = [(i, " ".join(f"w{rng.getrandbits(60)}" for _ in range(500))) for i in range(1000)]
