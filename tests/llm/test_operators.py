@@ -405,8 +405,7 @@ def test_language_model_moves_little(spark, monkeypatch):
         moved = (shuffled_bytes(spark) - before) / sum(len(t) for _, t in own)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
-    print("moved", moved)
-    assert moved < 0
+    assert moved < 4.7  # 5.09 with words joined twice and log probabilities as floats
 
 
 def test_packed_numbers():
