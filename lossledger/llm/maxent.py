@@ -430,7 +430,7 @@ def runs_of(vocab: Vocabulary, row: dict) -> Iterator[Runs]:
 def fit(events: DataFrame, words) -> np.ndarray:
     """Skip weights by gradient rounds over all training tokens; parts take as many steps as there were rounds before."""
     spark, k = events.sparkSession, words.value.classes
-    shared = np.zeros((ROWS, k), np.float32)
+    shared, counts = np.zeros((ROWS, k), np.float32), np.zeros((ROWS, k))
     for round_ in range(ROUNDS):
         start = spark.sparkContext.broadcast(Table(words.value, shared))
 
@@ -438,12 +438,14 @@ def fit(events: DataFrame, words) -> np.ndarray:
             vocab, counted, expected = words.value, np.zeros(ROWS * k), np.zeros((ROWS, k))
             for batch in batches:
                 for row in batch.to_pylist():
+                    if steps:  # the counts are known from the first round
+                        for runs in runs_of(vocab, row):
+                            at, p = runs.expected(start.value, steps)
+                            expected[at] += p
+                        continue
                     skip, word = unpacked(row["skip"], np.uint16), unpacked(row["word"], np.int32)
                     pair = np.cumsum(unpacked(row["begins"], np.uint8) > 0) - 1
                     counted += np.bincount(skip[pair].astype(np.int64) * k + vocab.of[np.minimum(word, vocab.size)], unpacked(row["n"], np.int64), ROWS * k)
-                    for runs in runs_of(vocab, row) if steps else ():
-                        at, p = runs.expected(start.value, steps)
-                        expected[at] += p
             if not steps:  # the skip row tells all
                 expected = counted.reshape(ROWS, k).sum(1, keepdims=True) * start.value.chance
             some = np.flatnonzero(expected.any(1))
@@ -455,7 +457,9 @@ def fit(events: DataFrame, words) -> np.ndarray:
                   .groupBy("row").agg(*(F.sum(c).alias(c) for c in columns)).toPandas())
         row, both = summed["row"].to_numpy(np.int64), summed[columns].to_numpy(np.float64)
         shared = shared.copy()
-        shared[row] = stepped(shared[row], both[:, :k], both[:, k:], RIDGES[2])
+        if round_ == 0:
+            counts[row] = both[:, :k]
+        shared[row] = stepped(shared[row], counts[row], both[:, k:], RIDGES[2])
         start.unpersist()
     return shared
 
