@@ -26,11 +26,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again: lineage is cut, executors may be lost."""
+def stored(df: DataFrame, options: dict[str, str] | None = None) -> DataFrame:
+    """``df`` written to the shared folder, with Parquet options, and read again: lineage is cut, executors may
+    be lost."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
 
 

@@ -243,13 +243,14 @@ def nearest(
     mean, projection = learned_rotations(units, bits)
     radius = learned_radius(units, codes_of(units, mean, projection), k)
 
-    index = stored(_indexed(taking_part, kind, mean, projection))
+    index = stored(_indexed(taking_part, kind, mean, projection), blocks.FEW)
     queries = stored(_queries_of(index, kind, bits))
+    groups = blocks.groups_of(index)
     index = index.drop("query")
     wanted, left, parts = min(k, total - 1), queries, []
     while wanted:
         asked = blocks.pack(left.select("number", "code", "vector"), "vector", QUERIES)
-        found = stored(_search(blocks.meet(asked, index), kind, width, bits, radius, k, id_type))
+        found = stored(_search(blocks.meet(asked, index, groups), kind, width, bits, radius, k, id_type))
         enough = found.groupBy("number").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == wanted).select("number")
         parts.append(found.join(enough, "number", "left_semi"))
         if radius >= bits:

@@ -3,7 +3,8 @@
 For a set of queries against a collection: a task is handed whole blocks, so that comparing them is one
 array operation. Blocks of the collection are dealt to groups by number and every group gets a copy of
 the query blocks, so the collection is shuffled once, the (smaller) query set once per group, and no
-vector passes through the driver.
+vector passes through the driver: Spark estimates the copies by one copy, so their join must be kept from
+broadcasting them.
 """
 
 from __future__ import annotations
@@ -25,6 +26,12 @@ from pyspark.sql.types import (
 
 #: A block holds at most so many rows and about so many bytes of vectors.
 ROWS, BYTES = 4_096, 1 << 20
+#: Blocks of a collection in a group: a join holds those of a group in memory. Groups that a core is dealt of
+#: a smaller collection.
+GROUP, SPREAD = 48, 4
+#: Parquet options for blocks: row groups and pages of a few. By default a writer looks at their size after 100
+#: rows only, and a reader takes a row group's first 4,096 rows at once.
+FEW = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1"}
 
 
 def matrix(lists: pa.Array, kind: str) -> np.ndarray:
@@ -76,15 +83,22 @@ def vectors_of(packed: bytes, rows: int, kind) -> np.ndarray:
     return np.frombuffer(packed, kind).reshape(rows, -1)
 
 
+def groups_of(collection: DataFrame) -> int:
+    """Groups in which a stored collection is met: as few as memory allows, because each gets a copy of what is
+    asked, but enough for all cores."""
+    count = collection.count()
+    return max(1, -(-count // GROUP), min(count, SPREAD * collection.sparkSession.sparkContext.defaultParallelism))
+
+
 def meet(asked: DataFrame, collection: DataFrame, groups: int | None = None) -> DataFrame:
     """Every block of ``asked`` beside every block of ``collection``; the columns of ``asked`` get the
-    prefix ``asked_``. Rows of one asked block follow each other where the join is sorted."""
+    prefix ``asked_``. The join is sorted, so that rows of one asked block follow each other."""
     groups = groups or 2 * int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = collection.withColumn("__group", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
     copies = asked.withColumnsRenamed({c: f"asked_{c}" for c in asked.columns}).withColumn(
         "__group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
     )
-    return copies.join(dealt, "__group").drop("__group")
+    return copies.hint("merge").join(dealt, "__group").drop("__group")
 
 
 def ordinal(values: np.ndarray) -> np.ndarray:

@@ -4,10 +4,12 @@ import hashlib
 import math
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from lossledger.llm import codes, negatives, neighbours
+from lossledger.llm import codes, common, negatives, neighbours
+from lossledger.operators import blocks
 
 SCHEMA = (
     "vec_id bigint, embedding array<float>, label int, id string, block int, rows string, number int, part int,"
@@ -209,6 +211,45 @@ def test_probing_finds_every_code_within_the_radius_once(radius):
     assert sorted(map(tuple, pairs.T.tolist())) == sorted(map(tuple, want.T.tolist()))
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def recorded_plans(monkeypatch, module):
+    plans = []
+
+    def stored(df, *options):
+        plans.append(plan_of(df))
+        return common.stored(df, *options)
+
+    monkeypatch.setattr(module, "stored", stored)
+    return plans
+
+
+def test_copies_of_queries_do_not_pass_through_the_driver(spark, monkeypatch):
+    plans = recorded_plans(monkeypatch, neighbours)
+    df = common.stored(table(spark, vectors()))
+    found = neighbours.nearest(df, "vec_id", "embedding", F.col("vec_id") % 20 == 0)
+    assert found.count() == 5 * sum(r[0] % 20 == 0 for r in vectors())
+    met = [plan for plan in plans if "Generate explode" in plan]
+    assert met and all("SortMergeJoin" in plan and "Broadcast" not in plan for plan in met)
+
+
+def test_blocks_are_stored_in_small_row_groups(spark):
+    values = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda k: F.rand(3).cast("float") + k)
+    packed = blocks.pack(spark.range(0, 100_000, 1, 1).select("id", values.alias("vector")), "vector")
+    kept = common.stored(packed, blocks.FEW)
+    files = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in kept.inputFiles()]
+    sizes = [m.row_group(k).total_byte_size for m in files for k in range(m.num_row_groups)]
+    assert sum(sizes) > 20 << 20 and max(sizes) < 10 << 20
+    assert sorted(i for r in kept.select("id").collect() for i in r["id"]) == list(range(100_000))
+
+
+def test_groups_follow_the_collection_not_the_partitions(spark):
+    at_least = blocks.SPREAD * spark.sparkContext.defaultParallelism
+    assert [blocks.groups_of(spark.range(n)) for n in (0, 3, at_least + 1, 100 * blocks.GROUP)] == [1, 3, at_least, max(100, at_least)]
+
+
 # --- hard negatives ----------------------------------------------------------
 
 
