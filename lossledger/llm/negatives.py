@@ -104,7 +104,7 @@ def scores_in_windows(
 
 def best_places(scores: np.ndarray, wanted: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Where the wanted scores reach the k-th best wanted one of their row, ties included."""
-    held = np.where(wanted, blocks.ordinal(scores).reshape(scores.shape).astype(np.float64), -np.inf)
+    held = np.where(wanted, blocks.ordinal(scores.ravel()).reshape(scores.shape).astype(np.float64), -np.inf)
     if held.shape[1] > k:
         wanted = wanted & (held >= np.partition(held, -k, axis=1)[:, -k:][:, :1])
     return np.nonzero(wanted)
@@ -271,20 +271,21 @@ def mined(
     ).filter(F.col("id").isNotNull() & F.col("label").isNotNull())
     id_type = taking_part.schema["id"].dataType.simpleString()
     kind = blocks.kind_of(taking_part, "vector")
-    collection = stored(blocks.pack(taking_part, "vector"))
+    collection = stored(blocks.pack(taking_part, "vector"), blocks.FEW)
+    groups = blocks.groups_of(collection)
 
     anchors = stored(_anchors_of(collection.select("block", "vector", "id", "label", "anchor"), kind))
     order = anchors.repartitionByRange("signs", "number").sortWithinPartitions("signs", "number")
     rows_of = collection.select("block", "rows", "vector", "id", "label")
     asked = blocks.pack(order.select("number", "label", "vector"), "vector", ANCHORS)
-    best = stored(_positives(blocks.meet(asked, rows_of), kind, scale, positives, id_type))
+    best = stored(_positives(blocks.meet(asked, rows_of, groups), kind, scale, positives, id_type))
 
     tops = best.groupBy("number").agg(
         F.sort_array(F.collect_list(F.struct("place", "positive_score"))).alias("tops")
     ).select("number", F.col("tops.positive_score").alias("tops"))
-    with_tops = order.join(tops, "number").repartitionByRange("signs", "number").sortWithinPartitions("signs", "number")
+    with_tops = order.join(tops.hint("merge"), "number").repartitionByRange("signs", "number").sortWithinPartitions("signs", "number")
     asked = blocks.pack(with_tops.select("number", "label", "vector", "tops"), "vector", ANCHORS)
-    near = _negatives(blocks.meet(asked, rows_of), kind, scale, negatives, low, high, id_type)
-    return near.join(best, ["number", "place"]).join(anchors.select("number", F.col("id").alias("anchor_id")), "number").select(
+    near = _negatives(blocks.meet(asked, rows_of, groups), kind, scale, negatives, low, high, id_type)
+    return near.join(best.hint("merge"), ["number", "place"]).join(anchors.select("number", F.col("id").alias("anchor_id")), "number").select(
         "anchor_id", "positive_id", "rank", "negative_id", _long("positive_score"), _long("negative_score")
     )

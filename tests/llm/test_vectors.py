@@ -283,6 +283,16 @@ def test_negatives(spark, rows):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_anchors_and_their_positives_do_not_pass_through_the_driver(spark, monkeypatch):
+    plans = recorded_plans(monkeypatch, negatives)
+    df = common.stored(table(spark, vectors()))
+    plans.append(plan_of(negatives.mined(df, "vec_id", F.col("label"), "embedding", F.col("vec_id") % 10 == 0)))
+    first, last = (plan for plan in plans if "Generate explode" in plan)
+    assert "SortMergeJoin" in first and "Broadcast" not in first
+    # only numbers and ids of the anchors may be broadcast
+    assert last.count("SortMergeJoin") == 3 and last.count("BroadcastExchange") <= 1
+
+
 def test_tree_bounds_skip_rows_and_lose_none():
     rnd = np.random.default_rng(3)
     anchors = np.round(rnd.normal(size=(1, 6)) * 200 + rnd.normal(size=(40, 6)) * 4)
